@@ -282,8 +282,8 @@ def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataF
             F.col("ord").alias(name),
             x.alias(f"{tag}x"),
             y.alias(f"{tag}y"),
-            F.floor(x / size).alias("cx"),
-            F.floor(y / size).alias("cy"),
+            F.floor(x / size).alias("gx"),
+            F.floor(y / size).alias("gy"),
         )
 
     now = centered(curr, "curr", "c")
@@ -292,17 +292,12 @@ def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataF
         .withColumn("frame", F.col("frame") + 1)
         .withColumn("sx", F.explode(around))
         .withColumn("sy", F.explode(around))
-        .withColumns({"cx": F.col("cx") + F.col("sx"), "cy": F.col("cy") + F.col("sy")})
+        .withColumns({"gx": F.col("gx") + F.col("sx"), "gy": F.col("gy") + F.col("sy")})
         .drop("sx", "sy")
     )
-    dist = G.point_distance((F.col("cx_"), F.col("cy_")), (F.col("px"), F.col("py")))
+    dist = G.point_distance((F.col("cx"), F.col("cy")), (F.col("px"), F.col("py")))
     return (
-        now.withColumnsRenamed({"cx": "gx", "cy": "gy"})
-        .withColumnsRenamed({"cx": "cx_", "cy": "cy_"})
-        .join(
-            before.withColumnsRenamed({"cx": "gx", "cy": "gy"}),
-            ["video", "frame", "gx", "gy"],
-        )
+        now.join(before, ["video", "frame", "gx", "gy"])
         .withColumn("dist", dist)
         .filter(F.col("dist") <= max_dist)
         .select("video", "frame", "curr", "prev", "dist")
