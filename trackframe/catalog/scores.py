@@ -256,15 +256,18 @@ def zero_floor(spark, sf):
 @query(
     "transfer_front",
     "scores",
-    f"""with {FRONT3}, known as (select idx // 7 as idx from scores where video = 3)
-    select f.idx // 7 as idx, f.recall, f.prec, f.f1,
-      exists (select 1 from known k where k.idx = f.idx // 7) as sampled from front f where f.video = 0""",
+    f"""with {FRONT3}, known as (select distinct video, idx // 7 as idx from scores)
+    select (f.video + 1) % 7 as video, f.idx // 7 as idx, f.recall, f.prec, f.f1, k.idx is not null as sampled
+    from front f left join known k on k.video = (f.video + 1) % 7 and k.idx = f.idx // 7""",
 )
 def transfer_front(spark, sf):
+    """Each video's front as candidates for the next video."""
     scores = X.scores(spark, sf)
-    front = P.pareto_front(scores).filter("video = 0").withColumn("idx", F.expr("idx div 7"))
-    known = scores.filter("video = 3").select(F.expr("idx div 7").alias("idx"))
-    return P.transfer_front(front, known).select("idx", "recall", "prec", "f1", "sampled")
+    front = P.pareto_front(scores).withColumns(
+        {"video": (F.col("video") + 1) % 7, "idx": F.expr("idx div 7")}
+    )
+    known = scores.select("video", F.expr("idx div 7").alias("idx"))
+    return P.transfer_front(front, known)
 
 
 def _pick(digit: str, values: list) -> str:

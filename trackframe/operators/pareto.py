@@ -419,9 +419,15 @@ def zero_floor(scores: DataFrame, floor: float = 1e-5) -> DataFrame:
     )
 
 
-def transfer_front(ref_front: DataFrame, known: DataFrame, idx: str = "idx") -> DataFrame:
-    """Front designs of a reference video, flagged when the target has sampled them."""
-    seen = known.select(idx).distinct().withColumn("sampled", F.lit(True))
-    return ref_front.join(seen, idx, "left").withColumn(
+def transfer_front(
+    ref_front: DataFrame, known: DataFrame, keys: list[str] | None = None, idx: str = "idx"
+) -> DataFrame:
+    """Front designs of a reference, flagged when the target video has sampled them.
+
+    ``keys`` name the target in both tables.
+    """
+    on = [*(keys or KEYS), idx]
+    seen = known.select(*on).distinct().withColumn("sampled", F.lit(True))
+    return ref_front.join(seen, on, "left").withColumn(
         "sampled", F.coalesce("sampled", F.lit(False))
     )
