@@ -252,7 +252,7 @@ def _shifts(spark, sf):
     f"with {SHIFT} select video, frame, hist_frame, y, x, v from hist",
 )
 def warp_translate(spark, sf):
-    return RG.warp_history(X.pixels(spark, sf), _shifts(spark, sf), SIDE, SIDE)
+    return RG.warp_history(X.pixels(spark, sf), _shifts(spark, sf), SIDE, SIDE).drop("covered")
 
 
 @query(
@@ -272,10 +272,11 @@ pr as (select * from st where v0 is not null),
 feat as (select video, frame, y, x, cast(sum(case when abs(q-q0) <= 1 then 1 else 0 end) as int) as weight,
     cast(floor(sum(case when abs(q-q0) <= 1 then 0 else abs(v-v0) end) / {H}.0e0) as int) as dissimilarity,
     coalesce(max_by(v0, hist_frame) filter (abs(q-q0) > 1 and v0 <> 0), 0) as background
-  from pr group by 1, 2, 3, 4)"""
+  from pr group by 1, 2, 3, 4),
+cov as (select video, frame, y, x, max_by(c, hist_frame) as covered, min(c) as covered_all from hist group by 1, 2, 3, 4)"""
 
 
-@query("anchored_history", "pixels", f"with {ANCHORED} select * from feat")
+@query("anchored_history", "pixels", f"with {ANCHORED} select * from feat join cov using (video, frame, y, x)")
 def anchored_history(spark, sf):
     warped = RG.warp_history(X.pixels(spark, sf), _shifts(spark, sf), SIDE, SIDE)
     return PX.anchored_history(warped, H, SCALE)

@@ -225,7 +225,7 @@ LABEL = ["video", "frame", "ly", "lx"]
 
 
 def component_runs(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
-    return label_runs(mask_runs(mask), True, group_runs)
+    return label_runs(cut(mask_runs(mask)), True, group_runs)
 
 
 def connected_components(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
@@ -278,10 +278,10 @@ def detect_blobs(mask: DataFrame, height: int, group_runs: int = GROUP_RUNS) ->
     A hole is a 4-connected background part that does not reach the border; its
     box is that of the set pixels around it, one pixel larger on every side.
     """
-    runs = mask_runs(mask)
+    runs = cut(mask_runs(mask))
     outer = _boxes(label_runs(runs, True, group_runs)).withColumn("hole", F.lit(False))
     inner = (
-        label_runs(gap_runs(runs, height), False, group_runs)
+        label_runs(cut(gap_runs(runs, height)), False, group_runs)
         .groupBy(*LABEL)
         .agg(
             (F.min("xs") - 1).alias("x1"),

@@ -137,10 +137,13 @@ def rolling_history(pixels: DataFrame, history: int, scale: int) -> DataFrame:
 def anchored_history(history_pixels: DataFrame, history: int, scale: int) -> DataFrame:
     """The same features from per-frame warped histories; one grouping per pixel.
 
-    A group holds the ``history`` values of one pixel of one frame.
+    A group holds the ``history`` values of one pixel of one frame. Where the
+    warp came with ``covered``, that of the newest history frame and whether
+    all are covered are passed on as ``covered`` and ``covered_all``.
     """
     q = quantize(F.col("v"), scale)
-    items = F.array_sort(F.collect_list(F.struct("hist_frame", "v", q.alias("q"))))
+    extra = ["covered"] if "covered" in history_pixels.columns else []
+    items = F.array_sort(F.collect_list(F.struct("hist_frame", "v", q.alias("q"), *extra)))
     grouped = history_pixels.groupBy(*PIXEL).agg(items.alias("h")).filter(
         F.size("h") == history
     )
@@ -170,13 +173,17 @@ def anchored_history(history_pixels: DataFrame, history: int, scale: int) -> Dat
                 zero,
                 lambda s, e: F.when(~e["same"] & (e["old"] != 0), e["old"]).otherwise(s),
             ).alias("background"),
+            *(
+                [
+                    F.element_at("h", -1)["covered"].alias("covered"),
+                    F.array_min(F.col("h.covered")).alias("covered_all"),
+                ]
+                if extra
+                else []
+            ),
         )
-        .select(
-            *PIXEL,
-            "weight",
-            F.floor(F.col("moved") / history).cast("int").alias("dissimilarity"),
-            "background",
-        )
+        .withColumn("dissimilarity", F.floor(F.col("moved") / history).cast("int"))
+        .drop("moved")
     )
 
 

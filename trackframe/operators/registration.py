@@ -12,6 +12,8 @@ from trackframe.schema import TRANSFORM_COLUMNS
 # Positions are kept in 1/32 pixel when a frame is resampled.
 SUBPIXEL = 32
 
+WARPED = ["video", "frame", "hist_frame", "y", "x"]
+
 
 # Keypoints ------------------------------------------------------------------
 
@@ -277,9 +279,9 @@ def warp_history(
     """History frames in the coordinates of their frame, bilinear, 0 outside.
 
     ``transforms(video, frame, hist_frame, t11..t33)`` map history coordinates to
-    those of the frame. Output: video, frame, hist_frame, y, x, v for all pixels.
+    those of the frame; ``pixels`` are dense. Output: video, frame, hist_frame,
+    y, x, v, covered for all pixels; covered is the warp of an all-ones frame.
     """
-    keys = ["video", "frame", "hist_frame", "y", "x"]
     source = pixels.select(
         "video",
         F.col("frame").alias("hist_frame"),
@@ -288,38 +290,36 @@ def warp_history(
         "v",
     )
     targets = _targets(transforms, width, height)
-    summed = (
-        targets.join(source, ["video", "hist_frame", "sy", "sx"])
-        .groupBy(*keys)
-        .agg(F.sum(F.col("v") * F.col("part")).alias("s"))
-    )
-    full = SUBPIXEL * SUBPIXEL
-    drawn = summed.select(
-        *keys, F.floor((F.col("s") + full // 2) / full).cast("int").alias("v")
+    drawn = targets.join(source, ["video", "hist_frame", "sy", "sx"]).select(
+        *WARPED, (F.col("v") * F.col("part")).alias("v"), "part"
     )
-    return _on_full_grid(transforms, drawn, width, height)
+    return _drawn_on_grid(transforms, drawn, width, height)
 
 
 def coverage_masks(transforms: DataFrame, width: int, height: int) -> DataFrame:
     """The warp of an all-ones frame: 1 where history covers the frame, else 0."""
-    keys = ["video", "frame", "hist_frame", "y", "x"]
-    full = SUBPIXEL * SUBPIXEL
-    summed = _targets(transforms, width, height).groupBy(*keys).agg(F.sum("part").alias("s"))
-    drawn = summed.select(
-        *keys, F.floor((F.col("s") + full // 2) / full).cast("int").alias("v")
-    )
-    return _on_full_grid(transforms, drawn, width, height)
+    part = _targets(transforms, width, height).select(*WARPED, F.lit(0).alias("v"), "part")
+    drawn = _drawn_on_grid(transforms, part, width, height)
+    return drawn.select(*WARPED, F.col("covered").alias("v"))
 
 
-def _on_full_grid(
+def _drawn_on_grid(
     transforms: DataFrame, drawn: DataFrame, width: int, height: int
 ) -> DataFrame:
-    """Add the pixels nothing was drawn on, as 0; one grouping with the drawn ones."""
-    keys = ["video", "frame", "hist_frame", "y", "x"]
-    rows = transforms.select("video", "frame", "hist_frame").withColumn(
-        "y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))
+    """Sum the parts of each output pixel; pixels nothing was drawn on are 0."""
+    blank = (
+        transforms.select("video", "frame", "hist_frame")
+        .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+        .select(*WARPED, F.lit(0).alias("v"), F.lit(0).alias("part"))
+    )
+    full = SUBPIXEL * SUBPIXEL
+
+    def level(name: str) -> Column:
+        return F.floor((F.sum(name) + full // 2) / full).cast("int")
+
+    return (
+        blank.unionByName(drawn)
+        .groupBy(*WARPED)
+        .agg(level("v").alias("v"), level("part").alias("covered"))
     )
-    blank = rows.withColumn(
-        "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
-    ).withColumn("v", F.lit(0))
-    return blank.unionByName(drawn).groupBy(*keys).agg(F.max("v").alias("v"))

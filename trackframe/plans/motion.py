@@ -12,6 +12,7 @@ from trackframe.operators import morphology as MO
 from trackframe.operators import pixels as PX
 from trackframe.operators import registration as RG
 from trackframe.operators.tracks import history_pairs
+from trackframe.session import cut
 
 PAIR = ["video", "frame", "hist_frame"]
 
@@ -103,17 +104,21 @@ def motion_mask(
     height: int,
     config: MotionConfig = MotionConfig(),
 ) -> DataFrame:
-    """Cleaned sparse mask of moving pixels."""
+    """Cleaned sparse mask of moving pixels.
+
+    The raw mask is materialized: it is a small part of the pixels, and the
+    density test reads it several times.
+    """
     history = config.history_frames
-    compared = PX.subtract_background(
+    found = PX.subtract_background(
         features(pixels, transforms, width, height, config), history
     )
-    moving = PX.moving_foreground(compared, history, config.corrected)
     if transforms is not None:
-        coverage = RG.coverage_masks(transforms, width, height)
-        moving = PX.apply_masks(moving, coverage, config.corrected)
+        seen = F.col("covered_all" if config.corrected else "covered")
+        found = found.filter(seen == 1)
+    moving = PX.moving_foreground(found, history, config.corrected)
     dense = MO.density_filter(
-        MO.set_pixels(moving), config.dbscan_eps, config.dbscan_min_samples
+        cut(MO.set_pixels(moving)), config.dbscan_eps, config.dbscan_min_samples
     )
     return MO.close_mask(dense, config.dbscan_kernel, width, height)
 
