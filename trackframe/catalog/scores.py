@@ -319,11 +319,11 @@ SWEEP = [
 ]
 
 
-def _sweep_sql() -> str:
+def sweep_sql(designs: list[dict]) -> str:
     parts, names = [], []
-    for d in SWEEP:
-        i, t = d["idx"], d.get("threshold", 0)
-        w, h = d.get("max_width", 10**6), d.get("max_height", 10**6)
+    for d in designs:
+        i, t = d["idx"], d.get("threshold") or 0
+        w, h = d.get("max_width") or 10**6, d.get("max_height") or 10**6
         parts += [
             greedy_sql(f"g{i}", "a_ord", "b_ord", f"iou >= {t}e0 and bw <= {w} and bh <= {h}"),
             greedy_sql(f"h{i}", "b_ord", "a_ord", f"iou >= {t}e0 and aw <= {w} and ah <= {h}"),
@@ -346,7 +346,7 @@ from (select *, case when tp+fn=0 then 0 else cast(tp as double)/cast(tp+fn as d
   case when tp+fp=0 then 0 else cast(tp as double)/cast(tp+fp as double) end as p from d) q"""
 
 
-@query("size_sweep", BOXES, _sweep_sql())
+@query("size_sweep", BOXES, sweep_sql(SWEEP))
 def size_sweep(spark, sf):
     base = X.boxes_base(spark, sf)
     swept = D.threshold_sweep(X.calc_from_base(base), X.gt_from_base(base), SWEEP)

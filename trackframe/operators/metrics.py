@@ -145,12 +145,8 @@ def matched_counts(
     ).unionByName(rounds("second", "b_ord", "a_mark", "a_ord", "gt_matched"))
 
 
-def frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
-    """video, frame, true_positive, false_negative, false_positive for 1..last common frame.
-
-    Options are those of :func:`matched_counts`. Box counts, matches and the
-    frame spine are summed in one grouping, so empty frames show as zeros.
-    """
+def _summed(calc: DataFrame, gt: DataFrame, matched: DataFrame, spine: DataFrame | None) -> DataFrame:
+    """Box counts, matches and the frame spine in one grouping on (video, frame)."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
     def rows(df: DataFrame, tp: Column, fn: Column, fp: Column) -> DataFrame:
@@ -158,23 +154,22 @@ def frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
             *M.FRAME_KEYS, *[c.cast("long").alias(n) for c, n in zip((tp, fn, fp), COUNTS)]
         )
 
-    last = common_frames(calc, gt)
-    matched = matched_counts(calc, gt, **options)
-    total = (
-        rows(frame_spine(last), zero, zero, zero)
-        .unionByName(rows(calc, zero, zero, one))
-        .unionByName(rows(gt, zero, one, zero))
-        .unionByName(
-            rows(
-                matched,
-                F.col("calc_matched"),
-                -F.col("gt_matched"),
-                -F.col("calc_matched"),
-            )
-        )
-        .groupBy(*M.FRAME_KEYS)
-        .agg(*[F.sum(name).alias(name) for name in COUNTS])
+    hits = rows(
+        matched, F.col("calc_matched"), -F.col("gt_matched"), -F.col("calc_matched")
     )
+    total = rows(calc, zero, zero, one).unionByName(rows(gt, zero, one, zero)).unionByName(hits)
+    if spine is not None:
+        total = total.unionByName(rows(spine, zero, zero, zero))
+    return total.groupBy(*M.FRAME_KEYS).agg(*[F.sum(name).alias(name) for name in COUNTS])
+
+
+def frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
+    """video, frame, true_positive, false_negative, false_positive for 1..last common frame.
+
+    Options are those of :func:`matched_counts`. Frames without boxes show as zeros.
+    """
+    last = common_frames(calc, gt)
+    total = _summed(calc, gt, matched_counts(calc, gt, **options), frame_spine(last))
     return (
         total.join(last, "video")
         .filter((F.col("frame") >= 1) & (F.col("frame") <= F.col("last_frame")))
@@ -182,6 +177,11 @@ def frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
     )
 
 
+def present_frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
+    """The same counts for frames that hold a box of either side."""
+    return _summed(calc, gt, matched_counts(calc, gt, **options), None)
+
+
 def detection_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Recall, precision and F1 of summed counts; 0 where a denominator is 0."""
     tp, fn, fp = (F.col(name) for name in COUNTS)
