@@ -127,7 +127,7 @@ select video, frame, curr, prev from walk where taken""".format(near=NEAR_SQL)
 @query("greedy_assign", "calc_regions", ASSIGN_SQL)
 def greedy_assign(spark, sf):
     calc = X.calc_regions(spark, sf)
-    return M.greedy_assign(M.nearest_previous(calc, calc, 20)).drop("dist")
+    return M.assign_previous(calc, calc, 20).drop("dist")
 
 
 @query("greedy_assign_rounds", "calc_regions", ASSIGN_SQL)

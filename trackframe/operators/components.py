@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.operators.pixels import FRAME, PIXEL
-from trackframe.session import cut
+from trackframe.session import cut, spread
 
 ROW = ["video", "frame", "y"]
 
-# Frames with more runs than this are labelled in distributed rounds.
-GROUP_RUNS = 200_000
+# Frames with more runs than this are labelled in distributed rounds; the others
+# are labelled in blocks of this many frames.
+GROUP_RUNS = 50_000
+FRAME_BLOCK = 32
 
 
 def mask_runs(mask: DataFrame) -> DataFrame:
@@ -84,42 +86,53 @@ def run_links(runs: DataFrame, diagonal: bool) -> DataFrame:
     return upper.join(lower, ROW).filter(touch).select(*FRAME, "a", "b")
 
 
-def _union_find(keys, pdf):
-    """Label the runs of one frame: linked runs share the smallest run position."""
+def _label_block(key, pdf):
+    """Label the runs of a block of frames: linked runs share their first run.
+
+    Positions become one number per run, in frame, row, column order; labels
+    shrink along links and are followed to their end until nothing changes.
+    """
     import numpy as np
     import pandas as pd
 
-    runs = pdf[pdf.kind == 0]
-    links = pdf[pdf.kind == 1]
-    node = pd.MultiIndex.from_arrays([runs.ay, runs.ax])
-    a = node.get_indexer(pd.MultiIndex.from_arrays([links.ay, links.ax]))
-    b = node.get_indexer(pd.MultiIndex.from_arrays([links.by, links.bx]))
-    parent = np.arange(len(runs))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in zip(a, b):
-        ri, rj = find(i), find(j)
-        if ri != rj:
-            parent[max(ri, rj)] = min(ri, rj)
-    root = np.array([find(i) for i in range(len(runs))], dtype=int)
-    order = list(zip(runs.ay, runs.ax))
-    first: dict[int, tuple] = {}
-    for i, r in enumerate(root):
-        first[r] = min(first.get(r, order[i]), order[i])
-    labels = [first[r] for r in root]
+    first = pdf["frame"].min()
+    wide = int(max(pdf["ax"].max(), pdf["bx"].max())) + 1
+    high = int(max(pdf["ay"].max(), pdf["by"].max())) + 1
+
+    def code(rows, y, x):
+        frame = (rows["frame"] - first).to_numpy(dtype="int64")
+        return (frame * high + rows[y].to_numpy()) * wide + rows[x].to_numpy()
+
+    links = pdf[pdf["kind"] == 1]
+    runs = pdf[pdf["kind"] == 0]
+    codes = code(runs, "ay", "ax")
+    order = np.argsort(codes)
+    runs, codes = runs.iloc[order], codes[order]
+    a = np.searchsorted(codes, code(links, "ay", "ax"))
+    b = np.searchsorted(codes, code(links, "by", "bx"))
+    label = np.arange(len(codes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        moved = label.copy()
+        for end in (label[a], label[b], a, b):
+            np.minimum.at(moved, end, low)
+        while True:
+            further = moved[moved]
+            if (further == moved).all():
+                break
+            moved = further
+        if (moved == label).all():
+            break
+        label = moved
+    root = runs.iloc[label]
     return pd.DataFrame(
         {
-            "video": keys[0],
-            "frame": keys[1],
-            "y": runs.ay.to_numpy(),
-            "xs": runs.ax.to_numpy(),
-            "ly": [k[0] for k in labels],
-            "lx": [k[1] for k in labels],
+            "video": key[0],
+            "frame": runs["frame"].to_numpy(),
+            "y": runs["ay"].to_numpy(),
+            "xs": runs["ax"].to_numpy(),
+            "ly": root["ay"].to_numpy(),
+            "lx": root["ax"].to_numpy(),
         }
     )
 
@@ -144,7 +157,11 @@ def _label_groups(runs: DataFrame, links: DataFrame) -> DataFrame:
         F.col("b.xs").cast("long").alias("bx"),
     )
     out = f"{_types(runs)}, y bigint, xs bigint, ly bigint, lx bigint"
-    return nodes.unionByName(edges).groupBy(*FRAME).applyInPandas(_union_find, out)
+    block = F.floor(F.col("frame") / FRAME_BLOCK)
+    rows = nodes.unionByName(edges).withColumn("block", block)
+    return spread(rows, "video", "block").groupBy("video", "block").applyInPandas(
+        _label_block, out
+    )
 
 
 def _label_rounds(runs: DataFrame, links: DataFrame) -> DataFrame:

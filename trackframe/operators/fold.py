@@ -6,13 +6,23 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
+from trackframe.session import spread
+
 FLUSH_ROWS = 10_000
 
 
 def frames_of(batches: Iterator, keys: list[str]) -> Iterator:
-    """Cut sorted batches into (key, frame, rows) pieces, across batch borders."""
+    """Cut sorted batches into (key, frame, columns) pieces, across batch borders.
+
+    The columns of a piece are arrays by name.
+    """
+    import numpy as np
     import pandas as pd
 
+    def piece(columns, begin, end):
+        part = {name: values[begin:end] for name, values in columns.items()}
+        return tuple(part[k][0] for k in keys), int(part["frame"][0]), part
+
     held = None
     for batch in batches:
         if held is not None:
@@ -20,14 +30,17 @@ def frames_of(batches: Iterator, keys: list[str]) -> Iterator:
         if batch.empty:
             held = None
             continue
-        mark = batch[[*keys, "frame"]]
-        starts = (mark != mark.shift()).any(axis=1).to_numpy().nonzero()[0]
+        columns = {name: batch[name].to_numpy() for name in batch.columns}
+        change = np.zeros(len(batch) - 1, dtype=bool)
+        for name in [*keys, "frame"]:
+            change |= columns[name][1:] != columns[name][:-1]
+        starts = np.r_[0, np.flatnonzero(change) + 1]
         for begin, end in zip(starts[:-1], starts[1:]):
-            piece = batch.iloc[begin:end]
-            yield tuple(piece[keys].iloc[0]), int(piece["frame"].iloc[0]), piece
-        held = batch.iloc[starts[-1]:].reset_index(drop=True)
-    if held is not None and not held.empty:
-        yield tuple(held[keys].iloc[0]), int(held["frame"].iloc[0]), held
+            yield piece(columns, begin, end)
+        held = batch.iloc[starts[-1] :].reset_index(drop=True)
+    if held is not None:
+        columns = {name: held[name].to_numpy() for name in held.columns}
+        yield piece(columns, 0, len(held))
 
 
 def fold_frames(
@@ -37,12 +50,14 @@ def fold_frames(
     step: Callable,
     schema: str,
     order: str = "ord",
+    finish: Callable | None = None,
 ) -> DataFrame:
-    """Run ``step(state, key, frame, rows) -> list of tuples`` over frames in order.
+    """Run ``step(state, key, frame, columns) -> list of tuples`` over frames in order.
 
-    ``start(key)`` makes the state of a key. Keys are spread by hash and sorted
-    inside their partition, so a task streams through its keys and holds one
-    frame and one state.
+    ``start(key)`` makes the state of a key and ``finish(state, key)`` may add
+    rows after its last frame. Keys are spread by hash and sorted inside their
+    partition, so a task streams through its keys and holds one frame and one
+    state.
     """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
@@ -50,15 +65,19 @@ def fold_frames(
         import pandas as pd
 
         current, state, out = None, None, []
-        for key, frame, rows in frames_of(batches, keys):
+        for key, frame, columns in frames_of(batches, keys):
             if key != current:
+                if finish is not None and current is not None:
+                    out.extend(finish(state, current))
                 current, state = key, start(key)
-            out.extend(step(state, key, frame, rows))
+            out.extend(step(state, key, frame, columns))
             if len(out) >= FLUSH_ROWS:
                 yield pd.DataFrame(out, columns=names)
                 out = []
+        if finish is not None and current is not None:
+            out.extend(finish(state, current))
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, "frame", order)
+    placed = spread(df, *keys).sortWithinPartitions(*keys, "frame", order)
     return placed.mapInPandas(run, schema)

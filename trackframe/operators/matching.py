@@ -304,18 +304,36 @@ def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataF
     )
 
 
-def greedy_assign(pairs: DataFrame, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
-    """Smallest distances first, each previous and each current box used once."""
+def greedy_assign(
+    pairs: DataFrame, fold_pairs: int = FOLD_PAIRS, crowded: DataFrame | None | str = "count"
+) -> DataFrame:
+    """Smallest distances first, each previous and each current box used once.
+
+    ``crowded`` lists frames to solve in rounds; by default the pairs are
+    counted to find them.
+    """
     return greedy_edges(
         pairs,
         "curr",
         "prev",
         [F.col("dist"), F.col("prev"), F.col("curr")],
-        crowded=crowded_groups(pairs, fold_pairs),
+        crowded=crowded_groups(pairs, fold_pairs) if isinstance(crowded, str) else crowded,
         carry=["dist"],
     )
 
 
+def assign_previous(
+    curr: DataFrame, prev: DataFrame, max_dist: float, fold_pairs: int = FOLD_PAIRS
+) -> DataFrame:
+    """Nearest boxes of the frame before, one to one.
+
+    Crowded frames are found from box counts, so the pairs are built once.
+    """
+    shifted = prev.select("video", (F.col("frame") + 1).alias("frame"))
+    crowded = crowded_frames(curr.select(*FRAME_KEYS), shifted, fold_pairs)
+    return greedy_assign(nearest_previous(curr, prev, max_dist), fold_pairs, crowded)
+
+
 def carry_forward(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Boxes of ``curr`` plus each track of the frame before that has no box now.
 

@@ -15,6 +15,7 @@ from trackframe.operators.fold import fold_frames
 from trackframe.operators.reckoning import corners_of, pairwise_iou
 from trackframe.operators.tracks import observation_hysteresis, with_transform
 from trackframe.schema import BOX_COLUMNS, TRANSFORM_COLUMNS
+from trackframe.session import cut
 
 # Fixed value: particles per filter.
 PARTICLES = 5
@@ -340,9 +341,10 @@ def filter_frame(
         state.observed = np.r_[state.observed, np.ones(len(fresh) * n, dtype=bool)]
         note("initial", np.isin(state.ids, new_ids))
     best = _best(state, corrected)
+    columns = (state.ids[best], state.boxes[best], state.observed[best])
     rows = [
-        (frame, int(state.ids[i]), *(int(v) for v in state.boxes[i]), bool(state.observed[i]))
-        for i in best
+        (frame, owner, *box, seen)
+        for owner, box, seen in zip(*(values.tolist() for values in columns))
     ]
     return rows, history
 
@@ -353,7 +355,7 @@ def salt_of(seed: int, key: tuple) -> int:
 
 
 def matrix_of(rows) -> np.ndarray:
-    return rows[TRANSFORM_COLUMNS].iloc[0].to_numpy(dtype=float).reshape(3, 3)
+    return np.array([np.asarray(rows[n])[0] for n in TRANSFORM_COLUMNS], dtype=float).reshape(3, 3)
 
 
 TRACK_OUTPUT = "frame bigint, identity bigint, x1 int, y1 int, x2 int, y2 int, observed boolean"
@@ -422,4 +424,5 @@ def particle_history(
 
 def track_pipeline(regions: DataFrame, transforms: DataFrame, **options) -> DataFrame:
     """Particle tracks, kept where observed at least twice."""
-    return observation_hysteresis(particle_filter(regions, transforms, **options))
+    # Both passes of the selection read the tracks; the filter runs once.
+    return observation_hysteresis(cut(particle_filter(regions, transforms, **options)))

@@ -133,8 +133,8 @@ def reckon_frame(
             all_ids[c] = state.counter
             state.counter += 1
     rows = [
-        (frame, all_ids[i], *(int(v) for v in boxes[i]), i >= len(found))
-        for i in range(len(boxes))
+        (frame, all_ids[i], *box, i >= len(found))
+        for i, box in enumerate(boxes.tolist())
         if i not in dropped
     ]
     state.frame = frame
@@ -156,7 +156,8 @@ OUTPUT = "frame bigint, identity bigint, x1 int, y1 int, x2 int, y2 int, carried
 
 
 def corners_of(rows) -> np.ndarray:
-    return rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=np.int64)
+    """Corner columns of a frame as one array."""
+    return np.column_stack([rows[n] for n in ("x1", "y1", "x2", "y2")]).astype(np.int64)
 
 
 def dead_reckoning(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackframe.operators.pixels import FRAME
 from trackframe.operators.running import row_numbers
 from trackframe.schema import TRANSFORM_COLUMNS
+from trackframe.session import spread
 
 # Positions are kept in 1/32 pixel when a frame is resampled.
 SUBPIXEL = 32
@@ -207,7 +208,7 @@ def estimate_transform(
 
     fields = [f"{n} {matches.schema[n].dataType.simpleString()}" for n in keys]
     out = ", ".join([*fields, *[f"{n} double" for n in TRANSFORM_COLUMNS]])
-    return matches.groupBy(*keys).applyInPandas(fit, out)
+    return spread(matches, *keys).groupBy(*keys).applyInPandas(fit, out)
 
 
 # Warps ----------------------------------------------------------------------

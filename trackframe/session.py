@@ -54,3 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` reliably, so a loop's plan stays one step long."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash by ``keys`` into as many partitions as a shuffle has.
+
+    A fixed number is not merged at run time, which would put work that is small
+    in bytes but long in Python into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
