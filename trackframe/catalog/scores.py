@@ -353,6 +353,38 @@ def size_sweep(spark, sf):
     return rounded(swept, "recall", "precision", "f1", digits=9)
 
 
+CALLBACK_SQL = f"""with {IOU_SQL.replace('calc_regions', 'moved')}, {LAST_SQL.replace('calc_regions', 'moved')},
+fwd as (select video, frame, count(distinct a_ord) as n from pairs group by 1, 2),
+bwd as (select video, frame, count(distinct b_ord) as n from pairs group by 1, 2),
+{COUNTS_SQL}
+select {{idx}} as idx, video, cast(sum(true_positive) as bigint) as true_positive,
+  cast(sum(false_negative) as bigint) as false_negative, cast(sum(false_positive) as bigint) as false_positive
+from counts group by 2"""
+
+
+def _callback_sql(idx: int) -> str:
+    moved = f"""moved as (select video, frame, identity, ord, x1+{idx} as x1, y1, x2+{idx} as x2, y2 from calc_regions)"""
+    return "(with " + moved + ", " + CALLBACK_SQL.format(idx=idx)[len("with "):].lstrip() + ")"
+
+
+@query(
+    "user_callback",
+    BOXES,
+    "select * from (" + " union all ".join(f"select * from {_callback_sql(i)}" for i in (0, 2, 5)) + ") u",
+)
+def user_callback(spark, sf):
+    """A user's detector, called once per design: boxes moved sideways by idx."""
+    base = X.boxes_base(spark, sf)
+    calc, gt = X.calc_from_base(base), X.gt_from_base(base)
+
+    def detect(design):
+        step = design["idx"]
+        return calc.withColumns({"x1": F.col("x1") + step, "x2": F.col("x2") + step})
+
+    scored = D.sweep([{"idx": i} for i in (0, 2, 5)], detect, gt, allow_overlap=True)
+    return scored.select("idx", "video", "true_positive", "false_negative", "false_positive")
+
+
 R2 = "round_even({0} * 100, 0) / 100"
 
 

@@ -9,6 +9,7 @@ from trackframe.functions import geometry as G
 from trackframe.operators import matching as M
 from trackframe.operators import sets as S
 from trackframe.operators import tracks as T
+from trackframe.plans.stages import chain
 from trackframe.sources import fixtures as X
 
 STEP_SQL = """with s as (
@@ -373,3 +374,29 @@ def sets_equal(spark, sf):
 )
 def first_seen_order(spark, sf):
     return S.first_seen_order(X.gt_regions(spark, sf), ["video", "identity"], "frame")
+
+
+@query("motion_only_in_order")
+def motion_only_in_order(spark, sf):
+    return T.motion_only_in_order(X.gt_regions(spark, sf), 3, 2)
+
+
+def _user_grow(df, pixels):
+    """A stage a user might write: grow boxes on every side."""
+    grown = {n: F.col(n) - pixels for n in ("x1", "y1")}
+    return df.withColumns({**grown, **{n: F.col(n) + pixels for n in ("x2", "y2")}})
+
+
+@query(
+    "user_stage",
+    "gt_regions",
+    """select video, frame - 9 as frame, identity, ord, x1-2 as x1, y1-2 as y1, x2+2 as x2, y2+2 as y2
+    from gt_regions where frame between 10 and 150 and (x2-x1)*(y2-y1) >= 150""",
+)
+def user_stage(spark, sf):
+    return chain(
+        X.gt_regions(spark, sf),
+        (G.min_size, {"pixels": 150}),
+        (_user_grow, {"pixels": 2}),
+        (G.frame_slice, {"start": 10, "end": 150}),
+    )

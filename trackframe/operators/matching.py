@@ -267,12 +267,12 @@ def region_anti(a: DataFrame, b: DataFrame, min_iou: float = 0.0) -> DataFrame:
 def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataFrame:
     """Pairs of a box and a box of the frame before, centers at most ``max_dist`` apart.
 
-    Centers fall into square cells of that size; each previous center is offered
-    to its own and the eight neighbouring cells. ``ord`` names the box on both
-    sides. Output: video, frame, curr, prev, dist.
+    Centers fall into square cells four distances wide. A previous center is
+    offered to every cell its reach touches, mostly one or two per direction, so
+    each pair meets once, in the cell of the current center. ``ord`` names the
+    box on both sides. Output: video, frame, curr, prev, dist.
     """
-    size = F.lit(float(max(max_dist, 1.0)))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    size = F.lit(float(max(max_dist, 1.0)) * 4)
 
     def centered(df: DataFrame, name: str, tag: str) -> DataFrame:
         x, y = G.centroid(G.corners())
@@ -282,18 +282,21 @@ def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataF
             F.col("ord").alias(name),
             x.alias(f"{tag}x"),
             y.alias(f"{tag}y"),
-            F.floor(x / size).alias("gx"),
-            F.floor(y / size).alias("gy"),
         )
 
-    now = centered(curr, "curr", "c")
+    def reached(center: Column) -> Column:
+        return F.explode(
+            F.sequence(F.floor((center - max_dist) / size), F.floor((center + max_dist) / size))
+        )
+
+    now = centered(curr, "curr", "c").withColumns(
+        {"gx": F.floor(F.col("cx") / size), "gy": F.floor(F.col("cy") / size)}
+    )
     before = (
         centered(prev, "prev", "p")
         .withColumn("frame", F.col("frame") + 1)
-        .withColumn("sx", F.explode(around))
-        .withColumn("sy", F.explode(around))
-        .withColumns({"gx": F.col("gx") + F.col("sx"), "gy": F.col("gy") + F.col("sy")})
-        .drop("sx", "sy")
+        .withColumn("gx", reached(F.col("px")))
+        .withColumn("gy", reached(F.col("py")))
     )
     dist = G.point_distance((F.col("cx"), F.col("cy")), (F.col("px"), F.col("py")))
     return (

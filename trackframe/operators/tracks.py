@@ -117,6 +117,58 @@ def motion_only(
     ).drop("block")
 
 
+def motion_only_in_order(
+    gt: DataFrame,
+    back: int = MOTION_BACK,
+    ahead: int = MOTION_AHEAD,
+    iou: float = MOTION_IOU,
+) -> DataFrame:
+    """The published pruning: frames in order, dropped boxes no longer count.
+
+    A box is compared with the earlier boxes of its track that were kept and
+    with all later ones. A track is read in frame order and holds the frames
+    within reach only.
+    """
+    import numpy as np
+
+    from trackframe.operators.fold import fold_frames
+    from trackframe.operators.reckoning import corners_of, pairwise_iou
+
+    names = ["video", "identity", "frame", "ord", *BOX_COLUMNS]
+
+    def decide(state, until):
+        """Settle waiting boxes whose later neighbours are all known."""
+        kept, waiting = state["kept"], state["waiting"]
+        rows = []
+        while waiting and waiting[0][0] < until:
+            frame, order, box = waiting.pop(0)
+            kept[:] = [k for k in kept if k[0] >= frame - back]
+            later = [w for w in waiting if w[0] <= frame + ahead]
+            others = [k[-1] for k in kept] + [w[-1] for w in later]
+            if others and (pairwise_iou(box[None, :], np.array(others)) <= iou).any():
+                kept.append((frame, box))
+                rows.append((frame, order, *box.tolist()))
+        return rows
+
+    def step(state, key, frame, columns):
+        for order, box in zip(columns["ord"].tolist(), corners_of(columns)):
+            state["waiting"].append((frame, order, box))
+        return [(*key, *r) for r in decide(state, frame - ahead)]
+
+    def finish(state, key):
+        return [(*key, *r) for r in decide(state, float("inf"))]
+
+    fields = ", ".join(f"{n} {gt.schema[n].dataType.simpleString()}" for n in names)
+    return fold_frames(
+        gt.select(*names),
+        TRACK_KEYS,
+        lambda key: {"kept": [], "waiting": []},
+        step,
+        fields,
+        finish=finish,
+    )
+
+
 def assign_ids(df: DataFrame) -> DataFrame:
     """Number boxes without identity from 0 per video, in frame then list order."""
     fresh = F.col("identity").isNull()
