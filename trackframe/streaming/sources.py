@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from trackframe.functions.scalars import dataset_from_path, frame_from_name
 from trackframe.sources.files import IMAGE_FPS
 
+FILE_ROWS = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def event_time(frame: Column, fps: float = IMAGE_FPS) -> Column:
     """Time of a frame since the start of its video."""
@@ -47,7 +49,7 @@ def stream_image_files(
     spark: SparkSession, path: str, fps: float = IMAGE_FPS, files_per_batch: int | None = None
 ) -> DataFrame:
     """Numbered image files as they land: video, frame, event_time, content."""
-    reader = spark.readStream.format("binaryFile")
+    reader = spark.readStream.format("binaryFile").schema(FILE_ROWS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = reader.load(path)
