@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.catalog import query
+from trackframe.catalog import ORACLES, query
 from trackframe.functions import geometry as G
 from trackframe.functions import scalars as SC
 from trackframe.operators import components as C
@@ -649,11 +649,40 @@ SMALL = MP.MotionConfig(
 )
 
 
-@query("motion_detect")
+def _chain_sql(features: str, seen: str = "") -> str:
+    """The whole detector: blur, features ``feat``, foreground, density, closing, boxes."""
+    blobs = ORACLES["detect_blobs"]
+    tail = blobs[blobs.index("reach as ("):].replace(" mask", " closed")
+    grid = GRID_SQL.replace("full_grid", "frames_grid").replace(" mask", " dense")
+    morph = [
+        _morph("dense", "grown", MO.box_offsets(3), "dilate"),
+        _morph("grown", "closed", MO.box_offsets(3), "erode"),
+    ]
+    morph = [m.replace("full_grid", "frames_grid") for m in morph]
+    return f"""with recursive blurred as ({_blur_sql(3)}), {features},
+    moved as (select video, frame, y, x from fg where {_moving((3, 2, 5))} = 255 {seen}),
+    dense as ({DENSITY.format(r2="2.25", m=3).replace("mask", "moved")}),
+    {grid}, {', '.join(morph)}, {tail}"""
+
+
+STILL = ROLL.replace("from pixels", "from blurred")
+WARPED = (
+    ANCHORED.replace("left join pixels", "left join blurred").replace("feat as", "feats as")
+    + f""", feat as (select f.*, b.v, c.covered from feats f join cov c using (video, frame, y, x)
+      join blurred b using (video, frame, y, x)),
+    fg as (select *, case when weight >= {H - 1} then 0 else abs(v - background) end as foreground from feat)"""
+)
+
+
+def _only_boxes(sql: str) -> str:
+    return f"select video, frame, ord, x1, y1, x2, y2 from ({sql}) boxes_found"
+
+
+@query("motion_detect", "pixels", _only_boxes(_chain_sql(WARPED, "and covered = 1")))
 def motion_detect(spark, sf):
     return MP.motion_detect(X.pixels(spark, sf), _shifts(spark, sf), SIDE, SIDE, SMALL)
 
 
-@query("motion_detect_still")
+@query("motion_detect_still", "pixels", _only_boxes(_chain_sql(STILL)))
 def motion_detect_still(spark, sf):
     return MP.motion_detect(X.pixels(spark, sf), None, SIDE, SIDE, SMALL)

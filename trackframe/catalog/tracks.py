@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.catalog import query
+from trackframe.catalog import ORACLES, query
 from trackframe.functions import geometry as G
 from trackframe.operators import matching as M
 from trackframe.operators import sets as S
@@ -283,8 +283,10 @@ def sort_regions(spark, sf):
 @query(
     "fingerprint",
     "gt_regions",
-    """with f as (select video, frame, md5(string_agg(concat_ws(',', x1, y1, x2, y2), ';' order by x1, y1, x2, y2)) as d
-      from gt_regions group by 1, 2),
+    """with c as (select video, frame, x1, y1, x2, y2, count(*) as n from gt_regions group by 1, 2, 3, 4, 5, 6),
+    s as (select video, frame, cast(floor(x1 / 256.0e0) as bigint) as strip,
+      md5(string_agg(concat_ws(',', x1, y1, x2, y2, n), ';' order by x1, y1, x2, y2)) as d from c group by 1, 2, 3),
+    f as (select video, frame, md5(string_agg(d, ';' order by strip)) as d from s group by 1, 2),
     b as (select video, frame // 1024 as block, md5(string_agg(d, ';' order by frame)) as d from f group by 1, 2)
     select video, md5(string_agg(d, ';' order by block)) as fingerprint from b group by 1""",
 )
@@ -376,9 +378,15 @@ def first_seen_order(spark, sf):
     return S.first_seen_order(X.gt_regions(spark, sf), ["video", "identity"], "frame")
 
 
+# Looking ahead at least as far as back, no box that was dropped could have proved a later one.
 @query("motion_only_in_order")
 def motion_only_in_order(spark, sf):
-    return T.motion_only_in_order(X.gt_regions(spark, sf), 3, 2)
+    return T.motion_only_in_order(X.gt_regions(spark, sf)).select(
+        "video", "frame", "identity", "ord", *G.BOX_COLUMNS
+    )
+
+
+ORACLES["motion_only_in_order"] = ORACLES["motion_only"]
 
 
 def _user_grow(df, pixels):

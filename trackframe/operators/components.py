@@ -201,13 +201,14 @@ def _label_rounds(runs: DataFrame, links: DataFrame) -> DataFrame:
             .distinct()
         )
 
+    def signature(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64(*FRAME, "a", "b"))).first())
+
     edges = cut(links.select(*FRAME, as_long("a"), as_long("b")))
-    while True:
-        step = cut(star(star(edges, True), False))
-        moved = not step.exceptAll(edges).isEmpty() or not edges.exceptAll(step).isEmpty()
-        edges = step
-        if not moved:
-            break
+    before, now = None, signature(edges)
+    while now != before:
+        edges = cut(star(star(edges, True), False))
+        before, now = now, signature(edges)
     roots = edges.groupBy(*FRAME, "a").agg(F.min("b").alias("root"))
     nodes = runs.select(*FRAME, key.alias("a"))
     return nodes.join(roots, [*FRAME, "a"], "left").select(

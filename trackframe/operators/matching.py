@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -248,20 +249,44 @@ def top1_by_iou(pairs: DataFrame) -> DataFrame:
     )
 
 
+def hit_boxes(
+    a: DataFrame,
+    b: DataFrame,
+    test: Callable[[G.Box, G.Box], Column],
+    key: list[str],
+    cell: int = CELL,
+) -> DataFrame:
+    """Distinct ``key`` columns of the a boxes for which some b box passes ``test``.
+
+    Both are spread over grid cells; the semi join stops at the first proof, so
+    no pairs are built however crowded a cell is. ``test`` gets both boxes and
+    sees the columns of b with prefix b_.
+    """
+    right = to_cells(b, cell).select(
+        *[F.col(n).alias(f"b_{n}") for n in [*b.columns, "cx", "cy"]]
+    )
+    box_a, box_b = G.corners(), tuple(F.col(f"b_{n}") for n in G.BOX_COLUMNS)
+    same = [F.col(n) == F.col(f"b_{n}") for n in (*FRAME_KEYS, "cx", "cy")]
+    on = reduce(Column.__and__, same) & G.touches(box_a, box_b) & test(box_a, box_b)
+    return to_cells(a, cell).join(right, on, "left_semi").select(*key).distinct()
+
+
+def _touching(a: DataFrame, b: DataFrame, min_iou: float) -> DataFrame:
+    def test(box_a: G.Box, box_b: G.Box) -> Column:
+        return G.iou(box_a, box_b) >= min_iou if min_iou > 0 else F.lit(True)
+
+    boxes = b.select(*FRAME_KEYS, *G.BOX_COLUMNS)
+    return hit_boxes(_slim(a), boxes, test, [*FRAME_KEYS, "ord"])
+
+
 def region_semi(a: DataFrame, b: DataFrame, min_iou: float = 0.0) -> DataFrame:
     """Boxes of a that touch some box of b."""
-    hit = overlap_join(_slim(a), _slim(b), min_iou).select(
-        *FRAME_KEYS, F.col("a_ord").alias("ord")
-    )
-    return a.join(hit, [*FRAME_KEYS, "ord"], "left_semi")
+    return a.join(_touching(a, b, min_iou), [*FRAME_KEYS, "ord"], "left_semi")
 
 
 def region_anti(a: DataFrame, b: DataFrame, min_iou: float = 0.0) -> DataFrame:
     """Boxes of a that touch no box of b."""
-    hit = overlap_join(_slim(a), _slim(b), min_iou).select(
-        *FRAME_KEYS, F.col("a_ord").alias("ord")
-    )
-    return a.join(hit, [*FRAME_KEYS, "ord"], "left_anti")
+    return a.join(_touching(a, b, min_iou), [*FRAME_KEYS, "ord"], "left_anti")
 
 
 def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataFrame:
@@ -365,15 +390,18 @@ def suppress_duplicates(df: DataFrame, threshold: float, corrected: bool = False
     the one listed first.
     """
     slim = df.select(*FRAME_KEYS, "ord", "identity", *G.BOX_COLUMNS)
-    pairs = overlap_join(slim, slim, threshold).filter(F.col("a_ord") != F.col("b_ord"))
-    ida, idb = F.col("a_identity"), F.col("b_identity")
-    neither = F.lit(True) if not corrected else F.col("b_ord") < F.col("a_ord")
-    a_loses = (
-        F.when(ida.isNull() & idb.isNull(), neither)
-        .when(ida.isNull(), F.lit(True))
-        .when(idb.isNull(), F.lit(False))
-        .when(ida == idb, neither)
-        .otherwise(idb < ida)
+    mine, theirs = F.col("identity"), F.col("b_identity")
+    neither = F.lit(True) if not corrected else F.col("b_ord") < F.col("ord")
+    loses = (
+        F.when(mine.isNull() & theirs.isNull(), neither)
+        .when(mine.isNull(), F.lit(True))
+        .when(theirs.isNull(), F.lit(False))
+        .when(mine == theirs, neither)
+        .otherwise(theirs < mine)
     )
-    losers = pairs.filter(a_loses).select(*FRAME_KEYS, F.col("a_ord").alias("ord"))
+
+    def test(box_a: G.Box, box_b: G.Box) -> Column:
+        return (F.col("ord") != F.col("b_ord")) & loses & (G.iou(box_a, box_b) >= threshold)
+
+    losers = hit_boxes(slim, slim, test, [*FRAME_KEYS, "ord"])
     return df.join(losers, [*FRAME_KEYS, "ord"], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
 from trackframe.operators import matching as M
+from trackframe.session import cut
 
 SPINE_STEP = 4096
 COUNTS = ["true_positive", "false_negative", "false_positive"]
@@ -36,18 +37,41 @@ def frame_count_value(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.max("frame"), F.lit(0)).alias("frame_count"))
 
 
-def common_frames(calc: DataFrame, gt: DataFrame) -> DataFrame:
+def box_counts(calc: DataFrame, gt: DataFrame) -> DataFrame:
+    """Boxes of both sides per (video, frame), as nc and ng; reads key columns only."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return (
+        calc.select(*M.FRAME_KEYS, one.alias("nc"), none.alias("ng"))
+        .unionByName(gt.select(*M.FRAME_KEYS, none.alias("nc"), one.alias("ng")))
+        .groupBy(*M.FRAME_KEYS)
+        .agg(F.sum("nc").alias("nc"), F.sum("ng").alias("ng"))
+    )
+
+
+def common_frames(counts: DataFrame) -> DataFrame:
     """Per video the smaller of both last frames; only videos with both sides."""
-    zero = F.lit(0)
+    last = [F.max(F.when(F.col(n) > 0, F.col("frame"))) for n in ("nc", "ng")]
     return (
-        calc.select("video", F.col("frame").alias("fa"), zero.alias("fb"))
-        .unionByName(gt.select("video", zero.alias("fa"), F.col("frame").alias("fb")))
-        .groupBy("video")
-        .agg(F.least(F.max("fa"), F.max("fb")).alias("last_frame"))
+        counts.groupBy("video")
+        .agg(last[0].alias("fa"), last[1].alias("fb"))
+        .filter(F.col("fa").isNotNull() & F.col("fb").isNotNull())
+        .select("video", F.least("fa", "fb").alias("last_frame"))
         .filter(F.col("last_frame") >= 1)
     )
 
 
+def crowded_of(counts: DataFrame, limit: int) -> DataFrame | None:
+    """Frames of :func:`box_counts` with more possible pairs than ``limit``, or None."""
+    rows = counts.filter(F.col("nc") * F.col("ng") > limit).select(*M.FRAME_KEYS)
+    return None if rows.isEmpty() else rows
+
+
+def up_to_last(df: DataFrame, last: DataFrame) -> DataFrame:
+    """Rows of frames 1..last_frame of their video."""
+    inside = (F.col("frame") >= 1) & (F.col("frame") <= F.col("last_frame"))
+    return df.join(last, "video").filter(inside).drop("last_frame")
+
+
 def _pairs(calc: DataFrame, gt: DataFrame, threshold: float, legacy: bool) -> DataFrame:
     def side(df: DataFrame) -> DataFrame:
         names = [*M.FRAME_KEYS, "ord", *G.BOX_COLUMNS]
@@ -76,11 +100,13 @@ def matched_counts(
     threshold: float = 0.0,
     legacy_null_ids: bool = False,
     fold_pairs: int = M.FOLD_PAIRS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Per frame with any pair: boxes matched in the detection and in the truth pass.
 
     The two passes are independent. The first walks detections and tests the
     size of the truth box, the second walks truth and tests the detection.
+    ``counts`` are the box counts, where they are known already.
     """
     pairs = _pairs(calc, gt, threshold, legacy_null_ids).withColumns(
         {
@@ -104,7 +130,7 @@ def matched_counts(
             F.count(F.when(F.col("side") == 2, 1)).alias("gt_matched"),
         )
 
-    crowded = M.crowded_frames(calc, gt, fold_pairs)
+    crowded = crowded_of(box_counts(calc, gt) if counts is None else counts, fold_pairs)
     small = pairs if crowded is None else pairs.join(crowded, M.FRAME_KEYS, "left_anti")
     lose = -F.col("iou")
     forward = F.struct(
@@ -115,7 +141,7 @@ def matched_counts(
         F.col("b_ord").alias("o0"), lose.alias("o1"), F.col("a_ord").alias("o2"),
         F.col("b_ord").cast("long").alias("l"), F.col("a_mark").alias("r"),
     )
-    counts = small.groupBy(*M.FRAME_KEYS).agg(
+    folded = small.groupBy(*M.FRAME_KEYS).agg(
         F.size(
             M.greedy_fold(F.collect_list(F.when(F.col("first"), forward)))
         ).cast("long").alias("calc_matched"),
@@ -124,7 +150,7 @@ def matched_counts(
         ).cast("long").alias("gt_matched"),
     )
     if crowded is None:
-        return counts
+        return folded
 
     large = pairs.join(crowded, M.FRAME_KEYS, "left_semi")
 
@@ -140,24 +166,24 @@ def matched_counts(
             (F.col(name) if name == "gt_matched" else zero).alias("gt_matched"),
         )
 
-    return counts.unionByName(
+    return folded.unionByName(
         rounds("first", "a_ord", "b_mark", "b_ord", "calc_matched")
     ).unionByName(rounds("second", "b_ord", "a_mark", "a_ord", "gt_matched"))
 
 
-def _summed(calc: DataFrame, gt: DataFrame, matched: DataFrame, spine: DataFrame | None) -> DataFrame:
+def _summed(counts: DataFrame, matched: DataFrame, spine: DataFrame | None) -> DataFrame:
     """Box counts, matches and the frame spine in one grouping on (video, frame)."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    zero = F.lit(0)
 
     def rows(df: DataFrame, tp: Column, fn: Column, fp: Column) -> DataFrame:
         return df.select(
             *M.FRAME_KEYS, *[c.cast("long").alias(n) for c, n in zip((tp, fn, fp), COUNTS)]
         )
 
-    hits = rows(
-        matched, F.col("calc_matched"), -F.col("gt_matched"), -F.col("calc_matched")
+    found, missed = F.col("calc_matched"), F.col("gt_matched")
+    total = rows(counts, zero, F.col("ng"), F.col("nc")).unionByName(
+        rows(matched, found, -missed, -found)
     )
-    total = rows(calc, zero, zero, one).unionByName(rows(gt, zero, one, zero)).unionByName(hits)
     if spine is not None:
         total = total.unionByName(rows(spine, zero, zero, zero))
     return total.groupBy(*M.FRAME_KEYS).agg(*[F.sum(name).alias(name) for name in COUNTS])
@@ -166,20 +192,20 @@ def _summed(calc: DataFrame, gt: DataFrame, matched: DataFrame, spine: DataFrame
 def frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
     """video, frame, true_positive, false_negative, false_positive for 1..last common frame.
 
-    Options are those of :func:`matched_counts`. Frames without boxes show as zeros.
+    Options are those of :func:`matched_counts`. Frames without boxes show as
+    zeros. Box counts are materialized: one row per frame answers which frames
+    are crowded, where videos end, and what was not matched.
     """
-    last = common_frames(calc, gt)
-    total = _summed(calc, gt, matched_counts(calc, gt, **options), frame_spine(last))
-    return (
-        total.join(last, "video")
-        .filter((F.col("frame") >= 1) & (F.col("frame") <= F.col("last_frame")))
-        .drop("last_frame")
-    )
+    counts = cut(box_counts(calc, gt))
+    last = common_frames(counts)
+    matched = matched_counts(calc, gt, counts=counts, **options)
+    return up_to_last(_summed(counts, matched, frame_spine(last)), last)
 
 
 def present_frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
     """The same counts for frames that hold a box of either side."""
-    return _summed(calc, gt, matched_counts(calc, gt, **options), None)
+    counts = cut(box_counts(calc, gt))
+    return _summed(counts, matched_counts(calc, gt, counts=counts, **options), None)
 
 
 def detection_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -137,13 +137,11 @@ def filter_probability(
 
 def claimed(particles: DataFrame, detections: DataFrame) -> DataFrame:
     """Detections that some filter accounts for."""
-    hit = particle_overlaps(particles, detections).select("video", "frame", "ord")
-    return detections.join(hit, ["video", "frame", "ord"], "left_semi")
+    return M.region_semi(detections, particles)
 
 
 def unclaimed(particles: DataFrame, detections: DataFrame) -> DataFrame:
-    hit = particle_overlaps(particles, detections).select("video", "frame", "ord")
-    return detections.join(hit, ["video", "frame", "ord"], "left_anti")
+    return M.region_anti(detections, particles)
 
 
 # Whole tracks -----------------------------------------------------------------

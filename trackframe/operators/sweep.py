@@ -13,6 +13,7 @@ from trackframe.functions import geometry as G
 from trackframe.operators import matching as M
 from trackframe.operators import metrics as E
 from trackframe.operators.running import row_numbers
+from trackframe.session import cut
 
 # The shipped parameter declaration, in its own order.
 DECLARATION = {
@@ -186,7 +187,8 @@ def threshold_sweep(
             for d in designs
         ]
     )
-    if M.crowded_frames(calc, gt, fold_pairs) is not None:
+    counts = cut(E.box_counts(calc, gt))
+    if E.crowded_of(counts, fold_pairs) is not None:
         return reduce(
             DataFrame.unionByName,
             [
@@ -232,38 +234,27 @@ def threshold_sweep(
         )
         return F.size(M.greedy_fold(kept)).cast("long")
 
-    last = E.common_frames(calc, gt)
-
-    def inside(df: DataFrame) -> DataFrame:
-        return df.join(last, "video").filter(
-            (F.col("frame") >= 1) & (F.col("frame") <= F.col("last_frame"))
-        )
-
+    last = E.common_frames(counts)
     hits = (
-        inside(tried.withColumns({"tp": matched("fwd"), "found": matched("bwd")}))
+        E.up_to_last(tried.withColumns({"tp": matched("fwd"), "found": matched("bwd")}), last)
         .groupBy("video", F.col("d.idx").alias("idx"))
         .agg(F.sum("tp").alias("tp"), F.sum("found").alias("found"))
     )
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     boxes = (
-        inside(
-            calc.select(*M.FRAME_KEYS, one.alias("nc"), none.alias("ng")).unionByName(
-                gt.select(*M.FRAME_KEYS, none.alias("nc"), one.alias("ng"))
-            )
-        )
+        E.up_to_last(counts, last)
         .groupBy("video")
         .agg(F.sum("nc").alias("nc"), F.sum("ng").alias("ng"))
         .withColumn("idx", F.explode(F.transform(table, lambda d: d["idx"])))
     )
     tp = F.coalesce("tp", F.lit(0))
-    counts = boxes.join(hits, ["video", "idx"], "left").select(
+    sums = boxes.join(hits, ["video", "idx"], "left").select(
         "video",
         "idx",
         tp.alias("true_positive"),
         (F.col("ng") - F.coalesce("found", F.lit(0))).alias("false_negative"),
         (F.col("nc") - tp).alias("false_positive"),
     )
-    return E.detection_scores(counts, ["video", "idx"])
+    return E.detection_scores(sums, ["video", "idx"])
 
 
 def sweep(

@@ -235,25 +235,33 @@ def sort_regions(df: DataFrame) -> DataFrame:
     return df.orderBy("video", "frame", "x1", "ord")
 
 
-def regions_fingerprint(df: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
+def regions_fingerprint(df: DataFrame, chunk: int = FRAME_CHUNK, strip: int = 256) -> DataFrame:
     """MD5 per video over its boxes in frame, x1 order.
 
-    The boxes of a frame give one digest, frame digests of a block give one, and
-    block digests in order give the video's, so no task sees a whole video.
+    Equal boxes of a frame are counted first. Boxes of an upright strip give one
+    digest, strips of a frame one, frames of a block one, and blocks in order
+    give the video's, so no task sees a whole video or a whole crowded frame.
     """
-    text = F.concat_ws(",", *[F.col(n).cast("string") for n in BOX_COLUMNS])
-    boxes = F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2", text.alias("t"))))
-
-    def joined(items: Column, field: str) -> Column:
-        return F.md5(F.array_join(F.transform(items, lambda e: e[field]), ";"))
-
-    frames = df.groupBy("video", "frame").agg(joined(boxes, "t").alias("d"))
-    blocks = (
-        frames.groupBy("video", by_frames(size=chunk).alias("block"))
-        .agg(joined(F.sort_array(F.collect_list(F.struct("frame", "d"))), "d").alias("d"))
+    counted = df.groupBy("video", "frame", *BOX_COLUMNS).agg(F.count("*").alias("n"))
+
+    def joined(*order: str) -> Column:
+        """Digest of the last column's texts in the order of the columns."""
+        items = F.sort_array(F.collect_list(F.struct(*order)))
+        texts = F.transform(items, lambda e: e[order[-1]].cast("string"))
+        return F.md5(F.array_join(texts, ";")).alias("d")
+
+    text = F.concat_ws(",", *[F.col(n).cast("string") for n in [*BOX_COLUMNS, "n"]])
+    strips = (
+        counted.withColumn("t", text)
+        .groupBy("video", "frame", F.floor(F.col("x1") / strip).alias("strip"))
+        .agg(joined(*BOX_COLUMNS, "t"))
+    )
+    frames = strips.groupBy("video", "frame").agg(joined("strip", "d"))
+    blocks = frames.groupBy("video", by_frames(size=chunk).alias("block")).agg(
+        joined("frame", "d")
     )
-    return blocks.groupBy("video").agg(
-        joined(F.sort_array(F.collect_list(F.struct("block", "d"))), "d").alias("fingerprint")
+    return blocks.groupBy("video").agg(joined("block", "d")).withColumnRenamed(
+        "d", "fingerprint"
     )
 
 
