@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.operators.running import running
+from trackframe.session import cut
 
 GRID = 16
 AREA_BLOCK = 1024
@@ -72,7 +73,8 @@ def not_dominated(
     if len(objectives) not in (2, 3):
         raise ValueError("dominance needs two or three objectives")
     third = F.col(objectives[2]) if len(objectives) == 3 else F.lit(0.0)
-    rivals = _gridded(dominators.select(*keys, *objectives), objectives)
+    alike = points is dominators
+    rivals = _gridded(points if alike else dominators.select(*keys, *objectives), objectives)
     shadow = _shadow(rivals, keys, third, F.max)
 
     def grid_survivors(df: DataFrame) -> DataFrame:
@@ -86,9 +88,10 @@ def not_dominated(
             .drop("s")
         )
 
-    left = grid_survivors(_gridded(points, objectives))
     # A rival beaten from a greater cell cannot be the only one to beat a point.
-    band = grid_survivors(rivals)
+    # What the grid leaves is little and read several times.
+    band = cut(grid_survivors(rivals))
+    left = band if alike else grid_survivors(_gridded(points, objectives))
     beats = _above("r", "p", objectives, every=strict)
     if not strict:
         beats = _at_least("r", "p", objectives) & beats
@@ -271,7 +274,8 @@ def front_lifetimes(scores: DataFrame, keys: list[str] | None = None) -> DataFra
     objectives = ["recall", "prec"]
     rows = _gridded(scores.select(*keys, "idx", "sample_ord", *objectives), objectives)
     shadow = _shadow(rows, keys, F.col("sample_ord"), F.min)
-    alive = (
+    # few samples pass the grid, and they are compared with each other below
+    alive = cut(
         rows.join(shadow, [*keys, "g0", "g1"], "left")
         .filter(F.col("s").isNull() | (F.col("s") > F.col("sample_ord")))
         .withColumnRenamed("s", "death")
@@ -313,7 +317,7 @@ def front_history(scores: DataFrame, keys: list[str] | None = None) -> DataFrame
     and the last known area is carried to the samples between.
     """
     keys = keys or KEYS
-    lives = front_lifetimes(scores, keys)
+    lives = cut(front_lifetimes(scores, keys))
     events = lives.select(
         *keys,
         F.col("sample_ord").alias("event"),
