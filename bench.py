@@ -35,7 +35,7 @@ HEADLINE = [
     "match_descriptors",
     "dead_reckoning",
     "particle_filter",
-    "track_pipeline",
+    "confirmed_tracks",
 ]
 
 

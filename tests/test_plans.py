@@ -20,7 +20,7 @@ PYTHON = {
     "explode_pixels", "pca_channels", "estimate_transform", "connected_components",
     "connected_components_rounds", "component_boxes", "component_centroids", "detect_blobs", "motion_detect",
     "motion_detect_still", "dead_reckoning", "particle_filter", "particle_filter_persist",
-    "particle_history", "track_pipeline", "motion_only_in_order",
+    "particle_history", "confirmed_tracks", "motion_only_in_order",
 }
 # Queries that write or stream before they give a frame; their plan is a scan.
 EAGER = {n for n in QUERIES if n.startswith(("stream_", "write_", "read_"))}

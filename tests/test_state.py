@@ -150,7 +150,7 @@ def test_filters_follow_and_end(spark):
     assert set(by_id[1]) == {3}  # dropped as soon as nothing overlaps
     kept = PA.particle_filter(regions, matrices, persist=True)
     assert {f for f, i in rows_of(kept, "frame", "identity") if i == 1} == {3, 4, 6, 7, 8}
-    confirmed = PA.track_pipeline(regions, matrices)
+    confirmed = PA.confirmed_tracks(regions, matrices)
     assert {i for (i,) in rows_of(confirmed, "identity")} == {0}
 
 

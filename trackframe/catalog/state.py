@@ -168,6 +168,6 @@ def particle_history(spark, sf):
     return PA.particle_history(X.calc_regions(spark, sf), X.transformations(spark, sf))
 
 
-@query("track_pipeline")
-def track_pipeline(spark, sf):
-    return PA.track_pipeline(X.calc_regions(spark, sf), X.transformations(spark, sf))
+@query("confirmed_tracks")
+def confirmed_tracks(spark, sf):
+    return PA.confirmed_tracks(X.calc_regions(spark, sf), X.transformations(spark, sf))

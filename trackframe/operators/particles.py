@@ -420,7 +420,7 @@ def particle_history(
     return _filtered(regions, transforms, n, persist, seed, corrected, keys or ["video"], True)
 
 
-def track_pipeline(regions: DataFrame, transforms: DataFrame, **options) -> DataFrame:
+def confirmed_tracks(regions: DataFrame, transforms: DataFrame, **options) -> DataFrame:
     """Particle tracks, kept where observed at least twice."""
     # Both passes of the selection read the tracks; the filter runs once.
     return observation_hysteresis(cut(particle_filter(regions, transforms, **options)))
