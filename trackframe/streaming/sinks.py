@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -80,11 +81,16 @@ def stream_sweep(
         asked = batch.select("idx").distinct().limit(SW.MAX_REQUEST + 1).collect()
         wanted = sorted(row["idx"] for row in asked)
         spark = batch.sparkSession
-        if batch_id > 0:
-            earlier = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-            wanted = SW.pending_designs(earlier, wanted)
         if len(wanted) > SW.MAX_REQUEST:
             raise ValueError(f"request at most {SW.MAX_REQUEST} designs in a batch")
+        if batch_id > 0:
+            try:
+                stored = spark.read.parquet(path)
+            except AnalysisException:  # no batch had a request so far
+                stored = None
+            if stored is not None:
+                earlier = stored.filter(F.col("batch") < batch_id)
+                wanted = SW.pending_designs(earlier, wanted)
         if wanted:
             write_batch(score(wanted), batch_id, path)
 
