@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from trackframe.llm.bpe import decode_column, encode_documents
-from trackframe.llm.common import read
+from trackframe.llm.common import in_fold, read
 from trackframe.llm.exact import exact_duplicates
+from trackframe.llm.langid import language_model, predict_language
+from trackframe.llm.quality import quality_model, score_quality
 from trackframe.llm.registry import ORACLES, QUERIES, query
+from trackframe.llm.toxicity import score_toxicity, toxicity_model
 from trackframe.llm.urls import url_verdicts
 
 #: Which hosts and paths are allowed or blocked.
@@ -21,6 +24,29 @@ RULES = {
 }
 
 
+def _classified(scored, folds, fold, least):
+    return scored.select(
+        "doc_id",
+        in_fold("doc_id", folds, fold).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op1_quality_mil")
+def quality_mil(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model(docs, read(spark, sf_dir, "labels"))
+    return _classified(score_quality(docs, model), 3, 1, 0.5)
+
+
+@query("op3_toxicity_subwords")
+def toxicity_subwords(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_model(docs, read(spark, sf_dir, "labels"))
+    return _classified(score_toxicity(docs, model), 3, 1, 0.7)
+
+
 @query(
     "op7_url_templates",
     r"""
@@ -110,6 +136,15 @@ def exact_dedup(spark, sf_dir):
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op9_language_cnn")
+def language_cnn(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    judged = predict_language(docs, language_model(docs))
+    return judged.select(
+        "doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query("op10_byte_bpe")
 def byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
