@@ -9,6 +9,7 @@ from trackframe.llm.bpe import decode_column, encode_documents
 from trackframe.llm.common import in_fold, read
 from trackframe.llm.exact import exact_duplicates
 from trackframe.llm.langid import language_model, predict_language
+from trackframe.llm.packing import pack_documents
 from trackframe.llm.quality import quality_model, score_quality
 from trackframe.llm.registry import ORACLES, QUERIES, query
 from trackframe.llm.toxicity import score_toxicity, toxicity_model
@@ -47,6 +48,12 @@ def toxicity_subwords(spark, sf_dir):
     return _classified(score_toxicity(docs, model), 3, 1, 0.7)
 
 
+@query("op4_mixture_packing")
+def mixture_packing(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(read(spark, sf_dir, "documents"), path)
+
+
 @query(
     "op7_url_templates",
     r"""
