@@ -9,6 +9,7 @@ from trackframe.llm.bpe import decode_column, encode_documents
 from trackframe.llm.common import in_fold, read
 from trackframe.llm.exact import exact_duplicates
 from trackframe.llm.langid import language_model, predict_language
+from trackframe.llm.lm import score_texts
 from trackframe.llm.packing import pack_documents
 from trackframe.llm.quality import quality_model, score_quality
 from trackframe.llm.registry import ORACLES, QUERIES, query
@@ -54,6 +55,15 @@ def mixture_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), path)
 
 
+@query("op6_backoff_automaton")
+def backoff_automaton(spark, sf_dir):
+    held_out = in_fold("doc_id", 7, 2)
+    return score_texts(read(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", (~F.col("train")).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 @query(
     "op7_url_templates",
     r"""
