@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from trackframe.llm.ann import nearest_neighbours
 from trackframe.llm.bpe import decode_column, encode_documents
 from trackframe.llm.common import in_fold, read
 from trackframe.llm.exact import exact_duplicates
@@ -55,6 +56,11 @@ def mixture_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), path)
 
 
+@query("op5_kmeans_tree")
+def kmeans_tree(spark, sf_dir):
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op6_backoff_automaton")
 def backoff_automaton(spark, sf_dir):
     held_out = in_fold("doc_id", 7, 2)
