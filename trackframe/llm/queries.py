@@ -11,6 +11,7 @@ from trackframe.llm.common import in_fold, read
 from trackframe.llm.exact import exact_duplicates
 from trackframe.llm.langid import language_model, predict_language
 from trackframe.llm.lm import score_texts
+from trackframe.llm.neardup import near_duplicates
 from trackframe.llm.packing import pack_documents
 from trackframe.llm.quality import quality_model, score_quality
 from trackframe.llm.registry import ORACLES, QUERIES, query
@@ -43,6 +44,11 @@ def quality_mil(spark, sf_dir):
     return _classified(score_quality(docs, model), 3, 1, 0.5)
 
 
+@query("op2_bag_minhash")
+def bag_minhash(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("key")
+
+
 @query("op3_toxicity_subwords")
 def toxicity_subwords(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
