@@ -9,8 +9,10 @@ are encoded on their own. Decoding concatenates the bytes of the ids.
 from __future__ import annotations
 
 import base64
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,16 @@ def ranks_at(path: str, pattern: str) -> Ranks:
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """Token ids of texts that are short enough for one chunk."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         ranks = ranks_at(path, pattern)
-        return texts.map(ranks.encode)
+        flat, ends = array("i"), array("i", [0])
+        for text in texts:
+            flat.extend(ranks.encode(text.as_py()))
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(
+            pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32))
+        )
 
     return encode(text)
 
@@ -79,10 +87,15 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
 def decode_column(ids: Column, path: str, pattern: str) -> Column:
     """The bytes that ids stand for."""
 
-    @F.pandas_udf("binary")
-    def decode(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def decode(lists: pa.Array) -> pa.Array:
         ranks = ranks_at(path, pattern)
-        return lists.map(ranks.decode)
+        flat = lists.values.to_numpy()
+        ends = lists.offsets.to_numpy()
+        return pa.array(
+            [ranks.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)],
+            pa.binary(),
+        )
 
     return decode(ids)
 
@@ -102,15 +115,18 @@ def _encode_long(
 ) -> DataFrame:
     """Documents of several chunks, (doc_id, ids); each chunk is a row of its own."""
 
-    @F.pandas_udf("head array<int>, tail array<int>")
-    def borders(windows: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("head array<int>, tail array<int>")
+    def borders(windows: pa.Array) -> pa.Array:
         ranks = ranks_at(path, pattern)
         heads, tails = [], []
         for window in windows:
-            at = ranks.boundaries(window)
+            at = ranks.boundaries(window.as_py())
             heads.append([x for x in at if x <= overlap])
             tails.append([x - size for x in at if x >= size])
-        return pd.DataFrame({"head": heads, "tail": tails})
+        lists = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.array(heads, lists), pa.array(tails, lists)], ["head", "tail"]
+        )
 
     unique = (
         docs.groupBy("doc_id", "text")
