@@ -24,7 +24,7 @@ SHORTEST, LONGEST = 3, 5
 LONGEST_WORD = 60
 WINDOW = 3
 DIM = 8
-HIDDEN = 0.4
+HIDDEN = 0.25
 CACHE_ENTRIES = 400_000
 BATCH = 500
 WORD = re.compile(r"\S+")
@@ -107,7 +107,7 @@ class SubwordModel:
         return out
 
 
-def fit(pairs: list[tuple[str, int]], epochs: int = 50, seed: int = 7) -> SubwordModel | None:
+def fit(pairs: list[tuple[str, int]], epochs: int = 40, seed: int = 7) -> SubwordModel | None:
     """Train on (text, label) pairs; None without both labels."""
     if len({label for _, label in pairs}) < 2:
         return None
