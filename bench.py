@@ -13,6 +13,7 @@ from trackframe.session import local_session
 HEADLINE = [
     "iou_pairs",
     "greedy_match",
+    "greedy_match_crowded",
     "detection_scores",
     "size_sweep",
     "greedy_assign",

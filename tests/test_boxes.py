@@ -73,8 +73,7 @@ def random_boxes(rng, frames, per_frame, first=0):
     return rows
 
 
-@pytest.mark.parametrize("fold_pairs", [M.FOLD_PAIRS, 0, 100])
-def test_greedy_match_equals_plain_walk(spark, fold_pairs):
+def test_greedy_match_equals_plain_walk(spark):
     rng = random.Random(5)
     a, b = random_boxes(rng, 4, 12), random_boxes(rng, 3, 9, 50)
     want = []
@@ -84,12 +83,11 @@ def test_greedy_match_equals_plain_walk(spark, fold_pairs):
         ]
         pairs = [p for p in pairs if p[2] > 0.05]
         want += [(f, *p) for p in greedy(pairs, lambda p: (p[0], -p[2], p[1]))]
-    got = M.greedy_match(boxes(spark, a), boxes(spark, b), 0.05, fold_pairs=fold_pairs, cell=16)
+    got = M.greedy_match(boxes(spark, a), boxes(spark, b), 0.05, cell=16)
     assert rows_of(got, "frame", "a_ord", "b_ord") == sorted(want)
 
 
-@pytest.mark.parametrize("fold_pairs", [M.FOLD_PAIRS, 0])
-def test_greedy_assign_equals_plain_walk(spark, fold_pairs):
+def test_greedy_assign_equals_plain_walk(spark):
     rng = random.Random(9)
     rows = random_boxes(rng, 5, 10)
     table = boxes(spark, rows)
@@ -104,7 +102,7 @@ def test_greedy_assign_equals_plain_walk(spark, fold_pairs):
                 if d <= 12:
                     pairs.append((c[1], p[1], d))
         want += [(f, *p) for p in greedy(pairs, lambda p: (p[2], p[1], p[0]))]
-    got = M.assign_previous(table, table, 12, fold_pairs)
+    got = M.assign_previous(table, table, 12)
     assert rows_of(got, "frame", "curr", "prev") == sorted(want)
 
 
@@ -142,8 +140,6 @@ def test_missing_identities_block_each_other_only_in_legacy(spark):
     assert plain["false_negative"] == 0
     assert legacy["false_negative"] == 1
     assert legacy["true_positive"] == plain["true_positive"] == 2
-    rounds = E.frame_counts(calc, truth, legacy_null_ids=True, fold_pairs=0).first()
-    assert rounds == legacy
 
 
 def test_size_limits_test_truth_then_detection(spark):

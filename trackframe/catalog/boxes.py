@@ -280,9 +280,41 @@ def greedy_match(spark, sf):
     select video, frame, w as a_ord, pick as b_ord from g_walk where pick is not null""",
 )
 def greedy_match_rounds(spark, sf):
-    """The same matching with every frame treated as crowded."""
+    """The same matching with small grid cells."""
     calc, gt = _both(spark, sf)
-    return M.greedy_match(calc, gt, fold_pairs=0).drop("iou")
+    return M.greedy_match(calc, gt, cell=16).drop("iou")
+
+
+CROWD = 20
+
+
+def crowded(df: DataFrame) -> DataFrame:
+    """CROWD frames as one: hundreds of boxes in a frame, with long chains of overlaps."""
+    return df.withColumn("ord", F.col("frame") * 1000 + F.col("ord")).withColumn(
+        "frame", F.floor((F.col("frame") - 1) / CROWD) + 1
+    )
+
+
+def _crowd_sql(name: str) -> str:
+    return f"""{name}_crowd as (select video, (frame - 1) // {CROWD} + 1 as frame,
+      frame * 1000 + ord as ord, identity, x1, y1, x2, y2 from {name})"""
+
+
+CROWD_SQL = f"""{_crowd_sql('calc_regions')}, {_crowd_sql('gt_regions')}, """ + IOU_SQL.replace(
+    "from calc_regions a join gt_regions b", "from calc_regions_crowd a join gt_regions_crowd b"
+)
+
+
+@query(
+    "greedy_match_crowded",
+    BOXES,
+    f"""with recursive {CROWD_SQL}, {greedy_sql('g', 'a_ord', 'b_ord', 'iou >= 0.3e0')}
+    select video, frame, w as a_ord, pick as b_ord from g_walk where pick is not null""",
+)
+def greedy_match_crowded(spark, sf):
+    """Frames of several hundred boxes on either side."""
+    calc, gt = (crowded(df) for df in _both(spark, sf))
+    return M.greedy_match(calc, gt, 0.3).drop("iou")
 
 
 @query(

@@ -96,7 +96,7 @@ def read_gt(spark, sf):
 @query(
     "write_baseline",
     "gt_regions",
-    "select frame, x1, y1, x2, y2 from gt_regions",
+    "select cast(video as varchar) as video, frame, x1, y1, x2, y2 from gt_regions",
 )
 def write_baseline(spark, sf):
     path = scratch_path(spark, "baseline")
@@ -323,12 +323,13 @@ def dataset_from_path(spark, sf):
 @query(
     "frame_name",
     "",
-    """select l_orderkey, l_linenumber, lpad(cast(l_orderkey % 1000000 as varchar), 6, '0') as name,
-      cast(l_orderkey % 1000000 as int) as frame from lineitem""",
+    """select l_orderkey, l_linenumber, printf('%06d', l_orderkey * 1000 + l_linenumber) as name,
+      l_orderkey * 1000 + l_linenumber as frame from lineitem""",
 )
 def frame_name(spark, sf):
     rows = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    named = rows.withColumn("name", SC.frame_name(F.col("l_orderkey") % 1_000_000))
+    number = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
+    named = rows.withColumn("name", SC.frame_name(number))
     image = F.concat(F.lit("img/"), "name", F.lit(".jpg"))
     return named.withColumn("frame", SC.frame_from_name(image))
 

@@ -155,8 +155,9 @@ def _targets(spark):
     "meets_targets",
     "scores",
     MAXIMA_SQL + f""", {TARGETS_SQL} select m.video, max_recall_recall as max_recall, max_prec_prec as max_prec,
-      max_f1_f1 as max_f1, max_recall_recall >= tr as recall_ok, max_prec_prec >= tp as prec_ok,
-      max_f1_f1 >= tf as f1_ok from maxima m join targets t on m.video = t.video""",
+      max_f1_f1 as max_f1, coalesce(max_recall_recall >= tr, false) as recall_ok,
+      coalesce(max_prec_prec >= tp, false) as prec_ok, coalesce(max_f1_f1 >= tf, false) as f1_ok
+    from maxima m left join targets t on m.video = t.video""",
 )
 def meets_targets(spark, sf):
     maxima = P.front_maxima(P.pareto_front(X.scores(spark, sf)))
@@ -284,8 +285,31 @@ SPACE_SQL = ", ".join(
 )
 
 
-@query("design_space", "scores", f"select video, idx, {SPACE_SQL} from scores")
+@query(
+    "design_space",
+    "scores",
+    f"""select idx, {SPACE_SQL}, coalesce(n, 0) as samples
+    from (select unnest(range(0, 19200)) as idx) every
+    left join (select idx, count(*) as n from scores group by idx) s using (idx)""",
+)
 def design_space(spark, sf):
+    """The whole space, with how often each design was sampled."""
+    samples = X.scores(spark, sf).groupBy("idx").agg(F.count("*").alias("n"))
+    return (
+        D.design_space(spark).join(samples, "idx", "left")
+        .withColumn("samples", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+    )
+
+
+@query(
+    "with_parameters",
+    "scores",
+    "select video, idx, " + ", ".join(
+        f"case when idx between 0 and 19199 then {_pick(d, v)} end as {n}"
+        for d, v, n in zip(SPACE_DIGITS, SPACE_VALUES, SPACE_NAMES)
+    ) + " from scores",
+)
+def with_parameters(spark, sf):
     return D.with_parameters(X.scores(spark, sf).select("video", "idx"))
 
 
@@ -294,7 +318,9 @@ def design_space(spark, sf):
     "scores",
     """with every as (select video, unnest(range(0, 19200)) as idx from (select distinct video from scores) v)
     select e.video, e.idx, coalesce(recall, 0) as recall, coalesce(prec, 0) as prec, coalesce(f1, 0) as f1,
-      s.idx is not null as sampled from every e left join scores s on s.video = e.video and s.idx = e.idx""",
+      s.idx is not null as sampled, true as known
+    from every e left join scores s on s.video = e.video and s.idx = e.idx
+    union all select video, idx, recall, prec, f1, true, false from scores where idx >= 19200 or idx < 0""",
 )
 def design_join(spark, sf):
     return D.design_join(X.scores(spark, sf))
@@ -316,6 +342,8 @@ SWEEP = [
     {"idx": 1, "threshold": 0.3},
     {"idx": 2, "threshold": 0.5, "max_width": 16},
     {"idx": 3, "max_width": 18, "max_height": 13},
+    {"idx": 4, "max_width": 0},
+    {"idx": 5, "threshold": 0.3},
 ]
 
 
@@ -323,7 +351,7 @@ def sweep_sql(designs: list[dict]) -> str:
     parts, names = [], []
     for d in designs:
         i, t = d["idx"], d.get("threshold") or 0
-        w, h = d.get("max_width") or 10**6, d.get("max_height") or 10**6
+        w, h = (10**6 if d.get(n) is None else d[n] for n in ("max_width", "max_height"))
         parts += [
             greedy_sql(f"g{i}", "a_ord", "b_ord", f"iou >= {t}e0 and bw <= {w} and bh <= {h}"),
             greedy_sql(f"h{i}", "b_ord", "a_ord", f"iou >= {t}e0 and aw <= {w} and ah <= {h}"),
@@ -337,8 +365,10 @@ hits as (select idx, video, sum(tp) as tp, sum(found) as found from ({' union al
   join lastf using (video) where frame <= m group by 1, 2),
 c as (select video, sum(n) as n from nc join lastf using (video) where frame <= m group by 1),
 g as (select video, sum(n) as n from ng join lastf using (video) where frame <= m group by 1),
-d as (select h.idx, h.video, tp, g.n - found as fn, c.n - tp as fp from hits h
-  join c on c.video = h.video join g on g.video = h.video)
+i as (select unnest([{', '.join(str(d['idx']) for d in designs)}]) as idx),
+d as (select i.idx, c.video, coalesce(tp, 0) as tp, g.n - coalesce(found, 0) as fn, c.n - coalesce(tp, 0) as fp
+  from c join g on c.video = g.video cross join i
+  left join hits h on h.video = c.video and h.idx = i.idx)
 select video, idx, cast(tp as bigint) as true_positive, cast(fn as bigint) as false_negative,
   cast(fp as bigint) as false_positive, round(r, 9) as recall, round(p, 9) as precision,
   round(case when p + r = 0 then 0 else 2*p*r/(p+r) end, 9) as f1

@@ -141,7 +141,10 @@ def stream_sweep(spark, sf):
     calc, gt = X.calc_from_base(base), X.gt_from_base(base)
 
     def score(wanted):
-        return D.threshold_sweep(calc, gt, [_request_design(i) for i in wanted])
+        designs = wanted.select(
+            "idx", (F.col("idx") / 10).alias("threshold"), (F.col("idx") + 16).alias("max_width")
+        )
+        return D.threshold_sweep(calc, gt, designs)
 
     SS.stream_sweep(requests, path, scratch_path(spark, "sweep-state"), score).awaitTermination()
     scored = spark.read.parquet(path).drop("batch")

@@ -133,9 +133,9 @@ def greedy_assign(spark, sf):
 
 @query("greedy_assign_rounds", "calc_regions", ASSIGN_SQL)
 def greedy_assign_rounds(spark, sf):
-    """The same assignment with every frame treated as crowded."""
+    """The same assignment from pairs that are there already."""
     calc = X.calc_regions(spark, sf)
-    return M.greedy_assign(M.nearest_previous(calc, calc, 20), fold_pairs=0).drop("dist")
+    return M.greedy_assign(M.nearest_previous(calc, calc, 20)).drop("dist")
 
 
 @query(

@@ -46,11 +46,12 @@ def pct(part: Column, whole: Column) -> Column:
 
 
 def frame_name(frame: Column) -> Column:
-    return F.lpad(frame.cast("string"), 6, "0")
+    """Six digits, more where the number has more."""
+    return F.format_string("%06d", frame.cast("long"))
 
 
 def frame_from_name(name: Column) -> Column:
-    return F.regexp_extract(name, r"(\d+)(?:\.[A-Za-z0-9]+)?$", 1).cast("int")
+    return F.regexp_extract(name, r"(\d+)(?:\.[A-Za-z0-9]+)?$", 1).cast("long")
 
 
 def dataset_from_path(path: Column, marker: str = "Datasets") -> Column:

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
-from trackframe.session import cut
+from trackframe.session import spread
 
 FRAME_KEYS = ["video", "frame"]
 CELL = 64
 
-# Up to this many (left, right) combinations a frame is folded as one array;
-# beyond it the matching runs in distributed rounds.
-FOLD_PAIRS = 65_536
-
 
 def _cells(low: Column, high: Column, cell: int) -> Column:
     """Grid positions covered by the half-open pixel range low..high."""
@@ -73,48 +69,26 @@ def overlap_join(
     return pairs.filter(F.col("iou") >= min_iou) if min_iou > 0 else pairs
 
 
-def crowded_frames(
-    a: DataFrame, b: DataFrame, limit: int = FOLD_PAIRS, keys: list[str] | None = None
-) -> DataFrame | None:
-    """Frames whose box counts allow more than ``limit`` pairs, or None.
-
-    Reads only the key columns of both sides.
-    """
-    keys = keys or FRAME_KEYS
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    counts = (
-        a.select(*keys, one.alias("na"), none.alias("nb"))
-        .unionByName(b.select(*keys, none.alias("na"), one.alias("nb")))
-        .groupBy(*keys)
-        .agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-        .filter(F.col("na") * F.col("nb") > limit)
-        .select(*keys)
-    )
-    return None if counts.isEmpty() else counts
-
-
-def crowded_groups(
-    edges: DataFrame, limit: int = FOLD_PAIRS, keys: list[str] | None = None
-) -> DataFrame | None:
-    """Groups with more than ``limit`` edges, or None."""
-    keys = keys or FRAME_KEYS
-    counts = edges.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    return None if counts.isEmpty() else counts
-
+def take_free(batches: Iterator, keys: list[str]) -> Iterator:
+    """Keep each edge of sorted Arrow batches whose two ends l and r are both free.
 
-def greedy_fold(edges: Column) -> Column:
-    """Walk edges in sorted order and take each whose two ends are both free.
-
-    ``edges`` is an array of structs that sort in walking order and end with
-    fields l and r. Gives the array of taken edges.
+    All that is held are the used ends of the current key.
     """
-    taken = F.filter(edges, lambda e: F.lit(False))
-
-    def step(done: Column, e: Column) -> Column:
-        clash = F.exists(done, lambda d: (d["l"] == e["l"]) | (d["r"] == e["r"]))
-        return F.when(clash, done).otherwise(F.array_append(done, e))
-
-    return F.aggregate(F.array_sort(edges), taken, step)
+    import pyarrow as pa
+
+    current, left, right = None, set(), set()
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in (*keys, "l", "r")]
+        kept = []
+        for *key, a, b in zip(*columns, strict=True):
+            if key != current:
+                current, left, right = key, set(), set()
+            free = a not in left and b not in right
+            if free:
+                left.add(a)
+                right.add(b)
+            kept.append(free)
+        yield batch.filter(pa.array(kept, pa.bool_()))
 
 
 def greedy_edges(
@@ -123,13 +97,12 @@ def greedy_edges(
     right: str,
     order: list[Column],
     keys: list[str] | None = None,
-    crowded: DataFrame | None = None,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Greedy one-to-one matching: take edges in ``order`` while both ends are free.
 
-    Frames listed in ``crowded`` are solved in rounds over the whole cluster,
-    all others by a fold per frame. Output: keys, left, right, carry columns.
+    Edges are dealt by key, sorted inside their partition and streamed through one
+    walk, whatever the size of a frame. Output: keys, left, right, carry columns.
     """
     keys = keys or FRAME_KEYS
     carry = carry or []
@@ -141,19 +114,11 @@ def greedy_edges(
         F.col(right).alias("r"),
         *[F.col(name).alias(f"c_{name}") for name in carry],
     )
-    item = [*names, "l", "r", *[f"c_{name}" for name in carry]]
-    small = ranked if crowded is None else ranked.join(crowded, keys, "left_anti")
-    folded = (
-        small.groupBy(*keys)
-        .agg(greedy_fold(F.collect_list(F.struct(*item))).alias("m"))
-        .select(*keys, F.inline("m"))
+    placed = spread(ranked, *keys).sortWithinPartitions(*keys, *names, "l", "r")
+    kept = placed.drop(*names).mapInArrow(
+        lambda batches: take_free(batches, keys), placed.drop(*names).schema
     )
-    taken = [folded]
-    if crowded is not None:
-        large = ranked.join(crowded, keys, "left_semi")
-        taken += _greedy_rounds(large, keys, item)
-    result = reduce(DataFrame.unionByName, [t.select(*keys, *item) for t in taken])
-    return result.select(
+    return kept.select(
         *keys,
         F.col("l").alias(left),
         F.col("r").alias(right),
@@ -161,40 +126,12 @@ def greedy_edges(
     )
 
 
-def _greedy_rounds(edges: DataFrame, keys: list[str], item: list[str]) -> list[DataFrame]:
-    """The same matching without a group per frame.
-
-    An edge that comes first at both of its ends is taken by the sequential
-    walk too, so all such edges are taken at once and their ends removed. The
-    first edge left always qualifies, so every round makes progress.
-    """
-    rank = F.struct(*item)
-    remaining = cut(edges.withColumn("rank", rank))
-    taken: list[DataFrame] = []
-    while not remaining.isEmpty():
-        first_l = remaining.groupBy(*keys, "l").agg(F.min("rank").alias("rank"))
-        first_r = remaining.groupBy(*keys, "r").agg(F.min("rank").alias("rank"))
-        chosen = cut(
-            first_l.select(*keys, "rank")
-            .join(first_r.select(*keys, "rank"), [*keys, "rank"])
-            .select(*keys, "rank.*")
-        )
-        taken.append(chosen)
-        remaining = cut(
-            remaining.join(chosen.select(*keys, "l"), [*keys, "l"], "left_anti").join(
-                chosen.select(*keys, "r"), [*keys, "r"], "left_anti"
-            )
-        )
-    return taken
-
-
 def greedy_match(
     a: DataFrame,
     b: DataFrame,
     min_iou: float = 0.0,
     max_width: int | None = None,
     max_height: int | None = None,
-    fold_pairs: int = FOLD_PAIRS,
     cell: int = CELL,
 ) -> DataFrame:
     """Per frame, in order of ``ord``, each a takes its best free b.
@@ -209,7 +146,6 @@ def greedy_match(
         "a_ord",
         "b_ord",
         [F.col("a_ord"), -F.col("iou"), F.col("b_ord")],
-        crowded=crowded_frames(a, b, fold_pairs),
         carry=["iou"],
     )
 
@@ -332,34 +268,15 @@ def nearest_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataF
     )
 
 
-def greedy_assign(
-    pairs: DataFrame, fold_pairs: int = FOLD_PAIRS, crowded: DataFrame | None | str = "count"
-) -> DataFrame:
-    """Smallest distances first, each previous and each current box used once.
-
-    ``crowded`` lists frames to solve in rounds; by default the pairs are
-    counted to find them.
-    """
-    return greedy_edges(
-        pairs,
-        "curr",
-        "prev",
-        [F.col("dist"), F.col("prev"), F.col("curr")],
-        crowded=crowded_groups(pairs, fold_pairs) if isinstance(crowded, str) else crowded,
-        carry=["dist"],
-    )
+def greedy_assign(pairs: DataFrame) -> DataFrame:
+    """Smallest distances first, each previous and each current box used once."""
+    order = [F.col("dist"), F.col("prev"), F.col("curr")]
+    return greedy_edges(pairs, "curr", "prev", order, carry=["dist"])
 
 
-def assign_previous(
-    curr: DataFrame, prev: DataFrame, max_dist: float, fold_pairs: int = FOLD_PAIRS
-) -> DataFrame:
-    """Nearest boxes of the frame before, one to one.
-
-    Crowded frames are found from box counts, so the pairs are built once.
-    """
-    shifted = prev.select("video", (F.col("frame") + 1).alias("frame"))
-    crowded = crowded_frames(curr.select(*FRAME_KEYS), shifted, fold_pairs)
-    return greedy_assign(nearest_previous(curr, prev, max_dist), fold_pairs, crowded)
+def assign_previous(curr: DataFrame, prev: DataFrame, max_dist: float) -> DataFrame:
+    """Nearest boxes of the frame before, one to one."""
+    return greedy_assign(nearest_previous(curr, prev, max_dist))
 
 
 def carry_forward(prev: DataFrame, curr: DataFrame) -> DataFrame:

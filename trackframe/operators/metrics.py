@@ -60,12 +60,6 @@ def common_frames(counts: DataFrame) -> DataFrame:
     )
 
 
-def crowded_of(counts: DataFrame, limit: int) -> DataFrame | None:
-    """Frames of :func:`box_counts` with more possible pairs than ``limit``, or None."""
-    rows = counts.filter(F.col("nc") * F.col("ng") > limit).select(*M.FRAME_KEYS)
-    return None if rows.isEmpty() else rows
-
-
 def up_to_last(df: DataFrame, last: DataFrame) -> DataFrame:
     """Rows of frames 1..last_frame of their video."""
     inside = (F.col("frame") >= 1) & (F.col("frame") <= F.col("last_frame"))
@@ -99,14 +93,11 @@ def matched_counts(
     allow_overlap: bool = False,
     threshold: float = 0.0,
     legacy_null_ids: bool = False,
-    fold_pairs: int = M.FOLD_PAIRS,
-    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Per frame with any pair: boxes matched in the detection and in the truth pass.
 
     The two passes are independent. The first walks detections and tests the
     size of the truth box, the second walks truth and tests the detection.
-    ``counts`` are the box counts, where they are known already.
     """
     pairs = _pairs(calc, gt, threshold, legacy_null_ids).withColumns(
         {
@@ -115,60 +106,46 @@ def matched_counts(
         }
     )
     if allow_overlap:
-        ends = pairs.select(
-            *M.FRAME_KEYS,
-            F.explode(
-                F.array(
-                    F.struct(F.lit(1).alias("side"), F.col("a_ord").alias("o"), F.col("first").alias("ok")),
-                    F.struct(F.lit(2).alias("side"), F.col("b_ord").alias("o"), F.col("second").alias("ok")),
-                )
-            ).alias("end"),
-        ).filter("end.ok")
-        marked = ends.groupBy(*M.FRAME_KEYS, "end.side", "end.o").agg(F.lit(1).alias("one"))
-        return marked.groupBy(*M.FRAME_KEYS).agg(
-            F.count(F.when(F.col("side") == 1, 1)).alias("calc_matched"),
-            F.count(F.when(F.col("side") == 2, 1)).alias("gt_matched"),
-        )
-
-    crowded = crowded_of(box_counts(calc, gt) if counts is None else counts, fold_pairs)
-    small = pairs if crowded is None else pairs.join(crowded, M.FRAME_KEYS, "left_anti")
-    lose = -F.col("iou")
-    forward = F.struct(
-        F.col("a_ord").alias("o0"), lose.alias("o1"), F.col("b_ord").alias("o2"),
-        F.col("a_ord").cast("long").alias("l"), F.col("b_mark").alias("r"),
+        marked = both_ends(pairs).groupBy(*M.FRAME_KEYS, "side", "walker").agg(F.lit(1))
+    else:
+        marked = walk_both(both_ends(pairs))
+    return marked.groupBy(*M.FRAME_KEYS).agg(
+        F.count(F.when(F.col("side") == 1, 1)).alias("calc_matched"),
+        F.count(F.when(F.col("side") == 2, 1)).alias("gt_matched"),
     )
-    backward = F.struct(
-        F.col("b_ord").alias("o0"), lose.alias("o1"), F.col("a_ord").alias("o2"),
-        F.col("b_ord").cast("long").alias("l"), F.col("a_mark").alias("r"),
-    )
-    folded = small.groupBy(*M.FRAME_KEYS).agg(
-        F.size(
-            M.greedy_fold(F.collect_list(F.when(F.col("first"), forward)))
-        ).cast("long").alias("calc_matched"),
-        F.size(
-            M.greedy_fold(F.collect_list(F.when(F.col("second"), backward)))
-        ).cast("long").alias("gt_matched"),
-    )
-    if crowded is None:
-        return folded
 
-    large = pairs.join(crowded, M.FRAME_KEYS, "left_semi")
 
-    def rounds(flag: str, walker: str, mark: str, other: str, name: str) -> DataFrame:
-        edges = large.filter(flag).withColumns({"lose": lose, "other": F.col(other)})
-        matched = M.greedy_edges(
-            edges, walker, mark, [F.col(walker), F.col("lose"), F.col("other")], crowded=crowded
-        )
-        zero = F.lit(0).cast("long")
-        return matched.groupBy(*M.FRAME_KEYS).agg(F.count("*").alias(name)).select(
-            *M.FRAME_KEYS,
-            (F.col(name) if name == "calc_matched" else zero).alias("calc_matched"),
-            (F.col(name) if name == "gt_matched" else zero).alias("gt_matched"),
+def both_ends(pairs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Each pair once per pass: side, walker, mark of the other end, its order, lose.
+
+    ``pairs`` has a_ord, b_ord, a_mark, b_mark, iou, and first and second, whether
+    the pair counts in the pass over a and in that over b.
+    """
+
+    def end(side: int, walker: str, other: str, ok: str) -> Column:
+        return F.struct(
+            F.lit(side).alias("side"),
+            F.col(f"{walker}_ord").cast("long").alias("walker"),
+            F.col(f"{other}_mark").alias("mark"),
+            F.col(f"{other}_ord").cast("long").alias("other"),
+            F.col(ok).alias("ok"),
         )
 
-    return folded.unionByName(
-        rounds("first", "a_ord", "b_mark", "b_ord", "calc_matched")
-    ).unionByName(rounds("second", "b_ord", "a_mark", "a_ord", "gt_matched"))
+    ends = F.explode(F.array(end(1, "a", "b", "first"), end(2, "b", "a", "second")))
+    kept = [*M.FRAME_KEYS, *(carry or [])]
+    return (
+        pairs.select(*kept, (-F.col("iou")).alias("lose"), ends.alias("end"))
+        .filter("end.ok")
+        .select(*kept, "lose", "end.*")
+    )
+
+
+def walk_both(ends: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Both passes of every frame: each walker in order takes its best free end."""
+    order = [F.col("walker"), F.col("lose"), F.col("other")]
+    return M.greedy_edges(
+        ends, "walker", "mark", order, keys=[*M.FRAME_KEYS, *(carry or []), "side"]
+    )
 
 
 def _summed(counts: DataFrame, matched: DataFrame, spine: DataFrame | None) -> DataFrame:
@@ -193,19 +170,19 @@ def frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
     """video, frame, true_positive, false_negative, false_positive for 1..last common frame.
 
     Options are those of :func:`matched_counts`. Frames without boxes show as
-    zeros. Box counts are materialized: one row per frame answers which frames
-    are crowded, where videos end, and what was not matched.
+    zeros. Box counts are materialized: one row per frame answers where videos end
+    and what was not matched.
     """
     counts = cut(box_counts(calc, gt))
     last = common_frames(counts)
-    matched = matched_counts(calc, gt, counts=counts, **options)
+    matched = matched_counts(calc, gt, **options)
     return up_to_last(_summed(counts, matched, frame_spine(last)), last)
 
 
 def present_frame_counts(calc: DataFrame, gt: DataFrame, **options) -> DataFrame:
     """The same counts for frames that hold a box of either side."""
     counts = cut(box_counts(calc, gt))
-    return _summed(counts, matched_counts(calc, gt, counts=counts, **options), None)
+    return _summed(counts, matched_counts(calc, gt, **options), None)
 
 
 def detection_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -234,12 +234,17 @@ def front_maxima(front: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def meets_targets(maxima: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per video, whether the best recall, precision and F1 reach their targets."""
+    """Per video, whether the best recall, precision and F1 reach their targets.
+
+    A video without targets reaches none.
+    """
     checks = {
-        f"{name}_ok": F.col(f"max_{name}_{name}") >= F.col(f"target_{name}")
+        f"{name}_ok": F.coalesce(
+            F.col(f"max_{name}_{name}") >= F.col(f"target_{name}"), F.lit(False)
+        )
         for name in OBJECTIVES
     }
-    return maxima.join(targets, "video").select(
+    return maxima.join(targets, "video", "left").select(
         "video",
         *[F.col(f"max_{n}_{n}").alias(f"max_{n}") for n in OBJECTIVES],
         *[check.alias(name) for name, check in checks.items()],

@@ -51,8 +51,8 @@ VIDEO_TARGETS = {
 }
 AVERAGE_TARGETS = {"recall": 0.84, "prec": 0.85, "f1": 0.84}
 
-# A sweep request is a driver-side list; longer ones go in several requests.
-MAX_REQUEST = 10_000
+# Settings tried together on a pair of boxes, and copies of the settings table.
+SETTINGS_BLOCK, SETTINGS_SALT = 64, 32
 
 
 def parameter_values(spec: dict) -> list[float]:
@@ -93,8 +93,10 @@ def decode_design(
 ) -> dict[str, Column]:
     """Parameter columns of a design number, by arithmetic instead of a product join.
 
-    The second parameter runs fastest, then the first, then the third and on.
+    The second parameter runs fastest, then the first, then the third and on. A number
+    outside the space has no parameters.
     """
+    inside = (idx >= 0) & (idx < space_size(declaration))
     parameters = list(learned_parameters(declaration).items())
     fastest_first = [1, 0, *range(2, len(parameters))] if len(parameters) > 1 else [0]
     columns: dict[str, Column] = {}
@@ -102,7 +104,8 @@ def decode_design(
     for position in fastest_first:
         key, values = parameters[position]
         table = F.array(*[F.lit(v) for v in values])
-        columns[key] = F.element_at(table, (rest % len(values)).cast("int") + 1)
+        value = F.element_at(table, (rest % len(values)).cast("int") + 1)
+        columns[key] = F.when(inside, value)
         rest = F.floor(rest / len(values))
     return {short_name(key): columns[key] for key, _ in parameters}
 
@@ -121,7 +124,10 @@ def with_parameters(scores: DataFrame, declaration: dict | None = None) -> DataF
 def design_join(
     scores: DataFrame, declaration: dict | None = None, keys: list[str] | None = None
 ) -> DataFrame:
-    """Every design of every dataset with its score, 0 where it was not sampled."""
+    """Every design of every dataset with its score, 0 where it was not sampled.
+
+    Scores of numbers outside the space are kept, with ``known`` false.
+    """
     keys = keys or ["video"]
     size = space_size(declaration)
     every = (
@@ -131,8 +137,10 @@ def design_join(
     )
     values = ["recall", "prec", "f1"]
     filled = {n: F.coalesce(n, F.lit(0.0)) for n in values}
-    joined = every.join(scores.select(*keys, "idx", *values), [*keys, "idx"], "left")
-    return joined.withColumn("sampled", F.col("f1").isNotNull()).withColumns(filled)
+    joined = every.join(scores.select(*keys, "idx", *values), [*keys, "idx"], "full")
+    known = (F.col("idx") >= 0) & (F.col("idx") < size)
+    sampled = F.col("f1").isNotNull()
+    return joined.withColumns({"sampled": sampled, "known": known}).withColumns(filled)
 
 
 def sampling_budget(
@@ -150,104 +158,115 @@ def sampling_budget(
     return counted.filter(F.col("rn") <= F.floor(F.col("n") * share)).drop("rn", "n", "h")
 
 
-def pending_designs(spark_scores: DataFrame, requested: list[int]) -> list[int]:
-    """Requested design numbers without a stored score, in request order."""
-    if len(requested) > MAX_REQUEST:
-        raise ValueError(f"request at most {MAX_REQUEST} designs at a time")
+def pending_designs(scores: DataFrame, requested: list[int] | DataFrame) -> list[int] | DataFrame:
+    """Requested design numbers without a stored score.
+
+    A table of numbers (idx) gives such a table, a list gives a list in request order.
+    """
+    if isinstance(requested, DataFrame):
+        return requested.select("idx").distinct().join(scores.select("idx"), "idx", "left_anti")
     wanted = list(dict.fromkeys(int(i) for i in requested))
     if not wanted:
         return []
-    stored = spark_scores.filter(F.col("idx").isin(wanted)).select("idx").distinct()
-    known = {row["idx"] for row in stored.collect()}
-    return [i for i in wanted if i not in known]
+    table = scores.sparkSession.createDataFrame([(i,) for i in wanted], "idx long")
+    open_ = {row["idx"] for row in pending_designs(scores, table).collect()}
+    return [i for i in wanted if i in open_]
+
+
+def design_table(spark: SparkSession, designs: list[dict] | DataFrame) -> DataFrame:
+    """idx, threshold, max_width, max_height; a null size is no limit, 0 is one."""
+    types = {"idx": "long", "threshold": "double", "max_width": "long", "max_height": "long"}
+    if not isinstance(designs, DataFrame):
+        rows = [
+            (int(d["idx"]), float(d.get("threshold") or 0.0), d.get("max_width"), d.get("max_height"))
+            for d in designs
+        ]
+        designs = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in types.items()))
+    columns = [
+        (F.col(n) if n in designs.columns else F.lit(None)).cast(t).alias(n) for n, t in types.items()
+    ]
+    return designs.select(*columns).fillna({"threshold": 0.0})
+
+
+def _with_each(rows: DataFrame, table: DataFrame, salt: list[str]) -> DataFrame:
+    """Every row with every row of a small table, joined on blocks of that table.
+
+    Both the blocks and a salt of ``rows`` are join keys, so that few blocks do not
+    mean few tasks.
+    """
+    names = table.columns
+    blocks = -(-table.count() // SETTINGS_BLOCK) or 1
+    block = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
+    packed = (
+        table.groupBy(block.alias("__block"))
+        .agg(F.collect_list(F.struct(*names)).alias("__each"))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SETTINGS_SALT - 1))))
+    )
+    dealt = rows.withColumn(
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ).withColumn("__salt", F.pmod(F.xxhash64(*salt), F.lit(SETTINGS_SALT)).cast("int"))
+    return (
+        dealt.join(packed, ["__block", "__salt"])
+        .withColumn("__one", F.explode("__each"))
+        .select(*rows.columns, "__one.*")
+    )
 
 
 def threshold_sweep(
-    calc: DataFrame,
-    gt: DataFrame,
-    designs: list[dict],
-    fold_pairs: int = M.FOLD_PAIRS,
+    calc: DataFrame, gt: DataFrame, designs: list[dict] | DataFrame
 ) -> DataFrame:
     """Scores per (video, idx) for designs with threshold, max_width, max_height.
 
-    The overlap join and the shuffle to frames happen once for all designs; each
-    frame's pairs are then matched under every design where they already are.
+    ``designs`` may be a table of any length. The overlap join happens once for all;
+    designs of the same setting are matched once, and all settings go through one
+    walk keyed by (video, frame, setting).
     """
-    if len(designs) > MAX_REQUEST:
-        raise ValueError(f"sweep at most {MAX_REQUEST} designs at a time")
-    big = 2**31 - 1
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(int(d["idx"])).cast("long").alias("idx"),
-                F.lit(float(d.get("threshold") or 0.0)).alias("threshold"),
-                F.lit(d.get("max_width") or big).cast("long").alias("max_width"),
-                F.lit(d.get("max_height") or big).cast("long").alias("max_height"),
-            )
-            for d in designs
-        ]
+    table = cut(design_table(calc.sparkSession, designs))
+    limits = ["threshold", "max_width", "max_height"]
+    settings = cut(
+        table.select(*limits).distinct().withColumn("setting", F.monotonically_increasing_id())
     )
     counts = cut(E.box_counts(calc, gt))
-    if E.crowded_of(counts, fold_pairs) is not None:
-        return reduce(
-            DataFrame.unionByName,
-            [
-                E.detection_scores(
-                    E.frame_counts(
-                        calc,
-                        gt,
-                        max_width=d.get("max_width"),
-                        max_height=d.get("max_height"),
-                        threshold=d.get("threshold") or 0.0,
-                        fold_pairs=fold_pairs,
-                    ),
-                    ["video"],
-                ).withColumn("idx", F.lit(int(d["idx"])).cast("long"))
-                for d in designs
-            ],
-        )
     slim = [*M.FRAME_KEYS, "ord", *G.BOX_COLUMNS]
-    pairs = M.overlap_join(calc.select(*slim), gt.select(*slim))
-
-    def edge(walker: str, other: str) -> Column:
-        return F.struct(
-            F.col(f"{walker}_ord").alias("o0"),
-            (-F.col("iou")).alias("o1"),
-            F.col(f"{other}_ord").alias("o2"),
-            F.col(f"{walker}_ord").alias("l"),
-            F.col(f"{other}_ord").alias("r"),
-            (F.col(f"{other}_x2") - F.col(f"{other}_x1")).cast("long").alias("w"),
-            (F.col(f"{other}_y2") - F.col(f"{other}_y1")).cast("long").alias("h"),
-        )
-
-    frames = pairs.groupBy(*M.FRAME_KEYS).agg(
-        F.collect_list(edge("a", "b")).alias("fwd"), F.collect_list(edge("b", "a")).alias("bwd")
+    size = lambda side, a, b: F.col(f"{side}_{b}") - F.col(f"{side}_{a}")
+    pairs = M.overlap_join(calc.select(*slim), gt.select(*slim)).select(
+        *M.FRAME_KEYS, "iou", "a_ord", "b_ord",
+        F.col("a_ord").cast("long").alias("a_mark"), F.col("b_ord").cast("long").alias("b_mark"),
+        *[
+            value.alias(f"{side}_{name}")
+            for side in ("a", "b")
+            for name, value in (("w", size(side, "x1", "x2")), ("h", size(side, "y1", "y2")))
+        ],
     )
-    tried = frames.withColumn("d", F.explode(table))
-
-    def matched(name: str) -> Column:
-        kept = F.filter(
-            F.col(name),
-            lambda e: (-e["o1"] >= F.col("d.threshold"))
-            & (e["w"] <= F.col("d.max_width"))
-            & (e["h"] <= F.col("d.max_height")),
-        )
-        return F.size(M.greedy_fold(kept)).cast("long")
+    tried = _with_each(pairs, settings, [*M.FRAME_KEYS, "a_ord"]).filter(
+        F.col("iou") >= F.col("threshold")
+    )
+
+    def fits(side: str) -> Column:
+        free = lambda limit, value: F.col(limit).isNull() | (F.col(value) <= F.col(limit))
+        return free("max_width", f"{side}_w") & free("max_height", f"{side}_h")
 
+    ends = E.both_ends(tried.withColumns({"first": fits("b"), "second": fits("a")}), ["setting"])
     last = E.common_frames(counts)
     hits = (
-        E.up_to_last(tried.withColumns({"tp": matched("fwd"), "found": matched("bwd")}), last)
-        .groupBy("video", F.col("d.idx").alias("idx"))
-        .agg(F.sum("tp").alias("tp"), F.sum("found").alias("found"))
+        E.up_to_last(E.walk_both(ends, ["setting"]), last)
+        .groupBy("video", "setting")
+        .agg(
+            F.count(F.when(F.col("side") == 1, 1)).alias("tp"),
+            F.count(F.when(F.col("side") == 2, 1)).alias("found"),
+        )
     )
-    boxes = (
+    same = [table[n].eqNullSafe(settings[n]) for n in limits]
+    numbered = table.join(settings, same).select("idx", "setting")
+    boxes = _with_each(
         E.up_to_last(counts, last)
         .groupBy("video")
-        .agg(F.sum("nc").alias("nc"), F.sum("ng").alias("ng"))
-        .withColumn("idx", F.explode(F.transform(table, lambda d: d["idx"])))
+        .agg(F.sum("nc").alias("nc"), F.sum("ng").alias("ng")),
+        numbered,
+        ["video"],
     )
     tp = F.coalesce("tp", F.lit(0))
-    sums = boxes.join(hits, ["video", "idx"], "left").select(
+    sums = boxes.join(hits, ["video", "setting"], "left").select(
         "video",
         "idx",
         tp.alias("true_positive"),

@@ -152,9 +152,12 @@ def videos_of(frames: DataFrame, fps: float = IMAGE_FPS) -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Golden boxes x1, y1, x2, y2, frame, blanks after commas allowed."""
+    """Golden boxes x1, y1, x2, y2, frame, blanks after commas allowed.
+
+    Folders ``video=...`` give the video; a single file has none.
+    """
     return (
-        spark.read.schema(schema.BASELINE_FILE)
+        spark.read.schema(f"{schema.BASELINE_FILE}, video string")
         .option("ignoreLeadingWhiteSpace", True)
         .option("mode", "FAILFAST")
         .csv(path)

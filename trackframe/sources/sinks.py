@@ -87,9 +87,11 @@ def write_metrics(counts: DataFrame, path: str) -> None:
 
 
 def write_baseline(regions: DataFrame, path: str) -> None:
-    """Golden boxes x1, y1, x2, y2, frame."""
-    rows = regions.select(*BOX_COLUMNS, "frame")
-    rows.sort("frame", *BOX_COLUMNS).write.mode("overwrite").csv(path, header=False)
+    """Golden boxes x1, y1, x2, y2, frame; a folder of files per video."""
+    rows = regions.select(*BOX_COLUMNS, "frame", "video")
+    rows.sort("video", "frame", *BOX_COLUMNS).write.partitionBy("video").mode("overwrite").csv(
+        path, header=False
+    )
 
 
 def write_velocities(table: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trackframe.operators import metrics as E
 from trackframe.operators import sweep as SW
+from trackframe.session import cut
 
 
 def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
@@ -68,31 +69,26 @@ def stream_sweep(
     requests: DataFrame,
     path: str,
     checkpoint: str,
-    score: Callable[[list[int]], DataFrame],
+    score: Callable[[DataFrame], DataFrame],
 ) -> StreamingQuery:
     """Score requested design numbers once each.
 
-    ``requests`` has idx; ``score`` takes the numbers without a stored score and
-    gives rows with idx. A request that repeats, in this batch or from an
-    earlier one, is skipped.
+    ``requests`` has idx; ``score`` takes a table (idx) of the numbers without a
+    stored score and gives rows with idx. A request that repeats, in this batch or
+    from an earlier one, is skipped. The first batch replaces the whole table, even
+    if nothing was requested in it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        asked = batch.select("idx").distinct().limit(SW.MAX_REQUEST + 1).collect()
-        wanted = sorted(row["idx"] for row in asked)
-        spark = batch.sparkSession
-        if len(wanted) > SW.MAX_REQUEST:
-            raise ValueError(f"request at most {SW.MAX_REQUEST} designs in a batch")
+        wanted = batch.select("idx").filter("idx is not null").distinct()
         if batch_id > 0:
             try:
-                stored = spark.read.parquet(path)
+                stored = batch.sparkSession.read.parquet(path)
             except AnalysisException:  # no batch had a request so far
                 stored = None
             if stored is not None:
-                earlier = stored.filter(F.col("batch") < batch_id)
-                wanted = SW.pending_designs(earlier, wanted)
-        if wanted:
-            write_batch(score(wanted), batch_id, path)
+                wanted = SW.pending_designs(stored.filter(F.col("batch") < batch_id), wanted)
+        write_batch(score(cut(wanted)), batch_id, path)
 
     return (
         requests.writeStream.foreachBatch(write)
