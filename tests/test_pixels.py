@@ -94,12 +94,12 @@ def flood(lines):
     return set(parts)
 
 
-@pytest.mark.parametrize("group_runs", [C.GROUP_RUNS, 0])
-def test_components_against_flood(spark, group_runs):
+@pytest.mark.parametrize("band_rows", [C.BAND_ROWS, 1, 3])
+def test_components_against_flood(spark, band_rows):
     rng = random.Random(4)
     noisy = ["".join(rng.choice("#..") for _ in range(12)) for _ in range(10)]
     both = mask_table(spark, RING, 1).unionByName(mask_table(spark, noisy, 40))
-    labelled = C.connected_components(both, group_runs).collect()
+    labelled = C.connected_components(both, band_rows).collect()
     for frame, lines in ((1, RING), (40, noisy)):
         parts = {}
         for r in labelled:

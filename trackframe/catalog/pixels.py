@@ -444,8 +444,8 @@ def connected_components(spark, sf):
 
 @query("connected_components_rounds", "mask", f"with recursive {REACH} select * from lab")
 def connected_components_rounds(spark, sf):
-    """The same labels with every frame treated as crowded."""
-    return C.connected_components(X.mask(spark, sf), group_runs=0)
+    """The same labels from bands of two rows, merged at their borders."""
+    return C.connected_components(X.mask(spark, sf), band_rows=2)
 
 
 BOXES_SQL = """select video, frame, ly, lx, min(x) as x1, min(y) as y1, max(x)+1 as x2, max(y)+1 as y2

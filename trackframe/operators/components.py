@@ -14,10 +14,10 @@ from trackframe.session import cut, spread
 
 ROW = ["video", "frame", "y"]
 
-# Frames with more runs than this are labelled in distributed rounds; the others
-# are labelled in blocks of this many frames.
-GROUP_RUNS = 50_000
+# Runs are labelled in blocks of this many frames and image rows; labels that meet
+# at a border between two bands of rows are merged afterwards.
 FRAME_BLOCK = 32
+BAND_ROWS = 256
 
 
 def mask_runs(mask: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _types(df: DataFrame) -> str:
     return f"video {kind['video']}, frame {kind['frame']}"
 
 
-def _label_groups(runs: DataFrame, links: DataFrame) -> DataFrame:
+def _label_bands(runs: DataFrame, links: DataFrame, band_rows: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     y, x = F.col("y").cast("long"), F.col("xs").cast("long")
     nodes = runs.select(
@@ -157,25 +157,20 @@ def _label_groups(runs: DataFrame, links: DataFrame) -> DataFrame:
         F.col("b.xs").cast("long").alias("bx"),
     )
     out = f"{_types(runs)}, y bigint, xs bigint, ly bigint, lx bigint"
-    block = F.floor(F.col("frame") / FRAME_BLOCK)
-    rows = nodes.unionByName(edges).withColumn("block", block)
-    return spread(rows, "video", "block").groupBy("video", "block").applyInPandas(
-        _label_block, out
+    rows = nodes.unionByName(edges).withColumns(
+        {"block": F.floor(F.col("frame") / FRAME_BLOCK), "band": F.floor(F.col("ay") / band_rows)}
     )
+    keys = ["video", "block", "band"]
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(_label_block, out)
 
 
-def _label_rounds(runs: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels by star contraction: each round is joins and groupings on (frame, run).
+def _merge_labels(links: DataFrame) -> DataFrame:
+    """(frame, a, root): the least label that a label is linked to, by star contraction.
 
-    Every node's neighbours are re-hung on its smallest neighbour, first for the
+    ``links`` are pairs (a, b) of labels that meet at a border between bands, which are
+    few. Every node's neighbours are re-hung on its smallest neighbour, first for the
     larger ones, then for all, until nothing moves.
     """
-    key = F.struct(F.col("y").cast("long").alias("y"), F.col("xs").cast("long").alias("xs"))
-
-    def as_long(name: str) -> Column:
-        return F.struct(
-            F.col(f"{name}.y").cast("long").alias("y"), F.col(f"{name}.xs").cast("long").alias("xs")
-        ).alias(name)
 
     def both_ways(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(*FRAME, F.col("b").alias("a"), F.col("a").alias("b")))
@@ -204,35 +199,43 @@ def _label_rounds(runs: DataFrame, links: DataFrame) -> DataFrame:
     def signature(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64(*FRAME, "a", "b"))).first())
 
-    edges = cut(links.select(*FRAME, as_long("a"), as_long("b")))
+    edges = cut(links)
     before, now = None, signature(edges)
     while now != before:
         edges = cut(star(star(edges, True), False))
         before, now = now, signature(edges)
-    roots = edges.groupBy(*FRAME, "a").agg(F.min("b").alias("root"))
-    nodes = runs.select(*FRAME, key.alias("a"))
-    return nodes.join(roots, [*FRAME, "a"], "left").select(
-        *FRAME,
-        F.col("a.y").alias("y"),
-        F.col("a.xs").alias("xs"),
-        F.coalesce("root.y", "a.y").alias("ly"),
-        F.coalesce("root.xs", "a.xs").alias("lx"),
-    )
+    return edges.groupBy(*FRAME, "a").agg(F.min("b").alias("root"))
 
 
-def label_runs(runs: DataFrame, diagonal: bool = True, group_runs: int = GROUP_RUNS) -> DataFrame:
+def label_runs(runs: DataFrame, diagonal: bool = True, band_rows: int = BAND_ROWS) -> DataFrame:
     """Add (ly, lx), the start of the first run of each run's component."""
-    counts = runs.groupBy(*FRAME).count().filter(F.col("count") > group_runs).select(*FRAME)
     links = run_links(runs, diagonal)
-    if counts.isEmpty():
-        labels = _label_groups(runs, links)
-    else:
-        labels = _label_groups(
-            runs.join(counts, FRAME, "left_anti"), links.join(counts, FRAME, "left_anti")
-        ).unionByName(
-            _label_rounds(
-                runs.join(counts, FRAME, "left_semi"), links.join(counts, FRAME, "left_semi")
+    band = lambda y: F.floor(F.col(y) / band_rows)
+    same = band("a.y") == band("b.y")
+    labels = _label_bands(runs, links.filter(same), band_rows)
+    if not runs.filter(F.col("y") >= band_rows).isEmpty():  # else there is no border
+        labels = cut(labels)
+        label = F.struct(F.col("ly").alias("y"), F.col("lx").alias("xs"))
+
+        def end(name: str) -> DataFrame:
+            return labels.select(
+                *FRAME, F.col("y").alias(f"{name}_y"), F.col("xs").alias(f"{name}_x"),
+                label.alias(f"{name}_label"),
             )
+
+        crossing = links.filter(~same).select(
+            *FRAME, *[F.col(f"{n}.{f}").cast("long").alias(f"{n}_{t}")
+                      for n in ("a", "b") for f, t in (("y", "y"), ("xs", "x"))]
+        )
+        met = (
+            crossing.join(end("a"), [*FRAME, "a_y", "a_x"]).join(end("b"), [*FRAME, "b_y", "b_x"])
+            .select(*FRAME, F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+            .distinct()
+        )
+        roots = _merge_labels(met)
+        labels = labels.withColumn("a", label).join(roots, [*FRAME, "a"], "left").select(
+            *FRAME, "y", "xs",
+            F.coalesce("root.y", "ly").alias("ly"), F.coalesce("root.xs", "lx").alias("lx"),
         )
     return runs.withColumns(
         {"y": F.col("y").cast("long"), "xs": F.col("xs").cast("long")}
@@ -242,21 +245,21 @@ def label_runs(runs: DataFrame, diagonal: bool = True, group_runs: int = GROUP_R
 LABEL = ["video", "frame", "ly", "lx"]
 
 
-def component_runs(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
-    return label_runs(cut(mask_runs(mask)), True, group_runs)
+def component_runs(mask: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    return label_runs(cut(mask_runs(mask)), True, band_rows)
 
 
-def connected_components(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
+def connected_components(mask: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     """Set pixels with the label (ly, lx) of their 8-connected component."""
-    runs = component_runs(mask, group_runs)
+    runs = component_runs(mask, band_rows)
     return runs.select(
         *LABEL, "y", F.explode(F.sequence(F.col("xs"), F.col("xe") - 1)).alias("x")
     )
 
 
-def component_boxes(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
+def component_boxes(mask: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     """Bounding box per component, x2 and y2 exclusive."""
-    return _boxes(component_runs(mask, group_runs))
+    return _boxes(component_runs(mask, band_rows))
 
 
 def _boxes(runs: DataFrame) -> DataFrame:
@@ -268,9 +271,9 @@ def _boxes(runs: DataFrame) -> DataFrame:
     )
 
 
-def component_centroids(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFrame:
+def component_centroids(mask: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     """Mean pixel position per component, cut to whole pixels."""
-    runs = component_runs(mask, group_runs)
+    runs = component_runs(mask, band_rows)
     size = F.col("xe") - F.col("xs")
     # sum of xs .. xe-1
     total_x = (F.col("xs") + F.col("xe") - 1) * size / 2
@@ -290,16 +293,16 @@ def component_centroids(mask: DataFrame, group_runs: int = GROUP_RUNS) -> DataFr
     )
 
 
-def detect_blobs(mask: DataFrame, height: int, group_runs: int = GROUP_RUNS) -> DataFrame:
+def detect_blobs(mask: DataFrame, height: int, band_rows: int = BAND_ROWS) -> DataFrame:
     """Boxes of components and of holes; ``ord`` lists them top to bottom per frame.
 
     A hole is a 4-connected background part that does not reach the border; its
     box is that of the set pixels around it, one pixel larger on every side.
     """
     runs = cut(mask_runs(mask))
-    outer = _boxes(label_runs(runs, True, group_runs)).withColumn("hole", F.lit(False))
+    outer = _boxes(label_runs(runs, True, band_rows)).withColumn("hole", F.lit(False))
     inner = (
-        label_runs(cut(gap_runs(runs, height)), False, group_runs)
+        label_runs(cut(gap_runs(runs, height)), False, band_rows)
         .groupBy(*LABEL)
         .agg(
             (F.min("xs") - 1).alias("x1"),

@@ -372,7 +372,9 @@ def _filtered(
     corrected: bool,
     keys: list[str],
     want_history: bool,
+    want_tracks: bool = False,
 ) -> DataFrame:
+    """Tracks, history, or both in one pass; then a row has the columns of one kind."""
     columns = regions.select(*dict.fromkeys(["video", *keys, "frame", "ord", *BOX_COLUMNS]))
     ready = with_transform(columns, transforms)
 
@@ -380,10 +382,20 @@ def _filtered(
         tracks, history = filter_frame(
             state, frame, corners_of(rows), matrix_of(rows), n, persist, corrected, want_history
         )
+        if both:
+            return [(*key, *r, *no_history) for r in tracks] + [
+                (*key, *no_tracks, *r) for r in history
+            ]
         return [(*key, *r) for r in (history if want_history else tracks)]
 
+    both = want_history and want_tracks
+    no_tracks = (None,) * len(TRACK_OUTPUT.split(","))
+    no_history = (None,) * len(HISTORY_OUTPUT.split(","))
     fields = [f"{k} {ready.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*fields, HISTORY_OUTPUT if want_history else TRACK_OUTPUT])
+    output = HISTORY_OUTPUT if want_history else TRACK_OUTPUT
+    if both:
+        output = f"{_prefixed(TRACK_OUTPUT, 't_')}, {_prefixed(HISTORY_OUTPUT, 'h_')}"
+    schema = ", ".join([*fields, output])
     return fold_frames(ready, keys, lambda key: Filters(salt_of(seed, key)), step, schema)
 
 
@@ -420,7 +432,32 @@ def particle_history(
     return _filtered(regions, transforms, n, persist, seed, corrected, keys or ["video"], True)
 
 
+def _prefixed(ddl: str, prefix: str) -> str:
+    return ", ".join(f"{prefix}{part.strip()}" for part in ddl.split(","))
+
+
+def tracks_and_history(
+    regions: DataFrame,
+    transforms: DataFrame,
+    n: int = PARTICLES,
+    persist: bool = False,
+    seed: int = 0,
+    corrected: bool = False,
+    keys: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Tracks and particle history of one run of the filter, materialized once."""
+    keys = keys or ["video"]
+    rows = cut(_filtered(regions, transforms, n, persist, seed, corrected, keys, True, True))
+
+    def part(ddl: str, prefix: str) -> DataFrame:
+        names = [piece.strip().split(" ")[0] for piece in ddl.split(",")]
+        return rows.filter(F.col(f"{prefix}frame").isNotNull()).select(
+            *keys, *[F.col(f"{prefix}{name}").alias(name) for name in names]
+        )
+
+    return part(TRACK_OUTPUT, "t_"), part(HISTORY_OUTPUT, "h_")
+
+
 def confirmed_tracks(regions: DataFrame, transforms: DataFrame, **options) -> DataFrame:
     """Particle tracks, kept where observed at least twice."""
-    # Both passes of the selection read the tracks; the filter runs once.
-    return observation_hysteresis(cut(particle_filter(regions, transforms, **options)))
+    return observation_hysteresis(particle_filter(regions, transforms, **options))

@@ -144,7 +144,8 @@ def solve_homography(src, dst):
     zero = np.zeros_like(s)
     top = np.hstack([s, zero, -d[:, :1] * s])
     low = np.hstack([zero, s, -d[:, 1:2] * s])
-    _, values, vt = np.linalg.svd(np.vstack([top, low]))
+    # four points have a ninth direction of their own; more need no square factor
+    _, values, vt = np.linalg.svd(np.vstack([top, low]), full_matrices=len(src) == 4)
     if len(src) == 4 and values[-1] < 1e-9 * max(values[0], 1e-300):
         return None
     m = np.linalg.inv(nd) @ vt[-1].reshape(3, 3) @ ns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
@@ -68,11 +68,13 @@ def velocity_table(tracks: DataFrame, fps: float) -> DataFrame:
 
 def observation_hysteresis(tracks: DataFrame) -> DataFrame:
     """Observed boxes of tracks observed at least twice, the first one included."""
-    observed = tracks.filter("observed")
-    confirmed = (
-        observed.groupBy(*TRACK_KEYS).agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
+    track = Window.partitionBy(*TRACK_KEYS)
+    return (
+        tracks.filter("observed")
+        .withColumn("__n", F.count("*").over(track))
+        .filter("__n >= 2")
+        .drop("__n")
     )
-    return observed.join(confirmed, TRACK_KEYS, "left_semi")
 
 
 def motion_only(

@@ -25,8 +25,10 @@ def track_results(
     """
     boxes = read_results(spark, path, "motion_regions", video)
     matrices = read_results(spark, path, "transformations", video)
-    tracks = cut(PA.particle_filter(boxes, matrices, **options))
-    history = PA.particle_history(boxes, matrices, **options) if with_history else None
+    if with_history:
+        tracks, history = PA.tracks_and_history(boxes, matrices, **options)
+    else:
+        tracks, history = cut(PA.particle_filter(boxes, matrices, **options)), None
     sinks.write_tracks(tracks, history, path)
     regions = observation_hysteresis(tracks).withColumn("ord", F.col("identity"))
     sinks.write_regions(regions, path)
