@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.common import text_of
 
-CACHE_ENTRIES = 200_000
 _LOADED: dict = {}
 
 
@@ -36,21 +35,10 @@ class Ranks:
         )
         self.split = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.cache: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
-        for piece in self.split.findall(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.merges._encode_single_piece(piece)
-                if len(piece) < 64:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[piece] = ids
-            out.extend(ids)
-        return out
+        """Ids of a stretch that begins and ends at boundaries, pre-token by pre-token."""
+        return self.merges.encode_ordinary(text)
 
     def boundaries(self, text: str) -> list[int]:
         """Offsets where pre-tokens start."""
