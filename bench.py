@@ -8,7 +8,7 @@ import sys
 import time
 
 from trackframe import catalog
-from trackframe.session import local_session
+from trackframe.session import drop_scratch, local_session
 
 HEADLINE = [
     "iou_pairs",
@@ -55,6 +55,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        drop_scratch(spark)
     spark.stop()
     print(
         json.dumps(

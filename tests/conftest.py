@@ -1,6 +1,6 @@
 import pytest
 
-from trackframe.session import local_session
+from trackframe.session import drop_scratch, local_session
 
 
 @pytest.fixture(scope="session")
@@ -9,4 +9,5 @@ def spark(tmp_path_factory):
     session = local_session("tests", "8", **{"spark.checkpoint.dir": str(folder)})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
