@@ -57,6 +57,16 @@ def test_fronts_against_pairs(spark, kind):
     assert [i for (i,) in rows_of(P.pareto_front(df), "idx")] == plain_front(full)
 
 
+def test_front_of_objectives_on_any_scale(spark):
+    points = [(1000 * r - 400, p / 1000) for r, p in cloud(3, 150, "uniform")]
+    df = scores(spark, points)
+    found = P.pareto_front(df, ["recall", "prec"])
+    assert [i for (i,) in rows_of(found, "idx")] == plain_front(points)
+    borders = P._borders(df, ["video"], ["recall", "prec"])
+    cells = P._gridded(df, borders, ["video"], ["recall", "prec"]).groupBy("g0").count().collect()
+    assert len(cells) == P.GRID and max(r["count"] for r in cells) < 25
+
+
 def test_front_of_free_third_objective(spark):
     rng = random.Random(2)
     points = [tuple(rng.randrange(12) / 8 - 0.2 for _ in range(3)) for _ in range(200)]

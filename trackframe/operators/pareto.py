@@ -22,17 +22,38 @@ KEYS = ["video"]
 OBJECTIVES = ["recall", "prec", "f1"]
 
 
-def _bucket(value: Column) -> Column:
-    """Grid position; never decreases with the value, so any range is right."""
-    return F.least(F.greatest(F.floor(value * GRID), F.lit(0)), F.lit(GRID - 1))
+def _borders(df: DataFrame, keys: list[str], objectives: list[str]) -> DataFrame:
+    """Per key the quantiles of the first two objectives, as borders of grid cells.
 
-
-def _gridded(df: DataFrame, objectives: list[str]) -> DataFrame:
-    return df.withColumns(
-        {"g0": _bucket(F.col(objectives[0])), "g1": _bucket(F.col(objectives[1]))}
+    Whatever the scale of the objectives, cells hold about as many points each.
+    """
+    shares = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+    return cut(
+        df.groupBy(*keys).agg(
+            *[
+                F.percentile_approx(objectives[i], shares, F.lit(1000)).alias(f"b{i}")
+                for i in (0, 1)
+            ]
+        )
     )
 
 
+def _bucket(value: Column, borders: Column) -> Column:
+    """Grid position: the borders that the value has reached. It never decreases with it."""
+    return F.size(F.filter(borders, lambda b: b <= value)).cast("long")
+
+
+def _gridded(
+    df: DataFrame, borders: DataFrame, keys: list[str], objectives: list[str]
+) -> DataFrame:
+    """Points with their cell; those of a key without rivals have cell 0."""
+    cell = {
+        f"g{i}": F.coalesce(_bucket(F.col(objectives[i]), F.col(f"b{i}")), F.lit(0).cast("long"))
+        for i in (0, 1)
+    }
+    return df.join(borders, keys, "left").withColumns(cell).drop("b0", "b1")
+
+
 def _shadow(gridded: DataFrame, keys: list[str], value: Column, agg) -> DataFrame:
     """Per cell the aggregate of ``value`` over all cells greater in both directions.
 
@@ -74,7 +95,9 @@ def not_dominated(
         raise ValueError("dominance needs two or three objectives")
     third = F.col(objectives[2]) if len(objectives) == 3 else F.lit(0.0)
     alike = points is dominators
-    rivals = _gridded(points if alike else dominators.select(*keys, *objectives), objectives)
+    source = points if alike else dominators.select(*keys, *objectives)
+    borders = _borders(source, keys, objectives)
+    rivals = _gridded(source, borders, keys, objectives)
     shadow = _shadow(rivals, keys, third, F.max)
 
     def grid_survivors(df: DataFrame) -> DataFrame:
@@ -91,7 +114,9 @@ def not_dominated(
     # A rival beaten from a greater cell cannot be the only one to beat a point.
     # What the grid leaves is little and read several times.
     band = cut(grid_survivors(rivals))
-    left = band if alike else grid_survivors(_gridded(points, objectives))
+    left = band if alike else grid_survivors(
+        _gridded(points, borders, keys, objectives)
+    )
     beats = _above("r", "p", objectives, every=strict)
     if not strict:
         beats = _at_least("r", "p", objectives) & beats
@@ -277,7 +302,8 @@ def front_lifetimes(scores: DataFrame, keys: list[str] | None = None) -> DataFra
     """
     keys = keys or KEYS
     objectives = ["recall", "prec"]
-    rows = _gridded(scores.select(*keys, "idx", "sample_ord", *objectives), objectives)
+    samples = scores.select(*keys, "idx", "sample_ord", *objectives)
+    rows = _gridded(samples, _borders(samples, keys, objectives), keys, objectives)
     shadow = _shadow(rows, keys, F.col("sample_ord"), F.min)
     # few samples pass the grid, and they are compared with each other below
     alive = cut(
