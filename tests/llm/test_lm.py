@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import awkward, nothing, texts_of
-from trackframe.llm.lm import pack_counts, pack_keys, score_texts, unpack_counts, unpack_keys
+from trackframe.llm.lm import CUT, pack_counts, pack_keys, score_texts, unpack_counts, unpack_keys
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -74,7 +74,7 @@ def test_codes_round_trip():
     for n in (1, 2, 1000):
         keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         assert (unpack_keys(pack_keys(keys, False)) == keys).all()
-        assert (unpack_keys(pack_keys(keys, True)) == keys >> np.uint64(8)).all()
+        assert (unpack_keys(pack_keys(keys, True)) == keys >> CUT).all()
         counts = rng.integers(0, 600, n)
         assert (unpack_counts(pack_counts(counts), n) == counts).all()
 
