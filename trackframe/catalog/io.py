@@ -70,6 +70,27 @@ def write_tracks(spark, sf):
     return FI.read_results(spark, path, "bayesian_filter_regions")
 
 
+@query(
+    "write_history",
+    "observed_tracks",
+    """select video, frame, identity as filter_identity, 0 as step_idx, 'predict' as step_name,
+      p.n as particle, x1 + p.n as x1, y1, x1 + 10 + p.n as x2, y1 + 8 as y2, observed,
+      0.25e0 * (1 + p.n) as weight
+    from observed_tracks, (select unnest(range(0, 3)) as n) p""",
+)
+def write_history(spark, sf):
+    """Tracks with the history of three particles each."""
+    path = scratch_path(spark, "history")
+    boxes = X.observed_tracks(spark, sf).selectExpr("*", "x1 + 10 as x2", "y1 + 8 as y2")
+    history = boxes.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(2)))).selectExpr(
+        "video", "frame", "identity as filter_identity", "0 as step_idx", "'predict' as step_name",
+        "particle", "x1 + particle as x1", "y1", "x2 + particle as x2", "y2", "observed",
+        "0.25D * (1 + particle) as weight",
+    )
+    SK.write_tracks(boxes, history, path)
+    return FI.read_results(spark, path, "particle_filter_history")
+
+
 GT_SQL = """select video, frame, identity, x1, y1, x2 - x1 as width, y2 - y1 as height,
   1 as c1, -1 as c2, -1 as c3, -1 as c4 from gt_regions"""
 
@@ -93,6 +114,45 @@ def read_gt(spark, sf):
     return rows.withColumn("video", folder.cast("long"))
 
 
+@query(
+    "read_regions",
+    "calc_regions",
+    "select cast(video as varchar) as video, frame, ord, x1, y1, x2, y2, identity from calc_regions",
+)
+def read_regions(spark, sf):
+    """Boxes written as results and read back by the reader that tells formats apart."""
+    path = scratch_path(spark, "stored-regions")
+    SK.write_regions(X.calc_regions(spark, sf), path)
+    columns = ["frame", "ord", "x1", "y1", "x2", "y2", "identity"]
+    return FI.read_regions(spark, path).select(F.col("video").cast("string"), *columns)
+
+
+@query(
+    "read_cvat",
+    "gt_regions",
+    """select video, frame, ord, x1, y1, x2, y2, identity, cast(identity as varchar) as id_str
+    from gt_regions""",
+)
+def read_cvat(spark, sf):
+    """Ground truth written as annotation XML per video and read back."""
+    path = scratch_path(spark, "annotations")
+    box = F.struct(
+        (F.col("frame") - 1).alias("_frame"),
+        *[F.col(a).cast("double").alias(f"_{b}")
+          for a, b in (("x1", "xtl"), ("y1", "ytl"), ("x2", "xbr"), ("y2", "ybr"))],
+    )
+    tracks = X.gt_regions(spark, sf).groupBy("video", F.col("identity").alias("_id")).agg(
+        F.sort_array(F.collect_list(box)).alias("box")
+    )
+    (
+        tracks.write.partitionBy("video").format("xml")
+        .option("rowTag", "track").option("rootTag", "annotations").save(path)
+    )
+    rows = FI.read_cvat(spark, f"{path}/*/*.xml", video="")
+    folder = F.regexp_extract(F.input_file_name(), r"video=(\d+)/", 1)
+    return rows.withColumn("video", folder.cast("long"))
+
+
 @query(
     "write_baseline",
     "gt_regions",
