@@ -11,23 +11,25 @@ from trackframe.operators import reckoning as K
 from trackframe.sources import fixtures as X
 
 # Five particles per truth box, spread around it.
-PART_SQL = """particles as (select video, frame, ord as filter, p as particle,
+PART_SQL = """particles as materialized (select video, frame, ord as filter, p as particle,
   x1 + (p*3 + ord) % 7 - 3 as x1, y1 + (p*5 + ord) % 5 - 2 as y1,
   x2 + (p*3 + ord) % 7 - 3 as x2, y2 + (p*5 + ord) % 5 - 2 as y2, 0.2e0 as weight
   from gt_regions, (select unnest(range(0, 5)) as p) n)"""
-HIT_SQL = """hits as (select a.video, a.frame, a.filter, a.particle, b.ord, b.x1, b.y1, b.x2, b.y2,
+HIT_SQL = """hits as materialized (select a.video, a.frame, a.filter, a.particle, b.ord, b.x1, b.y1, b.x2, b.y2,
   case when a.x1=b.x1 and a.y1=b.y1 and a.x2=b.x2 and a.y2=b.y2 then 1.0e0 else
     cast((least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1)) as double)
     / ((a.x2-a.x1)*(a.y2-a.y1) + (b.x2-b.x1)*(b.y2-b.y1)
       - (least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1))) end as iou
   from particles a join calc_regions b on a.video=b.video and a.frame=b.frame
     and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2)"""
-UPDATED_SQL = """best as (select *, row_number() over (
-    partition by video, frame, filter, particle order by iou desc, ord) as rn from hits),
-updated as (select p.video, p.frame, p.filter, p.particle, coalesce(b.x1, p.x1) as x1, coalesce(b.y1, p.y1) as y1,
-  coalesce(b.x2, p.x2) as x2, coalesce(b.y2, p.y2) as y2, p.weight * coalesce(b.iou, 1) as weight, b.ord is not null as observed
+UPDATED_SQL = """best as materialized (select video, frame, filter, particle, arg_min(
+    {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'iou': iou, 'ord': ord}, {'a': -iou, 'b': ord}) as top
+  from hits group by video, frame, filter, particle),
+updated as materialized (select p.video, p.frame, p.filter, p.particle, coalesce(b.top.x1, p.x1) as x1, coalesce(b.top.y1, p.y1) as y1,
+  coalesce(b.top.x2, p.x2) as x2, coalesce(b.top.y2, p.y2) as y2,
+  p.weight * coalesce(b.top.iou, 1) as weight, b.top.ord is not null as observed
   from particles p left join best b on b.video=p.video and b.frame=p.frame and b.filter=p.filter
-    and b.particle=p.particle and b.rn = 1)"""
+    and b.particle=p.particle)"""
 RESAMPLED_SQL = """asked as (select *, cast(round_even((weight / sum(weight) over (partition by video, frame, filter)) / 0.2e0, 0) as int) as asked,
     row_number() over (partition by video, frame, filter order by weight desc, particle) as rn from updated),
 ahead as (select *, coalesce(sum(asked) over (partition by video, frame, filter order by rn
@@ -58,13 +60,44 @@ def _particles(spark, sf):
     )
 
 
-@query("jitter_box")
+def jitter_sql(seed: int, key: str, rest: str, source: str) -> str:
+    """Boxes of ``source`` moved by the draws that md5 makes of seed, tag and key."""
+
+    def uniform(tag: str) -> str:
+        digest = f"md5(concat_ws(':', '{seed}', '{tag}', {key}))"
+        return f"((cast('0x' || substr({digest}, 1, 13) as bigint) + 0.5e0) / 4503599627370496e0)"
+
+    draws = ", ".join(f"{uniform(t)} as u_{t}" for t in ("radius", "phase", "angle", "x1", "y1", "x2", "y2"))
+    length = "sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1))"
+    step = f"abs(sqrt(-2*ln(u_radius)) * cos(2*pi()*u_phase)) * 0.01e0 * {length}"
+    noise = {n: f"round_even(u_{n} - 0.5e0, 0)" for n in ("x1", "y1", "x2", "y2")}
+    noise["x2"] = f"greatest({noise['x1']}, {noise['x2']})"
+    noise["y2"] = f"greatest({noise['y1']}, {noise['y2']})"
+    moved = ", ".join(
+        f"cast({n} + round_even({step} * {turn}(u_angle*2*pi()), 0) + {noise[n]} as int) as {n}"
+        for n, turn in (("x1", "sin"), ("y1", "cos"), ("x2", "sin"), ("y2", "cos"))
+    )
+    return f"select {rest}, {moved} from (select *, {draws} from {source}) d"
+
+
+@query(
+    "jitter_box",
+    "gt_regions",
+    jitter_sql(7, "video, frame, ord", "video, frame, ord, identity", "gt_regions"),
+)
 def jitter_box(spark, sf):
     moved = G.jitter_box(G.corners(), 7, F.col("video"), F.col("frame"), F.col("ord"))
     return X.gt_regions(spark, sf).withColumns(dict(zip(G.BOX_COLUMNS, moved)))
 
 
-@query("particle_predict")
+@query(
+    "particle_predict",
+    "gt_regions",
+    f"""with {PART_SQL} """ + jitter_sql(
+        3, "video, frame, filter, particle",
+        "video, frame, filter, particle, weight, false as observed", "particles",
+    ),
+)
 def particle_predict(spark, sf):
     return PA.particle_predict(_particles(spark, sf), 3)
 

@@ -179,9 +179,10 @@ def jitter_box(box: Box, seed: int, *key: Column) -> Box:
     """
 
     def uniform(tag: str) -> Column:
-        digest = F.xxhash64(F.lit(seed), F.lit(tag), *key)
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), *[k.cast("string") for k in key]))
         # 52 bits into (0, 1)
-        return (F.shiftrightunsigned(digest, 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+        bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+        return (bits + 0.5) / F.lit(float(1 << 52))
 
     x1, y1, x2, y2 = box
     length = F.sqrt(F.pow(box_width(box), F.lit(2.0)) + F.pow(box_height(box), F.lit(2.0)))
