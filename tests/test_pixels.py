@@ -268,6 +268,22 @@ def test_descriptors_near_and_far(spark):
     assert rows_of(got, "kp", "match", "dist") == sorted(want)
 
 
+def test_ten_thousand_descriptors_a_frame(spark):
+    n, rng = 10_000, np.random.default_rng(1)
+    bits = rng.integers(-(2**63), 2**63, (n, 4), dtype=np.int64)
+    moved = bits.copy()
+    for row in moved:  # forty of 256 bits flipped
+        for at in rng.choice(256, 40, replace=False):
+            row[at // 64] ^= np.int64(np.uint64(1 << int(at % 64)).view(np.int64))
+    ddl = "video string, frame int, kp int, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+
+    def table(rows):
+        return spark.createDataFrame([("v", 1, i, *map(int, r)) for i, r in enumerate(rows)], ddl)
+
+    got = RG.match_descriptors(table(moved), table(bits), ["w0", "w1", "w2", "w3"])
+    assert got.filter("kp = match and dist = 40").count() == n
+
+
 def test_frames_go_to_bytes_and_back(spark):
     images = {1: noise(1), 2: noise(2)}
     pixels = pixel_table(spark, images)

@@ -582,7 +582,7 @@ def _keypoints(spark, sf):
 def _matches(spark, sf):
     points = _keypoints(spark, sf)
     following = points.withColumn("frame", F.col("frame") - 1)
-    return RG.match_descriptors(points, following, ["w0", "w1"], word_bits=32, band_bits=8)
+    return RG.match_descriptors(points, following, ["w0", "w1"])
 
 
 @query("match_descriptors", "vectors", f"with {POINTS_SQL} select * from matches")

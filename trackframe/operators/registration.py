@@ -40,69 +40,86 @@ def spatial_topk(keypoints: DataFrame, n: int, cell: int) -> DataFrame:
     return numbered.filter(F.col("place") <= n).select(*keypoints.columns, "place")
 
 
-def hamming(a: list[Column], b: list[Column]) -> Column:
-    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
+# Keypoints of b, and of a at a time, whose distances are in memory together.
+DESCRIPTOR_BLOCK, DESCRIPTOR_STEP = 1024, 256
+
+
+def _nearest_in_block(a, b, words: list[str], keys: list[str]):
+    """Each keypoint of Arrow table ``a`` with its nearest of ``b``, ties to the lowest kp."""
+    import numpy as np
+    import pyarrow as pa
+
+    b = b.sort_by("b_kp")
+    bits = lambda table, tag: np.stack(
+        [table.column(f"{tag}_{w}").to_numpy().astype(np.int64).view(np.uint64) for w in words]
+    )
+    mine, other = bits(a, "a"), bits(b, "b")
+    place, least = [], []
+    for at in range(0, a.num_rows if b.num_rows else 0, DESCRIPTOR_STEP):
+        some = mine[:, at : at + DESCRIPTOR_STEP]
+        far = sum(
+            np.bitwise_count(x[:, None] ^ y[None, :]).astype(np.int32)
+            for x, y in zip(some, other, strict=True)
+        )
+        nearest = far.argmin(axis=1)
+        place.append(nearest)
+        least.append(far[np.arange(len(nearest)), nearest])
+    if not place:
+        return a.select([*keys, "a_kp"]).slice(0, 0).append_column(
+            "match", b.column("b_kp").slice(0, 0)
+        ).append_column("dist", pa.array([], pa.int32()))
+    return (
+        a.select([*keys, "a_kp"])
+        .append_column("match", b.column("b_kp").take(pa.array(np.concatenate(place))))
+        .append_column("dist", pa.array(np.concatenate(least), pa.int32()))
+    )
 
 
 def match_descriptors(
-    a: DataFrame,
-    b: DataFrame,
-    words: list[str],
-    word_bits: int = 64,
-    band_bits: int = 16,
-    keys: list[str] | None = None,
+    a: DataFrame, b: DataFrame, words: list[str], keys: list[str] | None = None
 ) -> DataFrame:
     """For each keypoint of a, the nearest descriptor of b within the frame pair.
 
-    Both sides have (keys, kp, words...) and share their keys per frame pair. Descriptors are cut in bands: two that differ in fewer bits than there
-    are bands agree on a whole band, so a band join finds every such pair.
-    Keypoints whose best is farther away are compared with the whole pair; that
-    join feeds a map-side minimum and keeps one row per keypoint.
+    Both sides have (keys, kp, words...) and share their keys per frame pair. The
+    keypoints of b are dealt into blocks; a's meet each block, where distances are a
+    matrix of numbers, and leave one row each. No pair of keypoints is ever a row.
     Ties go to the lowest kp of b. Output: keys, kp, match, dist.
     """
     keys = keys or FRAME
-    per_word = word_bits // band_bits
-    bands = len(words) * per_word
 
-    def sided(df: DataFrame, tag: str) -> DataFrame:
+    def sided(df: DataFrame, tag: str, names: list[str]) -> DataFrame:
         return df.select(
-            *keys, F.col("kp").alias(f"{tag}_kp"), *[F.col(w).alias(f"{tag}_{w}") for w in words]
+            *[F.col(k).alias(name) for k, name in zip(keys, names)],
+            F.col("kp").alias(f"{tag}_kp"),
+            *[F.col(w).alias(f"{tag}_{w}") for w in words],
         )
 
-    left, right = sided(a, "a"), sided(b, "b")
-    dist = hamming([F.col(f"a_{w}") for w in words], [F.col(f"b_{w}") for w in words])
-    best = F.min(F.struct(dist.cast("int").alias("dist"), F.col("b_kp").alias("match")))
-
-    def banded(df: DataFrame, tag: str) -> DataFrame:
-        mask = F.lit((1 << band_bits) - 1).cast("long")
-        items = [
-            F.struct(
-                F.lit(i * per_word + j).alias("band"),
-                F.shiftrightunsigned(F.col(f"{tag}_{w}").cast("long"), j * band_bits)
-                .bitwiseAND(mask)
-                .alias("bits"),
-            )
-            for i, w in enumerate(words)
-            for j in range(per_word)
-        ]
-        return df.withColumn("b", F.explode(F.array(*items))).select("*", "b.*").drop("b")
-
-    on = [*keys, "band", "bits"]
-    near = (
-        banded(left, "a")
-        .join(banded(right, "b"), on)
-        .groupBy(*keys, "a_kp")
-        .agg(best.alias("m"))
-        .filter(F.col("m.dist") < bands)
+    # both sides may stem from one table, so all columns get names of their own
+    other = [f"b_{k}" for k in keys]
+    left, right = sided(a, "a", keys), sided(b, "b", other)
+    blocks = right.groupBy(*other).agg(
+        F.ceil(F.count("*") / DESCRIPTOR_BLOCK).cast("int").alias("blocks")
     )
-    far = (
-        left.join(near, [*keys, "a_kp"], "left_anti")
-        .join(right, keys)
-        .groupBy(*keys, "a_kp")
-        .agg(best.alias("m"))
+    counted = blocks.select(*[F.col(o).alias(k) for k, o in zip(keys, other)], "blocks")
+    asks = left.join(counted, keys).withColumn(
+        "a_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).drop("blocks")
+    dealt = right.join(blocks, other).withColumn(
+        "b_block", F.pmod(F.xxhash64("b_kp"), F.col("blocks")).cast("int")
+    ).drop("blocks")
+    kinds = [f"{k} {left.schema[k].dataType.simpleString()}" for k in keys]
+    kinds.append(f"a_kp {left.schema['a_kp'].dataType.simpleString()}")
+    kinds.append(f"match {right.schema['b_kp'].dataType.simpleString()}")
+    near = (
+        asks.groupBy(*keys, "a_block").cogroup(dealt.groupBy(*other, "b_block"))
+        .applyInArrow(
+            lambda mine, other: _nearest_in_block(mine, other, words, keys),
+            ", ".join([*kinds, "dist int"]),
+        )
     )
-    return near.unionByName(far).select(
-        *keys, F.col("a_kp").alias("kp"), F.col("m.match"), F.col("m.dist")
+    return (
+        near.groupBy(*keys, "a_kp").agg(F.min(F.struct("dist", "match")).alias("m"))
+        .select(*keys, F.col("a_kp").alias("kp"), F.col("m.match"), F.col("m.dist"))
     )
 
 
