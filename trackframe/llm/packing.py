@@ -14,12 +14,16 @@ goes to windows of falling powers of two, so that nothing is padded.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.llm.common import shuffle_width, stored, text_of
@@ -28,12 +32,21 @@ LENGTH = 4096
 END = 2
 #: Queues of their own for so many sources, by size; all others share one.
 QUEUES = 255
-CACHE_ENTRIES = 300_000
+#: Texts whose words are collected before they are encoded.
+TEXTS = 4_000
+#: Documents whose pieces are worked out together.
+DOCUMENTS = 500
 _LOADED: dict = {}
 
 
 class WordTokens:
-    """A tokenizer that drops white space, applied to runs without any."""
+    """A tokenizer of words with end marks, applied to each distinct word of a batch.
+
+    A run of letters, a number sign or a run of other signs is a piece; white space is
+    dropped. Words of plain Latin signs go through a rank encoder with the same merges,
+    the last byte of a piece being followed by a byte that no text has; all others go
+    through the library as they are, as do whole texts for any other kind of tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,29 +54,98 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of the text, then END."""
-        words = text.translate(_BLANKS).split(" ")
-        cache = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_ENTRIES:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for word, found in zip(
-                new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
-            ):
-                cache[word] = found.ids
-        out: list[int] = []
-        for word in words:
-            out += cache[word]
-        out.append(END)
-        return out
-
-
-_BLANKS = {9: " ", 10: " ", 13: " "}
+        with open(path) as file:
+            self.ranks = _ranks(json.load(file))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, then END."""
+        if self.ranks is None:
+            return [np.array([*self._library(t), END], self.kind) for t in texts.to_pylist()]
+        split = pc.ascii_split_whitespace(texts)
+        distinct = split.flatten().dictionary_encode()
+        flat, begins, sizes = self._words(distinct.dictionary.to_pylist())
+        run = distinct.indices.to_numpy()
+        stops = np.cumsum(sizes[run])
+        total = int(stops[-1]) if len(run) else 0
+        ids = flat[_spread(begins[run] - stops + sizes[run], sizes[run], total)]
+        ends = np.concatenate([[0], stops])[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+        ids = np.insert(ids, ends, END)
+        return np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1]) if len(ends) else []
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, and where those of each word begin and how many they are."""
+        other = [i for i, w in enumerate(words) if not PLAIN.fullmatch(w)]
+        apart = [np.array(self._library(words[i]), self.kind) for i in other]
+        lines = words.copy()
+        for i in other:
+            lines[i] = ""
+        lines.append("")
+        pieces = pa.array(PIECE.findall("\n".join(lines).lower())).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        encode = self.ranks._encode_single_piece
+        found = [[] if p == "\n" else encode(p.encode() + LAST) for p in known]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), self.kind, lengths.sum())
+        codes = pieces.indices.to_numpy()
+        stops = np.cumsum(lengths[codes])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[codes]
+        flat = ids[_spread(starts - stops + lengths[codes], lengths[codes], int(stops[-1]))]
+        # each word ends with its line; those of other kinds follow behind
+        ends = stops[codes == known.index("\n")] if words else np.zeros(0, np.int64)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        sizes = ends - begins
+        behind = len(flat)
+        for i, own in zip(other, apart, strict=True):
+            begins[i], sizes[i] = behind, len(own)
+            behind += len(own)
+        return np.concatenate([flat, *apart]).astype(self.kind), begins, sizes
+
+
+def _spread(shift: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
+    """0, 1, 2, ... with each run of ``sizes`` shifted."""
+    kind = np.int32 if total < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat(shift.astype(kind), sizes)
+
+
+#: How the tokenizer file splits words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE = regex.compile(rf"\n|{SPLIT}")
+#: Signs that no normal form changes and that every version of Unicode sorts alike.
+PLAIN = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+")
+LAST = b"\xff"
+
+
+def _ranks(file: dict):
+    """A rank encoder with the merges of a tokenizer file; None for other kinds.
+
+    Words end in a mark there. Here the mark is a byte, and a byte with its mark is
+    among the first 512 ids, so it is put together before any merge.
+    """
+    import tiktoken
+
+    model, split = file["model"], file["pre_tokenizer"]
+    vocabulary = model["vocab"]
+    steps = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if (
+        model.get("end_of_word_suffix") != "</w>"
+        or split.get("pretokenizers", [{}])[0].get("pattern") != {"Regex": SPLIT}
+        or [n["type"] for n in file["normalizer"].get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]
+        or [vocabulary[s] for s in steps] != list(range(512, 512 + len(steps)))
+    ):
+        return None
+    # the byte alphabet: printable signs stand for themselves, the others follow from 256 on
+    signs = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs += [b for b in range(256) if b not in set(signs)]
+    letters = {chr(b if k < 188 else 256 + k - 188): b for k, b in enumerate(signs)}
+    ranks = {}
+    for token, rank in vocabulary.items():
+        last = token.endswith("</w>")
+        data = bytes(letters[c] for c in (token[:-4] if last else token))
+        ranks[data + LAST if last else data] = rank
+    return tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokens_at(path: str) -> WordTokens:
@@ -132,40 +214,54 @@ class Schedule:
             got[rows[add], first[add]] += 1
             got[rows[remove], final[remove]] -= 1
 
-    def pieces(self, queue: int, start: int, length: int):
-        """(window, offset in it, start in the queue, length) of a run of a queue's tokens."""
-        ends = np.array([start, start + length - 1])
+    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray):
+        """Of many runs of queues' tokens: (run, window, offset in it, start in queue, length)."""
         # a queue is never further from its share than one token per queue
-        time = (ends + 0.5) / self.weights[queue]
-        at = np.interp(time, np.concatenate([[0.0], self.dry]), np.concatenate([[0.0], self.by_then]))
         slack = len(self.totals) + 2
-        low, high = self.window_of(
-            np.clip(np.array([at[0] - slack, at[1] + slack]), 0, self.total - 1).astype(np.int64)
+        ends = np.stack([start, start + length - 1])
+        at = np.interp(
+            (ends + 0.5) / self.weights[queue],
+            np.concatenate([[0.0], self.dry]), np.concatenate([[0.0], self.by_then]),
         )
-        windows = np.arange(low, high + 2)
-        taken = self.taken(self.borders(windows))
-        here = taken[:, queue]
-        begin = np.maximum(here[:-1], start)
-        stop = np.minimum(here[1:], start + length)
-        before = (taken[1:, :queue] - taken[:-1, :queue]).sum(axis=1)
+        at[0] -= slack
+        at[1] += slack
+        low, high = (
+            self.window_of(np.clip(x, 0, max(self.total - 1, 0)).astype(np.int64)) for x in at
+        )
+        count = high - low + 1
+        run = np.repeat(np.arange(len(queue)), count)
+        window = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+        known = np.unique(np.concatenate([window, window + 1]))
+        taken = self.taken(self.borders(known))
+        here, there = np.searchsorted(known, window), np.searchsorted(known, window + 1)
+        given = taken[there] - taken[here]
+        before = (np.cumsum(given, axis=1) - given)[np.arange(len(run)), queue[run]]
+        first = taken[here, queue[run]]
+        begin = np.maximum(first, start[run])
+        stop = np.minimum(taken[there, queue[run]], (start + length)[run])
         keep = stop > begin
-        return (
-            windows[:-1][keep], (before + begin - here[:-1])[keep],
-            begin[keep], (stop - begin)[keep],
+        return tuple(
+            x[keep] for x in (run, window, before + begin - first, begin, stop - begin)
         )
 
 
-def token_bytes(text: Column, path: str) -> Column:
-    """The ids of a text, each in as few bytes as the vocabulary needs."""
+def token_ids(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id, sha, source, ids: the ids of each text, in as few bytes as they need."""
 
-    @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_at(path)
-        return pa.array(
-            [np.array(tokens.encode(t.as_py()), tokens.kind).tobytes() for t in texts], pa.binary()
-        )
-
-    return encode(text)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                ids = [x.tobytes() for x in tokens.encode(some.column("text"))]
+                yield some.select(["doc_id", "sha", "source"]).append_column(
+                    "ids", pa.array(ids, pa.binary())
+                )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "sha", "source", "text").mapInArrow(
+        encode, f"doc_id {kind}, sha long, source string, ids binary"
+    )
 
 
 def _queue_offsets(counts: DataFrame, blocks: int) -> DataFrame:
@@ -220,7 +316,7 @@ def pack_documents(
     ).withColumn("sha", F.xxhash64("text", "source"))
     width = np.dtype(tokens_at(path).kind).itemsize
     rows = stored(
-        rows.select("doc_id", "sha", "source", token_bytes(F.col("text"), path).alias("ids"))
+        token_ids(rows, path)
         .withColumn("n", (F.octet_length("ids") / width).cast("long")),
         "token-ids",
     )
@@ -256,26 +352,33 @@ def pack_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {name: batch.column(name).to_pylist() for name in ("ids", "queue", "copies", "start")}
-            owner, out = [], []
-            for row, data in enumerate(get["ids"]):
-                ids = np.frombuffer(data, kind).astype("<u4")
-                for copy in range(get["copies"][row]):
-                    first = get["start"][row] + copy * len(ids)
-                    for window, offset, begin, length in zip(
-                        *schedule.pieces(get["queue"][row], first, len(ids)), strict=True
-                    ):
-                        a = begin - first
-                        crc = zlib.crc32(ids[a : a + length].tobytes())
-                        owner.append(row)
-                        out.append((a, length, crc, len(ids), window, offset))
-            own = pa.array(owner, pa.int32())
-            numbers = np.array(out, np.int64).reshape(-1, len(PIECES))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(name).take(own) for name in ("key", "source")]
-                + [pa.array(numbers[:, k]) for k in range(len(PIECES))],
-                names=["key", "source", *PIECES],
-            )
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                yield cut_some(batch.slice(at, DOCUMENTS))
+
+    def cut_some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [np.frombuffer(x.as_py(), kind).astype("<u4") for x in batch.column("ids")]
+        queue, copies, start = (
+            batch.column(name).to_numpy() for name in ("queue", "copies", "start")
+        )
+        sizes = np.array([len(x) for x in ids])
+        # the copies of a document follow each other in its queue
+        row = np.repeat(np.arange(len(ids)), copies)
+        copy = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        first = start[row] + copy * sizes[row]
+        run, window, offset, begin, length = schedule.pieces(queue[row], first, sizes[row])
+        own = row[run]
+        a = begin - first[run]
+        views = [memoryview(x).cast("B") for x in ids]
+        crc = np.array(
+            [zlib.crc32(views[d][4 * i : 4 * j]) for d, i, j in
+             zip(own.tolist(), a.tolist(), (a + length).tolist(), strict=True)], np.int64
+        )
+        numbers = (a, length, crc, sizes[own], window, offset)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(name).take(pa.array(own)) for name in ("key", "source")]
+            + [pa.array(x.astype(np.int64)) for x in numbers],
+            names=["key", "source", *PIECES],
+        )
 
     def with_place(found: DataFrame) -> DataFrame:
         found = found.select(
