@@ -31,6 +31,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every a has one b, and no b is an a itself: then b is the label of a."""
+    row = edges.agg(F.count("*").alias("n"), F.count_distinct("a").alias("ends")).first()
+    if row["n"] != row["ends"]:
+        return False
+    centres = edges.select(F.col("b").alias("a")).distinct()
+    return edges.join(centres, "a", "left_semi").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge; the label is the least node reached.
 
@@ -38,15 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     of the nodes, whatever the length of chains. No edges give no rows.
     """
     current = stored(edges.select("a", "b").filter("a != b").distinct(), "edges")
-    state = None
-    while True:
+    settled = False
+    while not settled:
         current = stored(_star(stored(_star(current, True), "edges"), False), "edges")
-        row = current.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if (row["n"], row["h"]) == state:
-            break
-        state = (row["n"], row["h"])
+        settled = _is_forest_of_stars(current)
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )

@@ -8,19 +8,21 @@ agree in a component with the probability of their weighted Jaccard similarity,
 because points come in order, most shingles are done after one.
 
 Signatures are cut into bands. Texts that share a band are compared with one pivot of
-that bucket on their whole multisets; links make classes. Where a bucket is left with
-members of several classes, these texts are joined on their rarest shingles, which
-finds every pair above the threshold whatever the pivot was.
+that bucket, the one that shares most bands, on their whole multisets; links make
+classes. Where a bucket is left with members of several classes, these texts are joined
+on their rarest shingles, which finds every pair above the threshold whatever the pivot
+was. Bounds on what a text can share with any other class are taken first, so that
+texts of a large class that cannot reach another one make no pairs.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.llm.common import stored, text_of
@@ -29,12 +31,22 @@ from trackframe.llm.graph import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
-BATCH = 1_000
-CACHE_ENTRIES = 500_000
+BATCH = 500
+CACHE_ENTRIES = 150_000
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x100000001B3)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-_HASHES: dict[str, int] = {}
+
+
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_HASHES = WordHashes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,19 +61,12 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of letters, digits and underscores in lower case. A text of fewer
     than five words is one shingle, a text without words has none.
     """
-    import xxhash
-
     words = WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(_HASHES) > CACHE_ENTRIES:
         _HASHES.clear()
-    hashes = np.empty(len(words), np.uint64)
-    for i, word in enumerate(words):
-        value = _HASHES.get(word)
-        if value is None:
-            value = _HASHES[word] = xxhash.xxh3_64_intdigest(word)
-        hashes[i] = value
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     size = min(WORDS, len(words))
     rolled = hashes[: len(words) - size + 1].copy()
     for k in range(1, size):
@@ -131,114 +136,182 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def signature_column(text: Column, bands: int, rows: int) -> Column:
-    """Struct of the multiset's digest (null without words) and its band keys."""
+def _signed(rows: DataFrame, bands: int, width: int) -> DataFrame:
+    """doc_id, key, the multiset's digest hi and lo (null without words), band keys."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                yield sign_some(batch.slice(at, BATCH))
 
-    @F.arrow_udf("hi long, lo long, keys array<long>")
-    def sign(texts: pa.Array) -> pa.Array:
+    def sign_some(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
+        bags = [shingles(t.as_py()) for t in batch.column("text")]
+        found = band_keys(bag_minhash(bags, bands * width), bands, width).view(np.int64)
         high, low, keys = [], [], []
-        for at in range(0, len(texts), BATCH):
-            bags = [shingles(t.as_py()) for t in texts[at : at + BATCH]]
-            found = band_keys(bag_minhash(bags, bands * rows), bands, rows).view(np.int64)
-            for (elements, counts), row in zip(bags, found, strict=True):
-                if not len(elements):
-                    high.append(None), low.append(None), keys.append([])
-                    continue
-                digest = xxhash.xxh3_128_digest(elements.tobytes() + counts.tobytes())
-                high.append(int.from_bytes(digest[:8], "little", signed=True))
-                low.append(int.from_bytes(digest[8:], "little", signed=True))
-                keys.append(row)
-        return pa.StructArray.from_arrays(
-            [pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64()))],
-            ["hi", "lo", "keys"],
+        for (elements, counts), row in zip(bags, found, strict=True):
+            digest = xxhash.xxh3_128_digest(elements.tobytes() + counts.tobytes())
+            empty = not len(elements)
+            high.append(None if empty else int.from_bytes(digest[:8], "little", signed=True))
+            low.append(None if empty else int.from_bytes(digest[8:], "little", signed=True))
+            keys.append([] if empty else row)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), batch.column("key"), pa.array(high, pa.int64()),
+                pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "key", "hi", "lo", "keys"],
         )
 
-    return sign(text)
-
-
-def similarity(left: str, right: str) -> Column:
-    """Similarity of two text columns; the last right-hand text is kept, as pivots repeat."""
-
-    @F.arrow_udf("double")
-    def compare(lefts: pa.Array, rights: pa.Array) -> pa.Array:
-        out, last, tokens = [], None, None
-        for a, b in zip(lefts, rights, strict=True):
-            b = b.as_py()
-            if b != last:
-                last, tokens = b, numbered(*shingles(b))
-            out.append(overlap(numbered(*shingles(a.as_py())), tokens))
-        return pa.array(out, pa.float64())
-
-    return compare(left, right)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "key", "text").mapInArrow(
+        sign, f"doc_id {kind}, key long, hi long, lo long, keys array<long>"
+    )
 
 
-def token_list(text: str) -> Column:
-    @F.arrow_udf("array<long>")
-    def tokens(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [numbered(*shingles(t.as_py())).view(np.int64) for t in texts], pa.list_(pa.int64())
-        )
-
-    return tokens(text)
+def _tokens(rows: DataFrame) -> DataFrame:
+    """node, label, n, token: one row for each token of the text of n tokens."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                some = batch.slice(at, BATCH)
+                found = [numbered(*shingles(t.as_py())) for t in some.column("text")]
+                sizes = np.array([len(x) for x in found])
+                again = pa.array(np.repeat(np.arange(len(found)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("node").take(again), some.column("label").take(again),
+                        pa.array(np.repeat(sizes, sizes), pa.int64()),
+                        pa.array(np.concatenate(found).view(np.int64)),
+                    ],
+                    names=["node", "label", "n", "token"],
+                )
+
+    return rows.select("node", "label", "text").mapInArrow(
+        spell, "node long, label long, n long, token long"
+    )
 
 
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose texts are similar enough."""
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return (
-        pairs.join(first, "a").join(second, "b")
-        .filter(similarity("text_a", "text_b") >= threshold)
-        .select("a", "b")
-    )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tokens = None, None
+        for batch in batches:
+            kept = []
+            for left, right in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                right = right.as_py()
+                if right != last:  # pivots repeat
+                    last, tokens = right, numbered(*shingles(right))
+                kept.append(overlap(numbered(*shingles(left.as_py())), tokens) >= threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    labels = stored(components(links), "labels")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links; only the classes that these touch are worked on."""
+    of = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(of, F.col(end) == F.col("n"), "left").select(
+            *[F.coalesce("l", c).alias(c) if c == end else F.col(c) for c in ("a", "b")]
+        )
+    merged = stored(components(ends).withColumnRenamed("label", "root"), "merged")
+    known = labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select(
+        "node", F.coalesce("root", "label").alias("label")
+    )
+    alone = merged.join(labels, "node", "left_anti").select("node", F.col("root").alias("label"))
+    return known.unionByName(alone)
+
+
 def _rare_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of texts of different classes that share one of their rarest shingles.
 
     With shingles in order of rising frequency, two texts above the threshold share
     one of the first (1 - threshold) of either. ``rest`` has node and label.
     """
-    tokens = stored(
-        texts.join(rest, "node").select("node", "label", token_list("text").alias("tokens"))
-        .select("node", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token")),
-        "rest-tokens",
-    )
+    tokens = stored(_tokens(texts.join(rest, "node")), "rest-tokens")
     seen = tokens.groupBy("token").agg(F.count("*").alias("seen")).filter("seen > 1")
     order = Window.partitionBy("node").orderBy("seen", "token")
     # tokens of one text alone come first: they take places, but make no pairs
     alone = F.coalesce(F.col("seen"), F.lit(1))
-    first = (
+    placed = (
         tokens.join(stored(seen, "token-counts"), "token", "left").withColumn("seen", alone)
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
-        .filter("seen > 1")
+        .withColumn("shared", F.count(F.when(F.col("seen") > 1, 1)).over(Window.partitionBy("node")))
     )
-    heads = stored(first.select("token", "node", "label", "n"), "rare-tokens")
+    # a partner of m tokens needs (n + m) * t / (1 + t) common ones, and there are ``shared``
+    reach = F.floor(F.col("shared") * F.lit((1 + threshold) / threshold) + 1e-9) - F.col("n")
+    heads = stored(
+        placed.filter(
+            (F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
+            & (F.col("seen") > 1)
+        ).select("token", "node", "label", "n", reach.alias("reach")),
+        "rare-tokens",
+    )
+    heads = stored(_within_reach(heads), "reachable")
     mine = heads.select(
-        "token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")
+        "token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
+        F.col("reach").alias("ra"),
     )
     other = heads.select(
-        "token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb")
+        "token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
+        F.col("reach").alias("rb"),
     )
     return (
         mine.join(other, "token")
         .filter(
             (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))
+            & (F.col("nb") <= F.col("ra")) & (F.col("na") <= F.col("rb"))
             & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
         )
         .select("a", "b").distinct()
     )
 
 
+def _within_reach(heads: DataFrame) -> DataFrame:
+    """Rows whose token some text of another class has that is short enough for them,
+    and some that reaches as far as they are long."""
+    by_class = stored(
+        heads.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("reach").alias("most")),
+        "token-classes",
+    )
+    first = by_class.groupBy("token").agg(
+        F.min(F.struct("least", "label")).alias("short"), F.max(F.struct("most", "label")).alias("far")
+    )
+    second = (
+        by_class.join(first, "token")
+        .groupBy("token")
+        .agg(
+            F.first("short").alias("short"), F.first("far").alias("far"),
+            F.min(F.when(F.col("label") != F.col("short.label"), F.col("least"))).alias("short2"),
+            F.max(F.when(F.col("label") != F.col("far.label"), F.col("most"))).alias("far2"),
+        )
+        .filter("short2 is not null")
+    )
+    shortest = F.when(F.col("short.label") != F.col("label"), F.col("short.least")).otherwise(
+        F.col("short2")
+    )
+    farthest = F.when(F.col("far.label") != F.col("label"), F.col("far.most")).otherwise(
+        F.col("far2")
+    )
+    return (
+        heads.join(stored(second, "token-reach"), "token")
+        .filter((shortest <= F.col("reach")) & (farthest >= F.col("n")))
+        .select(*heads.columns)
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -259,9 +332,7 @@ def near_duplicates(
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     key = F.xxhash64("text").alias("key")
     signed = stored(
-        base.select("doc_id", key, signature_column(F.col("text"), bands, rows).alias("s"))
-        .select("doc_id", "key", "s.*"),
-        "signatures",
+        _signed(base.select("doc_id", key, "text"), bands, rows), "signatures"
     )
     some = signed.filter("hi is not null")
     nodes = stored(
@@ -273,11 +344,19 @@ def near_duplicates(
     )
     banded = nodes.select("node", F.posexplode("keys").alias("band", "bucket"))
     shared = stored(
-        banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-        .filter("n > 1").drop("n"),
+        banded.groupBy("band", "bucket").agg(F.count("*").alias("size")).filter("size > 1"),
         "buckets",
     )
     members = stored(banded.join(shared, ["band", "bucket"]), "members")
+    central = stored(members.groupBy("node").agg(F.sum("size").alias("ties")), "ties")
+    pivots = (
+        members.join(central, "node").groupBy("band", "bucket")
+        .agg(F.max(F.struct("ties", "node")).alias("pivot"))
+        .select("band", "bucket", F.col("pivot.node").alias("pivot"))
+    )
+    members = stored(
+        members.join(stored(pivots, "pivots"), ["band", "bucket"]).drop("size"), "members"
+    )
     wanted = members.select("node").distinct().join(nodes.select("node", "one"), "node")
     texts = stored(
         base.withColumn("key", F.xxhash64("text")).alias("t")
@@ -293,8 +372,9 @@ def near_duplicates(
         F.col("node").alias("a"), F.col("pivot").alias("b")
     ).distinct()
     links = stored(_links(pairs, texts, threshold), "links")
+    labels = stored(components(links), "labels")
     torn = (
-        _labelled(members, links).groupBy("band", "bucket")
+        _labelled(members, labels).groupBy("band", "bucket")
         .agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
         .select("band", "bucket")
     )
@@ -302,9 +382,9 @@ def near_duplicates(
         members.join(stored(torn, "torn"), ["band", "bucket"]).select("node").distinct(), "rest"
     )
     if rest.limit(1).count():
-        pairs = _rare_pairs(_labelled(rest, links), texts, threshold)
-        links = links.unionByName(stored(_links(pairs, texts, threshold), "more-links"))
-    labels = stored(components(links), "labels")
+        pairs = _rare_pairs(_labelled(rest, labels), texts, threshold)
+        more = stored(_links(pairs, texts, threshold), "more-links")
+        labels = _joined_classes(labels, more)
     classed = nodes.select("node", "hi", "lo", "copies", "least_id").join(labels, "node", "left")
     classed = stored(classed.withColumn("label", F.coalesce("label", "node")), "classed")
     classes = stored(
