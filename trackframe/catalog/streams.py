@@ -64,6 +64,28 @@ def stream_history(spark, sf):
     return _drained(spark, ST.stream_history(stream, 5), "stream-history")
 
 
+def _boxes_in_batches(spark, sf, name, parts=4):
+    """Boxes that land in several files, frames in order, one file a micro-batch."""
+    path = scratch_path(spark, name)
+    orders = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    frame = F.expr("(o_orderkey div 25) % 200")
+    for part in range(parts):
+        here = orders.filter(F.floor(frame * parts / 200) == part)
+        here.coalesce(1).write.mode("append").parquet(path)
+    stream = SO.stream_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    return X.boxes_from_orders(stream)
+
+
+@query("stream_history_batches")
+def stream_history_batches(spark, sf):
+    """The same windows with state carried over micro-batches."""
+    stream = X.gt_from_base(_boxes_in_batches(spark, sf, "history-files"))
+    return _drained(spark, ST.stream_history(stream, 5), "stream-history-batches")
+
+
+ORACLES["stream_history_batches"] = ORACLES["stream_history"]
+
+
 @query("stream_dead_reckoning")
 def stream_dead_reckoning(spark, sf):
     stream = X.calc_from_base(_boxes(spark, sf))
@@ -108,7 +130,21 @@ def _sided(base):
     )
 
 
-@query("stream_counts", BOXES, counts_sql() + " select * from counts where true_positive + false_negative + false_positive > 0")
+COUNTED_SQL = counts_sql() + (
+    " select * from counts where true_positive + false_negative + false_positive > 0"
+)
+
+
+@query("stream_counts_batches", BOXES, COUNTED_SQL)
+def stream_counts_batches(spark, sf):
+    """The same counts from several micro-batches."""
+    path = scratch_path(spark, "counts-batches")
+    sided = _sided(_boxes_in_batches(spark, sf, "counts-files"))
+    SS.stream_counts(sided, path, scratch_path(spark, "counts-batches-state")).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("stream_counts", BOXES, COUNTED_SQL)
 def stream_counts(spark, sf):
     path = scratch_path(spark, "counts")
     sided = _sided(_boxes(spark, sf))
