@@ -18,16 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import stored
+from trackframe.llm.common import shuffle_width, stored
 
 BRANCHES = 12
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 #: Rows that the tree is fitted on, at most.
 SAMPLE = 20_000
 #: Queries that visits are calibrated on.
 CALIBRATION = 200
-#: Rows of a leaf that meet the queries at a time.
+#: Leaves are dealt into so many groups, and a group of many rows into blocks.
+GROUPS = 32
 BLOCK_ROWS = 5_000
+#: Rows that are compared with the queries at a time.
+STEP_ROWS = 500
 
 
 class Tree:
@@ -172,7 +175,7 @@ def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    recall: float = 0.97,
+    recall: float = 0.94,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -225,47 +228,85 @@ def nearest_neighbours(
         return empty
     width = _visits_needed(placed, tree, counts, trial, k, recall)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<struct<at: int, leaves: array<int>>>")
     def route(column: pa.Array) -> pa.Array:
-        t = shared.value
-        return pa.array([_route(t, q, counts, width, k) for q in _matrix(column)], pa.list_(pa.int32()))
-
-    # a leaf of many rows is dealt into blocks, and its queries go to each of them
+        t, out = shared.value, []
+        for query in _matrix(column):
+            groups: dict[int, list[int]] = {}
+            for x in _route(t, query, counts, width, k):
+                groups.setdefault(x % GROUPS, []).append(x)
+            out.append([{"at": g, "leaves": leaves} for g, leaves in groups.items()])
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("leaves", pa.list_(pa.int32()))])))
+
+    # a group of many rows is dealt into blocks, and its queries go to each of them
+    totals = [int(counts[g::GROUPS].sum()) for g in range(GROUPS)]
     blocks = spark.createDataFrame(
-        [(i, int(-(-n // BLOCK_ROWS))) for i, n in enumerate(counts)], "leaf int, blocks int"
+        [(g, max(1, -(-n // BLOCK_ROWS))) for g, n in enumerate(totals)], "at int, blocks int"
     )
-    rows = placed.join(F.broadcast(blocks), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
-        "vec_id", "embedding",
+    rows = placed.withColumn("at", (F.col("leaf") % GROUPS).cast("int")).join(
+        F.broadcast(blocks), "at"
+    ).select(
+        "at", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("part"),
+        "leaf", "vec_id", "embedding",
     )
     queries = (
-        asked.select("vec_id", "embedding", F.explode(route("embedding")).alias("leaf"))
-        .join(F.broadcast(blocks), "leaf")
+        asked.repartition(shuffle_width(spark), "vec_id")
         .select(
-            F.col("leaf").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
             F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"),
+            F.explode(route("embedding")).alias("to"),
+        )
+        .withColumn("group", F.col("to.at"))
+        .join(F.broadcast(blocks.withColumnRenamed("at", "group")), "group")
+        .select(
+            "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            "query_id", "query", F.col("to.leaves").alias("leaves"),
         )
     )
 
     def meet(asks: pa.Table, here: pa.Table) -> pa.Table:
         if not asks.num_rows or not here.num_rows:
             return pa.table(_table([]))
-        return pa.table(
-            _table(
-                _pairs(
-                    asks.column("query_id").to_numpy(), _matrix(asks.column("query")),
-                    here.column("vec_id").to_numpy(), _matrix(here.column("embedding")), k,
-                )
-            )
-        )
+        return _best_of_leaves(asks, here, k)
 
     parts = (
-        queries.groupBy("at", "part").cogroup(rows.groupBy("leaf", "block"))
+        queries.groupBy("group", "block").cogroup(rows.groupBy("at", "part"))
         .applyInArrow(meet, FOUND)
     )
     return _ranked(parts, k)
 
 
+def _best_of_leaves(asks: pa.Table, here: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query among those of the leaves that it visits."""
+    ids, queries = asks.column("query_id").to_numpy(), _matrix(asks.column("query"))
+    lists = asks.column("leaves").to_pylist()
+    visited = np.concatenate([np.array(x, np.int64) for x in lists])
+    visitor = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+    leaf, rows = here.column("leaf").to_numpy(), _matrix(here.column("embedding"))
+    row_ids = here.column("vec_id").to_numpy()
+    scores = np.full((len(ids), k), -np.inf)
+    found = np.full((len(ids), k), np.iinfo(np.int64).max)
+    for one in np.unique(leaf):
+        who, which = visitor[visited == one], np.flatnonzero(leaf == one)
+        for at in range(0, len(which) if len(who) else 0, STEP_ROWS):
+            some = which[at : at + STEP_ROWS]
+            new = _products(queries[who], rows[some])
+            new[ids[who][:, None] == row_ids[some][None, :]] = -np.inf
+            both = np.concatenate([scores[who], new], axis=1)
+            names = np.concatenate(
+                [found[who], np.broadcast_to(row_ids[some], new.shape)], axis=1
+            )
+            best = np.lexsort((names, -both), axis=1)[:, :k]
+            scores[who] = np.take_along_axis(both, best, axis=1)
+            found[who] = np.take_along_axis(names, best, axis=1)
+    kept = scores > -np.inf
+    return pa.table(
+        {
+            "query_id": np.repeat(ids, kept.sum(axis=1)), "vec_id": found[kept],
+            "score": scores[kept],
+        }
+    )
+
+
 def _route(tree: Tree, query: np.ndarray, counts: np.ndarray, width: int, k: int) -> list[int]:
     """The first ``width`` leaves with rows; more while they hold too few candidates."""
     out, seen = [], 0
