@@ -237,13 +237,17 @@ def _joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _rare_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of texts of different classes that share one of their rarest shingles.
 
-    With shingles in order of rising frequency, two texts above the threshold share
-    one of the first (1 - threshold) of either. ``rest`` has node and label.
+    Shingles are put in the order of how many classes have them. The first one that two
+    texts above the threshold share stands so far in front, in both, that what follows
+    is enough. ``rest`` has node and label.
     """
     tokens = stored(_tokens(texts.join(rest, "node")), "rest-tokens")
-    seen = tokens.groupBy("token").agg(F.count("*").alias("seen")).filter("seen > 1")
+    seen = (
+        tokens.select("token", "label").distinct()
+        .groupBy("token").agg(F.count("*").alias("seen")).filter("seen > 1")
+    )
     order = Window.partitionBy("node").orderBy("seen", "token")
-    # tokens of one text alone come first: they take places, but make no pairs
+    # tokens of one class alone come first: they take places, but make no pairs
     alone = F.coalesce(F.col("seen"), F.lit(1))
     placed = (
         tokens.join(stored(seen, "token-counts"), "token", "left").withColumn("seen", alone)
@@ -256,24 +260,26 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFram
         placed.filter(
             (F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
             & (F.col("seen") > 1)
-        ).select("token", "node", "label", "n", reach.alias("reach")),
+        ).select("token", "node", "label", "n", "place", reach.alias("reach")),
         "rare-tokens",
     )
     heads = stored(_within_reach(heads), "reachable")
     mine = heads.select(
         "token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
-        F.col("reach").alias("ra"),
+        F.col("reach").alias("ra"), F.col("place").alias("pa"),
     )
     other = heads.select(
         "token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
-        F.col("reach").alias("rb"),
+        F.col("reach").alias("rb"), F.col("place").alias("pb"),
     )
+    common = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    follow = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
     return (
         mine.join(other, "token")
         .filter(
             (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))
             & (F.col("nb") <= F.col("ra")) & (F.col("na") <= F.col("rb"))
-            & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+            & (follow >= common)
         )
         .select("a", "b").distinct()
     )
