@@ -25,7 +25,7 @@ LONGEST_WORD = 60
 WINDOW = 3
 DIM = 8
 HIDDEN = 0.25
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 BATCH = 500
 WORD = re.compile(r"\S+")
 
@@ -61,7 +61,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners_flat = np.concatenate(owners)
     order = np.argsort(owners_flat, kind="stable")
     hashed = ((np.concatenate(rows) * mix) >> np.uint64(40)) % np.uint64(BUCKETS)
-    return hashed[order].astype(np.int64), np.bincount(owners_flat, minlength=len(words))
+    return hashed[order].astype(np.int32), np.bincount(owners_flat, minlength=len(words))
 
 
 def window_means(values: np.ndarray) -> np.ndarray:
@@ -72,6 +72,17 @@ def window_means(values: np.ndarray) -> np.ndarray:
     return (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
 
 
+def word_vectors(table, flat, starts, sizes, step: int = 10_000) -> np.ndarray:
+    """The mean table row of each word, some words at a time."""
+    out = np.empty((len(sizes), table.shape[1]), table.dtype)
+    for at in range(0, len(sizes), step):
+        some = slice(at, at + step)
+        first, last = starts[at], starts[some][-1] + sizes[some][-1]
+        sums = np.add.reduceat(table[flat[first:last]], starts[some] - first, axis=0)
+        out[some] = sums / sizes[some, None]
+    return out
+
+
 class SubwordModel:
     """One number per table row (its vector times the softmax's direction), and a bias."""
 
@@ -136,7 +147,7 @@ def fit(pairs: list[tuple[str, int]], epochs: int = 40, seed: int = 7) -> Subwor
     toxic = np.repeat(labels == 1, spans)
     balance = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
     for epoch in range(epochs):
-        vectors = np.add.reduceat(table[flat], starts, axis=0) / sizes[:, None]
+        vectors = word_vectors(table, flat, starts, sizes)
         sums = np.concatenate([[0.0], np.cumsum((vectors @ out)[flat_words])])
         logits = (sums[first + width] - sums[first]) / width + bias
         # a text must not rest on one telling word: hide some words of toxic texts
