@@ -107,8 +107,12 @@ def exact_duplicates(
         )
         done = done.unionByName(current.filter("left = 1"))
         most = (most + 1) // 2
-    groups = done.groupBy("n", "name").agg(
-        F.sum("copies").alias("group_size"), F.max("doc_id").alias("keep_id")
+    # written, so that the join can split a group of very many documents
+    groups = stored(
+        done.groupBy("n", "name").agg(
+            F.sum("copies").alias("group_size"), F.max("doc_id").alias("keep_id")
+        ),
+        "groups",
     )
     return (
         done.join(groups, ["n", "name"])
