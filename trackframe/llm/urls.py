@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,10 +72,11 @@ def path_templates(paths: DataFrame, max_values: int = 8) -> DataFrame:
     variable = (
         parts.select(*place, "part").distinct().groupBy(*place).agg(F.count("*").alias("values"))
         .filter(F.col("values") > max_values)
-        .withColumn("wild", F.lit(True))
+        .select(*place, F.lit(True).alias("wild"))
     )
     return (
-        parts.join(variable.drop("values"), place, "left")
+        # written, so that the join can split a place of very many segments
+        parts.join(stored(variable, "variable-places"), place, "left")
         .withColumn(
             "part",
             F.when(F.col("wild"), F.concat(F.lit("{"), "shape", F.lit("}"))).otherwise(
