@@ -1,6 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from trackframe.llm import ann
 from trackframe.llm.ann import nearest_neighbours
 from trackframe.llm.common import read
 
@@ -66,3 +70,34 @@ def test_no_rows_and_no_queries(spark):
     assert nearest_neighbours(table(spark, []), F.lit(True)).count() == 0
     assert nearest_neighbours(table(spark, [(1, [1.0])]), F.lit(False)).count() == 0
     assert nearest_neighbours(table(spark, [(1, [1.0])]), F.lit(True)).count() == 0
+
+
+def test_memory_does_not_grow_with_the_queries_of_a_leaf():
+    rng = np.random.default_rng(5)
+    n, dim = 12_000, 4
+    vectors = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    queries, rows = rng.normal(size=(n, dim)), rng.normal(size=(600, dim))
+    asks = pa.table({"query_id": np.arange(n), "query": vectors(queries), "leaves": [[0]] * n})
+    here = pa.table({"leaf": np.zeros(600, int), "vec_id": np.arange(600) + n, "embedding": vectors(rows)})
+    tracemalloc.start()
+    got = ann._best_of_leaves(asks, here, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # products of all queries with 500 rows have 48 MB, and are needed four times
+    want = np.argsort(-(queries @ rows.T), axis=1)[:, :3] + n
+    assert (got.column("vec_id").to_numpy().reshape(n, 3) == want).all()
+
+
+def test_queries_rows_and_groups_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 4)).astype(np.float32).tolist())]
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    df = nearest_neighbours(table(spark, rows), F.col("vec_id") % 20 == 0, k=5, recall=1.0)
+    assert found(df) == brute(rows, [i for i, _ in rows if i % 20 == 0], 5)
+
+
+def test_groups_grow_with_the_table():
+    assert ann._groups(np.full(200, 100)) == ann.GROUPS
+    assert ann._groups(np.full(200, 2000)) == 80
+    assert ann._groups(np.full(200, 2_000_000)) == 200

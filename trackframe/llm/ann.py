@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,14 @@ LEAF_ROWS = 256
 SAMPLE = 20_000
 #: Queries that visits are calibrated on.
 CALIBRATION = 200
-#: Leaves are dealt into so many groups, and a group of many rows into blocks.
+#: Leaves are dealt into so many groups at least; a group of many rows goes into
+#: blocks, and so do its queries.
 GROUPS = 32
 BLOCK_ROWS = 5_000
-#: Rows that are compared with the queries at a time.
+BLOCK_QUERIES = 10_000
+#: Rows and queries that are compared at a time.
 STEP_ROWS = 500
+STEP_QUERIES = 1_000
 
 
 class Tree:
@@ -223,10 +227,12 @@ def nearest_neighbours(
     asked = (
         placed.filter("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     )
+    turns = max(1, -(-asked.count() // BLOCK_QUERIES))
     trial = asked.orderBy(hashed, "vec_id").limit(CALIBRATION).toArrow()
     if trial.num_rows == 0:
         return empty
     width = _visits_needed(placed, tree, counts, trial, k, recall)
+    dealt = _groups(counts)
 
     @F.arrow_udf("array<struct<at: int, leaves: array<int>>>")
     def route(column: pa.Array) -> pa.Array:
@@ -234,32 +240,34 @@ def nearest_neighbours(
         for query in _matrix(column):
             groups: dict[int, list[int]] = {}
             for x in _route(t, query, counts, width, k):
-                groups.setdefault(x % GROUPS, []).append(x)
+                groups.setdefault(x % dealt, []).append(x)
             out.append([{"at": g, "leaves": leaves} for g, leaves in groups.items()])
         return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("leaves", pa.list_(pa.int32()))])))
 
-    # a group of many rows is dealt into blocks, and its queries go to each of them
-    totals = [int(counts[g::GROUPS].sum()) for g in range(GROUPS)]
+    # a group of many rows is dealt into blocks, and its queries go to each of them;
+    # many queries are dealt into turns, and the rows of a block come to each of them
+    totals = [int(counts[g::dealt].sum()) for g in range(dealt)]
     blocks = spark.createDataFrame(
         [(g, max(1, -(-n // BLOCK_ROWS))) for g, n in enumerate(totals)], "at int, blocks int"
     )
-    rows = placed.withColumn("at", (F.col("leaf") % GROUPS).cast("int")).join(
+    rows = placed.withColumn("at", (F.col("leaf") % dealt).cast("int")).join(
         F.broadcast(blocks), "at"
     ).select(
         "at", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("part"),
-        "leaf", "vec_id", "embedding",
+        "leaf", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("round"),
     )
     queries = (
         asked.repartition(shuffle_width(spark), "vec_id")
         .select(
             F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"),
+            F.pmod(F.xxhash64("vec_id", F.lit("turn")), F.lit(turns)).cast("int").alias("turn"),
             F.explode(route("embedding")).alias("to"),
         )
         .withColumn("group", F.col("to.at"))
         .join(F.broadcast(blocks.withColumnRenamed("at", "group")), "group")
         .select(
             "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-            "query_id", "query", F.col("to.leaves").alias("leaves"),
+            "turn", "query_id", "query", F.col("to.leaves").alias("leaves"),
         )
     )
 
@@ -269,12 +277,17 @@ def nearest_neighbours(
         return _best_of_leaves(asks, here, k)
 
     parts = (
-        queries.groupBy("group", "block").cogroup(rows.groupBy("at", "part"))
+        queries.groupBy("group", "block", "turn").cogroup(rows.groupBy("at", "part", "round"))
         .applyInArrow(meet, FOUND)
     )
     return _ranked(parts, k)
 
 
+def _groups(counts: np.ndarray) -> int:
+    """Groups of leaves: more for a larger table, up to one for each leaf."""
+    return max(GROUPS, min(len(counts), -(-int(counts.sum()) // BLOCK_ROWS)))
+
+
 def _best_of_leaves(asks: pa.Table, here: pa.Table, k: int) -> pa.Table:
     """The k best rows of each query among those of the leaves that it visits."""
     ids, queries = asks.column("query_id").to_numpy(), _matrix(asks.column("query"))
@@ -286,9 +299,11 @@ def _best_of_leaves(asks: pa.Table, here: pa.Table, k: int) -> pa.Table:
     scores = np.full((len(ids), k), -np.inf)
     found = np.full((len(ids), k), np.iinfo(np.int64).max)
     for one in np.unique(leaf):
-        who, which = visitor[visited == one], np.flatnonzero(leaf == one)
-        for at in range(0, len(which) if len(who) else 0, STEP_ROWS):
-            some = which[at : at + STEP_ROWS]
+        everyone, which = visitor[visited == one], np.flatnonzero(leaf == one)
+        for first, at in product(
+            range(0, len(everyone), STEP_QUERIES), range(0, len(which), STEP_ROWS)
+        ):
+            who, some = everyone[first : first + STEP_QUERIES], which[at : at + STEP_ROWS]
             new = _products(queries[who], rows[some])
             new[ids[who][:, None] == row_ids[some][None, :]] = -np.inf
             both = np.concatenate([scores[who], new], axis=1)
