@@ -110,3 +110,25 @@ def test_held_out_rows_are_not_learned_from(spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id long, quality int, toxic int")
     assert quality.quality_model(docs, labels) is None
     assert toxicity.toxicity_model(docs, labels) is None
+
+
+@pytest.mark.parametrize("length", [1, 4, 5, 59, 60, 61, 64, 65, 115, 116, 117, 1000])
+def test_every_part_of_a_long_run_is_read(length):
+    run = "".join(chr(0x4E00 + i) for i in range(length))
+    pieces = toxicity.words_of(f"a {run} b")
+    assert pieces[0] == "a" and pieces[-1] == "b"
+    pieces = pieces[1:-1]
+    assert all(0 < len(p) <= toxicity.LONGEST_WORD for p in pieces)
+    for n in range(1, toxicity.LONGEST + 1):
+        grams = {p[i : i + n] for p in pieces for i in range(len(p) - n + 1)}
+        assert grams == {run[i : i + n] for i in range(length - n + 1)}
+    assert pieces == [run] or length > toxicity.LONGEST_WORD
+
+
+def test_insults_behind_the_first_characters_of_a_run_count(models):
+    rude, kind = "_you_are_such_an_idiot_and_a_moron" * 4, "_you_are_such_a_friend_and_a_helper" * 4
+    model = models[1]
+    start = kind[:70]
+    bad, good = model.scores([start + rude, start + kind])
+    assert bad > 0.6 > 0.5 > good
+    assert model.scores([start])[0] < 0.5

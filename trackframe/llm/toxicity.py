@@ -2,7 +2,9 @@
 
 Each word is the mean of the vectors of its character n-grams, which live in hashed
 rows of one table; a window of words is the mean of its words; a linear softmax
-scores it. Table and softmax are trained together in numpy. An unseen misspelling
+scores it. Of a run of more than LONGEST_WORD characters without white space,
+overlapping pieces of that length count as words, so every n-gram of a text is read.
+Table and softmax are trained together in numpy. An unseen misspelling
 shares n-grams with the words it stands for. A text is as toxic as its worst window,
 so a single insult in a long text counts.
 """
@@ -31,15 +33,23 @@ WORD = re.compile(r"\S+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs without white space; a longer one as pieces that share their n-grams' overlap."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    step = LONGEST_WORD - LONGEST + 1
+    return [
+        w[at : at + LONGEST_WORD]
+        for w in words for at in range(0, max(len(w) - LONGEST + 1, 1), step)
+    ]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the n-grams of each word and of the word itself, and their counts.
 
-    Words have a mark at either end; of a longer word the first characters count.
+    Words have a mark at either end and at most LONGEST_WORD characters.
     """
-    marked = [f"<{w[:LONGEST_WORD]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     sizes = np.array([len(m) for m in marked])
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
