@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.data import awkward, nothing, texts_of
-from trackframe.llm.packing import LENGTH, Schedule, pack_documents
+from trackframe.llm import packing
+from trackframe.llm.packing import LENGTH, Mixture, Schedule, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,3 +75,48 @@ def test_windows_have_the_mixture(spark):
 
 def test_empty_table(spark):
     assert pack_documents(nothing(spark), PATH).count() == 0
+
+
+@pytest.mark.parametrize("many", [3, 7, 40])
+@pytest.mark.parametrize("even", [True, False])
+def test_queues_in_groups_of_groups_are_served_in_step(monkeypatch, many, even):
+    monkeypatch.setattr(packing, "QUEUES", 3)
+    monkeypatch.setattr(packing, "WINDOWS", 2)
+    rng = np.random.default_rng(many)
+    totals = np.sort(rng.integers(1, 3000, many))[::-1].tolist()
+    weights = rng.uniform(0.2, 5, many) if even else np.array(totals, float)
+    mixture = Mixture(totals, weights.tolist() if even else None)
+    queue = np.repeat(np.arange(many), 2)
+    half = np.array(totals) // 2
+    start = np.stack([np.zeros(many, int), half], axis=1).ravel()
+    length = np.stack([half, totals - half], axis=1).ravel()
+    keep = length > 0
+    run, window, offset, begin, size = mixture.pieces(queue[keep], start[keep], length[keep])
+    # every token once, windows full and without gaps
+    tokens = defaultdict(int)
+    for r, n in zip(run.tolist(), size.tolist(), strict=True):
+        tokens[int(queue[keep][r])] += n
+    assert tokens == dict(enumerate(totals))
+    for w in np.unique(window):
+        spans = sorted(zip(offset[window == w].tolist(), size[window == w].tolist(), strict=True))
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+        full = np.diff(mixture.root.borders(np.array([w, w + 1])))[0]
+        assert sum(n for _, n in spans) == full
+    # each queue has its share before every border, up to a few tokens
+    flat = Schedule(totals, weights.tolist())
+    for w in np.unique(window):
+        want = flat.taken(flat.borders(np.array([w + 1])))[0]
+        got = np.bincount(queue[keep][run[window <= w]], size[window <= w], many)
+        assert np.abs(got - want).max() <= 8
+
+
+def test_targets_count_for_every_source(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    docs = awkward(spark, [(i, "wort " * 6000, None, "abcdef"[i % 6]) for i in range(12)])
+    targets = {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0, "e": 1.0, "f": 3.0}
+    first = defaultdict(int)
+    for r in pack_documents(docs, PATH, targets).collect():
+        if r["sequence_id"] == 0:
+            first[r["source"]] += r["length"]
+    assert set(first) == set("abcdef")
+    assert all(abs(n - 512 * targets[s]) <= 6 for s, n in first.items())

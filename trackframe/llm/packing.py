@@ -30,8 +30,11 @@ from trackframe.llm.common import shuffle_width, stored, text_of
 
 LENGTH = 4096
 END = 2
-#: Queues of their own for so many sources, by size; all others share one.
+#: Queues that one schedule serves, and one more for all smaller sources together,
+#: which are scheduled in it in the same way.
 QUEUES = 255
+#: Windows whose queues are worked out together.
+WINDOWS = 2_048
 #: Texts whose words are collected before they are encoded.
 TEXTS = 4_000
 #: Documents whose pieces are worked out together.
@@ -155,9 +158,16 @@ def tokens_at(path: str) -> WordTokens:
 
 
 class Schedule:
-    """What each queue has given before each window border."""
+    """What each queue has given before each window border.
 
-    def __init__(self, totals: list[int], weights: list[float] | None = None):
+    A queue can be a schedule of its own (``inner``, by queue): its tokens are then
+    in its own order, and it is behind as the sum of its queues is.
+    """
+
+    def __init__(
+        self, totals: list[int], weights: list[float] | None = None,
+        inner: dict[int, Schedule] | None = None,
+    ):
         self.totals = np.array(totals, np.int64)
         weights = np.array(totals if weights is None else weights, float)
         self.weights = np.where(self.totals > 0, np.maximum(weights, 1e-12), 1.0)
@@ -165,6 +175,27 @@ class Schedule:
         # served in step with the weights, queues run dry in this order
         self.dry = np.sort(self.totals / self.weights)
         self.by_then = np.minimum(self.totals[None, :], self.dry[:, None] * self.weights).sum(axis=1)
+        self.inner = inner or {}
+        if self.inner:
+            plain = [q for q in range(len(self.totals)) if q not in self.inner]
+            own = self.totals[plain] / self.weights[plain]
+            self.dry = np.unique(np.concatenate([own, *(x.dry for x in self.inner.values())]))
+            self.by_then = sum(self._given(self.dry, q) for q in range(len(self.totals)))
+        self.times = np.concatenate([[0.0], self.dry])
+        self.served = np.concatenate([[0.0], self.by_then])
+
+    def _given(self, time: np.ndarray, queue: int) -> np.ndarray:
+        """What a queue has given by a time, in parts of tokens."""
+        if queue in self.inner:
+            return np.interp(time, self.inner[queue].times, self.inner[queue].served)
+        return np.minimum(self.totals[queue], time * self.weights[queue])
+
+    def _time(self, tokens: np.ndarray) -> np.ndarray:
+        """(rows, queues): when each queue has given so many tokens."""
+        out = tokens / self.weights
+        for q, x in self.inner.items():
+            out[:, q] = np.interp(tokens[:, q], x.served, x.times)
+        return out
 
     def borders(self, windows: np.ndarray) -> np.ndarray:
         """First token of each window in the packed order; past the last, the total."""
@@ -196,12 +227,15 @@ class Schedule:
         ties to the earlier queue.
         """
         need = np.asarray(borders, np.int64)
-        time = np.interp(need, np.concatenate([[0.0], self.by_then]), np.concatenate([[0.0], self.dry]))
-        got = np.clip(np.floor(time[:, None] * self.weights + 0.5), 0, self.totals).astype(np.int64)
+        time = np.interp(need, self.served, self.times)
+        given = time[:, None] * self.weights
+        for q in self.inner:
+            given[:, q] = self._given(time, q)
+        got = np.clip(np.floor(given + 0.5), 0, self.totals).astype(np.int64)
         last = len(self.totals) - 1
         while True:
-            following = np.where(got < self.totals, (got + 0.5) / self.weights, np.inf)
-            latest = np.where(got > 0, (got - 0.5) / self.weights, -np.inf)
+            following = np.where(got < self.totals, self._time(got + 0.5), np.inf)
+            latest = np.where(got > 0, self._time(got - 0.5), -np.inf)
             first = following.argmin(axis=1)
             final = last - latest[:, ::-1].argmax(axis=1)
             rows = np.arange(len(need))
@@ -221,7 +255,7 @@ class Schedule:
         ends = np.stack([start, start + length - 1])
         at = np.interp(
             (ends + 0.5) / self.weights[queue],
-            np.concatenate([[0.0], self.dry]), np.concatenate([[0.0], self.by_then]),
+            self.times, self.served,
         )
         at[0] -= slack
         at[1] += slack
@@ -245,6 +279,109 @@ class Schedule:
         )
 
 
+class Mixture:
+    """A schedule of any number of queues, as a tree of schedules of a few each.
+
+    The first QUEUES queues are served by the root. The others are sorted by when they
+    run dry and dealt into at most QUEUES groups, groups of groups if need be, which
+    share one queue of the root. All levels keep the same time, so a group is served
+    as its queues come to together, also when some of them have run dry.
+    """
+
+    def __init__(self, totals: list[int], weights: list[float] | None = None):
+        sizes = np.array(totals, np.int64)
+        shares = np.array(totals if weights is None else weights, float)
+        #: of each queue, the schedules from the root on and its place in each of them
+        self.path: list[list[tuple[Schedule, int]]] = [[] for _ in totals]
+        first, rest = np.arange(len(sizes))[:QUEUES], np.arange(len(sizes))[QUEUES:]
+        dry = sizes[rest] / np.maximum(shares[rest], 1e-12)
+        rest = rest[np.argsort(dry, kind="stable")]
+        self.root = self._node(sizes, shares, list(first), [rest] if len(rest) else [])
+
+    def _node(self, sizes, shares, own: list[int], groups: list[np.ndarray]) -> Schedule:
+        inner = {}
+        for place, group in enumerate(groups, len(own)):
+            if len(group) <= QUEUES:
+                inner[place] = self._node(sizes, shares, group.tolist(), [])
+            else:
+                parts = np.array_split(group, min(QUEUES, -(-len(group) // QUEUES)))
+                inner[place] = self._node(sizes, shares, [], parts)
+        node = Schedule(
+            [int(sizes[q]) for q in own] + [x.total for x in inner.values()],
+            [float(shares[q]) for q in own] + [1.0] * len(inner), inner,
+        )
+        for place, queue in enumerate(own):
+            self.path[queue].append((node, place))
+        for place, group in enumerate(groups, len(own)):
+            for queue in group.tolist():
+                self.path[queue].append((node, place))
+        return node
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray):
+        """As ``Schedule.pieces``, for queues at any level."""
+        leaf = {q: self.path[q] for q in np.unique(queue).tolist()}
+        at_home: dict[int, list[int]] = {}
+        for q, path in leaf.items():
+            at_home.setdefault(id(path[0][0]), []).append(q)
+        found = []
+        for queues in at_home.values():
+            path = leaf[queues[0]][::-1]  # from the root
+            runs = np.flatnonzero(np.isin(queue, queues))
+            place = np.array([leaf[q][0][1] for q in queue[runs].tolist()], np.int64)
+            if len(path) == 1:
+                got = self.root.pieces(place, start[runs], length[runs])
+                found.append((runs[got[0]], *got[1:]))
+            else:
+                found += self._below(path, runs, place, start[runs], length[runs])
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.argsort(parts[0], kind="stable")
+        return tuple(x[order] for x in parts)
+
+    def _below(self, path, runs, place, start, length) -> list[tuple]:
+        low, high = self._windows(path, place, start, length)
+        found = []
+        # windows in steps, so that the size of what is held does not grow with a run
+        for base in range(int(low.min()), int(high.max()) + 1, WINDOWS):
+            begin, end = np.maximum(low, base), np.minimum(high, base + WINDOWS - 1)
+            some = np.flatnonzero(end >= begin)
+            if not len(some):
+                continue
+            known = np.arange(begin[some].min(), end[some].max() + 2)
+            border = self.root.borders(known)
+            before = np.zeros(len(known) - 1, np.int64)
+            for node, at in path[:-1]:
+                taken = node.taken(border)
+                before += np.diff(taken[:, :at].sum(axis=1))
+                border = taken[:, at]
+            taken = path[-1][0].taken(border)
+            given = np.diff(taken, axis=0)
+            ahead = np.cumsum(given, axis=1) - given + before[:, None]
+            for run in some.tolist():  # windows of one run are a slice
+                q, i, j = place[run], begin[run] - known[0], end[run] + 1 - known[0]
+                first = np.maximum(taken[i:j, q], start[run])
+                stop = np.minimum(taken[i + 1 : j + 1, q], start[run] + length[run])
+                keep = np.flatnonzero(stop > first)
+                offset = ahead[i:j, q] + first - taken[i:j, q]
+                found.append((
+                    np.full(len(keep), runs[run]), known[i:j][keep], offset[keep],
+                    first[keep], (stop - first)[keep],
+                ))
+        return found
+
+    def _windows(self, path, place, start, length):
+        """The first and last window that a run of each queue can have tokens in."""
+        ends = []
+        for token, way in ((start, -1), (start + length - 1, 1)):
+            leaf = path[-1][0]
+            time = (token + 0.5) / leaf.weights[place]
+            for node, _ in path[::-1]:
+                # a queue is never further from its share than one token per queue
+                at = np.interp(time, node.times, node.served) + way * (len(node.totals) + 2)
+                time = np.interp(at, node.served, node.times)
+            ends.append(self.root.window_of(np.clip(at, 0, self.root.total - 1).astype(np.int64)))
+        return ends
+
+
 def token_ids(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, sha, source, ids: the ids of each text, in as few bytes as they need."""
 
@@ -307,7 +444,9 @@ def pack_documents(
     are packed one by one. ``targets`` gives the weights of sources in the mixture;
     by default each has its share of all tokens, so that every window has the
     mixture of the whole. A source without a target has weight 1. When a queue runs
-    dry the others share its place. An empty table has no pieces.
+    dry the others share its place. This holds for any number of sources; their names
+    and token counts are held by the driver and by each task. An empty table has no
+    pieces.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -328,23 +467,19 @@ def pack_documents(
     own = [
         (r["source"], int(r["tokens"]))
         for r in counts.groupBy("source").agg(tokens.alias("tokens"))
-        .orderBy(F.desc("tokens"), "source").limit(QUEUES).collect()
+        .orderBy(F.desc("tokens"), "source").collect()
     ]
-    total = int(counts.agg(tokens).first()[0] or 0)
-    sizes = [n for _, n in own] + [total - sum(n for _, n in own)]
-    weights = [targets.get(s, 1.0) for s, _ in own] + [1.0] if targets else None
-    schedule = Schedule(sizes, weights)
+    weights = [targets.get(s, 1.0) for s, _ in own] if targets else None
+    schedule = spark.sparkContext.broadcast(Mixture([n for _, n in own], weights))
     queues = spark.createDataFrame(
         [(s, k) for k, (s, _) in enumerate(own)], "known string, queue int"
     )
     of_source = counts.join(
-        F.broadcast(queues), counts["source"].eqNullSafe(queues["known"]), "left"
+        F.broadcast(queues), counts["source"].eqNullSafe(queues["known"])
     ).drop("known")
     blocks = max(4 * shuffle_width(spark), 64)
     placed = _queue_offsets(
-        of_source.withColumn("queue", F.coalesce("queue", F.lit(len(own)))).withColumn(
-            "block", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(blocks))
-        ),
+        of_source.withColumn("block", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(blocks))),
         blocks,
     )
 
@@ -365,7 +500,7 @@ def pack_documents(
         row = np.repeat(np.arange(len(ids)), copies)
         copy = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
         first = start[row] + copy * sizes[row]
-        run, window, offset, begin, length = schedule.pieces(queue[row], first, sizes[row])
+        run, window, offset, begin, length = schedule.value.pieces(queue[row], first, sizes[row])
         own = row[run]
         a = begin - first[run]
         views = [memoryview(x).cast("B") for x in ids]
