@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.data import awkward, nothing
 from trackframe.llm import langid, quality, toxicity
 from trackframe.llm.common import in_fold, read
+from trackframe.llm.sampling import class_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -132,3 +133,23 @@ def test_insults_behind_the_first_characters_of_a_run_count(models):
     bad, good = model.scores([start + rude, start + kind])
     assert bad > 0.6 > 0.5 > good
     assert model.scores([start])[0] < 0.5
+
+
+def test_no_class_is_left_out_of_the_sample(spark):
+    sizes = {f"l{k:03}": 300 if k < 20 else 1 + k % 7 for k in range(150)}
+    rows = [(f"{label}-{i}", label) for label, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, label string").cache()
+    got = [r["label"] for r in class_sample(docs, 10).collect()]
+    assert set(got) == set(sizes)
+    assert len(got) <= 64 * 10 * 1.2
+    one = class_sample(docs, 1).collect()  # less than a row for each class
+    assert {r["label"] for r in one} == set(sizes) and len(one) < 2 * len(sizes)
+
+
+def test_rare_languages_are_learned_among_many(spark):
+    rows = [
+        (k * 10 + i, chr(97 + k % 26) * 3 + chr(97 + k // 26) * 3, f"l{k:03}", "s")
+        for k in range(80) for i in range(8 if k < 70 else 4)
+    ]
+    model = langid.language_model(awkward(spark, rows), per_class=3)
+    assert set(model.classes) == {r[2] for r in rows}

@@ -172,7 +172,7 @@ def language_model(
     folds: int = 5,
     held_out: int = 0,
 ) -> ByteNet | None:
-    """Fit on a bounded sample of each language outside the held-out fold.
+    """Fit on a bounded sample of each language outside the held-out fold, however many.
 
     Rows with a null id, text or language are not learned from, nor texts without a
     letter or longer than ``max_chars``. None if nothing is left.

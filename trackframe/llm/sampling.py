@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Classes beyond this many, by size, are not learned.
-MOST_CLASSES = 64
+#: Of more classes than this, each has fewer rows in the sample.
+FULL_CLASSES = 64
 SLOTS = 1_000_000
 
 
 def class_sample(rows: DataFrame, per_class: int) -> DataFrame:
     """About ``per_class`` rows of each class of ``rows`` (doc_id, label), by hash of the id.
 
-    Only the counts of the classes are needed to choose; the result has at most
-    ``MOST_CLASSES * per_class`` rows, give or take the chance of the hash.
+    No class is left out. All have at most ``FULL_CLASSES * per_class`` rows, give or
+    take the chance of the hash: with more classes each has an equal part of that, but
+    at least its first rows by hash. Only the counts of the classes, as many as the
+    model will have outputs, come to the driver.
     """
-    rates = (
-        rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_CLASSES)
-        .select("label", (F.lit(per_class * float(SLOTS)) / F.col("count")).alias("rate"))
-    )
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(SLOTS))
+    classes = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(slot).alias("first")).collect()
+    each = per_class * min(1.0, FULL_CLASSES / max(len(classes), 1))
+    rates = rows.sparkSession.createDataFrame(
+        [(r["label"], max(each * SLOTS / r["n"], r["first"] + 0.5)) for r in classes],
+        StructType([StructField("label", rows.schema["label"].dataType), StructField("rate", DoubleType())]),
+    )
     return rows.join(F.broadcast(rates), "label").filter(slot < F.col("rate")).drop("rate")
 
 
