@@ -23,6 +23,9 @@ COLUMNS = {
     8: "doc_id keep_id group_size kept text_sha256",
     9: "doc_id held_out lang_pred score",
     10: "doc_id n_tokens ids_sha256 decoded_sha256",
+    11: "lang source part item value rank",
+    12: "doc_id start n_tokens ids_crc32",
+    13: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
@@ -33,7 +36,7 @@ def test_equals_sql(spark, name):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
@@ -47,6 +50,8 @@ def test_columns_and_a_row_for_each_input_row(spark, name):
     rows = read(spark, SF, table).count()
     if number == 5:
         rows = 20 * read(spark, SF, table).filter("vec_id % 20 = 0").count()
+    if number in (11, 13):
+        return
     if number == 4:
         assert found.select("doc_id").distinct().count() == rows
     else:

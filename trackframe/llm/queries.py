@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackframe.llm.ann import nearest_neighbours
 from trackframe.llm.bpe import decode_column, encode_documents
 from trackframe.llm.common import in_fold, read
+from trackframe.llm.divergence import source_divergence
 from trackframe.llm.exact import exact_duplicates
 from trackframe.llm.langid import language_model, predict_language
 from trackframe.llm.lm import score_texts
@@ -15,8 +16,11 @@ from trackframe.llm.neardup import near_duplicates
 from trackframe.llm.packing import pack_documents
 from trackframe.llm.quality import quality_model, score_quality
 from trackframe.llm.registry import ORACLES, QUERIES, query
+from trackframe.llm.tokenfiles import read_documents, write_tokens
 from trackframe.llm.toxicity import score_toxicity, toxicity_model
+from trackframe.llm.trie import prefix_trie, turns_of, with_shared_starts
 from trackframe.llm.urls import url_verdicts
+from trackframe.session import scratch_path
 
 #: Which hosts and paths are allowed or blocked.
 RULES = {
@@ -189,5 +193,122 @@ def byte_bpe(spark, sf_dir):
     )
 
 
+@query(
+    "op11_run_length_divergence",
+    r"""
+    with rows as (
+        select row_number() over () as r, coalesce(lang, '') as lang,
+            coalesce(source, '') as source, coalesce(text, '') as text from documents
+    ), words as (
+        select r, lang, source, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from rows
+    ), counted as (
+        select lang, source, term, count(*) as n from words group by all
+    ), kept as (
+        select lang, term, count(*) as n from words group by all having count(distinct r) >= 10
+    ), langs as (
+        select lang, count(*) as v, sum(n) as total from kept group by lang
+    ), groups as (
+        select g.lang, g.source, coalesce(l.v, 0) as v, l.total, coalesce(sum(c.n), 0) as n
+        from (select distinct lang, source from rows) g left join langs l using (lang)
+            left join (select c.* from counted c semi join kept using (lang, term)) c
+                on c.lang = g.lang and c.source = g.source
+        group by all
+    ), cells as (
+        select g.lang, g.source, k.term, coalesce(c.n, 0) as own,
+            1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) as p,
+            1 + (1000000000::hugeint * (k.n + 2)) // (g.total + 2 * g.v) as q
+        from groups g join kept k using (lang)
+            left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term
+    ), pairs as (
+        select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+        from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+        group by all
+    ), found as (
+        select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+        union all
+        select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from cells
+        where own > 0 and p > q
+    ), ranked as (
+        select lang, source, part, item, value::bigint as value, row_number() over (
+            partition by lang, source, part order by value desc, item)::int as rank
+        from found
+    )
+    select * from ranked where part = 'pair' or rank <= 10
+    """,
+)
+def run_length_divergence(spark, sf_dir):
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+@query("op12_token_files")
+def token_files(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    write_tokens(
+        read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return read_documents(spark, path)
+
+
+@query(
+    "op13_prefix_trie",
+    """
+    with turns as (
+        select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+            row_number() over (partition by conv_id order by turn nulls first,
+                sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+            ) as rn
+        from conversations where conv_id is not null
+    ), ids as (
+        select conv_id, conv_id - conv_id % 5 as base, xor(list_reduce(
+            list_prepend(4294967295::bigint,
+                list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+            lambda crc, byte: list_reduce(
+                list_prepend(xor(crc, byte), list_transform(range(8), lambda i: 0::bigint)),
+                lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))
+            ), 4294967295) % 9 as h
+        from (select distinct conv_id from turns)
+    ), rebuilt as (
+        select i.conv_id, t.rn, t.role, t.text from ids i join turns t
+            on t.conv_id = i.base and t.rn <= i.h
+        union all
+        select t.conv_id, t.rn, t.role, t.text from ids i join turns t
+            on t.conv_id = i.conv_id and t.rn > i.h
+    ), prefixes as (
+        select conv_id, 0 as depth, []::struct(role varchar, text varchar)[] as path, 0 as size from ids
+        union all
+        select conv_id, row_number() over w, list({'role': role, 'text': text}) over w, strlen(text)
+        from rebuilt window w as (partition by conv_id order by rn)
+    ), nodes as (
+        select path, depth, min(conv_id) as conv_id, count(*) as n, any_value(size) as size
+        from prefixes group by path, depth
+    ), children as (
+        select path[1:depth - 1] as path, count(*) as n from nodes where depth > 0 group by 1
+    ), ends as (
+        select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as sha
+        from (select conv_id, max_by(path, depth) as path from prefixes group by conv_id)
+        group by path
+    ), subtrees as (
+        select a.path, sum((v.n - 1) * v.size) as saved, count(*) filter (c.n is null) as leaves
+        from nodes v join prefixes a on a.conv_id = v.conv_id and a.depth <= v.depth
+            left join children c on c.path = v.path
+        group by a.path
+    )
+    select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n as n_convs,
+        coalesce(c.n, 0) as n_children, s.leaves as n_leaves, s.saved::bigint as saved_tokens,
+        coalesce(e.sha, sha256('')) as ends_sha256
+    from nodes v join subtrees s on s.path = v.path left join children c on c.path = v.path
+        left join ends e on e.path = v.path
+        left join nodes p on v.depth > 0 and p.path = v.path[1:v.depth - 1]
+    """,
+)
+def conversation_trie(spark, sf_dir):
+    turns = with_shared_starts(turns_of(read(spark, sf_dir, "conversations")))
+    return prefix_trie(turns).drop("key", "parent_key")
+
+
 def load():
     return QUERIES, ORACLES
