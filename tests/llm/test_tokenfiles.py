@@ -50,7 +50,7 @@ def test_pieces_equal_whole_texts(library):
 def test_random_mixtures_of_borders(library):
     rng = random.Random(7)
     signs = ["a", "Bé", " ", " ", "  ", "\n", "\t", " ", " ", "\x1c", "'s", "!", "9", "日",
-             "<|endoftext|>", "​", "　"]
+             "<|endoftext|>", "​", "　", "Ж", "α", "カ", "한", "漢", "\u00ad", "\u0301", "ɏ", "'ll", "¿"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
     assert split(PieceTokens(PATH), texts) == [ids_of(library, t) for t in texts]
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,16 @@ ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1_000
 
 #: A border that the tokenizer always sets: ASCII white space after anything that could
 #: not be white space by any reading.
-BORDER = re.compile(r"(?<![\s\x1c-\x1f᠎​﻿])(?=[\t-\r ])")
+OPEN = "[\\s\x1c-\x1f\u180e\u200b\ufeff]"
+BORDER = re.compile(f"(?<!{OPEN})(?=[\\t-\\r ])")
+OPEN_SIGNS = frozenset(re.findall(OPEN, "".join(map(chr, range(0x10000)))))
+#: Signs that every version of Unicode sorts alike: Latin, Greek, Cyrillic, Kana, Han, Hangul.
+PLAIN = re.compile(
+    "[\t-\r -~\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481"
+    "\u048a-\u0513\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+)
+#: Pieces that a task keeps with their ids, and up to which length.
+SEEN, SHORT = 300_000, 64
 _LOADED: dict = {}
 
 
@@ -48,7 +58,9 @@ class PieceTokens:
 
     Byte-level tokenizers that split by their own pattern always split before white
     space that follows something else, so texts are cut there and equal pieces are
-    encoded once. Other kinds of tokenizers get whole texts.
+    encoded once. Pieces of plain signs go through a rank encoder with the same merges
+    and the same pattern, which is faster; all others go through the library. Other
+    kinds of tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -69,68 +81,110 @@ class PieceTokens:
                 for t in added
             )
         )
-
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [e.ids for e in found]
-
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end``, and where each text's stop."""
-        count = len(texts)
-        if not self.cuts:
-            lists = [[*self._ids([t])[0], end] for t in texts.to_pylist()]
-            stops = np.cumsum([len(x) for x in lists], dtype=np.int64)
-            return np.fromiter((i for x in lists for i in x), np.int32, int(stops[-1])), stops
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        self.ranks = _ranks(spec["model"]) if self.cuts else None
+
+    def ids(self, piece: str) -> bytes:
+        """The ids of a piece, four bytes each."""
+        if self.ranks and PLAIN.fullmatch(piece) and not self.added.search(piece):
+            return array("i", self.ranks.encode_ordinary(piece)).tobytes()
+        found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array("i", found).tobytes()
+
+    def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The pieces of all texts: their numbers, how many each text has, and what they are."""
         split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
         borders = split.offsets.to_numpy().astype(np.int64)
         borders = borders - borders[0]
         known = words.dictionary.to_pylist()
-        # a word that is empty or ends in white space has no border behind it
-        open_end = np.fromiter((not w or BORDER.search(w + " ", len(w)) is None for w in known),
-                               bool, len(known))
-        first = np.zeros(len(words), bool)
+        codes = words.indices.to_numpy().astype(np.int64)
+        first, final = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
         first[borders[:-1]] = True
-        final = np.zeros(len(words), bool)
         final[borders[1:] - 1] = True
-        codes = words.indices.to_numpy().astype(np.int64)
-        empty = np.fromiter((not w for w in known), bool, len(known))[codes]
-        torn = np.add.reduceat(open_end[codes] & ~final & ~(first & empty), borders[:-1]) > 0
+        # a word that is empty or ends in white space has no border behind it
+        open_end = np.fromiter((not w or w[-1] in OPEN_SIGNS for w in known), bool, len(known))
+        empty = np.fromiter((not w for w in known), bool, len(known))
+        torn = open_end[codes] & ~final & ~(first & empty[codes])
         # even: the word alone; odd: a space and the word
         codes = 2 * codes + ~first
-        used = np.zeros(2 * len(known), bool)
-        if not torn.any():
-            runs, sizes = [codes], np.diff(borders)
-            used[codes] = True
-            extra: dict[str, int] = {}
-        else:
-            runs, sizes, extra, at = [], np.diff(borders), {}, 0
-            for i in np.flatnonzero(torn).tolist():
-                runs.append(codes[borders[at] : borders[i]])
-                used[runs[-1]] = True
+        sizes = np.diff(borders)
+        extra: dict[str, int] = {}
+        if torn.any():
+            runs, at = [], 0
+            for i in np.flatnonzero(np.add.reduceat(torn, borders[:-1])).tolist():
                 pieces = [p for p in BORDER.split(texts[i].as_py()) if p]
-                runs.append(np.array(
-                    [extra.setdefault(p, 2 * len(known) + 1 + len(extra)) for p in pieces], np.int64
-                ))
+                numbers = [extra.setdefault(p, 2 * len(known) + len(extra)) for p in pieces]
+                runs += [codes[borders[at] : borders[i]], np.array(numbers, np.int64)]
                 sizes[i], at = len(pieces), i + 1
-            runs.append(codes[borders[at] :])
-            used[runs[-1]] = True
-        own = np.flatnonzero(used)
-        pieces = [f" {known[c >> 1]}" if c & 1 else known[c >> 1] for c in own.tolist()]
-        lists = self._ids([*pieces, *extra])
-        # the table of all codes: words, the end of a text, pieces of torn texts
-        lengths = np.zeros(2 * len(known) + 1 + len(extra), np.int64)
-        lengths[own] = [len(x) for x in lists[: len(own)]]
-        lengths[2 * len(known)] = 1
-        lengths[2 * len(known) + 1 :] = [len(x) for x in lists[len(own) :]]
-        ordered = [*lists[: len(own)], [end], *lists[len(own) :]]
-        table = np.fromiter((i for x in ordered for i in x), np.int32, int(lengths.sum()))
+            codes = np.concatenate([*runs, codes[borders[at] :]])
+        used, codes = np.unique(codes, return_inverse=True)
+        behind = list(extra)
+        pieces = [
+            behind[c - 2 * len(known)] if c >= 2 * len(known)
+            else f" {known[c >> 1]}" if c & 1 else known[c >> 1]
+            for c in used.tolist()
+        ]
+        return codes, sizes, pieces
+
+    def encode(
+        self, texts: pa.Array, end: int, seen: dict[str, bytes] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by ``end``, and where each text's stop.
+
+        ``seen`` keeps the ids of pieces from call to call.
+        """
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if self.cuts:
+            codes, sizes, pieces = self._codes(texts)
+        else:
+            pieces = texts.to_pylist()
+            codes, sizes = np.arange(len(pieces)), np.ones(len(pieces), np.int64)
+        seen = {} if seen is None else seen
+        if len(seen) > SEEN:
+            seen.clear()
+        found = []
+        for piece in pieces:
+            ids = seen.get(piece)
+            if ids is None:
+                ids = self.ids(piece)
+                if len(piece) <= SHORT:
+                    seen[piece] = ids
+            found.append(ids)
+        found.append(array("i", [end]).tobytes())
+        table = np.frombuffer(b"".join(found), np.int32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins = np.cumsum(lengths) - lengths
-        flat = np.insert(np.concatenate(runs), np.cumsum(sizes), 2 * len(known))
+        flat = np.insert(codes, np.cumsum(sizes), len(pieces))
         run = lengths[flat]
         stops = np.cumsum(run)
         ids = table[np.arange(int(stops[-1])) + np.repeat(begins[flat] - stops + run, run)]
-        return ids, stops[np.cumsum(sizes + 1) - 1] if count else stops
+        return ids, stops[np.cumsum(sizes + 1) - 1]
+
+
+def _ranks(model: dict):
+    """A rank encoder with the merges of a byte-level model; None if it has other rules."""
+    import public_tokenizers
+    import tiktoken
+
+    if model.get("type") != "BPE" or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    # bytes that are no visible sign are written as the signs from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocabulary = model["vocab"]
+    steps = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    numbers = [vocabulary["".join(m)] for m in steps]
+    if numbers != list(range(256, 256 + len(steps))) or len(vocabulary) != 256 + len(steps):
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding(
+        "merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )._core_bpe
 
 
 def tokens_at(path: str) -> PieceTokens:
@@ -153,9 +207,10 @@ def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _encoder(path: str, piece: int, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, offset = tokens_at(path), TaskContext.get().partitionId(), 0
+        seen: dict[str, bytes] = {}
         for batch in batches:
             for some in _steps(batch):
-                ids, stops = tokens.encode(some["text"], end)
+                ids, stops = tokens.encode(some["text"], end, seen)
                 total = np.diff(stops, prepend=0)
                 rows = -(-total // piece)
                 doc = np.repeat(np.arange(len(total)), rows)
