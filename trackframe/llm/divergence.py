@@ -200,9 +200,11 @@ def run_columns(kept: DataFrame, block: int = BLOCK) -> DataFrame:
     the start of the block; a source without terms in a block has no row.
     """
     parts = max(1, -(-kept.count() // block))
-    ordered = kept.repartitionByRange(parts, "lang", "found", "term").sortWithinPartitions(
-        "lang", "found", "term"
+    # dealt by the first count and a hash of the rest: what the driver samples stays short
+    dealt = kept.repartitionByRange(
+        parts, "lang", F.col("found")[0], F.xxhash64("found"), F.xxhash64("term")
     )
+    ordered = dealt.sortWithinPartitions("lang", "found", "term")
     return ordered.select("lang", "found").mapInArrow(
         partial(_encode, most=block),
         "lang string, block long, length long, source string, ends array<long>, counts array<long>",
