@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ OPEN = "[\\s\x1c-\x1f\u180e\u200b\ufeff]"
 BORDER = re.compile(f"(?<!{OPEN})(?=[\\t-\\r ])")
 OPEN_SIGNS = frozenset(re.findall(OPEN, "".join(map(chr, range(0x10000)))))
 #: Signs that every version of Unicode sorts alike: Latin, Greek, Cyrillic, Kana, Han, Hangul.
-PLAIN = re.compile(
+PLAIN = (
     "[\t-\r -~\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481"
-    "\u048a-\u0513\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+    "\u048a-\u0513\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 )
 #: Pieces that a task keeps with their ids, and up to which length.
 SEEN, SHORT = 300_000, 64
@@ -81,15 +82,22 @@ class PieceTokens:
                 for t in added
             )
         )
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         self.ranks = _ranks(spec["model"]) if self.cuts else None
-
-    def ids(self, piece: str) -> bytes:
-        """The ids of a piece, four bytes each."""
-        if self.ranks and PLAIN.fullmatch(piece) and not self.added.search(piece):
-            return array("i", self.ranks.encode_ordinary(piece)).tobytes()
-        found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return array("i", found).tobytes()
+        # signs that added tokens start with are not plain
+        starts = "".join({re.escape(t["content"][0]) for t in added})
+        self.plain = re.compile(f"(?:(?![{starts}]){PLAIN})*" if starts else f"{PLAIN}*").fullmatch
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, four bytes each."""
+        fast = self.ranks.encode_ordinary if self.ranks else None
+        slow = self.tokenizer.encode
+        return [
+            array(
+                "i",
+                fast(p) if fast and self.plain(p) else slow(p, add_special_tokens=False).ids,
+            ).tobytes()
+            for p in pieces
+        ]
 
     def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The pieces of all texts: their numbers, how many each text has, and what they are."""
@@ -103,9 +111,9 @@ class PieceTokens:
         first[borders[:-1]] = True
         final[borders[1:] - 1] = True
         # a word that is empty or ends in white space has no border behind it
-        open_end = np.fromiter((not w or w[-1] in OPEN_SIGNS for w in known), bool, len(known))
-        empty = np.fromiter((not w for w in known), bool, len(known))
-        torn = open_end[codes] & ~final & ~(first & empty[codes])
+        empty = pc.binary_length(words.dictionary).to_numpy() == 0
+        ends = np.array([w[-1:] in OPEN_SIGNS for w in known])
+        torn = (empty | ends)[codes] & ~final & ~(first & empty[codes])
         # even: the word alone; odd: a space and the word
         codes = 2 * codes + ~first
         sizes = np.diff(borders)
@@ -118,14 +126,14 @@ class PieceTokens:
                 runs += [codes[borders[at] : borders[i]], np.array(numbers, np.int64)]
                 sizes[i], at = len(pieces), i + 1
             codes = np.concatenate([*runs, codes[borders[at] :]])
-        used, codes = np.unique(codes, return_inverse=True)
-        behind = list(extra)
-        pieces = [
-            behind[c - 2 * len(known)] if c >= 2 * len(known)
-            else f" {known[c >> 1]}" if c & 1 else known[c >> 1]
-            for c in used.tolist()
-        ]
-        return codes, sizes, pieces
+        number = np.full(2 * len(known) + len(extra), -1)
+        number[codes] = 0
+        used = np.flatnonzero(number == 0)
+        number[used] = np.arange(len(used))
+        odd = [f" {w}" for w in known]
+        pieces = list(chain.from_iterable(zip(known, odd, strict=True)))
+        pieces += extra
+        return number[codes], sizes, [pieces[c] for c in used.tolist()]
 
     def encode(
         self, texts: pa.Array, end: int, seen: dict[str, bytes] | None = None
@@ -144,14 +152,12 @@ class PieceTokens:
         seen = {} if seen is None else seen
         if len(seen) > SEEN:
             seen.clear()
-        found = []
-        for piece in pieces:
-            ids = seen.get(piece)
-            if ids is None:
-                ids = self.ids(piece)
-                if len(piece) <= SHORT:
-                    seen[piece] = ids
-            found.append(ids)
+        found = list(map(seen.get, pieces))
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(fresh, self._new([pieces[i] for i in fresh]), strict=True):
+            found[i] = ids
+            if len(pieces[i]) <= SHORT:
+                seen[pieces[i]] = ids
         found.append(array("i", [end]).tobytes())
         table = np.frombuffer(b"".join(found), np.int32)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -379,18 +385,18 @@ def _join_crcs(parts):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    Only documents of several pieces are shuffled, by their place, and only the digests
-    of their pieces.
+    Only the digests of pieces are shuffled, by the place of their document.
     """
-    pieces = read_pieces(spark, path).withColumn("crc", _crc("ids")).drop("ids")
-    place = (F.col("start") - F.col("ahead")).alias("start")
-    whole = pieces.filter("n = doc_tokens").select(
-        "doc_id", "start", F.col("doc_tokens").alias("n_tokens"), F.col("crc").alias("ids_crc32")
-    )
-    long = (
-        pieces.filter("n < doc_tokens")
-        .groupBy("doc_id", place, F.col("doc_tokens").alias("n_tokens"))
+    digests = (
+        read_pieces(spark, path).withColumn("crc", _crc("ids"))
+        .groupBy("doc_id", (F.col("start") - F.col("ahead")).alias("start"),
+                 F.col("doc_tokens").alias("n_tokens"))
         .agg(F.array_sort(F.collect_list(F.struct("ahead", "crc", "n"))).alias("parts"))
-        .select("doc_id", "start", "n_tokens", _join_crcs("parts").alias("ids_crc32"))
     )
-    return whole.unionByName(long)
+    return (
+        digests.filter(F.size("parts") == 1).withColumn("ids_crc32", F.col("parts")[0]["crc"])
+        .unionByName(
+            digests.filter(F.size("parts") > 1).withColumn("ids_crc32", _join_crcs("parts"))
+        )
+        .drop("parts")
+    )
