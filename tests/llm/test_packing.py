@@ -120,3 +120,15 @@ def test_targets_count_for_every_source(spark, monkeypatch):
             first[r["source"]] += r["length"]
     assert set(first) == set("abcdef")
     assert all(abs(n - 512 * targets[s]) <= 6 for s, n in first.items())
+
+
+def test_strings_of_added_tokens_are_those_of_the_library():
+    import pyarrow as pa
+
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["hello <|endoftext|> world", "plain words", "a<|startoftext|>b", "<|ENDOFTEXT|>", "", "<|endoftext|>"]
+    got = packing.tokens_at(PATH).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [
+        [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END] for t in texts
+    ]
+    assert got[0].tolist()[:3] == [3306, 49407, 1002]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,5 +37,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of an Arrow batch: several tasks of an executor hold some at a time,
+#: outside its heap, on both sides.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let rows of text reach Python in small batches, however long the texts are."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def runs_of(sizes: Sequence[int], most: int) -> Iterator[slice]:
+    """Neighbours of ``most`` in all, one at least."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import shuffle_width, stored, text_of
+from trackframe.llm.common import runs_of, shuffle_width, stored, text_of
 
 LENGTH = 4096
 END = 2
@@ -35,8 +35,8 @@ END = 2
 QUEUES = 255
 #: Windows whose queues are worked out together.
 WINDOWS = 2_048
-#: Texts whose words are collected before they are encoded.
-TEXTS = 4_000
+#: Bytes of texts whose words are collected before they are encoded.
+STEP = 6_000_000
 #: Documents whose pieces are worked out together.
 DOCUMENTS = 500
 _LOADED: dict = {}
@@ -55,15 +55,29 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path) as file:
-            self.ranks = _ranks(json.load(file))
+            spec = json.load(file)
+        self.ranks = _ranks(spec)
+        added = [regex.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        # they are found before a text is split, also inside words
+        self.added = "|".join(added)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, then END."""
         if self.ranks is None:
             return [np.array([*self._library(t), END], self.kind) for t in texts.to_pylist()]
+        if self.added:
+            whole = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
+            if whole.any():
+                rest = iter(self._by_words(texts.filter(pa.array(~whole))))
+                return [
+                    np.array([*self._library(texts[i].as_py()), END], self.kind) if apart else next(rest)
+                    for i, apart in enumerate(whole.tolist())
+                ]
+        return self._by_words(texts)
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         distinct = split.flatten().dictionary_encode()
         flat, begins, sizes = self._words(distinct.dictionary.to_pylist())
@@ -388,8 +402,9 @@ def token_ids(rows: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_at(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
+            sizes = pc.binary_length(batch.column("text")).to_pylist()
+            for run in runs_of(sizes, STEP):
+                some = batch.slice(run.start, run.stop - run.start)
                 ids = [x.tobytes() for x in tokens.encode(some.column("text"))]
                 yield some.select(["doc_id", "sha", "source"]).append_column(
                     "ids", pa.array(ids, pa.binary())
