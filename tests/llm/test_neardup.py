@@ -110,3 +110,28 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 140))
     assert got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_clashing_names_and_texts_without_words(spark):
+    marks = "́́ ̂"
+    rows = [(1, marks, None, None), (1, marks, None, None), (2, "a b", None, None), (2, "a b", None, None)]
+    docs = awkward(spark, rows).selectExpr(
+        "*", "1 as row_", "2 as key_", "3 as of_id_", "4 as OF_KEY_", "5 as wordless_", "6 as __row",
+        "7 as wordless",
+    )
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    said = sorted(r["doc_id"] for r in near_duplicates(docs).filter("kept").collect())
+    assert sorted(r["doc_id"] for r in kept.collect()) == said == [1, 1, 2]
+
+
+def test_steps_are_bounded_by_size():
+    import pyarrow as pa
+
+    from trackframe.llm.common import runs_of
+    from trackframe.llm.neardup import STEP, _steps
+
+    sizes = [5, STEP, 3, 4, STEP + 1, 1, 1]
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in sizes]})
+    assert [s.num_rows for s in _steps(batch, "text")] == [1, 1, 2, 1, 2]
+    assert list(runs_of([], 5)) == [] and list(runs_of([9], 5)) == [slice(0, 1)]

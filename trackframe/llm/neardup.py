@@ -22,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import stored, text_of
+from trackframe.llm.common import runs_of, small_batches, stored, text_of, unused
 from trackframe.llm.graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
-BATCH = 500
+#: Characters of text whose shingles are held at a time.
+STEP = 1_000_000
 CACHE_ENTRIES = 150_000
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x100000001B3)
@@ -46,27 +48,26 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str, known: WordHashes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles and how often each occurs.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer
-    than five words is one shingle, a text without words has none.
+    than five words is one shingle, a text without words has none. ``known`` keeps hashes
+    of words for the texts of one task.
     """
     words = WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(_HASHES) > CACHE_ENTRIES:
-        _HASHES.clear()
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = WordHashes() if known is None else known
+    if len(known) > CACHE_ENTRIES:
+        known.clear()
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(WORDS, len(words))
     rolled = hashes[: len(words) - size + 1].copy()
     for k in range(1, size):
@@ -136,18 +137,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
+def _steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    sizes = pc.binary_length(batch.column(text)).to_pylist()
+    return (batch.slice(run.start, run.stop - run.start) for run in runs_of(sizes, STEP))
+
+
 def _signed(rows: DataFrame, bands: int, width: int) -> DataFrame:
     """doc_id, key, the multiset's digest hi and lo (null without words), band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                yield sign_some(batch.slice(at, BATCH))
+            for some in _steps(batch, "text"):
+                yield sign_some(some, known)
 
-    def sign_some(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def sign_some(batch: pa.RecordBatch, known: WordHashes) -> pa.RecordBatch:
         import xxhash
 
-        bags = [shingles(t.as_py()) for t in batch.column("text")]
+        bags = [shingles(t.as_py(), known) for t in batch.column("text")]
         found = band_keys(bag_minhash(bags, bands * width), bands, width).view(np.int64)
         high, low, keys = [], [], []
         for (elements, counts), row in zip(bags, found, strict=True):
@@ -174,10 +181,10 @@ def _tokens(rows: DataFrame) -> DataFrame:
     """node, label, n, token: one row for each token of the text of n tokens."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
-                found = [numbered(*shingles(t.as_py())) for t in some.column("text")]
+            for some in _steps(batch, "text"):
+                found = [numbered(*shingles(t.as_py(), known)) for t in some.column("text")]
                 sizes = np.array([len(x) for x in found])
                 again = pa.array(np.repeat(np.arange(len(found)), sizes))
                 yield pa.RecordBatch.from_arrays(
@@ -200,14 +207,15 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, None
+        last, tokens, known = None, None, WordHashes()
         for batch in batches:
             kept = []
             for left, right in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 right = right.as_py()
                 if right != last:  # pivots repeat
-                    last, tokens = right, numbered(*shingles(right))
-                kept.append(overlap(numbered(*shingles(left.as_py())), tokens) >= threshold)
+                    last, tokens = right, numbered(*shingles(right, known))
+                own = numbered(*shingles(left.as_py(), known))
+                kept.append(overlap(own, tokens) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
@@ -335,6 +343,14 @@ def near_duplicates(
     are never compared. Null ids are the greatest; rows that repeat id and text are
     members one by one. Other columns are not read; an empty table gives no rows.
     """
+    return _judged(docs, id_col, text_col, threshold, bands, rows).drop("wordless")
+
+
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int
+) -> DataFrame:
+    """As :func:`near_duplicates`; ``wordless`` marks texts without words."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     key = F.xxhash64("text").alias("key")
     signed = stored(
@@ -418,27 +434,43 @@ def near_duplicates(
     kept = F.col("of").isNotNull() & (F.col("copy") == 1)
     alone = signed.filter("hi is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-        F.lit(True).alias("kept"), "key",
+        F.lit(True).alias("kept"), "key", F.lit(True).alias("wordless"),
     )
     return (
-        marked.select("doc_id", "class_id", "class_size", kept.alias("kept"), "key")
+        marked.select(
+            "doc_id", "class_id", "class_size", kept.alias("kept"), "key",
+            F.lit(False).alias("wordless"),
+        )
         .unionByName(alone)
         .withColumnRenamed("doc_id", id_col)
     )
 
 
 def keep_one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
 ) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(
-        F.col(id_col).alias("__id"), F.col("key").alias("__kept_key")
+    """The rows that stay, with all their columns, as :func:`near_duplicates` says.
+
+    Of rows that repeat id and text, those without words all stay, of others one does.
+    """
+    key, row, of_id, of_key, wordless = (
+        unused(docs, n) for n in ("key_", "row_", "of_id_", "of_key_", "wordless_")
+    )
+    kept = (
+        _judged(docs, id_col, text_col, threshold, bands, rows).filter("kept")
+        .select(
+            F.col(id_col).alias(of_id), F.col("key").alias(of_key), F.col("wordless").alias(wordless)
+        )
+        .distinct()
     )
-    tagged = docs.withColumn("__key", F.xxhash64(text_of(text_col)))
-    same = (tagged["__key"] == kept["__kept_key"]) & tagged[id_col].eqNullSafe(kept["__id"])
-    # rows without words are kept one by one; the others once for each id and text
-    once = tagged.join(kept.distinct(), same).withColumn(
-        "__row", F.when(F.length(F.regexp_extract(text_of(text_col), r"(?U)\w", 0)) == 0,
-                        F.monotonically_increasing_id())
+    tagged = docs.withColumn(key, F.xxhash64(text_of(text_col)))
+    same = (tagged[key] == kept[of_key]) & tagged[id_col].eqNullSafe(kept[of_id])
+    once = tagged.join(kept, same).withColumn(
+        row, F.when(F.col(wordless), F.monotonically_increasing_id())
     )
-    return once.dropDuplicates(["__key", id_col, "__row"]).select(*[docs[c] for c in docs.columns])
+    return once.dropDuplicates([key, id_col, row]).select(*[docs[c] for c in docs.columns])
