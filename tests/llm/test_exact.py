@@ -56,3 +56,12 @@ def test_kept_rows_have_all_columns(spark):
     assert len(rows) == len({t for _, t, _ in texts_of(docs)})
     assert all(r["name"] == "m" and r["kept"] == "no" for r in rows)
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_clashing_names(spark):
+    docs = awkward(spark).selectExpr(
+        "*", "1 as sha_", "2 as of_id_", "3 as OF_SHA_", "4 as __sha", "5 as __id", "6 as __kept_sha"
+    )
+    kept = drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == drop_exact_duplicates(awkward(spark)).count()

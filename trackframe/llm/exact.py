@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import stored, text_of
+from trackframe.llm.common import stored, text_of, unused
 
 BLOCK_BYTES = 4096
 
@@ -131,14 +131,14 @@ def drop_exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
     """The rows that stay, with all their columns."""
+    sha, of_id, of_sha = (unused(docs, n) for n in ("sha_", "of_id_", "of_sha_"))
     kept = (
         exact_duplicates(docs, id_col, text_col, **options)
         .filter("kept")
-        .select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept_sha"))
+        .select(F.col(id_col).alias(of_id), F.col("text_sha256").alias(of_sha))
     )
-    tagged = docs.withColumn("__sha", F.sha2(text_of(text_col), 256))
+    tagged = docs.withColumn(sha, F.sha2(text_of(text_col), 256))
     joined = tagged.join(
-        kept,
-        (F.col("__sha") == F.col("__kept_sha")) & tagged[id_col].eqNullSafe(kept["__id"]),
+        kept, (F.col(sha) == F.col(of_sha)) & tagged[id_col].eqNullSafe(kept[of_id])
     )
-    return joined.dropDuplicates(["__sha", id_col]).select(*[docs[c] for c in docs.columns])
+    return joined.dropDuplicates([sha, id_col]).select(*[docs[c] for c in docs.columns])
