@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import in_fold, text_of
+from trackframe.llm.common import in_fold, runs_of, small_batches, text_of
 from trackframe.llm.sampling import labelled_texts
 
 WORDS = 50
+#: Passages whose bytes are counted together, and characters of texts scored together.
+PASSAGES, STEP = 4_096, 1_000_000
 HIDDEN = 24
 GATE = 12
 
@@ -60,15 +62,20 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 (n / WORDS, different / n, doubled / n, upper / n, len(piece) / n / 10,
                  piece.count("\n") / n)
             )
+    shares = [_shares(pieces[at : at + PASSAGES]) for at in range(0, len(pieces), PASSAGES)]
+    return (
+        np.concatenate([np.concatenate(shares), np.array(stats)], axis=1).astype(np.float32),
+        np.array(counts),
+    )
+
+
+def _shares(pieces: list[bytes]) -> np.ndarray:
+    """Root shares of the byte classes of each passage."""
     sizes = np.array([len(p) for p in pieces])
     owner = np.repeat(np.arange(len(pieces)) * 256, sizes)
     flat = np.frombuffer(b"".join(pieces), np.uint8)
     seen = np.bincount(owner + flat, minlength=256 * len(pieces)).reshape(-1, 256)
-    share = (seen @ CLASSES) / np.maximum(sizes, 1)[:, None]
-    return (
-        np.concatenate([np.sqrt(share), np.array(stats)], axis=1).astype(np.float32),
-        np.array(counts),
-    )
+    return np.sqrt((seen @ CLASSES) / np.maximum(sizes, 1)[:, None])
 
 
 def _sigmoid(x):
@@ -158,6 +165,7 @@ def quality_model(
     Null ids, labels and texts are not learned from; of several labels of an id the
     largest counts. None if there is no row of either label.
     """
+    small_batches(docs.sparkSession)
     allowed = ~in_fold("doc_id", folds, held_out)
     return fit(labelled_texts(docs, labels, "quality", allowed, per_class, max_chars))
 
@@ -168,7 +176,8 @@ def score_column(text: Column, model: AttentionModel | None) -> Column:
         values = texts.tolist()
         if model is None:
             return pd.Series([0.5] * len(values))
-        parts = [model.scores(values[at : at + 256]) for at in range(0, len(values), 256)]
+        runs = runs_of([len(t) for t in values], STEP)
+        parts = [model.scores(values[run]) for run in runs]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score.asNondeterministic()(text)
