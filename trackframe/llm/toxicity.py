@@ -2,8 +2,9 @@
 
 Each word is the mean of the vectors of its character n-grams, which live in hashed
 rows of one table; a window of words is the mean of its words; a linear softmax
-scores it. Of a run of more than LONGEST_WORD characters without white space,
-overlapping pieces of that length count as words, so every n-gram of a text is read.
+scores it. A run of more than LONGEST_WORD characters without white space is taken apart
+at its signs, and what is still longer is cut into short overlapping pieces, so that an
+insult in text without spaces stands as much by itself as one between spaces.
 Table and softmax are trained together in numpy. An unseen misspelling
 shares n-grams with the words it stands for. A text is as toxic as its worst window,
 so a single insult in a long text counts.
@@ -18,29 +19,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import in_fold, text_of
+from trackframe.llm.common import in_fold, runs_of, small_batches, text_of
 from trackframe.llm.sampling import labelled_texts
 
 BUCKETS = 1 << 16
 SHORTEST, LONGEST = 3, 5
-LONGEST_WORD = 60
+#: Longer runs are taken apart, into pieces of this length if they have no signs.
+LONGEST_WORD, PIECE = 24, 8
 WINDOW = 3
 DIM = 8
 HIDDEN = 0.25
 CACHE_ENTRIES = 200_000
-BATCH = 500
+#: Characters of texts that are scored together.
+STEP = 1_000_000
 WORD = re.compile(r"\S+")
+PART = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs without white space; a longer one as pieces that share their n-grams' overlap."""
+    """Runs without white space; longer ones as their parts, or as overlapping pieces."""
     words = WORD.findall(text.lower())
     if max(map(len, words), default=0) <= LONGEST_WORD:
         return words
-    step = LONGEST_WORD - LONGEST + 1
+    return [piece for word in words for piece in _pieces(word)]
+
+
+def _pieces(word: str) -> list[str]:
+    if len(word) <= LONGEST_WORD:
+        return [word]
+    parts = PART.findall(word)
+    if 3 * len(parts) > sum(map(len, parts)):  # signs between single letters, or nothing but signs
+        parts = ["".join(parts) or word]
+    step = PIECE - LONGEST + 1
     return [
-        w[at : at + LONGEST_WORD]
-        for w in words for at in range(0, max(len(w) - LONGEST + 1, 1), step)
+        part[at : at + PIECE] if len(part) > LONGEST_WORD else part
+        for part in parts
+        for at in (range(0, len(part) - LONGEST + 1, step) if len(part) > LONGEST_WORD else [0])
     ]
 
 
@@ -201,7 +215,7 @@ def score_column(text: Column, model: SubwordModel | None) -> Column:
         values = texts.tolist()
         if model is None:
             return pd.Series(np.zeros(len(values)))
-        parts = (model.scores(values[at : at + BATCH]) for at in range(0, len(values), BATCH))
+        parts = (model.scores(values[run]) for run in runs_of([len(t) for t in values], STEP))
         return pd.Series([x for part in parts for x in part], dtype=float)
 
     return score.asNondeterministic()(text)
@@ -220,6 +234,7 @@ def toxicity_model(
     Null ids, labels and texts are not learned from; of several labels of an id the
     largest counts. None if there is no row of either label.
     """
+    small_batches(docs.sparkSession)
     allowed = ~in_fold("doc_id", folds, held_out)
     return fit(labelled_texts(docs, labels, "toxic", allowed, per_class, max_chars))
 
