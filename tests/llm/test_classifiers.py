@@ -153,3 +153,134 @@ def test_rare_languages_are_learned_among_many(spark):
     ]
     model = langid.language_model(awkward(spark, rows), per_class=3)
     assert set(model.classes) == {r[2] for r in rows}
+
+
+@pytest.mark.parametrize("sign", [" ", "_", "-", ".", ""])
+def test_one_insult_in_a_long_text_without_spaces(models, sign):
+    calm = "you are such a friend and a helper " * 50
+    low, high = models[1].scores([t.replace(" ", sign) for t in (calm, calm + "idiot " + calm)])
+    assert low < 0.5 and high > 0.7
+
+
+def test_every_byte_of_a_window_and_every_border_is_read(models):
+    """A byte that changes anywhere changes some place that a filter sees, in both windows of a border."""
+    net = models[2]
+    rng = np.random.default_rng(1)
+    data = bytes(rng.integers(97, 123, langid.LENGTH + 40, dtype=np.uint8))
+    windows = langid.windows_of(data)
+    assert len(windows) == 2
+    for at in range(len(data)):
+        other = langid.windows_of(data[:at] + b"~" + data[at + 1 :])
+        changed = [k for k in range(2) if (net.patches(windows[k : k + 1]) != net.patches(other[k : k + 1])).any()]
+        inside = [k for k in range(2) if k * langid.STEP <= at < k * langid.STEP + langid.LENGTH]
+        assert changed == inside and inside
+    # every run as long as the widest filter lies inside a window
+    widest = max(langid.WIDTHS)
+    for at in range(len(data) - widest + 1):
+        assert any(data[at : at + widest] in bytes(w) for w in windows)
+
+
+@pytest.mark.parametrize("length", [0, 1, 123, 124, 127, 128, 129, 252, 253, 500])
+def test_windows_hold_the_whole_text_once(length):
+    data = bytes(i % 251 + 1 for i in range(length))
+    windows = langid.windows_of(data)
+    joined = b"".join(bytes(w[: langid.STEP]) for w in windows[:-1]) + bytes(windows[-1])
+    assert joined.rstrip(b"\0") == data
+    assert len(windows) == 1 or len(data) > (len(windows) - 2) * langid.STEP + langid.LENGTH
+
+
+def plain_language(net, text):
+    """Filters at every byte, one number at a time."""
+    data = text.encode()
+    widest, means, weights = max(langid.WIDTHS), [], []
+    starts = range(0, max(len(data) - langid.LENGTH + langid.STEP, 1), langid.STEP)
+    for k, start in enumerate(starts):
+        window = list(data[start : start + langid.LENGTH])
+        window += [0] * (langid.LENGTH - len(window))
+        hidden = []
+        for f in range(net.kernel.shape[1]):
+            best = -np.inf
+            for at in range(langid.LENGTH):
+                value = sum(
+                    float(net.embed[window[at + w], d]) * float(net.kernel[w * langid.DIM + d, f])
+                    for w in range(widest) if at + w < langid.LENGTH for d in range(langid.DIM)
+                )
+                best = max(best, value)
+            hidden.append(max(best + float(net.shift[f]), 0.0))
+        logits = np.array(hidden) @ net.out + net.bias
+        logits = logits - logits.max()
+        means.append(logits - np.log(np.exp(logits).sum()))
+        weights.append(langid.STEP if k < len(starts) - 1 else len(data) - langid.STEP * k)
+    mean = np.average(means, axis=0, weights=weights)
+    probs = np.exp(mean - mean.max())
+    return net.classes[int(probs.argmax())], float((probs / probs.sum()).max())
+
+
+def test_language_equals_a_plain_forward_pass(models):
+    for text in ("die schöne", "the and of " * 14):
+        (lang,), (score,) = models[2].predict([text])
+        want, share = plain_language(models[2], text)
+        assert lang == want and abs(score - share) < 1e-4
+
+
+def plain_toxicity(model, text):
+    """N-grams hashed and averaged one by one; the worst window."""
+    def row(codes, n):
+        value = 0
+        for c in codes:
+            value = (value * 1_000_003 + c + 1) % 2**64
+        return value + n
+
+    def hashed(value):
+        return (value * 0x9E3779B97F4A7C15 % 2**64 >> 40) % toxicity.BUCKETS
+
+    def value(word):
+        codes = [ord(c) for c in f"<{word}>"]
+        grams = [
+            hashed((row(codes[i : i + n], n)) % 2**64)
+            for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1) for i in range(len(codes) - n + 1)
+        ]
+        whole = sum((c + 1) * 31 ** (i + 1) for i, c in enumerate(codes)) % 2**64
+        return np.mean([model.rows[g] for g in [*grams, hashed(whole)]])
+
+    values = [value(w) for w in toxicity.words_of(text)]
+    size = min(len(values), toxicity.WINDOW)
+    worst = max(np.mean(values[i : i + size]) for i in range(len(values) - size + 1))
+    return 1 / (1 + np.exp(-(worst + model.bias)))
+
+
+def test_toxicity_equals_a_plain_pass(models):
+    texts = ["an idiot", "you are such a helper and a moron, my friend", "x", "schöne_straße_" * 9]
+    for text, score in zip(texts, models[1].scores(texts)):
+        assert abs(score - plain_toxicity(models[1], text)) < 1e-5
+
+
+def plain_quality(model, text):
+    """Passages one after the other: class shares, gate, weighted sum."""
+    words = text.split(" ")
+    hidden, gates = [], []
+    for at in range(0, len(words), quality.WORDS):
+        some = words[at : at + quality.WORDS]
+        lower = [w.lower() for w in some]
+        piece, n = " ".join(some), len(some)
+        shares = np.zeros(quality.CLASSES.shape[1])
+        for byte in piece.encode():
+            shares += quality.CLASSES[byte]
+        stats = [
+            n / quality.WORDS, len(set(lower)) / n, sum(a == b for a, b in zip(lower, lower[1:])) / n,
+            sum(w.isupper() for w in some) / n, len(piece) / n / 10, piece.count("\n") / n,
+        ]
+        x = np.concatenate([np.sqrt(shares / max(len(piece.encode()), 1)), stats])
+        x = np.clip((x - model.mean) / model.scale, -8, 8)
+        h = np.tanh(x @ model.we + model.be)
+        hidden.append(h)
+        gates.append(np.tanh(h @ model.v) / (1 + np.exp(-(h @ model.u))) @ model.a)
+    weights = np.exp(np.array(gates) - max(gates))
+    z = (weights / weights.sum()) @ np.array(hidden)
+    return 1 / (1 + np.exp(-(z @ model.c + model.b[0])))
+
+
+def test_quality_equals_a_plain_pass(models):
+    texts = ["", "the quiet river " * 60, "BUY!! NOW!! " * 20 + "house \n number", "x  y " * 130]
+    for text, score in zip(texts, models[0].scores(texts)):
+        assert abs(score - plain_quality(models[0], text)) < 1e-4

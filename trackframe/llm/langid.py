@@ -1,9 +1,10 @@
 """Language by a convolutional network over bytes.
 
 Windows of fixed length are embedded byte by byte, filters of several widths slide
-over them, the maximum of each filter goes to a softmax. All of it is trained in
-numpy. A text is the mean of the log-probabilities of its windows, weighted by their
-bytes.
+over them from every byte on, the maximum of each filter goes to a softmax. Windows
+overlap by the widest filter less one byte, so that no run of bytes is cut by a border;
+places behind the end of a window are zeros. All of it is trained in numpy. A text is
+the mean of the log-probabilities of its windows, weighted by the bytes they add.
 """
 
 from __future__ import annotations
@@ -13,24 +14,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import in_fold, text_of
+from trackframe.llm.common import in_fold, runs_of, small_batches, text_of, unused
 from trackframe.llm.sampling import class_sample
 
 LENGTH = 128
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 DIM = 8
-STRIDE = 2
-BATCH = 1024
+#: Bytes from one window to the next.
+STEP = LENGTH - max(WIDTHS) + 1
+#: Windows that are worked out together, and characters of texts.
+BATCH, TEXTS = 512, 1_000_000
 UNKNOWN = "und"
 
 
 def windows_of(data: bytes) -> np.ndarray:
     """(windows, LENGTH) bytes; the last window is filled with zeros."""
-    count = max(1, -(-len(data) // LENGTH))
-    out = np.zeros(count * LENGTH, np.uint8)
+    count = max(1, -(-(len(data) - LENGTH + STEP) // STEP))
+    out = np.zeros((count - 1) * STEP + LENGTH, np.uint8)
     out[: len(data)] = np.frombuffer(data, np.uint8)
-    return out.reshape(count, LENGTH)
+    return np.lib.stride_tricks.sliding_window_view(out, LENGTH)[::STEP]
 
 
 class ByteNet:
@@ -53,11 +56,10 @@ class ByteNet:
     def patches(self, windows: np.ndarray) -> np.ndarray:
         """(windows, places, widest * DIM)"""
         widest = max(WIDTHS)
-        places = (LENGTH - widest) // STRIDE + 1
-        values = self.embed[windows]
-        step = values.strides
+        values = np.zeros((len(windows), LENGTH + widest - 1, DIM), np.float32)
+        values[:, :LENGTH] = self.embed[windows]
         view = np.lib.stride_tricks.as_strided(
-            values, (len(windows), places, widest * DIM), (step[0], STRIDE * step[1], step[2])
+            values, (len(windows), LENGTH, widest * DIM), values.strides
         )
         return np.ascontiguousarray(view)
 
@@ -110,10 +112,11 @@ class ByteNet:
                     "kernel": np.einsum("nfk,nf->kf", chosen, back) * self.mask,
                 }
                 to_bytes = (back[:, :, None] * self.kernel.T[None]).reshape(-1, DIM)
-                at_byte = place[:, :, None] * STRIDE + np.arange(widest)[None, None, :]
-                which = x[rows[:, :, None], at_byte].reshape(-1)
+                at_byte = place[:, :, None] + np.arange(widest)[None, None, :]
+                behind = np.full((len(x), widest - 1), 256)  # has no embedding
+                which = np.hstack([x, behind])[rows[:, :, None], at_byte].reshape(-1)
                 grads["embed"] = np.stack(
-                    [np.bincount(which, to_bytes[:, d], 256) for d in range(DIM)], axis=1
+                    [np.bincount(which, to_bytes[:, d], 257)[:256] for d in range(DIM)], axis=1
                 )
                 step += 1
                 for k in names:  # Adam
@@ -135,8 +138,8 @@ class ByteNet:
                 labels.append(UNKNOWN)
                 scores.append(0.0)
             else:
-                weight = np.full(count, float(LENGTH))
-                weight[-1] = len(raw) - LENGTH * (count - 1)
+                weight = np.full(count, float(STEP))
+                weight[-1] = len(raw) - STEP * (count - 1)
                 mean = weight @ logs[at : at + count].astype(float) / weight.sum()
                 probs = np.exp(mean - mean.max())
                 probs /= probs.sum()
@@ -194,8 +197,8 @@ def predict_column(text: Column, model: ByteNet | None) -> Column:
     def predict(texts: pd.Series) -> pd.DataFrame:
         labels, scores = [], []
         values = texts.tolist()
-        for at in range(0, len(values), 256):
-            some = values[at : at + 256]
+        for run in runs_of([len(t) for t in values], TEXTS):
+            some = values[run]
             got = model.predict(some) if model else ([UNKNOWN] * len(some), [0.0] * len(some))
             labels += got[0]
             scores += got[1]
@@ -208,9 +211,12 @@ def predict_language(docs: DataFrame, model: ByteNet | None, text_col: str = "te
     """``docs`` with ``lang_pred`` and ``score``; every window of a text counts.
 
     Texts that are null, empty or without a letter get ``und`` and 0, as does every
-    text without a model. Rows are judged one by one; other columns are kept.
+    text without a model. Rows are judged one by one; other columns are kept, but for an
+    older ``lang_pred`` or ``score``.
     """
-    judged = docs.withColumn("__p", predict_column(text_of(text_col), model))
+    small_batches(docs.sparkSession)
+    both = unused(docs, "judged_")
+    judged = docs.withColumn(both, predict_column(text_of(text_col), model))
     return judged.withColumns(
-        {"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}
-    ).drop("__p")
+        {"lang_pred": F.col(f"{both}.lang_pred"), "score": F.col(f"{both}.score")}
+    ).drop(both)
