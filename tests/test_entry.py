@@ -1,3 +1,5 @@
+import sys
+
 import __spark_entry__
 from trackframe import catalog
 
@@ -20,5 +22,15 @@ def test_optional_parts_may_be_absent():
     raise AssertionError("a missing dependency must show")
 
 
+def test_catalog_stays_without_the_corpus_operators(monkeypatch):
+    """The pipeline's module may still be there when what it imports is not."""
+    for name in [n for n in sys.modules if n.startswith("trackframe.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "trackframe.llm", None)
+    queries, oracles = catalog.load()
+    assert set(__spark_entry__.queries()) == set(queries)
+    assert set(__spark_entry__.oracle_sql()) == set(oracles)
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
