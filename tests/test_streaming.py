@@ -43,7 +43,42 @@ def stream_of(spark, table, tmp_path, batches=3):
 
 def drained(spark, stream, tmp_path):
     SS.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "check"))
-    return spark.read.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    if "late" in found.columns:
+        assert ST.late_rows(found).count() == 0
+        return ST.on_time(found)
+    return found
+
+
+def land(table, folder, when, number=[0]):
+    """One file of these rows, later than those before."""
+    import os
+    import time
+
+    number[0] += 1
+    part = str(folder / f"part{number[0]}")
+    table.filter(when).coalesce(1).write.parquet(part)
+    stamp = time.time() - 1000 + number[0]
+    for name in os.listdir(part):
+        os.utime(os.path.join(part, name), (stamp, stamp))
+
+
+def split_stream(spark, table, tmp_path, late="3 seconds", fps=2.0, closing=True):
+    """Rows of every frame in three files, frames out of order, and a row that closes all."""
+    folder = tmp_path / "split"
+    half = F.pmod(F.xxhash64(*[c for c in table.columns if c != "frame"]), F.lit(2)) == 0
+    top = table.agg(F.max("frame")).first()[0]
+    for start in range(1, top + 1, 4):
+        here = F.col("frame").between(start, start + 3)
+        land(table, folder, here & half & (F.col("frame") % 2 == 0))
+        land(table, folder, here & half & (F.col("frame") % 2 == 1))
+        land(table, folder, here & ~half)
+    if closing:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "frame"]
+        closed = spark.range(1).select(F.lit(top + 1000).cast(table.schema["frame"].dataType).alias("frame"), *none)
+        land(closed.select(table.columns), folder, F.lit(True))
+    stream = SO.stream_table(spark, f"{folder}/*", table.schema, files_per_batch=1)
+    return SO.with_event_time(stream, fps, late)
 
 
 def test_history(spark, tmp_path):
@@ -136,3 +171,105 @@ def test_frames_have_event_time(spark, tmp_path):
     stream = SO.stream_frames(spark, str(tmp_path / "in"), table.schema, fps=2.0)
     got = drained(spark, stream.withColumn("ms", F.unix_millis("event_time")), tmp_path)
     assert rows_of(got, "frame", "ms") == [(f, f * 500) for f in range(1, 7)]
+
+
+def test_split_frames_give_the_same_windows(spark, tmp_path):
+    table = boxes(spark, [(f, o, 0, 0, 0, 1, 1) for f in range(1, 13) for o in range(4)])
+    got = drained(spark, ST.stream_history(split_stream(spark, table, tmp_path), 4), tmp_path)
+    held = rows_of(got.filter("event = 'held'"), "frame", "hist_frame")
+    assert held == rows_of(T.history_pairs(table, 4), "frame", "hist_frame")
+
+
+def test_split_frames_give_the_same_reckoning(spark, tmp_path):
+    table = boxes(spark, wandering(1, skip=(6,)))
+    stream = split_stream(spark, table, tmp_path)
+    got = drained(spark, ST.stream_dead_reckoning(stream, 9, 0.3), tmp_path)
+    assert rows_of(got, *TRACK) == rows_of(K.dead_reckoning(table, 9, 0.3), *TRACK)
+
+
+def test_split_frames_give_the_same_particles(spark, tmp_path):
+    table = boxes(spark, wandering(2))
+    matrices = identity_matrices(spark, [2, 3, 4, 6, 7, 8, 9, 11, 12], 0.6)
+    stream = split_stream(spark, table, tmp_path)
+    got = drained(spark, ST.stream_particle_filter(stream, matrices, seed=3), tmp_path)
+    want = PA.particle_filter(table, matrices, seed=3)
+    assert rows_of(got, *TRACK, "observed") == rows_of(want, *TRACK, "observed")
+
+
+@pytest.mark.parametrize("tile", [2, 64])
+def test_split_frames_give_the_same_pixels(spark, tmp_path, tile):
+    rng = random.Random(6)
+    frames = {f: [[rng.choice([0, 255]) for _ in range(5)] for _ in range(3)] for f in range(1, 12)}
+    table = pixel_table(spark, frames)
+    stream = split_stream(spark, table, tmp_path)
+    got = drained(spark, ST.stream_pixel_hysteresis(stream, 2, 3, True, tile=tile), tmp_path)
+    want = PX.pixel_hysteresis(table, 2, 3, True)
+    assert rows_of(got, *PX.PIXEL, "v") == rows_of(want, *PX.PIXEL, "v")
+
+
+def test_a_split_frame_is_counted_once(spark, tmp_path):
+    calc, gt = boxes(spark, wandering(1)), boxes(spark, wandering(1, objects=6))
+    both = calc.withColumn("side", F.lit("calc")).unionByName(gt.withColumn("side", F.lit("gt")))
+    out = str(tmp_path / "counts")
+    stream = split_stream(spark, both, tmp_path)
+    late = str(tmp_path / "late")
+    SS.stream_counts(stream, out, str(tmp_path / "c"), late).awaitTermination()
+    names = ["frame", *E.COUNTS]
+    assert rows_of(spark.read.parquet(out), *names) == rows_of(E.frame_counts(calc, gt), *names)
+    empty = "video string, frame int, side string, late bigint"
+    assert spark.read.schema(empty).parquet(late).count() == 0
+
+
+def late_stream(spark, table, tmp_path):
+    """Frames 1 to 12 in order, those of the last object far too late; a second video lags."""
+    folder = tmp_path / "late-in"
+    last = F.col("ord") == 2
+    for start in (1, 5, 9):
+        land(table, folder, F.col("frame").between(start, start + 3) & ~last & (F.col("video") == "v"))
+    land(table, folder, last | (F.col("video") == "w"))
+    stream = SO.stream_table(spark, f"{folder}/*", table.schema, files_per_batch=1)
+    return SO.with_event_time(stream, 2.0)
+
+
+def test_late_rows_are_counted_not_lost(spark, tmp_path):
+    rows = [(f, o, 0, 10 * o, 0, 10 * o + 5, 5) for f in range(1, 13) for o in range(3)]
+    table = boxes(spark, rows)
+    table = table.unionByName(table.filter("ord < 2").withColumn("video", F.lit("w")))
+    SS.run_to_table(
+        ST.whole_frames(late_stream(spark, table, tmp_path)), str(tmp_path / "o1"), str(tmp_path / "s1")
+    )
+    found = spark.read.parquet(str(tmp_path / "o1"))
+    names = ["video", "frame", "ord"]
+    # the last frames are still open when the rest arrives
+    on_time = rows_of(ST.on_time(found), *names)
+    late = rows_of(found.filter("late = 1"), *names)
+    assert sorted(on_time + late) == rows_of(table, *names)
+    assert {r[0] for r in late} == {"v"} and {r[2] for r in late} == {2}
+    assert {r[1] for r in late} == set(range(1, 9))
+
+    SS.run_to_table(
+        ST.stream_history(late_stream(spark, table, tmp_path / "h"), 3), str(tmp_path / "o2"), str(tmp_path / "s2")
+    )
+    history = spark.read.parquet(str(tmp_path / "o2"))
+    assert rows_of(ST.late_rows(history), "video", "frame", "late") == [("v", f, 1) for f in range(1, 9)]
+    got = rows_of(ST.on_time(history).filter("event = 'held'"), "video", "frame", "hist_frame")
+    assert got == rows_of(T.history_pairs(table, 3), "video", "frame", "hist_frame")
+
+
+def test_frames_closed_long_ago_are_late_by_age(spark, tmp_path):
+    table = boxes(spark, [(f, 0, 0, 0, 0, 1, 1) for f in range(1, 41)])
+    folder = tmp_path / "in"
+    for when in ("frame > 30", "frame between 20 and 30", "frame < 20", "frame = 35"):
+        land(table, folder, F.expr(when))
+    stream = SO.with_event_time(SO.stream_table(spark, f"{folder}/*", table.schema, 1), 2.0)
+    SS.run_to_table(ST.whole_frames(stream, keep_ms=9_000), str(tmp_path / "o"), str(tmp_path / "s"))
+    found = spark.read.parquet(str(tmp_path / "o"))
+    # the watermark is at frame 40, 18 frames are kept in mind
+    assert rows_of(found.filter("late = 1"), "frame") == [(f,) for f in sorted([*range(1, 20), 20, 21, 22, 35])]
+    assert rows_of(ST.on_time(found), "frame") == [(f,) for f in range(23, 41)]
+
+
+def test_tracks_are_forgotten_after_their_time(spark, tmp_path):
+    table = spark.createDataFrame([("v", 1, 1, True), ("v", 1, 2, True)], "video string, identity int, frame int, observed boolean")
+    got = drained(spark, ST.stream_observation_hysteresis(stream_of(spark, table, tmp_path, 2), 3_600_000), tmp_path)
+    assert rows_of(got, "frame") == [(1,), (2,)]

@@ -26,7 +26,29 @@ def _stream(spark, sf, name):
 def _drained(spark, stream, name):
     path = scratch_path(spark, name)
     SS.run_to_table(stream, path, scratch_path(spark, f"{name}-state"))
-    return spark.read.parquet(path)
+    found = spark.read.parquet(path)
+    return ST.on_time(found) if ST.LATE in found.columns else found
+
+
+def _landed(spark, rows, part, parts, name):
+    """``rows`` in files of the numbers that ``part`` gives, one file a micro-batch.
+
+    A last file has one row without a video, which moves the watermark past all frames.
+    """
+    path = scratch_path(spark, name)
+    for number in range(parts):
+        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    values = {"frame": 1_000_000, "video": None}
+    closing = [F.lit(values.get(f.name, 1)).cast(f.dataType).alias(f.name) for f in rows.schema]
+    spark.range(1).select(*closing).write.mode("append").parquet(path)
+    return SO.stream_table(spark, path, rows.schema, files_per_batch=1)
+
+
+def _split_boxes(spark, sf, name):
+    """Boxes whose frames are split: odd identities come a quarter of the video later."""
+    base = X.boxes_base(spark, sf)
+    part = F.floor(F.col("frame") * 4 / 201) + F.col("identity") % 2
+    return _landed(spark, base, part, 5, name)
 
 
 def _boxes(spark, sf):
@@ -86,6 +108,39 @@ def stream_history_batches(spark, sf):
 ORACLES["stream_history_batches"] = ORACLES["stream_history"]
 
 
+@query("stream_history_split")
+def stream_history_split(spark, sf):
+    """The same windows from frames that come in pieces, over several micro-batches."""
+    boxes = X.gt_from_base(_split_boxes(spark, sf, "split-history"))
+    stream = SO.with_event_time(boxes, late="2 seconds")
+    return _drained(spark, ST.stream_history(stream, 5), "stream-history-split")
+
+
+ORACLES["stream_history_split"] = ORACLES["stream_history"]
+
+
+@query(
+    "stream_late_rows",
+    "gt_regions",
+    """with closed as (select max(frame) as last from gt_regions where frame * 4 < 603 and identity % 5 > 0)
+    select video, frame,
+      count(*) filter (where identity % 5 > 0 or frame > last) as in_time,
+      count(*) filter (where identity % 5 = 0 and frame <= last) as too_late
+    from gt_regions, closed group by video, frame""",
+)
+def stream_late_rows(spark, sf):
+    """Every fifth box comes after all others: those of closed frames are told apart."""
+    part = F.when(F.col("identity") % 5 == 0, 4).otherwise(F.floor(F.col("frame") * 4 / 201))
+    rows = X.gt_from_base(X.boxes_base(spark, sf))
+    stream = _landed(spark, rows, part, 5, "late-boxes")
+    path = scratch_path(spark, "whole-frames")
+    SS.run_to_table(ST.whole_frames(stream), path, scratch_path(spark, "whole-frames-state"))
+    return (
+        spark.read.parquet(path).groupBy("video", "frame")
+        .agg(F.count_if(F.col("late") == 0).alias("in_time"), F.count_if(F.col("late") == 1).alias("too_late"))
+    )
+
+
 @query("stream_dead_reckoning")
 def stream_dead_reckoning(spark, sf):
     stream = X.calc_from_base(_boxes(spark, sf))
@@ -122,6 +177,18 @@ def stream_pixel_hysteresis(spark, sf):
 ORACLES["stream_pixel_hysteresis"] = ORACLES["pixel_hysteresis"]
 
 
+@query("stream_pixel_hysteresis_split")
+def stream_pixel_hysteresis_split(spark, sf):
+    """The same masks from frames whose halves come in different micro-batches."""
+    mask = MO.threshold(X.pixels(spark, sf), 139)
+    part = F.least(F.floor(F.col("frame") / 20), F.lit(3)) + F.col("x") % 2
+    stream = SO.with_event_time(_landed(spark, mask, part, 5, "split-mask"), late="1 second")
+    return _drained(spark, ST.stream_pixel_hysteresis(stream, 2, 3), "stream-pixels-split")
+
+
+ORACLES["stream_pixel_hysteresis_split"] = ORACLES["pixel_hysteresis"]
+
+
 def _sided(base):
     return (
         X.calc_from_base(base)
@@ -144,6 +211,16 @@ def stream_counts_batches(spark, sf):
     return spark.read.parquet(path).drop("batch")
 
 
+@query("stream_counts_split", BOXES, COUNTED_SQL)
+def stream_counts_split(spark, sf):
+    """Each frame counted once, although its boxes come in several micro-batches."""
+    path = scratch_path(spark, "counts-split")
+    sided = _sided(_split_boxes(spark, sf, "split-counts"))
+    sided = SO.with_event_time(sided, late="2 seconds")
+    SS.stream_counts(sided, path, scratch_path(spark, "counts-split-state")).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
 @query("stream_counts", BOXES, COUNTED_SQL)
 def stream_counts(spark, sf):
     path = scratch_path(spark, "counts")

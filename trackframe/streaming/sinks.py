@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trackframe.operators import metrics as E
 from trackframe.operators import sweep as SW
 from trackframe.session import cut
+from trackframe.streaming.stateful import whole_frames
 
 
 def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
@@ -45,19 +46,34 @@ def stream_sink(
     )
 
 
-def stream_counts(boxes: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Per-frame counts as frames arrive.
+def stream_counts(
+    boxes: DataFrame, path: str, checkpoint: str, late_path: str | None = None, **options
+) -> StreamingQuery:
+    """Per-frame counts, each frame once, when the watermark has closed it.
 
-    ``boxes`` holds detections and truth with ``side`` calc or gt; the whole
-    frame is in one micro-batch. Options are those of ``frame_counts``.
+    ``boxes`` holds detections and truth with ``side`` calc or gt. A frame may come in
+    pieces; its boxes are counted together. Boxes that come after that are in no count:
+    their numbers go to ``late_path`` as (video, frame, side, late). Other options are
+    those of ``frame_counts``.
     """
 
-    def counted(batch: DataFrame) -> DataFrame:
-        calc = batch.filter("side = 'calc'").drop("side")
-        gt = batch.filter("side = 'gt'").drop("side")
-        return E.present_frame_counts(calc, gt, **options)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        whole = batch.filter("late = 0")
+        calc = whole.filter("side = 'calc'").drop("side", "late")
+        gt = whole.filter("side = 'gt'").drop("side", "late")
+        write_batch(E.present_frame_counts(calc, gt, **options), batch_id, path)
+        if late_path is not None:
+            late = batch.filter("late > 0").groupBy("video", "frame", "side")
+            write_batch(late.agg(F.sum("late").alias("late")), batch_id, late_path)
+        batch.unpersist()
 
-    return stream_sink(boxes, path, checkpoint, counted)
+    return (
+        whole_frames(boxes).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def running_totals(counts: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Streams of frames and boxes.
 
-Contract: all rows of a frame arrive in one micro-batch, as one file holds whole
-frames; frames of a video arrive in order, and later arrivals of a frame that
-was passed are dropped.
+Rows of a frame may come in several micro-batches and out of order, as far as the
+watermark allows; the keyed operators wait for it and count what comes later still.
 """
 
 from __future__ import annotations
@@ -21,6 +20,18 @@ def event_time(frame: Column, fps: float = IMAGE_FPS) -> Column:
     return F.timestamp_micros((frame * F.lit(1_000_000.0 / fps)).cast("long"))
 
 
+def with_event_time(rows: DataFrame, fps: float = IMAGE_FPS, late: str = "0 seconds") -> DataFrame:
+    """Rows with ``event_time`` and a watermark that is ``late`` behind the latest frame.
+
+    Rows that have an ``event_time`` are left as they are. Without lateness a frame is
+    open for the micro-batch that follows its first rows.
+    """
+    if "event_time" in rows.columns:
+        return rows
+    timed = rows.withColumn("event_time", event_time(F.col("frame"), fps))
+    return timed.withWatermark("event_time", late)
+
+
 def stream_table(
     spark: SparkSession, path: str, schema, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -41,8 +52,7 @@ def stream_frames(
 ) -> DataFrame:
     """Frame rows as they land, with event time frame / fps and a watermark."""
     rows = stream_table(spark, path, schema, files_per_batch)
-    timed = rows.withColumn("event_time", event_time(F.col("frame"), fps))
-    return timed.withWatermark("event_time", late)
+    return with_event_time(rows, fps, late)
 
 
 def stream_image_files(

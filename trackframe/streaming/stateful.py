@@ -1,42 +1,177 @@
-"""Keyed state over frame streams.
-
-Each operator sorts the rows of its key in a micro-batch by frame and drops
-frames it has passed. The same step functions serve the batch operators.
+"""Keyed state over frame streams, in the order of the frames.
+
+A frame may reach the stream in pieces: split over files, in several micro-batches,
+after a later frame. Its rows wait in the state of their key until the watermark has
+passed the frame; then frames go through a step in order, one at a time. Nothing is
+dropped: rows of a frame that has been closed come out as a count in ``late``, apart
+from the results (:func:`on_time`, :func:`late_rows`).
+
+Time is that of :func:`trackframe.streaming.sources.with_event_time`. A row without a
+video only moves the watermark, so one such row after the last frame closes a stream.
+State is kept by ``transformWithStateInPandas`` in RocksDB, which spills to disk: what
+is in memory is one batch of input or one frame. The steps are those of the batch
+operators.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import IntegralType, StructType
 
 from trackframe.operators import particles as PA
 from trackframe.operators import reckoning as RK
-from trackframe.operators.tracks import with_transform
-from trackframe.schema import BOX_COLUMNS
+from trackframe.schema import BOX_COLUMNS, TRANSFORM_COLUMNS
+from trackframe.streaming.sources import with_event_time
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that a task collects before it passes them on.
+FLUSH_ROWS = 10_000
+LATE = "late"
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """Let streams that start from here on keep state with timers."""
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def on_time(rows: DataFrame) -> DataFrame:
+    """The results of a keyed operator."""
+    return rows.filter(f"{LATE} = 0").drop(LATE)
+
+
+def late_rows(rows: DataFrame, keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
+    """How many rows came for frames that had been closed; they are in no result."""
+    return rows.filter(f"{LATE} > 0").select(*keys, LATE)
 
 
 def _ddl(df: DataFrame, names: list[str]) -> list[str]:
     return [f"{n} {df.schema[n].dataType.simpleString()}" for n in names]
 
 
-def _frames_in_order(pieces, last: int | None, order: list[str]):
-    """(frame, rows) of a key's micro-batch after frame ``last``."""
+def _names(ddl: str) -> list[str]:
+    return [f.name for f in StructType.fromDDL(ddl).fields] if ddl else []
+
+
+def _absent(key: tuple) -> bool:
+    """Whether a row has no video; a null number arrives as NaN."""
+    return key[0] is None or key[0] != key[0]
+
+
+def _plain(values, whole: bool) -> list:
+    """Values of a column for the state store; null numbers arrive as NaN."""
     import pandas as pd
 
-    rows = [p for p in pieces if len(p)]
-    if not rows:
-        return
-    table = pd.concat(rows, ignore_index=True).sort_values(["frame", *order], kind="stable")
-    if last is not None:
-        table = table[table["frame"] > last]
-    for frame, part in table.groupby("frame", sort=True):
-        yield int(frame), part
+    if whole:
+        return [None if pd.isna(v) else int(v) for v in values]
+    if getattr(values, "dtype", None) == object:
+        return list(values)
+    return [None if pd.isna(v) else v for v in values.tolist()]
+
+
+class InOrder(StatefulProcessor):
+    """Rows wait by frame; closed frames go through ``step`` in order.
+
+    ``step(key, past, frame, columns)`` gives (rows, past): rows are tuples for the
+    columns of ``output`` behind the keys, ``past`` is a tuple for the fields of
+    ``saved``, None at the start of a key.
+    """
+
+    def __init__(self, keys: list[str], columns: list[str], saved: str, output: str, step: Callable):
+        self.columns, self.saved, self.step = columns, saved, step
+        self.fields = [c.split(" ")[0] for c in columns]
+        self.whole = [isinstance(f.dataType, IntegralType)
+                      for f in StructType.fromDDL(", ".join(columns)).fields] if columns else []
+        self.names = [*keys, *_names(output), LATE]
+        self.keys = len(keys)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        waiting = [f"{c.split(' ', 1)[0]} array<{c.split(' ', 1)[1]}>" for c in self.columns]
+        self.waiting = handle.getMapState("waiting", "frame bigint", ", ".join(["at bigint", *waiting]))
+        self.past = handle.getValueState("past", ", ".join(["closed bigint", self.saved]))
+
+    def _table(self, rows: list[tuple]):
+        import pandas as pd
+
+        return pd.DataFrame(rows, columns=self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        past = self.past.get() if self.past.exists() else None
+        late: dict[int, int] = {}
+        first = None
+        for batch in rows:
+            if _absent(key):
+                continue
+            for frame, part in batch.groupby("frame", sort=False):
+                frame = int(frame)
+                if past is not None and frame <= past[0]:
+                    late[frame] = late.get(frame, 0) + len(part)
+                    continue
+                at = int(part["at"].max())
+                lists = [
+                    _plain(part[n], w) for n, w in zip(self.fields, self.whole, strict=True)
+                ]
+                if self.waiting.containsKey((frame,)):
+                    held = self.waiting.getValue((frame,))
+                    at = max(at, held[0])
+                    lists = [[*a, *b] for a, b in zip(held[1:], lists, strict=True)]
+                self.waiting.updateValue((frame,), (at, *lists))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(first)
+        if late:
+            none = (None,) * (len(self.names) - self.keys - 2)
+            yield self._table([(*key, frame, *none, n) for frame, n in sorted(late.items())])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import numpy as np
 
+        mark = timerValues.getCurrentWatermarkInMs()
+        past = self.past.get() if self.past.exists() else None
+        closed = None if past is None else past[0]
+        out: list[tuple] = []
+        for frame in sorted(k[0] for k in self.waiting.keys()):
+            at, *lists = self.waiting.getValue((frame,))
+            if at > mark:
+                self.handle.registerTimer(at)
+                break
+            columns = dict(zip(self.fields, map(np.array, lists), strict=True))
+            rows, saved = self.step(key, None if past is None else past[1:], frame, columns)
+            past = (frame, *saved)
+            self.waiting.removeKey((frame,))
+            out += [(*key, *r, 0) for r in rows]
+            if len(out) >= FLUSH_ROWS:
+                yield self._table(out)
+                out = []
+        if past is not None and past[0] != closed:
+            self.past.update(tuple(past))
+        if out:
+            yield self._table(out)
+
+
+def in_order(
+    stream: DataFrame, keys: list[str], columns: list[str], saved: str, output: str, step: Callable
+) -> DataFrame:
+    """Frames of each key through ``step``, as the watermark closes them.
 
-def _with_state(df: DataFrame, keys: list[str], step, output: list[str], state: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(
-        step, ", ".join(output), state, "append", GroupStateTimeout.NoTimeout
+    ``output`` starts with the frame. Rows of a null first key are not kept.
+    """
+    use_keyed_state(stream.sparkSession)
+    timed = with_event_time(stream)
+    # the time as a plain number: late rows are counted here, not dropped before
+    rows = timed.select(
+        *keys, F.col("frame").cast("bigint").alias("frame"), *columns,
+        F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("at"),
     )
+    processor = InOrder(keys, _ddl(rows, columns), saved, output, step)
+    schema = ", ".join([*_ddl(rows, keys), output, f"{LATE} bigint"])
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
 def stream_history(frames: DataFrame, history: int) -> DataFrame:
@@ -47,24 +182,18 @@ def stream_history(frames: DataFrame, history: int) -> DataFrame:
     that leaves the window.
     """
 
-    def step(key, pieces, state):
-        import pandas as pd
-
-        held = list(state.get[0]) if state.exists else []
+    def step(key, past, frame, columns):
+        held = list(past[0]) if past else []
         out = []
-        for frame, _ in _frames_in_order(pieces, held[-1] if held else None, []):
-            # held ends with the frame before this one; it enters the window now
-            if len(held) > history:
-                out.append((*key, frame, held.pop(0), "evicted"))
-            if len(held) == history:
-                out.extend((*key, frame, h, "held") for h in held)
-            held.append(frame)
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["video", "frame", "hist_frame", "event"])
+        # held ends with the frame before this one; it enters the window now
+        if len(held) > history:
+            out.append((frame, held.pop(0), "evicted"))
+        if len(held) == history:
+            out.extend((frame, h, "held") for h in held)
+        return out, ([*held, frame],)
 
-    fields = [*_ddl(frames, ["video"]), "frame bigint", "hist_frame bigint", "event string"]
-    rows = frames.select("video", "frame")
-    return _with_state(rows, ["video"], step, fields, "held array<bigint>")
+    output = "frame bigint, hist_frame bigint, event string"
+    return in_order(frames, ["video"], [], "held array<bigint>", output, step)
 
 
 def stream_dead_reckoning(
@@ -81,30 +210,27 @@ def stream_dead_reckoning(
         legacy_order=legacy_order,
         corrected=corrected,
     )
-    columns = ["video", "frame", "identity", *BOX_COLUMNS, "carried"]
 
-    def step(key, pieces, state):
+    def step(key, saved, frame, columns):
         import numpy as np
-        import pandas as pd
 
         past = RK.Reckoning()
-        if state.exists:
-            frame, counter, flat = state.get
-            boxes = np.array(flat, dtype=np.int64).reshape(-1, RK.WIDTH)
-            past = RK.Reckoning(frame, counter, boxes)
-        out = []
-        for frame, rows in _frames_in_order(pieces, past.frame, ["ord"]):
-            found = RK.corners_of(rows)
-            out += [(*key, *r) for r in RK.reckon_through(past, frame, found, **options)]
-        if past.frame is not None:
-            flat = [int(v) for v in past.boxes.ravel()]
-            state.update((past.frame, past.counter, flat))
-        yield pd.DataFrame(out, columns=columns)
-
-    rows = regions.select("video", "frame", "ord", *BOX_COLUMNS)
-    fields = [*_ddl(regions, ["video"]), RK.OUTPUT]
+        if saved:
+            last, counter, flat = saved
+            past = RK.Reckoning(last, counter, np.array(flat, dtype=np.int64).reshape(-1, RK.WIDTH))
+        rows = RK.reckon_through(past, frame, RK.corners_of(_by_ord(columns)), **options)
+        return rows, (past.frame, past.counter, [int(v) for v in past.boxes.ravel()])
+
     saved = "frame bigint, counter bigint, boxes array<bigint>"
-    return _with_state(rows, ["video"], step, fields, saved)
+    return in_order(regions, ["video"], ["ord", *BOX_COLUMNS], saved, RK.OUTPUT, step)
+
+
+def _by_ord(columns: dict) -> dict:
+    """The rows of a frame in their order, whichever pieces they came in."""
+    import numpy as np
+
+    order = np.argsort(columns["ord"], kind="stable")
+    return {name: values[order] for name, values in columns.items()}
 
 
 def stream_particle_filter(
@@ -117,128 +243,206 @@ def stream_particle_filter(
 ) -> DataFrame:
     """Particle tracks with the live particles of a video as state.
 
-    ``transforms`` is a table; its matrices meet the stream by (video, frame).
+    ``transforms`` is a table; its matrices meet the stream by (video, frame). Frames
+    without one are left out in their turn, not by the join, so that rows without a
+    video reach the watermark.
     """
-    columns = ["video", "frame", "identity", *BOX_COLUMNS, "observed"]
 
-    def step(key, pieces, state):
+    def step(key, saved, frame, columns):
         import numpy as np
-        import pandas as pd
 
-        past, last = PA.Filters(PA.salt_of(seed, key)), None
-        if state.exists:
-            last, past.counter, ids, flat, weights, observed = state.get
+        past = PA.Filters(PA.salt_of(seed, key))
+        if saved:
+            past.counter, ids, flat, weights, observed = saved
             past.ids = np.array(ids, dtype=np.int64)
             past.boxes = np.array(flat, dtype=np.int64).reshape(-1, 4)
             past.weights = np.array(weights, dtype=float)
             past.observed = np.array(observed, dtype=bool)
-        out = []
-        for last, rows in _frames_in_order(pieces, last, ["ord"]):
+        rows, tracks = _by_ord(columns), []
+        if rows[TRANSFORM_COLUMNS[0]][0] is not None:
             tracks, _ = PA.filter_frame(
-                past, last, RK.corners_of(rows), PA.matrix_of(rows), n, persist, corrected
-            )
-            out += [(*key, *r) for r in tracks]
-        if last is not None:
-            state.update(
-                (
-                    last,
-                    int(past.counter),
-                    [int(v) for v in past.ids],
-                    [int(v) for v in past.boxes.ravel()],
-                    [float(v) for v in past.weights],
-                    [bool(v) for v in past.observed],
-                )
+                past, frame, PA.corners_of(rows), PA.matrix_of(rows), n, persist, corrected
             )
-        yield pd.DataFrame(out, columns=columns)
+        return tracks, (
+            int(past.counter),
+            [int(v) for v in past.ids],
+            [int(v) for v in past.boxes.ravel()],
+            [float(v) for v in past.weights],
+            [bool(v) for v in past.observed],
+        )
 
-    rows = with_transform(regions.select("video", "frame", "ord", *BOX_COLUMNS), transforms)
-    fields = [*_ddl(regions, ["video"]), PA.TRACK_OUTPUT]
     saved = (
-        "frame bigint, counter bigint, ids array<bigint>, boxes array<bigint>, "
+        "counter bigint, ids array<bigint>, boxes array<bigint>, "
         "weights array<double>, observed array<boolean>"
     )
-    return _with_state(rows, ["video"], step, fields, saved)
+    boxes = with_event_time(regions).select("video", "frame", "ord", *BOX_COLUMNS, "event_time")
+    ready = boxes.join(
+        transforms.select("video", "frame", *TRANSFORM_COLUMNS), ["video", "frame"], "left"
+    )
+    columns = ["ord", *BOX_COLUMNS, *TRANSFORM_COLUMNS]
+    return in_order(ready, ["video"], columns, saved, PA.TRACK_OUTPUT, step)
+
+
+class Confirmed(StatefulProcessor):
+    """Rows of a key from the second on; the first waits until there is one."""
+
+    def __init__(self, names: list[str], kept: list[str], ttl_ms: int | None):
+        self.names, self.kept, self.ttl_ms = names, kept, ttl_ms
+        fields = StructType.fromDDL(", ".join(kept)).fields
+        self.fields = [f.name for f in fields]
+        self.whole = [isinstance(f.dataType, IntegralType) for f in fields]
+
+    def init(self, handle) -> None:
+        saved = ", ".join(["seen boolean", *self.kept])
+        self.state = handle.getValueState("track", saved, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        past = self.state.get() if self.state.exists() else None
+        seen, waiting = (False, None) if past is None else (past[0], tuple(past[1:]))
+        for batch in rows:
+            lists = [_plain(batch[n], w) for n, w in zip(self.fields, self.whole, strict=True)]
+            fresh = list(zip(*lists, strict=True))
+            out = fresh
+            if not seen:
+                known = ([waiting] if waiting is not None else []) + fresh
+                seen = len(known) >= 2
+                out, waiting = (known if seen else []), known[0]
+            if out:
+                yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+        if waiting is not None:
+            # written again, so that the time to live starts anew
+            self.state.update((seen, *waiting))
 
 
 def stream_observation_hysteresis(tracks: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """Observed boxes of a track from its second observation on, the first included.
 
-    The first observation waits in state. With ``forget_ms`` a track without
-    news for that processing time is forgotten.
+    The first observation waits in state, whatever its frame, so rows may come in any
+    order and none is late. With ``forget_ms`` the state of a track lives that long after
+    its last row, in processing time.
     """
+    use_keyed_state(tracks.sparkSession)
     keys = ["video", "identity"]
     columns = [*keys, *[n for n in tracks.columns if n not in keys]]
-    kept = columns[2:]
-
-    def step(key, pieces, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, waiting = False, None
-        if state.exists:
-            seen, waiting = state.get[0], tuple(state.get[1:])
-        rows = [p for p in pieces if len(p)]
-        table = pd.concat(rows, ignore_index=True).sort_values("frame", kind="stable")
-        fresh = [tuple(r) for r in table[kept].itertuples(index=False)]
-        if seen:
-            out = fresh
-        else:
-            known = ([waiting] if waiting is not None else []) + fresh
-            seen = len(known) >= 2
-            out = known if seen else []
-            waiting = known[0]
-        state.update((seen, *(getattr(v, "item", lambda v=v: v)() for v in waiting)))
-        if forget_ms is not None:
-            state.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame([(*key, *r) for r in out], columns=columns)
-
-    timeout = (
-        GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    fields = ", ".join(_ddl(tracks, columns))
-    saved = ", ".join(["seen boolean", *_ddl(tracks, kept)])
+    processor = Confirmed(columns, _ddl(tracks, columns[2:]), forget_ms)
     observed = tracks.filter("observed").select(*columns)
-    return observed.groupBy(*keys).applyInPandasWithState(step, fields, saved, "append", timeout)
+    return observed.groupBy(*keys).transformWithStateInPandas(
+        processor, ", ".join(_ddl(tracks, columns)), "append",
+        "None" if forget_ms is None else "ProcessingTime",
+    )
 
 
 def stream_pixel_hysteresis(
-    mask: DataFrame, on_after: int, off_after: int | None = None, corrected: bool = False
+    mask: DataFrame,
+    on_after: int,
+    off_after: int | None = None,
+    corrected: bool = False,
+    tile: int = 64,
 ) -> DataFrame:
-    """Pixel hysteresis with one image row as a key; its run lengths are the state.
+    """Pixel hysteresis with one tile of the image as a key; its run lengths are the state.
 
     ``mask`` has a row per pixel and frame, v 0 or 255.
     """
     off_at = off_after if corrected and off_after is not None else on_after
-    keys = ["video", "y"]
-    columns = ["video", "y", "frame", "x", "v"]
 
-    def step(key, pieces, state):
+    def step(key, past, frame, columns):
         import numpy as np
+
+        x, y = columns["x"].astype(np.int64), columns["y"].astype(np.int64)
+        place, moving = (y << 32) + x, columns["v"] == 255
+        known = np.zeros((3, len(place)), np.int64)
+        held = np.zeros((4, 0), np.int64) if past is None else np.array(past, np.int64)
+        at = np.minimum(np.searchsorted(held[0], place), max(held.shape[1] - 1, 0))
+        if held.shape[1]:
+            hit = held[0][at] == place
+            known[:, hit] = held[1:, at[hit]]
+        on = np.where(moving, known[0] + 1, 0)
+        off = np.where(moving, 0, known[1] + 1)
+        value = np.where(on == on_after, 255, np.where(off == off_at, 0, known[2]))
+        # pixels without a row in this frame keep their runs
+        rest = held[:, ~np.isin(held[0], place)]
+        now = np.hstack([rest, np.stack([place, on, off, value])])
+        now = now[:, np.argsort(now[0], kind="stable")]
+        rows = zip([frame] * len(x), y.tolist(), x.tolist(), value.tolist(), strict=True)
+        return rows, tuple(line.tolist() for line in now)
+
+    tiled = mask.withColumns({
+        "ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")
+    })
+    found = in_order(
+        tiled, ["video", "ty", "tx"], ["y", "x", "v"],
+        "place array<bigint>, runs_on array<bigint>, runs_off array<bigint>, value array<bigint>",
+        "frame bigint, " + ", ".join(_ddl(mask, ["y", "x", "v"])), step,
+    )
+    return found.select("video", "y", "frame", "x", "v", LATE)
+
+
+class Whole(StatefulProcessor):
+    """The rows of one frame, together, once the watermark has passed it."""
+
+    def __init__(self, columns: list[str], names: list[str], keep_ms: int):
+        self.columns, self.names, self.keep_ms = columns, names, keep_ms
+        fields = StructType.fromDDL(", ".join(columns)).fields
+        self.fields = [f.name for f in fields]
+        self.whole = [isinstance(f.dataType, IntegralType) for f in fields]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", ", ".join(self.columns))
+        self.closed = handle.getValueState("closed", "at bigint")
+
+    def _table(self, key, rows: list[tuple], late: int):
         import pandas as pd
 
-        last, past = None, {}
-        if state.exists:
-            last, xs, on, off, value = state.get
-            past = {x: (a, b, v) for x, a, b, v in zip(xs, on, off, value)}
-        out = []
-        for last, rows in _frames_in_order(pieces, last, ["x"]):
-            xs = rows["x"].to_numpy()
-            moving = rows["v"].to_numpy() == 255
-            known = np.array([past.get(int(x), (0, 0, 0)) for x in xs]).reshape(-1, 3)
-            on = np.where(moving, known[:, 0] + 1, 0)
-            off = np.where(moving, 0, known[:, 1] + 1)
-            value = np.where(on == on_after, 255, np.where(off == off_at, 0, known[:, 2]))
-            for x, a, b, v in zip(xs, on, off, value):
-                past[int(x)] = (int(a), int(b), int(v))
-                out.append((*key, last, int(x), int(v)))
-        if last is not None:
-            xs = sorted(past)
-            state.update((last, xs, *[[past[x][i] for x in xs] for i in range(3)]))
-        yield pd.DataFrame(out, columns=columns)
-
-    fields = _ddl(mask, columns)
-    saved = "frame bigint, xs array<int>, runs_on array<int>, runs_off array<int>, value array<int>"
-    rows = mask.select("video", "y", "frame", "x", "v")
-    return _with_state(rows, keys, step, fields, saved)
+        return pd.DataFrame([(*key, *r, late) for r in rows], columns=self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        mark = timerValues.getCurrentWatermarkInMs()
+        closed = self.closed.exists()
+        for batch in rows:
+            if _absent(key):
+                continue
+            at = int(batch["at"].max())
+            lists = [_plain(batch[n], w) for n, w in zip(self.fields, self.whole, strict=True)]
+            fresh = list(zip(*lists, strict=True))
+            if closed or at + self.keep_ms <= mark:
+                yield self._table(key, fresh, 1)
+                continue
+            self.rows.appendList(fresh)
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        if self.closed.exists():
+            # from here on the age of a row alone says that it is late
+            self.closed.clear()
+            return
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        rows = [tuple(r) for r in self.rows.get()]
+        self.rows.clear()
+        self.closed.update((at,))
+        self.handle.registerTimer(at + self.keep_ms)
+        if rows:
+            yield self._table(key, rows, 0)
+
+
+def whole_frames(stream: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+    """All rows of a frame in one micro-batch, when the watermark closes the frame.
+
+    A column ``late`` is 1 for rows of frames that were closed before, which come out as
+    they arrive; no row is lost and none comes twice. Videos may lag behind others by
+    ``keep_ms`` of event time: so long is known which frames have been closed, and rows
+    older than that are late. Each frame is a key of its own.
+    """
+    use_keyed_state(stream.sparkSession)
+    timed = with_event_time(stream)
+    names = [c for c in timed.columns if c not in ("video", "frame", "event_time")]
+    rows = timed.select(
+        "video", "frame", *names, F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("at")
+    )
+    processor = Whole(_ddl(rows, names), ["video", "frame", *names, LATE], keep_ms)
+    schema = ", ".join([*_ddl(rows, ["video", "frame", *names]), f"{LATE} int"])
+    return rows.groupBy("video", "frame").transformWithStateInPandas(
+        processor, schema, "append", "EventTime"
+    )
