@@ -29,6 +29,6 @@ def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from trackframe.catalog import boxes, io, pixels, scores, state, streams, tracks  # noqa: F401
+    from trackframe.catalog import boxes, io, pixels, scores, state, streams, tiles, tracks  # noqa: F401
 
     return QUERIES, ORACLES

@@ -11,6 +11,7 @@ from trackframe.operators import components as C
 from trackframe.operators import morphology as MO
 from trackframe.operators import pixels as PX
 from trackframe.operators import registration as RG
+from trackframe.operators import tiles as TI
 from trackframe.operators.tracks import history_pairs
 from trackframe.session import cut
 
@@ -133,3 +134,35 @@ def motion_detect(
     """Boxes of moving blobs: video, frame, ord, x1, y1, x2, y2."""
     mask = motion_mask(pixels, transforms, width, height, config)
     return C.detect_blobs(mask, height).drop("hole")
+
+
+def motion_mask_tiles(
+    tiles: DataFrame,
+    transforms: DataFrame | None,
+    grid: TI.Grid,
+    config: MotionConfig = MotionConfig(),
+) -> DataFrame:
+    """As :func:`motion_mask`, from tiles; pixels are rows only where the mask is set."""
+    history, scale = config.history_frames, config.scale_factor
+    gray = TI.box_blur(tiles, config.kernel_size, grid)
+    if transforms is None:
+        moving = TI.layer(TI.rolling_history(gray, history, scale, grid, config.corrected), "moving")
+    else:
+        # read as frames and as their history
+        found = TI.anchored_history(cut(gray), transforms, history, scale, grid, config.corrected)
+        moving = TI.seen_moving(found, config.corrected)
+    cleaned = TI.clean_mask(
+        moving, config.dbscan_eps, config.dbscan_min_samples, config.dbscan_kernel, grid
+    )
+    return TI.to_pixels(cleaned, grid, {"data": "v"}, only_set=True).drop("v")
+
+
+def motion_detect_tiles(
+    tiles: DataFrame,
+    transforms: DataFrame | None,
+    grid: TI.Grid,
+    config: MotionConfig = MotionConfig(),
+) -> DataFrame:
+    """Boxes of moving blobs, from images of any size as tiles."""
+    mask = motion_mask_tiles(tiles, transforms, grid, config)
+    return C.detect_blobs(mask, grid.height).drop("hole")
