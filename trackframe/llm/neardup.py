@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import runs_of, small_batches, stored, text_of, unused
+from trackframe.llm.common import release, runs_of, small_batches, stored, text_of, unused
 from trackframe.llm.graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 #: Characters of text whose shingles are held at a time.
-STEP = 1_000_000
+STEP = 500_000
 CACHE_ENTRIES = 150_000
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x100000001B3)
@@ -150,6 +150,8 @@ def _signed(rows: DataFrame, bands: int, width: int) -> DataFrame:
         for batch in batches:
             for some in _steps(batch, "text"):
                 yield sign_some(some, known)
+        known.clear()
+        release()
 
     def sign_some(batch: pa.RecordBatch, known: WordHashes) -> pa.RecordBatch:
         import xxhash
@@ -195,6 +197,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
                     ],
                     names=["node", "label", "n", "token"],
                 )
+        release()
 
     return rows.select("node", "label", "text").mapInArrow(
         spell, "node long, label long, n long, token long"
@@ -217,6 +220,7 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 own = numbered(*shingles(left.as_py(), known))
                 kept.append(overlap(own, tokens) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        release()
 
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(compare, "a long, b long")

@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import in_fold, runs_of, small_batches, text_of
+from trackframe.llm.common import in_fold, release, runs_of, small_batches, text_of
 from trackframe.llm.sampling import labelled_texts
 
 WORDS = 50
 #: Passages whose bytes are counted together, and characters of texts scored together.
-PASSAGES, STEP = 4_096, 1_000_000
+PASSAGES, STEP = 4_096, 500_000
 HIDDEN = 24
 GATE = 12
 
@@ -178,6 +178,7 @@ def score_column(text: Column, model: AttentionModel | None) -> Column:
             return pd.Series([0.5] * len(values))
         runs = runs_of([len(t) for t in values], STEP)
         parts = [model.scores(values[run]) for run in runs]
+        release()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score.asNondeterministic()(text)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import in_fold, runs_of, small_batches, text_of
+from trackframe.llm.common import in_fold, release, runs_of, small_batches, text_of
 from trackframe.llm.sampling import labelled_texts
 
 BUCKETS = 1 << 16
@@ -31,7 +31,7 @@ DIM = 8
 HIDDEN = 0.25
 CACHE_ENTRIES = 200_000
 #: Characters of texts that are scored together.
-STEP = 1_000_000
+STEP = 250_000
 WORD = re.compile(r"\S+")
 PART = re.compile(r"[^\W_]+")
 
@@ -216,7 +216,9 @@ def score_column(text: Column, model: SubwordModel | None) -> Column:
         if model is None:
             return pd.Series(np.zeros(len(values)))
         parts = (model.scores(values[run]) for run in runs_of([len(t) for t in values], STEP))
-        return pd.Series([x for part in parts for x in part], dtype=float)
+        found = pd.Series([x for part in parts for x in part], dtype=float)
+        release()
+        return found
 
     return score.asNondeterministic()(text)
 
