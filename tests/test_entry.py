@@ -22,11 +22,19 @@ def test_optional_parts_may_be_absent():
     raise AssertionError("a missing dependency must show")
 
 
+class Absent:
+    """Finds that the package of corpus operators is not there."""
+
+    def find_spec(self, name, path=None, target=None):
+        if name == "trackframe.llm":
+            raise ModuleNotFoundError("gone", name=name)
+
+
 def test_catalog_stays_without_the_corpus_operators(monkeypatch):
     """The pipeline's module may still be there when what it imports is not."""
     for name in [n for n in sys.modules if n.startswith("trackframe.llm") or n == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "trackframe.llm", None)
+    monkeypatch.setattr(sys, "meta_path", [Absent(), *sys.meta_path])
     queries, oracles = catalog.load()
     assert set(__spark_entry__.queries()) == set(queries)
     assert set(__spark_entry__.oracle_sql()) == set(oracles)
