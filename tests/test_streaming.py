@@ -270,6 +270,10 @@ def test_frames_closed_long_ago_are_late_by_age(spark, tmp_path):
 
 
 def test_tracks_are_forgotten_after_their_time(spark, tmp_path):
-    table = spark.createDataFrame([("v", 1, 1, True), ("v", 1, 2, True)], "video string, identity int, frame int, observed boolean")
-    got = drained(spark, ST.stream_observation_hysteresis(stream_of(spark, table, tmp_path, 2), 3_600_000), tmp_path)
-    assert rows_of(got, "frame") == [(1,), (2,)]
+    ddl = "video string, identity int, frame int, observed boolean"
+    rows = [("v", 1, 1), ("v", 2, 1), ("v", 1, 900), ("v", 3, 900), ("v", 1, 1800), ("v", 3, 1800), ("v", 2, 2700)]
+    table = spark.createDataFrame([(*r, True) for r in rows], ddl)
+    stream = stream_of(spark, table, tmp_path, 3)  # 30 frames a second
+    got = drained(spark, ST.stream_observation_hysteresis(stream, 40_000), tmp_path)
+    # the second track had been forgotten when it came again
+    assert rows_of(got, "identity", "frame") == [(1, 1), (1, 900), (1, 1800), (3, 900), (3, 1800)]

@@ -284,24 +284,31 @@ def stream_particle_filter(
 
 
 class Confirmed(StatefulProcessor):
-    """Rows of a key from the second on; the first waits until there is one."""
+    """Rows of a key from the second on; the first waits until there is one.
 
-    def __init__(self, names: list[str], kept: list[str], ttl_ms: int | None):
-        self.names, self.kept, self.ttl_ms = names, kept, ttl_ms
+    With ``forget_ms`` a key is forgotten when the watermark is that far past its last row.
+    """
+
+    def __init__(self, names: list[str], kept: list[str], forget_ms: int | None):
+        self.names, self.kept, self.forget_ms = names, kept, forget_ms
         fields = StructType.fromDDL(", ".join(kept)).fields
         self.fields = [f.name for f in fields]
         self.whole = [isinstance(f.dataType, IntegralType) for f in fields]
 
     def init(self, handle) -> None:
-        saved = ", ".join(["seen boolean", *self.kept])
-        self.state = handle.getValueState("track", saved, self.ttl_ms)
+        self.handle = handle
+        saved = ", ".join(["seen boolean", "last bigint", *self.kept])
+        self.state = handle.getValueState("track", saved)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         past = self.state.get() if self.state.exists() else None
-        seen, waiting = (False, None) if past is None else (past[0], tuple(past[1:]))
+        if past is not None and self._over(past[1], timerValues):
+            past = None
+        seen, last, waiting = (False, 0, None) if past is None else (*past[:2], tuple(past[2:]))
         for batch in rows:
+            last = max(last, int(batch["at"].max()))
             lists = [_plain(batch[n], w) for n, w in zip(self.fields, self.whole, strict=True)]
             fresh = list(zip(*lists, strict=True))
             out = fresh
@@ -312,25 +319,42 @@ class Confirmed(StatefulProcessor):
             if out:
                 yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
         if waiting is not None:
-            # written again, so that the time to live starts anew
-            self.state.update((seen, *waiting))
+            self.state.update((seen, last, *waiting))
+            if self.forget_ms is not None:
+                self.handle.registerTimer(last + self.forget_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        if self.state.exists() and self._over(self.state.get()[1], timerValues):
+            self.state.clear()
+        return iter([])
+
+    def _over(self, last: int, timerValues) -> bool:
+        if self.forget_ms is None:
+            return False
+        return last + self.forget_ms <= timerValues.getCurrentWatermarkInMs()
 
 
 def stream_observation_hysteresis(tracks: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """Observed boxes of a track from its second observation on, the first included.
 
     The first observation waits in state, whatever its frame, so rows may come in any
-    order and none is late. With ``forget_ms`` the state of a track lives that long after
-    its last row, in processing time.
+    order and none is late. With ``forget_ms`` a track is forgotten when the watermark is
+    that far past its last observation; a later one is a first observation again.
     """
     use_keyed_state(tracks.sparkSession)
     keys = ["video", "identity"]
     columns = [*keys, *[n for n in tracks.columns if n not in keys]]
     processor = Confirmed(columns, _ddl(tracks, columns[2:]), forget_ms)
-    observed = tracks.filter("observed").select(*columns)
-    return observed.groupBy(*keys).transformWithStateInPandas(
+    seen = tracks.filter("observed")
+    if forget_ms is None:
+        rows = seen.select(*columns, F.lit(0).cast("bigint").alias("at"))
+    else:
+        rows = with_event_time(seen).select(
+            *columns, F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("at")
+        )
+    return rows.groupBy(*keys).transformWithStateInPandas(
         processor, ", ".join(_ddl(tracks, columns)), "append",
-        "None" if forget_ms is None else "ProcessingTime",
+        "None" if forget_ms is None else "EventTime",
     )
 
 
