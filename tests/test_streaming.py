@@ -68,8 +68,8 @@ def split_stream(spark, table, tmp_path, late="3 seconds", fps=2.0, closing=True
     folder = tmp_path / "split"
     half = F.pmod(F.xxhash64(*[c for c in table.columns if c != "frame"]), F.lit(2)) == 0
     top = table.agg(F.max("frame")).first()[0]
-    for start in range(1, top + 1, 4):
-        here = F.col("frame").between(start, start + 3)
+    for start in range(1, top + 1, 6):
+        here = F.col("frame").between(start, start + 5)
         land(table, folder, here & half & (F.col("frame") % 2 == 0))
         land(table, folder, here & half & (F.col("frame") % 2 == 1))
         land(table, folder, here & ~half)
