@@ -38,11 +38,6 @@ HEADLINE = [
     "density_filter",
     "connected_components",
     "anchored_history",
-    "anchored_history_tiles",
-    "warp_translate",
-    "warp_translate_tiles",
-    "motion_detect",
-    "motion_detect_tiles",
     "match_descriptors",
     "dead_reckoning",
     "particle_filter",
