@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import mask_table, picture, pixel_table, rows_of
 from trackframe.functions.scalars import level3
+from trackframe.operators import bitindex
 from trackframe.operators import components as C
 from trackframe.operators import morphology as MO
 from trackframe.operators import pixels as PX
@@ -284,6 +285,74 @@ def test_ten_thousand_descriptors_a_frame(spark):
     assert got.filter("kp = match and dist = 40").count() == n
 
 
+def whole_block(mine, other):
+    """Nearest places and distances by comparing everything, 500 at a time."""
+    place, dist = [], []
+    for at in range(0, mine.shape[1], 500):
+        far = sum(np.bitwise_count(x[at : at + 500, None] ^ y).astype(int) for x, y in zip(mine, other))
+        place.append(far.argmin(axis=1))
+        dist.append(far.min(axis=1))
+    return np.concatenate(place), np.concatenate(dist)
+
+
+def flipped(rng, words, bits):
+    moved = words.copy()
+    for i in range(words.shape[1]):
+        for at in rng.choice(64 * len(words), rng.integers(0, bits + 1), replace=False):
+            moved[at // 64, i] ^= np.uint64(1 << int(at % 64))
+    return moved
+
+
+def test_bit_index_computes_far_fewer_distances():
+    n, rng = 10_000, np.random.default_rng(5)
+    other = rng.integers(0, 2**64, (4, n), dtype=np.uint64)
+    mine = flipped(rng, other, 40)
+    place, dist, looked = bitindex.nearest(mine, other)
+    want_place, want_dist = whole_block(mine, other)
+    assert (place == want_place).all() and (dist == want_dist).all()
+    assert looked < n * n / 50
+
+
+@pytest.mark.parametrize("kind", ["far", "few bits", "equal", "hot", "two words", "small"])
+def test_bit_index_proves_the_nearest(kind):
+    rng = np.random.default_rng(6)
+    n = 100 if kind == "small" else 1500
+    other = rng.integers(0, 2**64, (2, n), dtype=np.uint64)
+    mine = flipped(rng, other, 20)[:, rng.permutation(n)[:700]]
+    if kind == "far":
+        mine = rng.integers(0, 2**64, (2, 700), dtype=np.uint64)
+    if kind == "few bits":  # many ties
+        mine, other = mine & np.uint64(0x1F3), other & np.uint64(0x1F3)
+    if kind == "equal":
+        mine, other = np.zeros_like(mine), np.zeros_like(other)
+    if kind == "hot":  # two thirds of a block are one string
+        other[:, :1000] = other[:, :1]
+        mine[:, :300] = flipped(rng, other[:, :300], 3)
+    if kind == "two words":  # the low half of each word only
+        mine, other = mine & np.uint64(2**32 - 1), other & np.uint64(2**32 - 1)
+    place, dist, looked = bitindex.nearest(mine, other)
+    want_place, want_dist = whole_block(mine, other)
+    assert (place == want_place).all() and (dist == want_dist).all()
+    assert looked <= 1.3 * mine.shape[1] * n
+
+
+def test_descriptors_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(RG, "DESCRIPTOR_BLOCK", 700)
+    monkeypatch.setattr(RG, "DESCRIPTOR_ASKS", 400)
+    rng = np.random.default_rng(8)
+    other = rng.integers(0, 2**64, (2, 1500), dtype=np.uint64)
+    mine = flipped(rng, other, 30)
+    ddl = "video string, frame int, kp int, w0 bigint, w1 bigint"
+    table = lambda words: spark.createDataFrame(
+        [("v", 1, i, *map(int, w)) for i, w in enumerate(words.T.astype(np.int64))], ddl
+    )
+    place, dist = whole_block(mine, other)
+    got = RG.match_descriptors(table(mine), table(other), ["w0", "w1"])
+    assert rows_of(got, "kp", "match", "dist") == [
+        (i, p, d) for i, (p, d) in enumerate(zip(place.tolist(), dist.tolist()))
+    ]
+
+
 def test_frames_go_to_bytes_and_back(spark):
     images = {1: noise(1), 2: noise(2)}
     pixels = pixel_table(spark, images)

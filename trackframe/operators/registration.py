@@ -40,8 +40,8 @@ def spatial_topk(keypoints: DataFrame, n: int, cell: int) -> DataFrame:
     return numbered.filter(F.col("place") <= n).select(*keypoints.columns, "place")
 
 
-# Keypoints of b, and of a at a time, whose distances are in memory together.
-DESCRIPTOR_BLOCK, DESCRIPTOR_STEP = 1024, 256
+# Keypoints of b that are indexed together, and keypoints of a that ask one index.
+DESCRIPTOR_BLOCK, DESCRIPTOR_ASKS = 16384, 4096
 
 
 def _nearest_in_block(a, b, words: list[str], keys: list[str]):
@@ -49,29 +49,21 @@ def _nearest_in_block(a, b, words: list[str], keys: list[str]):
     import numpy as np
     import pyarrow as pa
 
+    from trackframe.operators.bitindex import nearest
+
     b = b.sort_by("b_kp")
     bits = lambda table, tag: np.stack(
         [table.column(f"{tag}_{w}").to_numpy().astype(np.int64).view(np.uint64) for w in words]
     )
-    mine, other = bits(a, "a"), bits(b, "b")
-    place, least = [], []
-    for at in range(0, a.num_rows if b.num_rows else 0, DESCRIPTOR_STEP):
-        some = mine[:, at : at + DESCRIPTOR_STEP]
-        far = sum(
-            np.bitwise_count(x[:, None] ^ y[None, :]).astype(np.int32)
-            for x, y in zip(some, other, strict=True)
-        )
-        nearest = far.argmin(axis=1)
-        place.append(nearest)
-        least.append(far[np.arange(len(nearest)), nearest])
-    if not place:
+    if not a.num_rows or not b.num_rows:
         return a.select([*keys, "a_kp"]).slice(0, 0).append_column(
             "match", b.column("b_kp").slice(0, 0)
         ).append_column("dist", pa.array([], pa.int32()))
+    place, dist, _ = nearest(bits(a, "a"), bits(b, "b"))
     return (
         a.select([*keys, "a_kp"])
-        .append_column("match", b.column("b_kp").take(pa.array(np.concatenate(place))))
-        .append_column("dist", pa.array(np.concatenate(least), pa.int32()))
+        .append_column("match", b.column("b_kp").take(pa.array(place)))
+        .append_column("dist", pa.array(dist, pa.int32()))
     )
 
 
@@ -80,10 +72,11 @@ def match_descriptors(
 ) -> DataFrame:
     """For each keypoint of a, the nearest descriptor of b within the frame pair.
 
-    Both sides have (keys, kp, words...) and share their keys per frame pair. The
-    keypoints of b are dealt into blocks; a's meet each block, where distances are a
-    matrix of numbers, and leave one row each. No pair of keypoints is ever a row.
-    Ties go to the lowest kp of b. Output: keys, kp, match, dist.
+    Both sides have (keys, kp, words...) and share their keys per frame pair. Both are
+    dealt into blocks of bounded size. Where they meet, b's block is indexed by bands of
+    bits, which a's keypoints probe at growing radius until the nearest is proven; each
+    leaves one row. No pair of keypoints is ever a row. Ties go to the lowest kp of b.
+    Output: keys, kp, match, dist.
     """
     keys = keys or FRAME
 
@@ -97,21 +90,33 @@ def match_descriptors(
     # both sides may stem from one table, so all columns get names of their own
     other = [f"b_{k}" for k in keys]
     left, right = sided(a, "a", keys), sided(b, "b", other)
-    blocks = right.groupBy(*other).agg(
-        F.ceil(F.count("*") / DESCRIPTOR_BLOCK).cast("int").alias("blocks")
+
+    def blocks(df: DataFrame, names: list[str], most: int, name: str) -> DataFrame:
+        return df.groupBy(*[F.col(c).alias(k) for c, k in zip(names, keys)]).agg(
+            F.ceil(F.count("*") / most).cast("int").alias(name)
+        )
+
+    sizes = blocks(left, keys, DESCRIPTOR_ASKS, "parts").join(
+        blocks(right, other, DESCRIPTOR_BLOCK, "blocks"), keys
+    )
+    part = F.pmod(F.xxhash64("a_kp"), F.col("parts")).cast("int")
+    block = F.pmod(F.xxhash64("b_kp"), F.col("blocks")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = (
+        left.join(sizes, keys).withColumn("a_part", part).withColumn("a_block", upto("blocks"))
+        .drop("parts", "blocks")
+    )
+    dealt = (
+        right.join(sizes.withColumnsRenamed(dict(zip(keys, other))), other)
+        .withColumn("b_block", block).withColumn("b_part", upto("parts"))
+        .drop("parts", "blocks")
     )
-    counted = blocks.select(*[F.col(o).alias(k) for k, o in zip(keys, other)], "blocks")
-    asks = left.join(counted, keys).withColumn(
-        "a_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).drop("blocks")
-    dealt = right.join(blocks, other).withColumn(
-        "b_block", F.pmod(F.xxhash64("b_kp"), F.col("blocks")).cast("int")
-    ).drop("blocks")
     kinds = [f"{k} {left.schema[k].dataType.simpleString()}" for k in keys]
     kinds.append(f"a_kp {left.schema['a_kp'].dataType.simpleString()}")
     kinds.append(f"match {right.schema['b_kp'].dataType.simpleString()}")
     near = (
-        asks.groupBy(*keys, "a_block").cogroup(dealt.groupBy(*other, "b_block"))
+        asks.groupBy(*keys, "a_part", "a_block")
+        .cogroup(dealt.groupBy(*other, "b_part", "b_block"))
         .applyInArrow(
             lambda mine, other: _nearest_in_block(mine, other, words, keys),
             ", ".join([*kinds, "dist int"]),
