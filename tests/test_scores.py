@@ -6,6 +6,7 @@ import pytest
 from tests.helpers import rows_of
 from trackframe.operators import pareto as P
 from trackframe.operators import reports as R
+from trackframe.operators import skyline
 from trackframe.operators import sweep as D
 
 DDL = "video string, idx bigint, sample_ord bigint, recall double, prec double, f1 double"
@@ -75,6 +76,56 @@ def test_front_of_free_third_objective(spark):
     assert [i for (i,) in rows_of(P.pareto_front(df), "idx")] == plain_front(points)
 
 
+OBJECTIVES5 = ["a", "b", "c", "d", "e"]
+
+
+def many_objectives(spark, points):
+    ddl = "video string, idx bigint, " + ", ".join(f"{o} double" for o in OBJECTIVES5)
+    return spark.createDataFrame([("v", i, *p) for i, p in enumerate(points)], ddl)
+
+
+@pytest.mark.parametrize("block", [20, 8192])
+@pytest.mark.parametrize("size", [4, 5])
+def test_front_of_many_objectives(spark, monkeypatch, size, block):
+    monkeypatch.setattr(skyline, "BLOCK", block)
+    rng = random.Random(size)
+    points = [tuple(rng.randrange(9) - 4.0 for _ in OBJECTIVES5) for _ in range(300)]
+    found = P.pareto_front(many_objectives(spark, points), OBJECTIVES5[:size])
+    assert [i for (i,) in rows_of(found, "idx")] == plain_front([p[:size] for p in points])
+
+
+def test_margin_front_of_many_objectives(spark, monkeypatch):
+    monkeypatch.setattr(skyline, "BLOCK", 30)
+    rng = random.Random(11)
+    points = [tuple(rng.random() for _ in range(5)) for _ in range(150)]
+    low = np.min(points, axis=0)
+    front = np.array([points[i] for i in plain_front(points)])
+    moved = front - (front - low) * 0.1
+    want = [i for i, p in enumerate(points) if not (moved > np.array(p)).all(axis=1).any()]
+    found = P.margin_front(many_objectives(spark, points), 0.1, OBJECTIVES5)
+    assert [i for (i,) in rows_of(found, "idx")] == want
+
+
+def test_front_with_nulls_and_infinities(spark):
+    inf = float("inf")
+    points = [
+        (1.0, 1.0, 1.0, 1.0, 0.0), (2.0, 1.0, 1.0, 1.0, 0.0), (None, 0.0, 0.0, 0.0, 0.0),
+        (inf, -inf, 0.0, 0.0, 0.0), (inf, -inf, -1.0, 0.0, 0.0), (0.0, 0.0, inf, -inf, 0.0),
+    ]
+    df = many_objectives(spark, points)
+    assert [i for (i,) in rows_of(P.pareto_front(df, OBJECTIVES5[:4]), "idx")] == [1, 2, 3, 5]
+    two = P.pareto_front(df, ["a", "b"])
+    assert [i for (i,) in rows_of(two, "idx")] == [1, 2, 3]
+    assert P.pareto_front(df.limit(0), OBJECTIVES5).count() == 0
+    assert P.pareto_front(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_two_objectives_compare_no_pairs(spark):
+    plan = P.pareto_front(scores(spark, cloud(1, 50, "uniform")), ["recall", "prec"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
 def test_front_edges(spark):
     assert rows_of(P.pareto_front(scores(spark, [(0.5, 0.5)])), "idx") == [(0,)]
     zeros = [(0.0, 0.0)] * 3

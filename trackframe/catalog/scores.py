@@ -48,6 +48,40 @@ def pareto_front_2d(spark, sf):
     return P.pareto_front(X.scores(spark, sf), ["recall", "prec"])
 
 
+FRONT4 = """early as (select *, -cast(sample_ord as double) as early from scores),
+front as (select video, idx, recall, prec, f1, early from early p where not exists (
+  select 1 from early r where r.video = p.video
+  and r.recall >= p.recall and r.prec >= p.prec and r.f1 >= p.f1 and r.early >= p.early
+  and (r.recall > p.recall or r.prec > p.prec or r.f1 > p.f1 or r.early > p.early)))"""
+
+OBJECTIVES4 = [*P.OBJECTIVES, "early"]
+
+
+def _early_scores(spark, sf):
+    """Scores with a fourth objective: to be sampled early."""
+    return X.scores(spark, sf).withColumn("early", -F.col("sample_ord").cast("double"))
+
+
+@query("pareto_front_4d", "scores", f"with {FRONT4} select * from front")
+def pareto_front_4d(spark, sf):
+    return P.pareto_front(_early_scores(spark, sf), OBJECTIVES4)
+
+
+@query(
+    "margin_front_4d",
+    "scores",
+    f"""with {FRONT4}, low as (select video, min(recall) as lr, min(prec) as lp, min(f1) as lf,
+      min(early) as le from early group by 1),
+    s as (select f.video, recall - (recall-lr)*0.05e0 as recall, prec - (prec-lp)*0.05e0 as prec,
+      f1 - (f1-lf)*0.05e0 as f1, early - (early-le)*0.05e0 as early from front f join low using (video))
+    select video, idx, recall, prec, f1, early from early y where not exists (select 1 from s
+      where s.video=y.video and s.recall > y.recall and s.prec > y.prec and s.f1 > y.f1
+      and s.early > y.early)""",
+)
+def margin_front_4d(spark, sf):
+    return P.margin_front(_early_scores(spark, sf), 0.05, OBJECTIVES4)
+
+
 @query(
     "margin_front",
     "scores",

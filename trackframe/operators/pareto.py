@@ -1,9 +1,11 @@
 """Pareto fronts, their areas and how they grow.
 
-All objectives are maximized. Dominance never compares all pairs of a dataset:
-points fall into a coarse grid of the first two objectives. A cell that is
-greater in both grid directions settles most points with one small summary per
-dataset; what is left is compared only inside its own row and column band.
+All objectives are maximized. Dominance never compares all pairs of a dataset. Two
+objectives need an order by the first and a running maximum of the second. With three,
+points fall into a coarse grid of the first two objectives. A cell that is greater in
+both grid directions settles most points with one small summary per dataset; what is
+left is compared only inside its own row and column band. More objectives go through
+fronts of blocks, merged in a tree (:mod:`trackframe.operators.skyline`).
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.operators import skyline
 from trackframe.operators.running import running
 from trackframe.session import cut
 
 GRID = 16
+# Chunks of the running maximum over a first objective.
+STEPS = 64
 AREA_BLOCK = 1024
 KEYS = ["video"]
 OBJECTIVES = ["recall", "prec", "f1"]
@@ -79,6 +84,53 @@ def _above(a: str, b: str, objectives: list[str], every: bool) -> Column:
     return reduce(Column.__and__ if every else Column.__or__, tests)
 
 
+def _not_dominated_by_order(
+    points: DataFrame,
+    dominators: DataFrame,
+    keys: list[str],
+    objectives: list[str],
+    strict: bool,
+) -> DataFrame:
+    """Two objectives: the best second value among all greater first values settles a point.
+
+    One row per value of the first objective carries the best second value; the running
+    maximum over them is cut at quantiles, so that no key is one window.
+    """
+    one, two = objectives
+    whole = F.col(one).isNotNull() & F.col(two).isNotNull()
+    rivals = dominators.filter(whole).groupBy(*keys, one).agg(F.max(two).alias("equal"))
+    steps = rivals
+    if points is not dominators:
+        nothing = F.lit(None).cast(rivals.schema["equal"].dataType)
+        asked = points.select(*keys, one, nothing.alias("equal")).filter(F.col(one).isNotNull())
+        steps = rivals.unionByName(asked).groupBy(*keys, one).agg(F.max("equal").alias("equal"))
+    shares = F.array(*[F.lit(i / STEPS) for i in range(1, STEPS)])
+    borders = steps.groupBy(*keys).agg(
+        F.percentile_approx(one, shares, F.lit(20 * STEPS)).alias("borders")
+    )
+    placed = steps.join(borders, keys).select(
+        *keys,
+        F.col(one).alias("value"),
+        "equal",
+        # falling values, NaN before all, and chunks that rise along them
+        (~F.isnan(one)).alias("number"),
+        (-F.col(one)).alias("falling"),
+        F.size(F.filter("borders", lambda b: b > F.col(one))).alias("chunk"),
+    )
+    best = running(
+        placed, keys, ["number", "falling"], F.col("chunk"), {"above": ("max", F.col("equal"))},
+        inclusive=False,
+    ).select(*keys, F.col("value").alias(one), "equal", "above")
+    beaten = F.col("above") > F.col(two)
+    if not strict:
+        beaten = (F.col("above") >= F.col(two)) | (F.col("equal") > F.col(two))
+    return (
+        points.join(best, [*keys, one], "left")
+        .filter(~F.coalesce(beaten, F.lit(False)))
+        .select(*points.columns)
+    )
+
+
 def not_dominated(
     points: DataFrame,
     dominators: DataFrame,
@@ -89,11 +141,15 @@ def not_dominated(
     """Points that no dominator beats.
 
     Beating is at least as good everywhere and better somewhere, or with
-    ``strict`` better everywhere. Two or three objectives.
+    ``strict`` better everywhere. Two or more objectives.
     """
-    if len(objectives) not in (2, 3):
-        raise ValueError("dominance needs two or three objectives")
-    third = F.col(objectives[2]) if len(objectives) == 3 else F.lit(0.0)
+    if len(objectives) < 2:
+        raise ValueError("dominance needs two objectives")
+    if len(objectives) == 2:
+        return _not_dominated_by_order(points, dominators, keys, objectives, strict)
+    if len(objectives) > 3:
+        return skyline.not_dominated(points, dominators, keys, objectives, strict)
+    third = F.col(objectives[2])
     alike = points is dominators
     source = points if alike else dominators.select(*keys, *objectives)
     borders = _borders(source, keys, objectives)
@@ -101,10 +157,7 @@ def not_dominated(
     shadow = _shadow(rivals, keys, third, F.max)
 
     def grid_survivors(df: DataFrame) -> DataFrame:
-        if len(objectives) == 2:
-            beaten = F.col("s").isNotNull()
-        else:
-            beaten = F.col("s") > third if strict else F.col("s") >= third
+        beaten = F.col("s") > third if strict else F.col("s") >= third
         return (
             df.join(shadow, [*keys, "g0", "g1"], "left")
             .filter(~F.coalesce(beaten, F.lit(False)))
