@@ -59,6 +59,34 @@ def test_image_folder(spark, tmp_path):
     assert rows_of(L.list_datasets(spark, str(tmp_path)), "dataset") == [("VISO/car/003",)]
 
 
+def test_images_written_and_read(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    colour = [rng.integers(0, 256, (3, 5, 3)).astype("uint8") for _ in range(12)]
+    gray = rng.integers(0, 256, (2, 7)).astype("uint8")
+    rows = [("a/1", 10 * i, 3, 5, 3, bytearray(c.tobytes())) for i, c in enumerate(colour)]
+    rows.append(("b", 4, 2, 7, 1, bytearray(gray.tobytes())))
+    frames = spark.createDataFrame(
+        rows, "video string, frame int, height int, width int, channels int, data binary"
+    )
+    for _ in range(2):  # a repeated job leaves the same files
+        SK.write_frames(frames, str(tmp_path))
+    assert len(list(tmp_path.rglob("*"))) == 13 + 6
+    back = FI.read_frames(spark, f"{tmp_path}/Datasets/a/1/img").orderBy("frame").collect()
+    assert [(r["video"], r["frame"]) for r in back] == [("a/1", i + 1) for i in range(12)]
+    assert [bytes(r["data"]) for r in back] == [c.tobytes() for c in colour]
+    one = FI.read_frames(spark, f"{tmp_path}/Datasets/b/img").first()
+    assert (one["channels"], bytes(one["data"])) == (1, gray.tobytes())
+
+
+def test_score_table_written_and_read(spark, tmp_path):
+    rows = [("A", "u", "recall", 0.1), ("A", "v", "prec", 1 / 3), ("B", "u", "prec", 2.0)]
+    scores = spark.createDataFrame(rows, "method string, video string, metric string, value double")
+    SK.write_score_table(scores, str(tmp_path / "t"), ["u", "v"], ["recall", "prec"])
+    back = FI.read_score_table(spark, str(tmp_path / "t"), 2)
+    assert rows_of(back.filter("value is not null"), "method", "video", "metric", "value") == rows
+    assert back.count() == 8
+
+
 def test_image_stream(spark, tmp_path):
     folder, _ = image_folder(tmp_path)
     stream = SO.stream_image_files(spark, str(folder), fps=10)

@@ -12,6 +12,7 @@ from trackframe.operators import metrics as E
 from trackframe.session import scratch_path
 from trackframe.sources import files as FI
 from trackframe.sources import fixtures as X
+from trackframe.sources import frames as FR
 from trackframe.sources import layout as L
 from trackframe.sources import metadata as MD
 from trackframe.sources import sinks as SK
@@ -444,3 +445,41 @@ def round2_pct(spark, sf):
         SC.round2(F.col("recall")).alias("recall"),
         SC.pct(F.col("recall"), F.lit(3.0)).alias("share"),
     )
+
+
+@query(
+    "read_frames",
+    "pixels",
+    """select cast(video as varchar) as video,
+      cast(dense_rank() over (partition by video order by frame) as int) as frame, y, x, v from pixels""",
+)
+def read_frames(spark, sf):
+    """Frames written as image files and read back, numbered by file name."""
+    path = scratch_path(spark, "images")
+    SK.write_frames(FR.assemble_frames(X.pixels(spark, sf)), path)
+    return FR.explode_pixels(FI.read_frames(spark, f"{path}/Datasets/*/img"))
+
+
+@query(
+    "read_score_table",
+    "scores",
+    """with cells as (select 'm' || (idx % 25) as method, cast(video as varchar) as video,
+      max(recall) as recall, max(prec) as prec from scores group by 1, 2),
+    grid as (select method, video from (select distinct method from cells),
+      (select cast(unnest(range(0, 7)) as varchar) as video))
+    select method, video, m.metric, case m.metric when 'recall' then recall else prec end as value
+    from grid left join cells using (method, video),
+      (select unnest(['recall', 'prec']) as metric) m""",
+)
+def read_score_table(spark, sf):
+    """Best scores of 25 groups of designs, written with two header rows and read back."""
+    path = scratch_path(spark, "score-table")
+    best = (
+        X.scores(spark, sf)
+        .select(
+            F.concat(F.lit("m"), F.col("idx") % 25).alias("method"), "video", "recall", "prec"
+        )
+        .unpivot(["method", "video"], ["recall", "prec"], "metric", "value")
+    )
+    SK.write_score_table(best, path, list(range(7)), ["recall", "prec"])
+    return FI.read_score_table(spark, path, header_rows=2)

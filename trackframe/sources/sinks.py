@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +116,82 @@ def append_scores(scores: DataFrame, path: str) -> None:
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+# Image files -----------------------------------------------------------------
+
+
+def png_bytes(data: bytes, height: int, width: int, channels: int) -> bytes:
+    """An 8-bit PNG of image rows in the order of frames: gray, or blue, green, red."""
+    import numpy as np
+
+    image = np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, ::-1]
+    # each line begins with the number of its filter
+    lines = np.zeros((height, 1 + width * channels), np.uint8)
+    lines[:, 1:] = image.reshape(height, -1)
+
+    def part(kind: bytes, body: bytes) -> bytes:
+        check = struct.pack(">I", zlib.crc32(kind + body))
+        return struct.pack(">I", len(body)) + kind + body + check
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    packed = zlib.compress(lines.tobytes())
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", packed) + part(b"IEND", b"")
+
+
+def _write_images(batches, path: str):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    for batch in batches:
+        names = []
+        for row in batch.to_pylist():
+            folder = f"{root}/Datasets/{row['video']}/img"
+            store.create_dir(folder, recursive=True)
+            name, part = f"{folder}/{row['frame']:09d}.png", f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(png_bytes(row["data"], row["height"], row["width"], row["channels"]))
+            # a repeated task puts the same file in place again
+            store.move(part, name)
+            names.append(name)
+        yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+
+
+def write_frames(frames: DataFrame, path: str) -> None:
+    """Frames as PNG files ``path/Datasets/<video>/img/<frame>.png``, for ``read_frames``.
+
+    ``path`` is a folder or URI that all executors share. One and three channels.
+    """
+    rows = frames.filter(F.col("channels").isin(1, 3)).select(
+        F.col("video").cast("string").alias("video"),
+        F.col("frame").cast("long").alias("frame"),
+        "height", "width", "channels", "data",
+    )
+    rows.mapInArrow(lambda batches: _write_images(batches, path), "path string").write.format(
+        "noop"
+    ).mode("overwrite").save()
+
+
+def write_score_table(scores: DataFrame, path: str, videos: list, metrics: list[str]) -> None:
+    """(method, video, metric, value) as a table with two header rows and a comment.
+
+    One text file for the given columns; ``read_score_table`` reads it back.
+    """
+    columns = [(v, m) for v in videos for m in metrics]
+    cells = [
+        F.max(F.when((F.col("video") == v) & (F.col("metric") == m), F.col("value")))
+        for v, m in columns
+    ]
+    text = [F.coalesce(cell.cast("string"), F.lit("")) for cell in cells]
+    body = scores.groupBy("method").agg(F.concat_ws(",", *text).alias("cells")).select(
+        F.lit(3).alias("place"), F.concat_ws(",", "method", "cells").alias("value")
+    )
+    heads = [
+        (0, "# scores"),
+        (1, ",".join(["", *[str(v) for v, _ in columns]])),
+        (2, ",".join(["method", *[m for _, m in columns]])),
+    ]
+    head = scores.sparkSession.createDataFrame(heads, "place int, value string")
+    lines = head.unionByName(body).coalesce(1).sortWithinPartitions("place", "value")
+    lines.select("value").write.mode("overwrite").text(path)
