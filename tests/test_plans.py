@@ -19,7 +19,7 @@ QUERIES, ORACLES = catalog.load()
 PYTHON = {
     "explode_pixels", "pca_channels", "estimate_transform", "connected_components",
     "connected_components_rounds", "component_boxes", "component_centroids", "detect_blobs", "motion_detect",
-    "motion_detect_still", "motion_detect_still_tiles", "dead_reckoning", "particle_filter", "particle_filter_persist",
+    "motion_detect_still", "motion_detect_still_tiles", "motion_detect_tiles", "dead_reckoning", "particle_filter", "particle_filter_persist",
     "particle_history", "confirmed_tracks", "motion_only_in_order",
 }
 # Queries that write or stream before they give a frame; their plan is a scan.
