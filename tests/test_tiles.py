@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,35 @@ def test_a_large_frame_against_numpy(spark):
     # each target tile reads the four source tiles that its corners reach, at most
     needed = TI._targets(shift, grid).groupBy("ty", "tx").count().agg(F.max("count")).first()[0]
     assert needed <= 6
+
+
+def test_small_tiles_go_through_a_kernel_together(spark):
+    grid = TI.Grid(WIDE, HIGH, 4)
+    tiles = TI.to_tiles(pixel_table(spark, images(40)), grid)
+
+    def count(canvases, borders):
+        return np.full(canvases.shape, len(canvases))
+
+    got = TI.to_pixels(TI.with_halo(tiles.coalesce(1), grid, 1, count), grid, {"data": "v"})
+    # 40 frames in 8 partitions
+    assert got.agg(F.max("v")).first()[0] > 1
+
+
+def test_groups_go_together_and_are_never_cut(spark):
+    rows = [("v", f, f % 2, 0, i) for f in range(50) for i in range(1 + 100 * (f == 7))]
+    table = spark.createDataFrame(rows, "video string, frame int, ty int, tx int, i int").repartition(1)
+
+    def count(part, starts):
+        sizes = np.diff(np.r_[starts, len(part)]).astype(np.int32)
+        columns = {"n": pa.array(sizes), "groups": pa.array(np.full(len(starts), len(starts), np.int32))}
+        return TI._first_rows(part, starts, TI.KEY, columns)
+
+    schema = "video string, frame int, ty int, tx int, n int, groups int"
+    for batch in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = TI._grouped(table, TI.KEY, TI.Grid(8, 8, 4), count, schema).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r.frame, r.n) for r in got) == [(f, 101 if f == 7 else 1) for f in range(50)]
+    assert max(r.groups for r in got) > 1
