@@ -384,3 +384,18 @@ def test_principal_channels(spark, corrected):
         for i in range(30):
             row = got[(f, i // 5, i % 5)]
             assert [row[f"c{j}"] for j in range(3)] == level[i].tolist()
+
+
+def test_targets_are_dealt_before_they_are_widened(spark):
+    ddl = "video string, frame int, hist_frame int, " + ", ".join(f"{n} double" for n in RG.TRANSFORM_COLUMNS)
+    rows = [("v", f, f - 1, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0) for f in range(2, 60)]
+    table = spark.createDataFrame(rows, ddl).coalesce(1)
+    drawn = RG.coverage_masks(table, 8, 8)
+    # a few bytes a row would be merged into one task at run time
+    tasks = drawn.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+    assert rows_of(drawn.select("x", "v").distinct(), "x", "v") == [
+        (x, int(x > 0)) for x in range(8)
+    ]
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan

@@ -254,18 +254,18 @@ def _inverse() -> list[Column]:
 
 
 def _targets(transforms: DataFrame, width: int, height: int) -> DataFrame:
-    """Every output pixel with its four source pixels and their weights (of 1024).
+    """Every output pixel with ``corners``: its source pixels in the image and their weights (of 1024).
 
-    The grid of a frame is generated row by row and spread before it is widened.
+    Image rows are dealt to all partitions before they are widened, by a fixed number:
+    they are few bytes, and merged at run time they would be widened in one task.
     """
     keys = ["video", "frame", "hist_frame"]
     solved = transforms.select(
         *keys, *[c.alias(f"i{n}") for n, c in enumerate(_inverse())]
     )
-    grid = (
-        solved.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-        .repartition(*keys, "y")
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    rows = solved.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    grid = spread(rows, *keys, "y").withColumn(
+        "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
     )
     x, y = F.col("x"), F.col("y")
     w = F.col("i6") * x + F.col("i7") * y + F.col("i8")
@@ -289,12 +289,18 @@ def _targets(transforms: DataFrame, width: int, height: int) -> DataFrame:
             for dx in (0, 1)
         ]
     )
-    spread = at.select(*keys, "y", "x", F.inline(corners))
-    return spread.filter(
-        (F.col("part") > 0)
-        & F.col("sx").between(0, width - 1)
-        & F.col("sy").between(0, height - 1)
+    inside = F.filter(
+        corners,
+        lambda c: (c["part"] > 0)
+        & c["sx"].between(0, width - 1)
+        & c["sy"].between(0, height - 1),
     )
+    return at.select(*keys, "y", "x", inside.alias("corners"))
+
+
+def _level(parts: Column) -> Column:
+    full = SUBPIXEL * SUBPIXEL
+    return F.floor((parts + full // 2) / full).cast("int")
 
 
 def warp_history(
@@ -313,37 +319,20 @@ def warp_history(
         F.col("x").cast("long").alias("sx"),
         "v",
     )
-    targets = _targets(transforms, width, height)
-    drawn = targets.join(source, ["video", "hist_frame", "sy", "sx"]).select(
-        *WARPED, (F.col("v") * F.col("part")).alias("v"), "part"
+    # a pixel without a source has one row all the same
+    parts = _targets(transforms, width, height).select(*WARPED, F.inline_outer("corners"))
+    drawn = parts.join(source, ["video", "hist_frame", "sy", "sx"], "left")
+    seen = F.when(F.col("v").isNotNull(), F.col("part")).otherwise(0)
+    return drawn.groupBy(*WARPED).agg(
+        _level(F.sum(F.coalesce(F.col("v"), F.lit(0)) * seen)).alias("v"),
+        _level(F.sum(seen)).alias("covered"),
     )
-    return _drawn_on_grid(transforms, drawn, width, height)
 
 
 def coverage_masks(transforms: DataFrame, width: int, height: int) -> DataFrame:
-    """The warp of an all-ones frame: 1 where history covers the frame, else 0."""
-    part = _targets(transforms, width, height).select(*WARPED, F.lit(0).alias("v"), "part")
-    drawn = _drawn_on_grid(transforms, part, width, height)
-    return drawn.select(*WARPED, F.col("covered").alias("v"))
-
-
-def _drawn_on_grid(
-    transforms: DataFrame, drawn: DataFrame, width: int, height: int
-) -> DataFrame:
-    """Sum the parts of each output pixel; pixels nothing was drawn on are 0."""
-    blank = (
-        transforms.select("video", "frame", "hist_frame")
-        .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        .select(*WARPED, F.lit(0).alias("v"), F.lit(0).alias("part"))
-    )
-    full = SUBPIXEL * SUBPIXEL
-
-    def level(name: str) -> Column:
-        return F.floor((F.sum(name) + full // 2) / full).cast("int")
+    """The warp of an all-ones frame: 1 where history covers the frame, else 0.
 
-    return (
-        blank.unionByName(drawn)
-        .groupBy(*WARPED)
-        .agg(level("v").alias("v"), level("part").alias("covered"))
-    )
+    Each pixel adds its own corners; nothing is grouped.
+    """
+    covered = F.aggregate("corners", F.lit(0).cast("long"), lambda s, c: s + c["part"])
+    return _targets(transforms, width, height).select(*WARPED, _level(covered).alias("v"))
