@@ -399,3 +399,24 @@ def test_targets_are_dealt_before_they_are_widened(spark):
     ]
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_many_pairs_are_fitted_as_each_alone():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(3, 12, 40)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    src = rng.integers(0, 200, (sizes.sum(), 2)).astype(float)
+    dst = src + 3.0
+    dst[rng.random(len(dst)) < 0.2] += 40.0
+    frames = np.repeat(np.arange(40), sizes)
+    kept, found = RG._fit_pairs(frames, starts, src, dst, 2.0, 200, RG._Draws(0))
+    assert len(kept) > 20
+    alone = {}
+    for i, (first, n) in enumerate(zip(starts, sizes)):
+        span = slice(first, first + n)
+        one = RG._fit_pairs(frames[span], np.array([0]), src[span], dst[span], 2.0, 200, RG._Draws(0))
+        if len(one[0]):
+            alone[i] = one[1][0]
+    assert sorted(alone) == kept.tolist()
+    for i, m in zip(kept, found):
+        assert np.allclose(m, alone[i], atol=1e-6)

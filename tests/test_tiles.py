@@ -11,6 +11,7 @@ from tests.helpers import pixel_table, rows_of
 from trackframe.operators import morphology as MO
 from trackframe.operators import pixels as PX
 from trackframe.operators import registration as RG
+from trackframe.operators import stacks as ST
 from trackframe.operators import tiles as TI
 from trackframe.operators.tracks import history_pairs
 from trackframe.plans import motion as MP
@@ -212,7 +213,7 @@ def test_groups_go_together_and_are_never_cut(spark):
     def count(part, starts):
         sizes = np.diff(np.r_[starts, len(part)]).astype(np.int32)
         columns = {"n": pa.array(sizes), "groups": pa.array(np.full(len(starts), len(starts), np.int32))}
-        return TI._first_rows(part, starts, TI.KEY, columns)
+        return ST.first_rows(part, starts, TI.KEY, columns)
 
     schema = "video string, frame int, ty int, tx int, n int, groups int"
     for batch in ("3", "10000"):

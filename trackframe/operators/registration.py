@@ -149,63 +149,116 @@ def top_fraction(
 # Homography -----------------------------------------------------------------
 
 
-def solve_homography(src, dst):
-    """3x3 matrix through point pairs by normalized linear least squares, or None."""
+def solve_homographies(src, dst):
+    """3x3 matrices through stacks of point pairs, and which of them could be solved."""
     import numpy as np
 
     def normalizer(points):
-        center = points.mean(axis=0)
-        spread = np.sqrt(((points - center) ** 2).sum(axis=1)).mean()
-        scale = np.sqrt(2) / spread if spread > 0 else 1.0
-        return np.array([[scale, 0, -scale * center[0]], [0, scale, -scale * center[1]], [0, 0, 1]])
+        center = points.mean(axis=1)
+        spread = np.sqrt(((points - center[:, None]) ** 2).sum(axis=2)).mean(axis=1)
+        scale = np.where(spread > 0, np.sqrt(2) / np.where(spread > 0, spread, 1.0), 1.0)
+        m = np.zeros((len(points), 3, 3))
+        m[:, 0, 0] = m[:, 1, 1] = scale
+        m[:, :2, 2], m[:, 2, 2] = -scale[:, None] * center, 1.0
+        return m
 
     ns, nd = normalizer(src), normalizer(dst)
-    ones = np.ones((len(src), 1))
-    s = np.hstack([src, ones]) @ ns.T
-    d = np.hstack([dst, ones]) @ nd.T
+    ones = np.ones((*src.shape[:2], 1))
+    s = np.concatenate([src, ones], axis=2) @ ns.transpose(0, 2, 1)
+    d = np.concatenate([dst, ones], axis=2) @ nd.transpose(0, 2, 1)
     zero = np.zeros_like(s)
-    top = np.hstack([s, zero, -d[:, :1] * s])
-    low = np.hstack([zero, s, -d[:, 1:2] * s])
+    top = np.concatenate([s, zero, -d[:, :, :1] * s], axis=2)
+    low = np.concatenate([zero, s, -d[:, :, 1:2] * s], axis=2)
     # four points have a ninth direction of their own; more need no square factor
-    _, values, vt = np.linalg.svd(np.vstack([top, low]), full_matrices=len(src) == 4)
-    if len(src) == 4 and values[-1] < 1e-9 * max(values[0], 1e-300):
-        return None
-    m = np.linalg.inv(nd) @ vt[-1].reshape(3, 3) @ ns
-    return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
+    four = src.shape[1] == 4
+    _, values, vt = np.linalg.svd(np.concatenate([top, low], axis=1), full_matrices=four)
+    m = np.linalg.inv(nd) @ vt[:, -1].reshape(-1, 3, 3) @ ns
+    good = np.abs(m[:, 2, 2]) > 1e-12
+    if four:
+        good &= values[:, -1] >= 1e-9 * np.maximum(values[:, 0], 1e-300)
+    return m / np.where(good, m[:, 2, 2], 1.0)[:, None, None], good
+
+
+def solve_homography(src, dst):
+    """3x3 matrix through point pairs by normalized linear least squares, or None."""
+    m, good = solve_homographies(src[None], dst[None])
+    return m[0] if good[0] else None
+
+
+# Frame pairs whose draws are kept by a task.
+KEPT_DRAWS = 4096
+
+
+class _Draws:
+    """Seeded draws of four of n points: those of a frame and a number of points are one row of draws."""
+
+    def __init__(self, seed: int):
+        self.seed, self.kept = seed, {}
 
+    def of(self, frame: int, n: int, number: int):
+        import numpy as np
 
-def _fit_pair(pdf, max_error, rounds, seed):
-    """Seeded consensus fit of one frame pair; None below four matches."""
+        if (frame, n) not in self.kept:
+            if len(self.kept) >= KEPT_DRAWS:
+                self.kept.clear()
+            self.kept[frame, n] = (np.random.default_rng([self.seed, frame, n]), [])
+        rng, drawn = self.kept[frame, n]
+        while len(drawn) <= number:
+            drawn.append(rng.choice(n, 4, replace=False))
+        return drawn[number]
+
+
+def _consensus(frames, src, dst, max_error, rounds, draws):
+    """Which points of each frame pair agree; pairs have the same number of points."""
     import numpy as np
 
-    pdf = pdf.sort_values(["kp"])
-    src = pdf[["x", "y"]].to_numpy(float)
-    dst = pdf[["mx", "my"]].to_numpy(float)
-    if len(src) < 4:
-        return None
-    rng = np.random.default_rng([seed, int(pdf["frame"].iloc[0]), len(src)])
-    ones = np.ones((len(src), 1))
-    best, best_count, needed, tried = None, 0, rounds, 0
-    while tried < needed:
+    pairs, n = src.shape[:2]
+    best, count = np.zeros((pairs, n), bool), np.zeros(pairs, int)
+    needed, open_, tried = np.full(pairs, rounds), np.arange(pairs), 0
+    ones = np.ones((pairs, n, 1))
+    while len(open_):
+        pick = np.stack([draws.of(int(f), n, tried) for f in frames[open_]])
         tried += 1
-        pick = rng.choice(len(src), 4, replace=False)
-        m = solve_homography(src[pick], dst[pick])
-        if m is None:
-            continue
-        p = np.hstack([src, ones]) @ m.T
+        each = open_[:, None]
+        m, good = solve_homographies(src[each, pick], dst[each, pick])
+        p = np.concatenate([src[open_], ones[open_]], axis=2) @ m.transpose(0, 2, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            off = np.sqrt(((p[:, :2] / p[:, 2:] - dst) ** 2).sum(axis=1))
-        good = off <= max_error
-        if good.sum() > best_count:
-            best, best_count = good, int(good.sum())
-            share = best_count / len(src)
-            if share >= 1.0:
-                break
-            miss = np.log(max(1 - share**4, 1e-12))
-            needed = min(rounds, int(np.ceil(np.log(0.005) / miss)))
-    if best is None or best_count < 4:
-        return None
-    return solve_homography(src[best], dst[best])
+            off = np.sqrt(((p[:, :, :2] / p[:, :, 2:] - dst[open_]) ** 2).sum(axis=2))
+        near = (off <= max_error) & good[:, None]
+        more = near.sum(axis=1) > count[open_]
+        at = open_[more]
+        best[at], count[at] = near[more], near[more].sum(axis=1)
+        share = count[at] / n
+        miss = np.log(np.maximum(1 - share**4, 1e-12))
+        with np.errstate(divide="ignore"):
+            enough = np.ceil(np.minimum(np.log(0.005) / np.where(miss < 0, miss, -1e-300), rounds))
+        needed[at] = np.where(share >= 1.0, 0, enough).astype(int)
+        open_ = open_[tried < needed[open_]]
+    return best, count
+
+
+def _fit_pairs(frames, starts, src, dst, max_error, rounds, draws):
+    """Seeded consensus fit of the frame pairs in sorted rows: (pairs with a fit, their matrices)."""
+    import numpy as np
+
+    sizes = np.diff(np.r_[starts, len(src)])
+    fitted, found = np.zeros(len(starts), bool), np.zeros((len(starts), 9))
+    for n in np.unique(sizes[sizes >= 4]):
+        pairs = np.flatnonzero(sizes == n)
+        rows = starts[pairs][:, None] + np.arange(n)
+        best, count = _consensus(frames[starts[pairs]], src[rows], dst[rows], max_error, rounds, draws)
+        for many in np.unique(count[count >= 4]):
+            at = np.flatnonzero(count == many)
+            chosen = rows[at][best[at]].reshape(len(at), many)
+            m, good = solve_homographies(src[chosen], dst[chosen])
+            fitted[pairs[at[good]]] = True
+            found[pairs[at[good]]] = m[good].reshape(-1, 9)
+    kept = np.flatnonzero(fitted)
+    return kept, found[kept]
+
+
+# Points that are fitted together.
+FIT_ROWS = 1 << 15
 
 
 def estimate_transform(
@@ -219,19 +272,31 @@ def estimate_transform(
 
     ``matches(keys, kp, x, y, mx, my)``: a point and its partner. The caller
     bounds a group with :func:`spatial_topk`. Pairs without a fit are left out.
+    Pairs with as many points go through the rounds together.
     """
     keys = keys or FRAME
 
-    def fit(key, pdf):
-        import pandas as pd
+    def fit(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        from trackframe.operators.stacks import first_rows, numbers
+
+        src, dst = (
+            np.column_stack([numbers(table, c).astype(float) for c in names])
+            for names in (("x", "y"), ("mx", "my"))
+        )
+        kept, found = _fit_pairs(numbers(table, "frame"), starts, src, dst, max_error, rounds, _Draws(seed))
+        return first_rows(
+            table, starts[kept], keys, {n: pa.array(found[:, i]) for i, n in enumerate(TRANSFORM_COLUMNS)}
+        )
 
-        m = _fit_pair(pdf, max_error, rounds, seed)
-        rows = [] if m is None else [[*key, *m.ravel()]]
-        return pd.DataFrame(rows, columns=[*keys, *TRANSFORM_COLUMNS])
+    from trackframe.operators.stacks import whole_groups
 
     fields = [f"{n} {matches.schema[n].dataType.simpleString()}" for n in keys]
     out = ", ".join([*fields, *[f"{n} double" for n in TRANSFORM_COLUMNS]])
-    return spread(matches, *keys).groupBy(*keys).applyInPandas(fit, out)
+    points = matches.select(*keys, "kp", "x", "y", "mx", "my")
+    return whole_groups(points, keys, fit, out, FIT_ROWS, FIT_ROWS, ["kp"])
 
 
 # Warps ----------------------------------------------------------------------

@@ -21,6 +21,7 @@ from trackframe.functions.scalars import BAND_CODES, CORRECTED_CODES, HIGH_LIMIT
 from trackframe.operators.morphology import _offsets
 from trackframe.operators.pixels import ON, SAME_LEVELS
 from trackframe.operators.registration import SUBPIXEL, _inverse
+from trackframe.operators.stacks import first_rows, numbers, starts_of, whole, whole_groups
 from trackframe.session import spread
 
 TILE = 128
@@ -70,20 +71,6 @@ BYTES = {"ty": pa.int32(), "tx": pa.int32(), "data": pa.binary()}
 STACK_PIXELS = 1 << 20
 
 
-def _numbers(table, name: str) -> np.ndarray:
-    column = table[name]
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.to_numpy(zero_copy_only=False)
-
-
-def _whole(table: pa.Table, name: str) -> pa.Array:
-    """A column in one piece."""
-    column = table[name]
-    if not isinstance(column, pa.ChunkedArray):
-        return column
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column, and where each row begins."""
     _, offsets, data = column.buffers()
@@ -124,60 +111,13 @@ def _alike(*columns: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(change) + 1)
 
 
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Where the groups of sorted rows begin; nulls are equal."""
-    change = np.zeros(max(len(table) - 1, 0), bool)
-    for name in keys:
-        codes = pc.dictionary_encode(_whole(table, name), null_encoding="encode").indices.to_numpy()
-        change |= codes[1:] != codes[:-1]
-    return np.r_[0, np.flatnonzero(change) + 1][: len(table)]
-
-
 def _grouped(
     df: DataFrame, keys: list[str], grid: Grid, step: Callable, schema: str, within=(), row_pixels: int | None = None
 ) -> DataFrame:
-    """``step(table, starts)`` gives a batch for some whole groups at a time.
-
-    Rows are dealt by their keys and sorted inside their partition, by ``within`` below
-    the keys. A small tile alone would cost more to hand over than to work on, so groups
-    go together while their rows, of a tile or ``row_pixels`` each, and their tiles are no
-    more than a stack.
-    """
-    tiles = max(STACK_PIXELS // (grid.tile * grid.tile), 1)
-    most = max(STACK_PIXELS // (row_pixels or grid.tile * grid.tile), 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stacks(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ends, first = np.r_[starts[1:], len(table)], 0
-            while first < len(starts):
-                last = int(np.searchsorted(ends, starts[first] + most, "right"))
-                last = max(min(last, first + tiles), first + 1)
-                part = table.slice(starts[first], ends[last - 1] - starts[first]).combine_chunks()
-                yield step(part, starts[first:last] - starts[first])
-                first = last
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            begins = _starts(pa.Table.from_batches([batch]), keys)
-            if held:
-                edge = pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), batch.slice(0, 1)])
-                begins = begins[0 if len(_starts(edge, keys)) > 1 else 1 :]
-            if len(begins):
-                done = [*held, *([batch.slice(0, begins[-1])] if begins[-1] else [])]
-                if done:
-                    table = pa.Table.from_batches(done).combine_chunks()
-                    yield from stacks(table, _starts(table, keys))
-                held = [batch.slice(begins[-1])]
-            else:
-                held.append(batch)
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from stacks(table, _starts(table, keys))
-
-    placed = spread(df, *keys).sortWithinPartitions(*keys, *within)
-    return placed.mapInArrow(run, schema)
+    """Groups that go together have rows, of a tile or ``row_pixels`` each, and tiles for a stack at most."""
+    tile = grid.tile * grid.tile
+    rows, groups = STACK_PIXELS // (row_pixels or tile), STACK_PIXELS // tile
+    return whole_groups(df, keys, step, schema, max(rows, 1), max(groups, 1), within)
 
 
 def _portions(batches: Iterator[pa.RecordBatch], pixels: int) -> Iterator[pa.RecordBatch]:
@@ -200,7 +140,7 @@ def frame_tiles(frames: DataFrame, grid: Grid) -> DataFrame:
 
     def cut_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, grid.width * grid.height):
-            high, wide = _numbers(batch, "height"), _numbers(batch, "width")
+            high, wide = numbers(batch, "height"), numbers(batch, "width")
             for at in _alike(high, wide):
                 images = _stack(batch["data"], at, int(high[at[0]]), int(wide[at[0]]))
                 spans = [grid.span(*place) for place in places]
@@ -232,33 +172,25 @@ def to_tiles(pixels: DataFrame, grid: Grid, value: str = "v") -> DataFrame:
     )
 
     def paint(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ty, tx = _numbers(table, "ty").astype(np.int64), _numbers(table, "tx").astype(np.int64)
+        ty, tx = numbers(table, "ty").astype(np.int64), numbers(table, "tx").astype(np.int64)
         high, wide = _sizes(grid, ty, tx)
         pieces = _Pieces((high * wide)[starts])
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(table)]))
-        y, x = _numbers(table, "y") - ty * grid.tile, _numbers(table, "x") - tx * grid.tile
-        pieces.data[pieces.ends[group] + y * wide + x] = _numbers(table, "v")
-        return _first_rows(table, starts, KEY, {"data": pieces.column()})
+        y, x = numbers(table, "y") - ty * grid.tile, numbers(table, "x") - tx * grid.tile
+        pieces.data[pieces.ends[group] + y * wide + x] = numbers(table, "v")
+        return first_rows(table, starts, KEY, {"data": pieces.column()})
 
     schema = f"{_kinds(placed, KEY)}, data binary"
     return _grouped(placed, KEY, grid, paint, schema, row_pixels=1)
 
 
-def _first_rows(table: pa.Table, at: np.ndarray, keys: list[str], columns: dict) -> pa.RecordBatch:
-    """The keys of some rows, and new columns."""
-    index = pa.array(at)
-    return pa.RecordBatch.from_arrays(
-        [*[_whole(table, k).take(index) for k in keys], *columns.values()], [*keys, *columns]
-    )
-
-
 def to_pixels(tiles: DataFrame, grid: Grid, layers: dict[str, str], only_set: bool = False) -> DataFrame:
     """Tiles to pixel rows, a column for each layer; ``only_set`` leaves out zeros of the first."""
     given = [c for c in tiles.columns if c in ("video", "frame", "hist_frame")]
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, grid.tile * grid.tile):
-            ty, tx = _numbers(batch, "ty").astype(np.int64), _numbers(batch, "tx").astype(np.int64)
+            ty, tx = numbers(batch, "ty").astype(np.int64), numbers(batch, "tx").astype(np.int64)
             high, wide = _sizes(grid, ty, tx)
             for at in _alike(high, wide):
                 h, w = int(high[at[0]]), int(wide[at[0]])
@@ -305,7 +237,7 @@ def with_halo(
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, grid.tile * grid.tile):
-            rows, columns = _numbers(batch, "ty"), _numbers(batch, "tx")
+            rows, columns = numbers(batch, "ty"), numbers(batch, "tx")
             for at in _alike(rows, columns):
                 row, column = int(rows[at[0]]), int(columns[at[0]])
                 top, bottom, left, right = grid.span(row, column)
@@ -334,8 +266,8 @@ def with_halo(
                         )
 
     def meet(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        rows = {n: _numbers(table, n).astype(np.int64) for n in ("ty", "tx", "y0", "x0", "high")}
-        data = _whole(table, "data")
+        rows = {n: numbers(table, n).astype(np.int64) for n in ("ty", "tx", "y0", "x0", "high")}
+        data = whole(table, "data")
         size = np.diff(_flat(data)[1])
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(table)]))
         high, wide = _sizes(grid, rows["ty"][starts], rows["tx"][starts])
@@ -360,9 +292,9 @@ def with_halo(
             found.put(places, done.astype(np.uint8))
             full[places] = done.any(axis=(1, 2))
         if not skip_empty:
-            return _first_rows(table, starts, KEY, {"data": found.column()})
+            return first_rows(table, starts, KEY, {"data": found.column()})
         kept = np.flatnonzero(full)
-        return _first_rows(table, starts[kept], KEY, {"data": found.column().take(pa.array(kept))})
+        return first_rows(table, starts[kept], KEY, {"data": found.column().take(pa.array(kept))})
 
     offered = f"{_kinds(tiles, KEY)}, y0 int, x0 int, high int, data binary"
     strips = tiles.select(*KEY, "data").mapInArrow(offer, offered)
@@ -494,8 +426,8 @@ def _targets(transforms: DataFrame, grid: Grid) -> DataFrame:
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            solved = np.stack([_numbers(batch, n) for n in SOLVED])
-            ty = _numbers(batch, "ty").astype(np.int64)
+            solved = np.stack([numbers(batch, n) for n in SOLVED])
+            ty = numbers(batch, "ty").astype(np.int64)
             for tx in range(grid.columns):
                 top, bottom, left, right = _needed(solved, grid, ty, tx)
                 across = right - left
@@ -550,11 +482,11 @@ def _warped(table: pa.Table, starts: np.ndarray, grid: Grid) -> Iterator[tuple[n
     t = grid.tile
     sizes = np.diff(np.r_[starts, len(table)])
     group = np.repeat(np.arange(len(starts)), sizes)
-    column = _whole(table, "data")
+    column = whole(table, "data")
     data, begins = _flat(column)
     there = column.is_valid().to_numpy(zero_copy_only=False)
-    sy = pc.fill_null(_whole(table, "sy"), 0).to_numpy().astype(np.int64)
-    sx = pc.fill_null(_whole(table, "sx"), 0).to_numpy().astype(np.int64)
+    sy = pc.fill_null(whole(table, "sy"), 0).to_numpy().astype(np.int64)
+    sx = pc.fill_null(whole(table, "sx"), 0).to_numpy().astype(np.int64)
     wide = _sizes(grid, sy, sx)[1]
     top, left = np.minimum.reduceat(sy, starts), np.minimum.reduceat(sx, starts)
     down = np.maximum.reduceat(sy, starts) - top + 1
@@ -564,8 +496,8 @@ def _warped(table: pa.Table, starts: np.ndarray, grid: Grid) -> Iterator[tuple[n
     rows = np.flatnonzero(there)
     of = group[rows]
     held[base[of] + (sy[rows] - top[of]) * across[of] + sx[rows] - left[of]] = rows
-    solved = np.stack([_numbers(table, n)[starts] for n in SOLVED])
-    ty, tx = _numbers(table, "ty")[starts], _numbers(table, "tx")[starts]
+    solved = np.stack([numbers(table, n)[starts] for n in SOLVED])
+    ty, tx = numbers(table, "ty")[starts], numbers(table, "tx")[starts]
     for places in _alike(ty, tx):
         each = lambda v: v[places][:, None, None]
         value = part = 0
@@ -600,12 +532,12 @@ def warp_history(tiles: DataFrame, transforms: DataFrame, grid: Grid) -> DataFra
     keys = ["video", "frame", "hist_frame", "ty", "tx"]
 
     def warp(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        high, wide = _sizes(grid, _numbers(table, "ty")[starts], _numbers(table, "tx")[starts])
+        high, wide = _sizes(grid, numbers(table, "ty")[starts], numbers(table, "tx")[starts])
         found = {name: _Pieces(high * wide) for name in ("data", "covered")}
         for places, *values in _warped(table, starts, grid):
             for pieces, v in zip(found.values(), values, strict=True):
                 pieces.put(places, v)
-        return _first_rows(table, starts, keys, {n: p.column() for n, p in found.items()})
+        return first_rows(table, starts, keys, {n: p.column() for n, p in found.items()})
 
     return _grouped(joined, keys, grid, warp, f"{_kinds(joined, keys)}, data binary, covered binary")
 
@@ -617,8 +549,8 @@ def coverage_masks(transforms: DataFrame, grid: Grid) -> DataFrame:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, grid.tile * grid.tile):
-            solved = np.stack([_numbers(batch, n) for n in SOLVED])
-            rows = _numbers(batch, "ty")
+            solved = np.stack([numbers(batch, n) for n in SOLVED])
+            rows = numbers(batch, "ty")
             for at in _alike(rows):
                 ty, same = int(rows[at[0]]), pa.array(at)
                 for tx in range(grid.columns):
@@ -703,14 +635,14 @@ def anchored_history(
 
     def compare(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         # the frame's own tile comes first, then its history in order
-        frames = _starts(table, [*KEY, "hist_frame"])
+        frames = starts_of(table, [*KEY, "hist_frame"])
         owner = np.searchsorted(starts, frames, "right") - 1
-        seen = _whole(table, "hist_frame").is_valid().to_numpy(zero_copy_only=False)
+        seen = whole(table, "hist_frame").is_valid().to_numpy(zero_copy_only=False)
         many = np.bincount(owner[seen[frames]], minlength=len(starts))
         good = np.flatnonzero(~seen[starts] & (many == history))
         number = np.full(len(starts), -1)
         number[good] = np.arange(len(good))
-        high, wide = _sizes(grid, _numbers(table, "ty")[starts[good]], _numbers(table, "tx")[starts[good]])
+        high, wide = _sizes(grid, numbers(table, "ty")[starts[good]], numbers(table, "tx")[starts[good]])
         found = {name: _Pieces(high * wide) for name in LAYERS}
         # only what has a whole history is warped
         past = np.flatnonzero(seen[frames] & (number[owner] >= 0))
@@ -719,7 +651,7 @@ def anchored_history(
             size = (ends - frames)[past]
             begin = np.cumsum(size) - size
             rows = np.arange(int(size.sum())) + np.repeat(frames[past] - begin, size)
-            data = _whole(table, "data")
+            data = whole(table, "data")
             for places, value, covered in _warped(table.take(pa.array(rows)).combine_chunks(), begin, grid):
                 # tiles of one place in the order of their frames, ``history`` for each
                 places, order = np.sort(places), np.argsort(places, kind="stable")
@@ -733,7 +665,7 @@ def anchored_history(
                 own_tiles = _stack(data, starts[group], h, w)
                 for name, v in walk.layers(own_tiles, history, corrected).items():
                     found[name].put(number[group], v.astype(np.uint8))
-        return _first_rows(table, starts[good], KEY, {n: p.column() for n, p in found.items()})
+        return first_rows(table, starts[good], KEY, {n: p.column() for n, p in found.items()})
 
     schema = f"{_kinds(both, KEY)}, {LAYERS_DDL}"
     return _grouped(both, KEY, grid, compare, schema, within=[F.col("hist_frame").asc_nulls_first()])
@@ -755,7 +687,7 @@ def rolling_history(
         place, ring = None, None
         for batch in _portions(batches, grid.tile * grid.tile):
             table = pa.Table.from_batches([batch])
-            starts = _starts(table, ["video", "ty", "tx"])
+            starts = starts_of(table, ["video", "ty", "tx"])
             for first, last in zip(starts, [*starts[1:], len(batch)], strict=True):
                 here = tuple(batch[n][int(first)].as_py() for n in ("video", "ty", "tx"))
                 y0, y1, x0, x1 = grid.span(*here[1:])
@@ -773,7 +705,7 @@ def rolling_history(
                     pieces = _Pieces(np.full(many, v[0].size))
                     pieces.put(np.arange(many), v.astype(np.uint8))
                     found[name] = pieces.column()
-                yield _first_rows(table, np.arange(last - many, last), KEY, found)
+                yield first_rows(table, np.arange(last - many, last), KEY, found)
 
     return placed.mapInArrow(walk, f"{_kinds(tiles, KEY)}, {LAYERS_DDL}")
 
