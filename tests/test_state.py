@@ -191,3 +191,17 @@ def test_predicted_boxes_stay_near(spark):
     assert stats[0] <= 5 and stats[1] <= 5 and stats[2] >= 0 and abs(stats[3]) < 0.3
     assert rows_of(moved, "x1", "x2") == rows_of(PA.particle_predict(table.repartition(5), 9), "x1", "x2")
     assert moved.select("x1", "y1", "x2", "y2").distinct().count() > 3
+
+
+def test_iou_of_all_pairs_is_that_of_each():
+    import numpy as np
+
+    from tests.helpers import iou
+    from trackframe.operators.reckoning import pairwise_iou
+
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 20, (30, 2))
+    found = np.hstack([low, low + rng.integers(1, 9, (30, 2))])
+    got = pairwise_iou(found, found[::-1])
+    want = [[iou(a, b) for b in found[::-1].tolist()] for a in found.tolist()]
+    assert np.array_equal(got, np.array(want))

@@ -271,18 +271,12 @@ def _best(state: Filters, corrected: bool) -> np.ndarray:
 
 
 def _history(state: Filters, frame: int, name: str, only: np.ndarray | None = None) -> list[tuple]:
-    rows = []
-    ranks = state.ranks()
-    chosen = range(len(state.ids)) if only is None else np.flatnonzero(only)
-    for i in chosen:
-        owner = int(state.ids[i])
-        box = (int(v) for v in state.boxes[i])
-        rows.append(
-            (
-                frame, owner, state.steps.get(owner, 0), name, int(ranks[i]), *box,
-                bool(state.observed[i]), float(state.weights[i]),
-            )
-        )
+    chosen = slice(None) if only is None else only
+    columns = (state.ids, state.ranks(), state.boxes, state.observed, state.weights)
+    rows = [
+        (frame, owner, state.steps.get(owner, 0), name, rank, *box, seen, weight)
+        for owner, rank, box, seen, weight in zip(*(v[chosen].tolist() for v in columns), strict=True)
+    ]
     for owner in {r[1] for r in rows}:
         state.steps[owner] = state.steps.get(owner, 0) + 1
     return rows

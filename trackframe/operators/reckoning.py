@@ -26,15 +26,16 @@ def pairwise_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box of a with every box of b; corners in four columns."""
     if len(a) == 0 or len(b) == 0:
         return np.zeros((len(a), len(b)))
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.maximum(high - low, 0), axis=2).astype(float)
-    area_a = np.abs(np.prod(a[:, 2:] - a[:, :2], axis=1))
-    area_b = np.abs(np.prod(b[:, 2:] - b[:, :2], axis=1))
-    union = area_a[:, None] + area_b[None, :] - inter
+    # a matrix for each coordinate: reductions over short last axes cost far more
+    ax1, ay1, ax2, ay2 = (a[:, i, None] for i in range(4))
+    bx1, by1, bx2, by2 = (b[None, :, i] for i in range(4))
+    wide = np.maximum(np.minimum(ax2, bx2) - np.maximum(ax1, bx1), 0)
+    high = np.maximum(np.minimum(ay2, by2) - np.maximum(ay1, by1), 0)
+    inter = (wide * high).astype(float)
+    union = np.abs((ax2 - ax1) * (ay2 - ay1)) + np.abs((bx2 - bx1) * (by2 - by1)) - inter
     with np.errstate(divide="ignore", invalid="ignore"):
         share = np.where(inter > 0, inter / union, 0.0)
-    same = (a[:, None, :] == b[None, :, :]).all(axis=2) & (inter > 0)
+    same = (ax1 == bx1) & (ay1 == by1) & (ax2 == bx2) & (ay2 == by2) & (inter > 0)
     return np.where(same, 1.0, share)
 
 
