@@ -277,3 +277,40 @@ def test_tracks_are_forgotten_after_their_time(spark, tmp_path):
     got = drained(spark, ST.stream_observation_hysteresis(stream, 40_000), tmp_path)
     # the second track had been forgotten when it came again
     assert rows_of(got, "identity", "frame") == [(1, 1), (1, 900), (1, 1800), (3, 900), (3, 1800)]
+
+
+class KeptInMemory:
+    """State of one key, with the calls of the store counted."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, [], {}
+
+    def getValueState(self, name, ddl):
+        return self
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def exists(self):
+        return "v" in self.values
+
+    def get(self):
+        return self.values["v"]
+
+    def update(self, value):
+        self.calls += 1
+        self.values["v"] = value
+
+
+def test_tracks_of_a_block_take_few_calls_of_the_store():
+    import pandas as pd
+
+    handle = KeptInMemory()
+    tracks = ST.Confirmed(["video", "identity", "frame"], ["identity bigint", "frame bigint"], None)
+    tracks.init(handle)
+    for frame in (1, 2):
+        batch = pd.DataFrame({"identity": range(32), "frame": [frame] * 32, "at": [0] * 32})
+        found = list(tracks.handleInputRows(("v", 0), iter([batch]), None))
+    assert handle.calls == 2
+    assert sorted(map(tuple, found[0].to_numpy().tolist())) == sorted(("v", i, f) for i in range(32) for f in (1, 2))

@@ -67,11 +67,17 @@ def _plain(values, whole: bool) -> list:
     """Values of a column for the state store; null numbers arrive as NaN."""
     import pandas as pd
 
+    if values.dtype.kind in "iub":
+        return values.tolist()
     if whole:
         return [None if pd.isna(v) else int(v) for v in values]
-    if getattr(values, "dtype", None) == object:
+    if values.dtype == object:
         return list(values)
-    return [None if pd.isna(v) else v for v in values.tolist()]
+    return [None if v != v else v for v in values.tolist()]
+
+
+#: Frames, and tracks, that share a key or an entry of state: each takes several calls of the store.
+TOGETHER = 32
 
 
 class InOrder(StatefulProcessor):
@@ -93,7 +99,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         waiting = [f"{c.split(' ', 1)[0]} array<{c.split(' ', 1)[1]}>" for c in self.columns]
-        self.waiting = handle.getMapState("waiting", "frame bigint", ", ".join(["at bigint", *waiting]))
+        held = ", ".join(["numbers array<bigint>", "at array<bigint>", *waiting])
+        self.waiting = handle.getMapState("waiting", "block bigint", held)
         self.past = handle.getValueState("past", ", ".join(["closed bigint", self.saved]))
 
     def _table(self, rows: list[tuple]):
@@ -108,21 +115,22 @@ class InOrder(StatefulProcessor):
         for batch in rows:
             if _absent(key):
                 continue
-            for frame, part in batch.groupby("frame", sort=False):
-                frame = int(frame)
-                if past is not None and frame <= past[0]:
-                    late[frame] = late.get(frame, 0) + len(part)
-                    continue
-                at = int(part["at"].max())
+            if past is not None:
+                over = batch["frame"] <= past[0]
+                for frame, many in batch["frame"][over].value_counts().items():
+                    late[int(frame)] = late.get(int(frame), 0) + int(many)
+                batch = batch[~over]
+            for block, part in batch.groupby(batch["frame"] // TOGETHER, sort=False):
                 lists = [
-                    _plain(part[n], w) for n, w in zip(self.fields, self.whole, strict=True)
+                    part["frame"].astype("int64").tolist(), part["at"].tolist(),
+                    *(_plain(part[n], w) for n, w in zip(self.fields, self.whole, strict=True)),
                 ]
-                if self.waiting.containsKey((frame,)):
-                    held = self.waiting.getValue((frame,))
-                    at = max(at, held[0])
-                    lists = [[*a, *b] for a, b in zip(held[1:], lists, strict=True)]
-                self.waiting.updateValue((frame,), (at, *lists))
-                first = at if first is None else min(first, at)
+                place = (int(block),)
+                if self.waiting.containsKey(place):
+                    lists = [[*a, *b] for a, b in zip(self.waiting.getValue(place), lists, strict=True)]
+                self.waiting.updateValue(place, tuple(lists))
+                least = min(lists[1])
+                first = least if first is None else min(first, least)
         if first is not None:
             self.handle.registerTimer(first)
         if late:
@@ -136,19 +144,35 @@ class InOrder(StatefulProcessor):
         past = self.past.get() if self.past.exists() else None
         closed = None if past is None else past[0]
         out: list[tuple] = []
-        for frame in sorted(k[0] for k in self.waiting.keys()):
-            at, *lists = self.waiting.getValue((frame,))
-            if at > mark:
-                self.handle.registerTimer(at)
-                break
-            columns = dict(zip(self.fields, map(np.array, lists), strict=True))
-            rows, saved = self.step(key, None if past is None else past[1:], frame, columns)
-            past = (frame, *saved)
-            self.waiting.removeKey((frame,))
-            out += [(*key, *r, 0) for r in rows]
-            if len(out) >= FLUSH_ROWS:
-                yield self._table(out)
-                out = []
+        for block in sorted(k[0] for k in self.waiting.keys()):
+            lists = self.waiting.getValue((block,))
+            numbers, at = np.array(lists[0]), np.array(lists[1])
+            frames, place = np.unique(numbers, return_inverse=True)
+            # a frame is as late as its latest row
+            due = np.full(len(frames), np.iinfo(np.int64).min)
+            np.maximum.at(due, place, at)
+            open_ = np.flatnonzero(due > mark)
+            many = int(open_[0]) if len(open_) else len(frames)
+            for n, frame in enumerate(frames[:many].tolist()):
+                rows = np.flatnonzero(place == n)
+                columns = {
+                    name: np.array([values[i] for i in rows])
+                    for name, values in zip(self.fields, lists[2:], strict=True)
+                }
+                found, saved = self.step(key, None if past is None else past[1:], frame, columns)
+                past = (frame, *saved)
+                out += [(*key, *r, 0) for r in found]
+                if len(out) >= FLUSH_ROWS:
+                    yield self._table(out)
+                    out = []
+            if many == len(frames):
+                self.waiting.removeKey((block,))
+                continue
+            if many:
+                rest = np.flatnonzero(place >= many)
+                self.waiting.updateValue((block,), tuple([values[i] for i in rest] for values in lists))
+            self.handle.registerTimer(int(due[many]))
+            break
         if past is not None and past[0] != closed:
             self.past.update(tuple(past))
         if out:
@@ -284,9 +308,10 @@ def stream_particle_filter(
 
 
 class Confirmed(StatefulProcessor):
-    """Rows of a key from the second on; the first waits until there is one.
+    """Rows of a track from the second on; the first waits until there is one.
 
-    With ``forget_ms`` a key is forgotten when the watermark is that far past its last row.
+    A key has the tracks of a block of identities. With ``forget_ms`` a track is forgotten
+    when the watermark is that far past its last row.
     """
 
     def __init__(self, names: list[str], kept: list[str], forget_ms: int | None):
@@ -297,35 +322,50 @@ class Confirmed(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        saved = ", ".join(["seen boolean", "last bigint", *self.kept])
-        self.state = handle.getValueState("track", saved)
+        kept = [f"{c.split(' ', 1)[0]} array<{c.split(' ', 1)[1]}>" for c in self.kept]
+        saved = ", ".join(["seen array<boolean>", "last array<bigint>", *kept])
+        self.state = handle.getValueState("tracks", saved)
+
+    def _known(self, timerValues) -> dict:
+        """Seen, last time and first row of each track that is not over."""
+        if not self.state.exists():
+            return {}
+        return {
+            first[0]: [seen, last, first] for seen, last, *first in zip(*self.state.get(), strict=True)
+            if not self._over(last, timerValues)
+        }
+
+    def _keep(self, tracks: dict) -> None:
+        if not tracks:
+            self.state.clear()
+            return
+        self.state.update(tuple(map(list, zip(*((s, t, *first) for s, t, first in tracks.values()), strict=True))))
+        if self.forget_ms is not None:
+            self.handle.registerTimer(min(t[1] for t in tracks.values()) + self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        past = self.state.get() if self.state.exists() else None
-        if past is not None and self._over(past[1], timerValues):
-            past = None
-        seen, last, waiting = (False, 0, None) if past is None else (*past[:2], tuple(past[2:]))
+        tracks = self._known(timerValues)
         for batch in rows:
-            last = max(last, int(batch["at"].max()))
             lists = [_plain(batch[n], w) for n, w in zip(self.fields, self.whole, strict=True)]
-            fresh = list(zip(*lists, strict=True))
-            out = fresh
-            if not seen:
-                known = ([waiting] if waiting is not None else []) + fresh
-                seen = len(known) >= 2
-                out, waiting = (known if seen else []), known[0]
+            out = []
+            for at, *row in zip(batch["at"].tolist(), *lists, strict=True):
+                track = tracks.get(row[0])
+                if track is None:
+                    tracks[row[0]] = [False, max(at, 0), row]
+                    continue
+                if not track[0]:
+                    out.append((key[0], *track[2]))
+                track[0], track[1] = True, max(track[1], at)
+                out.append((key[0], *row))
             if out:
-                yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
-        if waiting is not None:
-            self.state.update((seen, last, *waiting))
-            if self.forget_ms is not None:
-                self.handle.registerTimer(last + self.forget_ms)
+                yield pd.DataFrame(out, columns=self.names)
+        self._keep(tracks)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if self.state.exists() and self._over(self.state.get()[1], timerValues):
-            self.state.clear()
+        if self.state.exists():
+            self._keep(self._known(timerValues))
         return iter([])
 
     def _over(self, last: int, timerValues) -> bool:
@@ -344,15 +384,18 @@ def stream_observation_hysteresis(tracks: DataFrame, forget_ms: int | None = Non
     use_keyed_state(tracks.sparkSession)
     keys = ["video", "identity"]
     columns = [*keys, *[n for n in tracks.columns if n not in keys]]
-    processor = Confirmed(columns, _ddl(tracks, columns[2:]), forget_ms)
+    processor = Confirmed(columns, _ddl(tracks, columns[1:]), forget_ms)
     seen = tracks.filter("observed")
-    if forget_ms is None:
-        rows = seen.select(*columns, F.lit(0).cast("bigint").alias("at"))
-    else:
-        rows = with_event_time(seen).select(
-            *columns, F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("at")
-        )
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    at = F.lit(0).cast("bigint")
+    if forget_ms is not None:
+        seen = with_event_time(seen)
+        at = F.coalesce(F.unix_millis("event_time"), F.lit(0))
+    # identities that are near come at about the same time; others are keys of their own
+    block = F.col("identity")
+    if isinstance(tracks.schema["identity"].dataType, IntegralType):
+        block = F.floor(block / TOGETHER)
+    rows = seen.select(*columns, at.alias("at"), block.alias("block"))
+    return rows.groupBy("video", "block").transformWithStateInPandas(
         processor, ", ".join(_ddl(tracks, columns)), "append",
         "None" if forget_ms is None else "EventTime",
     )
@@ -404,7 +447,7 @@ def stream_pixel_hysteresis(
 
 
 class Whole(StatefulProcessor):
-    """The rows of one frame, together, once the watermark has passed it."""
+    """The rows of each frame of a block, together, once the watermark has passed it."""
 
     def __init__(self, columns: list[str], names: list[str], keep_ms: int):
         self.columns, self.names, self.keep_ms = columns, names, keep_ms
@@ -414,41 +457,75 @@ class Whole(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ", ".join(self.columns))
-        self.closed = handle.getValueState("closed", "at bigint")
+        # the first column is the frame
+        kept = [f"{c.split(' ', 1)[0]} array<{c.split(' ', 1)[1]}>" for c in self.columns]
+        self.rows = handle.getValueState("rows", ", ".join(kept))
+        self.frames = handle.getValueState("frames", "number array<bigint>, at array<bigint>, closed array<boolean>")
+
+    def _known(self) -> dict:
+        """Time of each frame, and whether it is closed."""
+        if not self.frames.exists():
+            return {}
+        return {n: (at, closed) for n, at, closed in zip(*self.frames.get(), strict=True)}
+
+    def _keep(self, frames: dict) -> None:
+        if not frames:
+            self.frames.clear()
+            return
+        self.frames.update((list(frames), [at for at, _ in frames.values()], [c for _, c in frames.values()]))
+        self.handle.registerTimer(min(at + self.keep_ms * closed for at, closed in frames.values()))
+
+    def _waiting(self) -> list[tuple]:
+        return list(zip(*self.rows.get(), strict=True)) if self.rows.exists() else []
+
+    def _wait(self, rows: list[tuple]) -> None:
+        if rows:
+            self.rows.update(tuple(map(list, zip(*rows, strict=True))))
+        else:
+            self.rows.clear()
 
-    def _table(self, key, rows: list[tuple], late: int):
+    def _tables(self, key, rows: list[tuple], late: int) -> Iterator:
         import pandas as pd
 
-        return pd.DataFrame([(*key, *r, late) for r in rows], columns=self.names)
+        for first in range(0, len(rows), FLUSH_ROWS):
+            part = rows[first : first + FLUSH_ROWS]
+            yield pd.DataFrame([(key[0], *r, late) for r in part], columns=self.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         mark = timerValues.getCurrentWatermarkInMs()
-        closed = self.closed.exists()
+        frames, waiting = self._known(), []
         for batch in rows:
             if _absent(key):
                 continue
-            at = int(batch["at"].max())
             lists = [_plain(batch[n], w) for n, w in zip(self.fields, self.whole, strict=True)]
+            newest: dict = {}
+            for frame, at in zip(lists[0], batch["at"].tolist(), strict=True):
+                newest[frame] = max(newest.get(frame, at), at)
+            late = {
+                frame for frame, at in newest.items()
+                if frames.get(frame, (at, False))[1] or at + self.keep_ms <= mark
+            }
             fresh = list(zip(*lists, strict=True))
-            if closed or at + self.keep_ms <= mark:
-                yield self._table(key, fresh, 1)
-                continue
-            self.rows.appendList(fresh)
-            self.handle.registerTimer(at)
+            if late:
+                yield from self._tables(key, [r for r in fresh if r[0] in late], 1)
+                fresh = [r for r in fresh if r[0] not in late]
+            for frame in newest.keys() - late:
+                frames[frame] = (min(frames.get(frame, (newest[frame],))[0], newest[frame]), False)
+            waiting += fresh
+        if waiting:
+            self._wait([*self._waiting(), *waiting])
+        self._keep(frames)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if self.closed.exists():
-            # from here on the age of a row alone says that it is late
-            self.closed.clear()
-            return
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [tuple(r) for r in self.rows.get()]
-        self.rows.clear()
-        self.closed.update((at,))
-        self.handle.registerTimer(at + self.keep_ms)
-        if rows:
-            yield self._table(key, rows, 0)
+        mark = timerValues.getCurrentWatermarkInMs()
+        # of closed frames that are older than that, the age of a row alone says that it is late
+        frames = {n: f for n, f in self._known().items() if not (f[1] and f[0] + self.keep_ms <= mark)}
+        due = {n for n, (at, closed) in frames.items() if not closed and at <= mark}
+        if due:
+            held = self._waiting()
+            self._wait([r for r in held if r[0] not in due])
+            yield from self._tables(key, [r for r in held if r[0] in due], 0)
+        self._keep({n: (at, closed or n in due) for n, (at, closed) in frames.items()})
 
 
 def whole_frames(stream: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
@@ -457,16 +534,17 @@ def whole_frames(stream: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
     A column ``late`` is 1 for rows of frames that were closed before, which come out as
     they arrive; no row is lost and none comes twice. Videos may lag behind others by
     ``keep_ms`` of event time: so long is known which frames have been closed, and rows
-    older than that are late. Each frame is a key of its own.
+    older than that are late. ``TOGETHER`` frames of a video share a key.
     """
     use_keyed_state(stream.sparkSession)
     timed = with_event_time(stream)
     names = [c for c in timed.columns if c not in ("video", "frame", "event_time")]
     rows = timed.select(
-        "video", "frame", *names, F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("at")
+        "video", "frame", *names, F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("at"),
+        F.floor(F.col("frame") / TOGETHER).alias("block"),
     )
-    processor = Whole(_ddl(rows, names), ["video", "frame", *names, LATE], keep_ms)
+    processor = Whole(_ddl(rows, ["frame", *names]), ["video", "frame", *names, LATE], keep_ms)
     schema = ", ".join([*_ddl(rows, ["video", "frame", *names]), f"{LATE} int"])
-    return rows.groupBy("video", "frame").transformWithStateInPandas(
+    return rows.groupBy("video", "block").transformWithStateInPandas(
         processor, schema, "append", "EventTime"
     )
