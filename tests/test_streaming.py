@@ -303,7 +303,7 @@ class KeptInMemory:
         self.values["v"] = value
 
 
-def test_tracks_of_a_block_take_few_calls_of_the_store():
+def test_tracks_of_a_block_take_few_calls_of_the_store(spark):
     import pandas as pd
 
     handle = KeptInMemory()

@@ -9,7 +9,7 @@ from the results (:func:`on_time`, :func:`late_rows`).
 Time is that of :func:`trackframe.streaming.sources.with_event_time`. A row without a
 video only moves the watermark, so one such row after the last frame closes a stream.
 State is kept by ``transformWithStateInPandas`` in RocksDB, which spills to disk: what
-is in memory is one batch of input or one frame. The steps are those of the batch
+is in memory is one batch of input or one block of frames. The steps are those of the batch
 operators.
 """
 
